@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchlens.llm import decontamination, near_dedup
+from benchlens.llm import decontamination, gif_media, html_template, merge_dropout, near_dedup, quality, sharding, warc
 from benchlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,9 +21,39 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages"))
+
+
+def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_gif(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gif_media.store_texts(table(spark, sf_dir, "documents"))
+
+
+def op9_html_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_template.extract(table(spark, sf_dir, "pages"))
+
+
+def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.round_trip(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
+    "op3_warc": op3_warc,
     "op4_near_dedup": op4_near_dedup,
+    "op5_sharding": op5_sharding,
+    "op6_quality": op6_quality,
+    "op7_gif": op7_gif,
+    "op9_html_template": op9_html_template,
+    "op10_merge_dropout": op10_merge_dropout,
 }
 
 #: DuckDB SQL of those queries that SQL can express.
