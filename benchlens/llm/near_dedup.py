@@ -32,6 +32,8 @@ COMPONENTS, ROWS = 96, 4
 BANDS = COMPONENTS // ROWS
 #: Members of a bucket that one block holds from each of its two chunks.
 CHUNK = 512
+#: Values of a hash that narrow the texts down before the exact join; their broadcast is bounded.
+SLOTS = 1 << 19
 _WORD_KEYS = mix(np.arange(77, 77 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
 _TOKEN = np.uint64((1 << 48) - 1)
 _MOST_ROWS = (1 << 16) - 1
@@ -290,13 +292,18 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     signed = written(usable.mapInArrow(_sign, "id long, node binary, bands array<long>"))
     nodes = written(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     bands = nodes.select("node", F.explode("bands").alias("key"))
-    pivots = bands.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("node", "key").alias("h"), "node")).alias("p")).where("n > 1")
-    pivots = written(pivots.select("key", "n", F.col("p.node").alias("pivot")))
-    members = written(bands.join(pivots, "key").select("key", "n", "node", "pivot"))
+    shared = written(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = written(bands.join(shared, "key").select("key", "n", "node", F.xxhash64("node", "key").alias("h")))
+    least = members.groupBy("key").agg(F.min("h").alias("h"))
+    pivots = written(members.select("key", "h", "node").join(least, ["key", "h"]).groupBy("key").agg(F.min("node").alias("pivot")))
+    members = written(members.join(pivots, "key").select("key", "node", "pivot", "n"))
     pairs = written(members.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
     needed = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
     source = written(nodes.select("node", "id").join(needed, "node"))
-    tokens = written(usable.join(source, "id").select("node", "text").mapInArrow(_token_rows, "node binary, tokens binary").dropDuplicates(["node"]))
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")
+    # SLOTS numbers at most are broadcast: most texts that no candidate needs stay where they are.
+    likely = usable.withColumn("slot", slot).join(F.broadcast(source.select(slot).distinct()), "slot", "left_semi")
+    tokens = written(likely.join(source, "id").select("node", "text").mapInArrow(_token_rows, "node binary, tokens binary").dropDuplicates(["node"]))
     links = written(_confirmed(pairs, tokens, similarity))
     found = components(links)
     rest = written(_rest(members, found, tokens, similarity))
@@ -320,12 +327,17 @@ def _confirmed(pairs: DataFrame, tokens: DataFrame, similarity: float) -> DataFr
 
 def _rest(members: DataFrame, found: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
     """Links inside buckets whose members still lie in several components, from all their pairs."""
-    own = members.where("n > 2").select("key", "n", "node")
-    own = written(own.join(found, "node", "left").select("key", "n", "node", F.coalesce("component", "node").alias("component")))
-    mixed = own.groupBy("key").agg((F.min("component") < F.max("component")).alias("mixed")).where("mixed").select("key")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    own = own.join(written(mixed), "key").withColumn("chunk", F.pmod(F.xxhash64("node"), chunks).cast("int"))
-    own = own.select("key", "chunk", "node", "component", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("other"))
+    own = members.where("n > 2")
+    own = own.join(found, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("component"))
+    core = found.select(F.col("node").alias("pivot"), F.col("component").alias("core"))
+    own = written(own.join(core, "pivot", "left").select("key", "node", "component", (F.col("component") == F.coalesce("core", "pivot")).alias("inner")))
+    # The pivot's component is not compared with itself, so a large one is read once for each outer chunk.
+    counts = own.groupBy("key").agg(F.count(F.when(~F.col("inner"), 1)).alias("outer"), F.count(F.when(F.col("inner"), 1)).alias("core")).where("outer > 0 and outer + core > 2")
+    own = own.join(written(counts), "key")
+    outer, core = (F.ceil(F.col(c) / CHUNK).cast("int") for c in ("outer", "core"))
+    chunk = F.when(F.col("inner"), outer + F.pmod(F.xxhash64("node"), core)).otherwise(F.pmod(F.xxhash64("node"), outer)).cast("int")
+    others = F.when(F.col("inner"), F.sequence(F.lit(0), outer - 1)).otherwise(F.sequence(F.lit(0), outer + core - 1))
+    own = own.withColumn("chunk", chunk).select("key", "chunk", "node", "component", F.explode(others).alias("other"))
     blocks = own.select("key", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "node", "component")
     blocks = blocks.join(tokens, "node").select("key", "c1", "c2", "chunk", "node", "component", "tokens")
     blocks = blocks.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
