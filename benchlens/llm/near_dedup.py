@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchlens.llm.common import mix, slices, utf8, words, written
+from benchlens.llm.common import free_name, mix, slices, utf8, words, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -318,6 +318,30 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     return out.unionByName(alone)
 
 
+def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each class: that with the least id, and one row of it.
+
+    Rows without id or text all stay.
+    """
+    classes = near_duplicates(docs, similarity=similarity)
+    gone = written(classes.where("doc_id <> class_id").select("doc_id").distinct())
+    slot, name = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)), free_name(docs, "slot")
+    # SLOTS numbers at most are broadcast; only documents whose number is among them are joined by id.
+    numbers = written(gone.select(slot.alias(name)).distinct()).withColumn("hit", F.lit(True))
+    numbers = F.broadcast(numbers.withColumnRenamed("hit", hit := free_name(docs, "hit")))
+    marked = docs.withColumn(name, slot).join(numbers, name, "left").drop(name)
+    clear = marked.where(F.col(hit).isNull()).drop(hit)
+    doubtful = marked.where(F.col(hit).isNotNull()).drop(hit).join(gone, "doc_id", "left_anti").select(*docs.columns)
+    kept = clear.unionByName(doubtful)
+    repeated = written(docs.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    kept = written(kept)
+    once = kept.where("text is not null").join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    others = kept.where("text is not null").join(repeated, "doc_id", "left_anti").select(*docs.columns)
+    return others.unionByName(once).unionByName(kept.where("text is null"))
+
+
 def _confirmed(pairs: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
     left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
@@ -335,8 +359,9 @@ def _rest(members: DataFrame, found: DataFrame, tokens: DataFrame, similarity: f
     counts = own.groupBy("key").agg(F.count(F.when(~F.col("inner"), 1)).alias("outer"), F.count(F.when(F.col("inner"), 1)).alias("core")).where("outer > 0 and outer + core > 2")
     own = own.join(written(counts), "key")
     outer, core = (F.ceil(F.col(c) / CHUNK).cast("int") for c in ("outer", "core"))
-    chunk = F.when(F.col("inner"), outer + F.pmod(F.xxhash64("node"), core)).otherwise(F.pmod(F.xxhash64("node"), outer)).cast("int")
-    others = F.when(F.col("inner"), F.sequence(F.lit(0), outer - 1)).otherwise(F.sequence(F.lit(0), outer + core - 1))
+    whole = F.col("outer") + F.col("core") <= CHUNK  # one block holds the bucket
+    chunk = F.when(whole, 0).when(F.col("inner"), outer + F.pmod(F.xxhash64("node"), core)).otherwise(F.pmod(F.xxhash64("node"), outer)).cast("int")
+    others = F.when(whole, F.array(F.lit(0))).when(F.col("inner"), F.sequence(F.lit(0), outer - 1)).otherwise(F.sequence(F.lit(0), outer + core - 1))
     own = own.withColumn("chunk", chunk).select("key", "chunk", "node", "component", F.explode(others).alias("other"))
     blocks = own.select("key", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "node", "component")
     blocks = blocks.join(tokens, "node").select("key", "c1", "c2", "chunk", "node", "component", "tokens")

@@ -146,16 +146,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, r
     return _fit(rows, rank) if rows else None
 
 
-def score(docs: DataFrame, model: dict | None, neighbours: int = NEIGHBOURS) -> DataFrame:
-    """``docs`` with a column ``score`` (0 to 1; one of that name is replaced), from the text alone.
+def score(docs: DataFrame, model: dict | None, neighbours: int = NEIGHBOURS, name: str = "score") -> DataFrame:
+    """``docs`` with a column ``name`` (0 to 1; one of that name is replaced), from the text alone.
 
     A text without any term (null, empty) gets the labels' mean in the sample.  Without a model
     all scores are 0.5.
     """
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == "score"])
+    docs = docs.drop(*[c for c in docs.columns if c.lower() == name.lower()])
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_class, rank and the number of terms
-    at, names = docs.columns.index("text"), [*docs.columns, "score"]
-    schema = docs.withColumn("score", F.lit(0.0)).schema
+    at, names = docs.columns.index("text"), [*docs.columns, name]
+    schema = docs.withColumn(name, F.lit(0.0)).schema
     return docs.mapInArrow(lambda batches: _score(batches, held.value, at, names, neighbours), schema)
 
 
