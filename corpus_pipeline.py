@@ -1,7 +1,7 @@
 """Corpus cleaning: quality classifier, near-dedup, benchmark decontamination, subword encoding.
 
 Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and read again as the
-next stage's ``docs``.
+next stage's ``docs``.  All but the last return the columns that they were given.
 """
 
 from __future__ import annotations
@@ -9,22 +9,42 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from benchlens.llm import decontamination
-from benchlens.llm.common import table, written
+from benchlens.llm import decontamination, merge_dropout, near_dedup, quality
+from benchlens.llm.common import free_name, table, written
+
+
+def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier finds of low quality go (score under 0.5)."""
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    name = free_name(docs, "score")
+    scored = quality.score(docs, model, name=name)
+    return scored.where(F.col(name) >= 0.5).drop(name)
+
+
+def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near-duplicates the document with the least id stays."""
+    return near_dedup.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts; documents without one stay as they are."""
-    from pyspark.sql import functions as F
-
     found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    cleaned = decontamination.remove_spans(found)
-    return cleaned.withColumn("n_chars", F.length("text").cast("long"))
+    cut = F.size("spans") > 0
+    return decontamination.remove_spans(found.withColumn("n_chars", F.when(cut, -1).otherwise(F.col("n_chars")))).withColumn("n_chars", F.when(F.col("n_chars") < 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Subword ids by seeded merge-dropout, beside the document."""
+    return merge_dropout.encode_documents(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", classify),
+    ("near_dedup", deduplicate),
     ("benchmark_decontamination", decontaminate),
+    ("merge_dropout_encoding", encode),
 ]
 
 #: The stages hold a fitted model, hashed signatures and a subword vocabulary: SQL cannot express them.
