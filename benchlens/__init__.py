@@ -1,0 +1 @@
+"""Modelling and explanation of benchmark results as Spark jobs."""

@@ -1,0 +1 @@
+"""Pipelines and the registered queries."""

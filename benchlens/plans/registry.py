@@ -1,7 +1,490 @@
-"""All queries over the reference-style tables, with their DuckDB SQL."""
+"""All queries over the reference-style tables, with their DuckDB SQL.
+
+Every query reads the driver's tables through the views of ``inputs`` and applies one operator.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from benchlens.functions import text as X
+from benchlens.operators import explain, features, folds, metrics, models, report, tables
+from benchlens.plans import inputs as I
+from benchlens.sources import evaluations as S
+
+Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "flow_family_summary"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES: dict[str, Query] = {}
+ORACLE_SQL: dict[str, str] = {}
+LOCAL = ["fold", "row_id"]
+FLOW_COLUMNS = "flow_id, flow_name, flow_full_name, flow_version, flow_external_version, flow_uploader, flow_text, flow_text_clean"
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = I.oracle(sql)
+        return f
+
+    return add
+
+
+# Views that several queries share.
+
+
+def _flows(s, d):
+    return tables.normalize_flows(I.flows(s, d))
+
+
+def _kept_flows(s, d):
+    return tables.relevant_flows(_flows(s, d), I.evaluations(s, d), I.KEEP)
+
+
+def _targets(s, d):
+    return tables.restrict_evaluations(tables.aggregate_evaluations(I.evaluations(s, d)), _kept_flows(s, d))
+
+
+def _supervised(s, d):
+    return tables.supervised_table(_targets(s, d), tables.normalize_tasks(I.tasks(s, d))[0], _kept_flows(s, d))
+
+
+def _rows(s, d):
+    return _supervised(s, d).select("row_id", "task_id", "flow_id", F.col("target_value").alias("y"))
+
+
+def _folded(s, d):
+    rows = _rows(s, d)
+    return {"row_kfold": folds.row_folds(rows, "row_id", I.FOLDS, I.SEED), "task_group_kfold": folds.with_group_folds(rows, "task_id", I.FOLDS)}
+
+
+def _predictions(s, d):
+    out = None
+    for mode, folded in _folded(s, d).items():
+        for name, by in (("global_mean", []), ("task_mean", ["task_id"]), ("flow_mean", ["flow_id"])):
+            own = models.mean_predictor(folded, name, by, mode)
+            out = own if out is None else out.unionByName(own)
+    return out
+
+
+def _cv(s, d):
+    return metrics.fold_metrics(_predictions(s, d), ["split_mode", "model", "fold"])
+
+
+def _by_fold(s, d):
+    return explain.mean_abs(I.attributions(s, d), ["fold"])
+
+
+# Sources.
+
+
+@query("select task_id, flow_id, value from (select *, row_number() over (partition by task_id order by flow_id, value) as r from evals_raw where task_id in (select s_suppkey from supplier where s_acctbal > 0)) where r <= 50 group by 1, 2, 3")
+def load_evaluations(s, d):
+    suite = s.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 0").select(F.col("s_suppkey").alias("task_id"))
+    return S.load_evaluations([I.evaluations(s, d)], suite, per_task=50, order=["flow_id", "value"], check=False)
+
+
+@query("select tid, did, name from tasks_raw where tid in (select l_suppkey from lineitem where l_quantity > 45)")
+def load_tasks(s, d):
+    suite = s.read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 45").select(F.col("l_suppkey").alias("task_id"))
+    return S.load_tasks(I.tasks(s, d), suite).select("tid", "did", "name")
+
+
+@query("select id, name, full_name from flows_raw where id in (select flow_id from evals_raw where task_id % 10 = 0)")
+def load_flows(s, d):
+    return S.load_flows(I.flows(s, d), I.evaluations(s, d).where("task_id % 10 = 0"))[0].select("id", "name", "full_name")
+
+
+@query("select distinct flow_id from evals_raw where flow_id not in (select id from flows_raw where version <> '7')")
+def unresolved_flows(s, d):
+    return S.load_flows(I.flows(s, d).where("version <> '7'"), I.evaluations(s, d))[1]
+
+
+@query("select distinct flow_id from evals_raw where flow_id is not null")
+def used_flow_ids(s, d):
+    return tables.used_flow_ids(I.evaluations(s, d))
+
+
+@query("select distinct task_id, flow_id, value from evals_raw")
+def distinct_rows(s, d):
+    return I.evaluations(s, d).dropDuplicates()
+
+
+# Projections, filters, functions.
+
+
+@query("select flow_id, flow_text_clean from flows")
+def clean_text(s, d):
+    return X.with_clean_text(_flows(s, d).select("flow_id", "flow_text"), "flow_text").select("flow_id", "flow_text_clean")
+
+
+@query("select doc_id, lower(trim(regexp_replace(translate(text, '.()=,:', '      '), '[\\s\\x{A0}\\x{2000}-\\x{200A}\\x{202F}\\x{3000}]+', ' ', 'g'))) as text_clean from documents")
+def clean_documents(s, d):
+    return X.with_clean_text(s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text"), "text").select("doc_id", "text_clean")
+
+
+@query(f"select {FLOW_COLUMNS} from flows")
+def normalize_flows(s, d):
+    return _flows(s, d)
+
+
+@query("select * from tasks")
+def normalize_tasks(s, d):
+    out, found = tables.normalize_tasks(I.tasks(s, d))
+    return out.select("task_id", "dataset_id", "task_name", *found)
+
+
+@query("select task_id, flow_id, v as value from evals")
+def numeric_values(s, d):
+    return tables.numeric_values(I.evaluations(s, d))
+
+
+@query("select flow_id from flows where starts_with(flow_name, 'small ') or starts_with(flow_full_name, 'Brand#1.')")
+def prefix_filter(s, d):
+    f = _flows(s, d)
+    return f.where(tables.has_prefix(f, I.KEEP)).select("flow_id")
+
+
+@query("select distinct feature, regexp_replace(feature, '^(meta::|text::)', '') as display, starts_with(feature, 'meta::') or (starts_with(feature, 'text::') and not starts_with(feature, 'text::emb_')) as readable from attr")
+def feature_names(s, d):
+    f = I.attributions(s, d).select("feature").distinct()
+    return f.select("feature", X.display_name(F.col("feature")).alias("display"), X.is_readable(F.col("feature")).alias("readable"))
+
+
+@query("select id as flow_id, case when contains(lower(full_name), 'economy') then 'TF-IDF' when contains(lower(full_name), 'small') then 'MiniLM' else full_name end as label from flows_raw")
+def infer_labels(s, d):
+    f = I.flows(s, d)
+    return f.select(F.col("id").alias("flow_id"), X.label(F.col("full_name"), (("economy", "TF-IDF"), ("small", "MiniLM"))).alias("label"))
+
+
+@query("with h as (select md5(flow_text_clean) as h, count(*) as n from flows group by 1), p as (select substr(h, 1, 2) as prefix, md5(string_agg(h || ':' || n, ',' order by h || ':' || n)) as part from h group by 1) select md5(string_agg(prefix || '=' || part, ',' order by prefix || '=' || part)) as fingerprint from p")
+def text_fingerprint(s, d):
+    return X.fingerprint(_flows(s, d), "flow_text", buckets=256)
+
+
+# Joins.
+
+
+@query(f"select {FLOW_COLUMNS} from kept_flows")
+def relevant_flows(s, d):
+    return _kept_flows(s, d)
+
+
+@query("select * from kept_evals")
+def restrict_evaluations(s, d):
+    return _targets(s, d)
+
+
+@query("select * from supervised")
+def supervised_table(s, d):
+    return _supervised(s, d)
+
+
+@query("select split_part(flow_full_name, '(', 1) as family, dataset_id, count(*) as n, avg(target_value) as target_mean, max(target_value) as target_max, avg(value_std) as std_mean from supervised group by 1, 2")
+def flow_family_summary(s, d):
+    family = F.split_part("flow_full_name", F.lit("("), F.lit(1)).alias("family")
+    return _supervised(s, d).groupBy(family, "dataset_id").agg(F.count("*").alias("n"), F.avg("target_value").alias("target_mean"), F.max("target_value").alias("target_max"), F.avg("value_std").alias("std_mean"))
+
+
+@query("select a.split_mode, a.fold, a.model as model_a, b.model as model_b, a.mse - b.mse as diff from cv a join cv b on a.split_mode = b.split_mode and a.fold = b.fold and a.model < b.model")
+def model_pairs(s, d):
+    return metrics.model_pairs(_cv(s, d), "mse")
+
+
+@query("select a.experiment, a.model, a.split_mode, a.r2_mean as r2_max, b.r2_mean as r2_mean, a.r2_mean - b.r2_mean as r2_difference from (select 'e' as experiment, * from summary) a join (select 'e' as experiment, * from summary where model <> 'flow_mean') b using (experiment, model, split_mode)")
+def agg_mode_table(s, d):
+    e = metrics.summarize(_cv(s, d)).withColumn("experiment", F.lit("e"))
+    return report.agg_mode_table(e, e.where("model <> 'flow_mean'"))
+
+
+@query("select min(row_id) as row_id from (select row_id from attr where feature_id = 3 and shap > 0 intersect select row_id from attr where feature_id = 5 and shap > 0)")
+def common_row(s, d):
+    a = I.attributions(s, d).where("feature_id in (3, 5) and shap > 0").withColumn("run", F.col("feature_id").cast("string"))
+    return explain.common_row(a, "run", "3", "5")
+
+
+@query("select 'a' as experiment, split_mode, model, r2_mean from summary union all select 'b', split_mode, model, r2_mean + 1 from summary")
+def labelled_union(s, d):
+    one = metrics.summarize(_cv(s, d)).select("split_mode", "model", "r2_mean")
+    return report.labelled_union({"a": one, "b": one.withColumn("r2_mean", F.col("r2_mean") + 1)})
+
+
+@query("select task_id, flow_id, value from (select task_id, flow_id, case when flow_id % 3 > 0 then flow_id end as value, row_number() over (partition by task_id order by (flow_id % 3 > 0) desc, flow_id desc) as r from (select distinct task_id, flow_id from evals_raw)) where r = 1")
+def keep_last(s, d):
+    rows = I.evaluations(s, d).select("task_id", "flow_id").distinct()
+    return explain.keep_last(rows.withColumn("value", F.when(F.col("flow_id") % 3 > 0, F.col("flow_id"))), ["task_id"], "value")
+
+
+@query("select a.fold as fold_a, b.fold as fold_b, len(list_intersect(a.s, b.s)) as common, len(list_distinct(list_concat(a.s, b.s))) as either from sets a join sets b on a.fold < b.fold")
+def set_overlap(s, d):
+    sets = explain.global_topk(_by_fold(s, d), ["fold"]).groupBy("fold").agg(F.collect_set("feature").alias("s"))
+    a, b = (sets.select(F.col("fold").alias(f"fold_{x}"), F.col("s").alias(x)) for x in "ab")
+    return a.join(b, F.col("fold_a") < F.col("fold_b")).select("fold_a", "fold_b", F.size(F.array_intersect("a", "b")).alias("common"), F.size(F.array_union("a", "b")).alias("either"))
+
+
+# Aggregations and scores.
+
+
+@query("select * from agg_mean")
+def aggregate_mean(s, d):
+    return tables.aggregate_evaluations(I.evaluations(s, d))
+
+
+@query("select task_id, flow_id, max(v) as target_value, coalesce(stddev_samp(v), 0) as value_std, count(v) as value_count from evals group by 1, 2")
+def aggregate_max(s, d):
+    return tables.aggregate_evaluations(I.evaluations(s, d), agg_mode="max")
+
+
+@query("select split_mode, model, fold, row_id, y_true, y_pred from predictions")
+def mean_predictions(s, d):
+    return _predictions(s, d)
+
+
+@query("select * from cv")
+def fold_metrics(s, d):
+    return _cv(s, d)
+
+
+@query("select * from summary order by split_mode, r2_mean desc")
+def cv_summary(s, d):
+    return metrics.summarize(_cv(s, d))
+
+
+@query("select model, a.r2_mean as row_kfold, b.r2_mean as task_group_kfold, a.r2_mean - b.r2_mean as gap from (select * from summary where split_mode = 'row_kfold') a join (select * from summary where split_mode = 'task_group_kfold') b using (model)")
+def protocol_gap(s, d):
+    return metrics.protocol_gap(metrics.summarize(_cv(s, d)))
+
+
+REPEATS = "select split_mode, model, rep, avg(r2) as r2, avg(mae) as mae, avg(mse) as mse from (select *, fold % 2 as rep from cv) group by 1, 2, 3"
+REPEATED = f"select split_mode, model, count(*) as n_repeats, avg(r2) as r2_mean, stddev_pop(r2) as r2_std, avg(mae) as mae_mean, stddev_pop(mae) as mae_std, avg(mse) as mse_mean, stddev_pop(mse) as mse_std from ({REPEATS}) group by 1, 2"
+
+
+@query(REPEATED)
+def repeated_summary(s, d):
+    return metrics.repeated_summary(_cv(s, d).withColumn("rep", F.col("fold") % 2), ["split_mode", "model"])
+
+
+@query("select x.split_mode, model_a, model_b, 'mse' as metric, least(up, down) as statistic, least(1.0, 2.0 * (select count(*) from range(32) t(b) where (b & 1) * 1 + ((b >> 1) & 1) * 2 + ((b >> 2) & 1) * 3 + ((b >> 3) & 1) * 4 + ((b >> 4) & 1) * 5 <= least(up, down)) / 32) as p_value from (select split_mode, model_a, model_b, sum(case when diff > 0 then r else 0 end) as up, sum(case when diff < 0 then r else 0 end) as down from (select *, cast(row_number() over (partition by split_mode, model_a, model_b order by abs(diff)) as double) as r from (select a.split_mode, a.model as model_a, b.model as model_b, a.mse - b.mse as diff from cv a join cv b on a.split_mode = b.split_mode and a.fold = b.fold and a.model < b.model)) group by 1, 2, 3) x")
+def wilcoxon(s, d):
+    return metrics.wilcoxon(_cv(s, d), "mse")
+
+
+@query("select split_mode, model_a, model_b, diff, r + (c - 1) / 2.0 as rank, c as ties from (select *, rank() over (partition by split_mode, model_a, model_b order by abs(diff)) as r, count(*) over (partition by split_mode, model_a, model_b, abs(diff)) as c from (select 'all' as split_mode, task_id as model_a, flow_id % 3 as model_b, round(v / 1000) - 5 as diff from evals) where diff <> 0)")
+def signed_ranks(s, d):
+    value = F.floor(F.col("value") / 1000 + 0.5) - 5
+    rows = tables.numeric_values(I.evaluations(s, d)).select(F.lit("all").alias("split_mode"), F.col("task_id").alias("model_a"), (F.col("flow_id") % 3).alias("model_b"), value.cast("double").alias("diff"))
+    return metrics.signed_ranks(rows, ["split_mode", "model_a", "model_b"]).select("split_mode", "model_a", "model_b", "diff", "rank", "ties")
+
+
+# Features.
+
+TOKENS = "regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')"
+TERMS = f"tok as (select md5(t) as text_key, n_rows, w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) as b from (select t, count(*) as n_rows, regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]{{2,}}') as w from (select lower(trim(regexp_replace(translate(coalesce(text, ''), '.()=,:', '      '), '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g'))) as t from documents) group by t)), counts as (select text_key, n_rows, term, count(*) as tf from (select text_key, n_rows, unnest(list_concat(w, b)) as term from tok) group by 1, 2, 3), total as (select count(*) as n from documents), stats as (select term, sum(tf * n_rows) as total, sum(n_rows) as df from counts group by 1), vocab as (select cast(row_number() over (order by term) - 1 as integer) as feature_id, term, cast(df as bigint) as df, ln((1 + n) / cast(1 + df as double)) + 1 as idf from (select *, (select n from total) as n from stats where df <= 0.95 * (select n from total) order by total desc, term limit 200))"
+
+
+@query("select doc_id, len(w) as n_tokens, md5(array_to_string(w, ' ')) as digest from (select doc_id, " + TOKENS + " as w from documents)")
+def tokenize(s, d):
+    w = s.read.parquet(f"{d}/documents.parquet").select("doc_id", X.tokens(F.col("text")).alias("w"))
+    return w.select("doc_id", F.size("w").alias("n_tokens"), F.md5(F.concat_ws(" ", "w")).alias("digest"))
+
+
+@query(f"with {TERMS} select feature_id, term, df, idf from vocab")
+def vocabulary(s, d):
+    docs = s.read.parquet(f"{d}/documents.parquet")
+    return features.vocabulary(features.term_counts(docs, "text"), docs.count(), 200)
+
+
+@query(f"with {TERMS} select text_key, term, feature_id, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by text_key)) as weight from counts join vocab using (term)")
+def tfidf(s, d):
+    return features.tfidf(s.read.parquet(f"{d}/documents.parquet"), "text", max_features=200)
+
+
+@query("select 'NumberOfInstances' as feature, median(NumberOfInstances) as median, stddev_pop(coalesce(NumberOfInstances, (select median(NumberOfInstances) from tasks))) as std from tasks union all select 'MajorityClassSize', median(MajorityClassSize), stddev_pop(coalesce(MajorityClassSize, (select median(MajorityClassSize) from tasks))) from tasks")
+def numeric_statistics(s, d):
+    t = tables.normalize_tasks(I.tasks(s, d))[0]
+    medians = t.agg(*[F.median(c).alias(c) for c in ("NumberOfInstances", "MajorityClassSize")])
+    filled = t.crossJoin(F.broadcast(medians.withColumnsRenamed({"NumberOfInstances": "a", "MajorityClassSize": "b"})))  # one row
+    one = lambda c, m: filled.agg(F.lit(c).alias("feature"), F.first(m).cast("double").alias("median"), F.stddev_pop(F.coalesce(c, m)).alias("std"))
+    return one("NumberOfInstances", "a").unionByName(one("MajorityClassSize", "b"))
+
+
+SCALED = ", ".join(f"coalesce({c}, (select median({c}) from tasks)) / (select case when s = 0 then 1 else s end from (select stddev_pop(coalesce({c}, (select median({c}) from tasks))) as s from tasks)) as {c}" for c in ("MajorityClassSize", "NumberOfInstances", "NumberOfClasses"))
+
+
+@query(f"select task_id, {SCALED} from tasks")
+def scale_numeric(s, d):
+    t = tables.normalize_tasks(I.tasks(s, d))[0].select("task_id", "MajorityClassSize", "NumberOfInstances", "NumberOfClasses")
+    return features.scale_numeric(t, ["MajorityClassSize", "NumberOfInstances", "NumberOfClasses"])
+
+
+@query("select task_id as row_id, 'text::emb_' || (i - 1) as feature, cast(embedding[i] as double) as value from tasks join embeddings on vec_id = task_id, range(1, 65) r(i) union all select task_id, 'meta::NumberOfInstances', coalesce(NumberOfInstances, (select median(NumberOfInstances) from tasks)) / (select stddev_pop(coalesce(NumberOfInstances, (select median(NumberOfInstances) from tasks))) from tasks) from tasks")
+def build_features(s, d):
+    t = tables.normalize_tasks(I.tasks(s, d))[0].select(F.col("task_id").alias("row_id"), F.col("task_id").alias("flow_id"), "NumberOfInstances")
+    return features.build_features(t, "embedding", ["NumberOfInstances"], vectors=s.read.parquet(f"{d}/embeddings.parquet"))
+
+
+# Folds.
+
+
+@query("select row_id, fold from row_folds")
+def row_folds(s, d):
+    return _folded(s, d)["row_kfold"].select("row_id", "fold")
+
+
+@query("select task_id, fold from task_folds")
+def group_folds(s, d):
+    return folds.group_folds(_rows(s, d).groupBy("task_id").agg(F.count("*").alias("n")), "task_id", I.FOLDS)
+
+
+@query("select task_id, cast(ntile(5) over (order by md5(concat_ws('::', task_id, '42:1')), task_id) - 1 as integer) as fold from (select distinct task_id from supervised)")
+def shuffled_group_folds(s, d):
+    return folds.shuffled_group_folds(_rows(s, d), "task_id", I.FOLDS, I.SEED, 1)
+
+
+@query("select split_mode, fold, count(*) as entities, count(case when k > 1 then 1 end) as shared from (select *, count(*) over (partition by split_mode, task_id) as k from (select distinct split_mode, fold, task_id from folded)) group by 1, 2")
+def leakage(s, d):
+    out = [folds.leakage(f, "task_id").select(F.lit(m).alias("split_mode"), "fold", "entities", "shared") for m, f in _folded(s, d).items()]
+    return out[0].unionByName(out[1])
+
+
+@query("select row_id, fold from (select *, row_number() over (partition by fold order by md5(concat_ws('::', row_id, '42', 'eval')), row_id) as r from row_folds) where r <= 20")
+def sample_rows(s, d):
+    return folds.sample(_folded(s, d)["row_kfold"].select("row_id", "fold"), ["fold"], "row_id", 20)
+
+
+# Explanations.
+
+
+@query("select fold, feature_id, feature, mean_abs_shap from by_fold")
+def mean_abs_shap(s, d):
+    return _by_fold(s, d)
+
+
+@query("select feature_id, feature, avg(mean_abs_shap) as mean_abs_shap, stddev_pop(mean_abs_shap) as std_abs_shap from by_fold group by 1, 2 order by 3 desc")
+def global_importance(s, d):
+    return explain.global_importance(_by_fold(s, d))
+
+
+@query("select * from local_topk")
+def local_topk(s, d):
+    return explain.local_topk(I.attributions(s, d), LOCAL)
+
+
+@query("select * from readable")
+def readability(s, d):
+    return explain.readability(explain.local_topk(I.attributions(s, d), LOCAL), LOCAL)
+
+
+@query("select * from sparse")
+def sparsity(s, d):
+    return explain.sparsity(I.attributions(s, d), LOCAL)
+
+
+@query("select * from local")
+def local_metrics(s, d):
+    return explain.local_metrics(I.attributions(s, d), LOCAL)
+
+
+@query("select fold, count(*) as n, avg(readability) as readability_mean, stddev_pop(readability) as readability_std, avg(sparsity) as sparsity_mean, stddev_pop(sparsity) as sparsity_std from local group by 1")
+def local_summary(s, d):
+    return explain.local_summary(explain.local_metrics(I.attributions(s, d), LOCAL), ["fold"])
+
+
+@query("select * from topk")
+def global_topk(s, d):
+    return explain.global_topk(_by_fold(s, d), ["fold"])
+
+
+@query("select * from stability")
+def fold_stability(s, d):
+    return explain.fold_stability(explain.global_topk(_by_fold(s, d), ["fold"]))
+
+
+@query("select top_k, avg(jaccard) as stability_mean, stddev_pop(jaccard) as stability_std from stability group by 1")
+def stability_summary(s, d):
+    return explain.stability_summary(explain.fold_stability(explain.global_topk(_by_fold(s, d), ["fold"])), ["top_k"])
+
+
+@query("select 'r' as run, l.*, s.*, 10 as top_k, cast(0.8 as double) as sparsity_mass from (select count(*) as n_local_explanations, avg(readability) as readability_mean, stddev_pop(readability) as readability_std, avg(sparsity) as sparsity_mean, stddev_pop(sparsity) as sparsity_std from local) l, (select avg(jaccard) as global_topk_stability_mean, stddev_pop(jaccard) as global_topk_stability_std from stability) s")
+def shap_summary(s, d):
+    a = I.attributions(s, d).withColumn("run", F.lit("r"))
+    local = explain.local_metrics(a, ["run", *LOCAL])
+    top = explain.global_topk(explain.mean_abs(a, ["run", "fold"]), ["run", "fold"])
+    return explain.shap_summary(local, explain.fold_stability(top, ["run"]), ["run"])
+
+
+@query("select fold, sum(case when feature_i <> feature_j then abs(value) else 0 end) / sum(abs(value)) as interaction_ratio from inter group by 1")
+def interaction_ratio(s, d):
+    return explain.interaction_ratio(I.interaction_values(s, d), ["fold"])
+
+
+@query("select 'e' as experiment, 'm' as model, avg(x) as interaction_ratio from (select fold, sum(case when feature_i <> feature_j then abs(value) else 0 end) / sum(abs(value)) as x from inter group by 1)")
+def interaction_chart(s, d):
+    r = explain.interaction_ratio(I.interaction_values(s, d), ["fold"])
+    return report.interaction_chart(r.withColumns({"experiment": F.lit("e"), "model": F.lit("m")}))
+
+
+WEIGHTS = (("NumberOfInstances", 0.5), ("NumberOfFeatures", -1.25), ("NumberOfClasses", 2.0))
+_LONG = " union all ".join(f"select task_id as row_id, '{c}' as feature, cast({c} as double) as value, cast({w} as double) as weight from tasks where {c} is not null" for c, w in WEIGHTS)
+
+
+def _task_values(s, d):
+    t = tables.normalize_tasks(I.tasks(s, d))[0]
+    long = t.select(F.col("task_id").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("value")) for c, _ in WEIGHTS])).alias("p")).select("row_id", "p.*").where("value is not null")
+    return long, s.createDataFrame(list(WEIGHTS), "feature string, weight double")
+
+
+@query(f"select row_id, feature, weight * (value - avg(value) over (partition by feature)) as shap from ({_LONG})")
+def linear_attributions(s, d):
+    long, weights = _task_values(s, d)
+    return explain.linear_attributions(long, weights, long)
+
+
+@query(None)
+def permutation_importance(s, d):
+    long, weights = _task_values(s, d)
+    truth = tables.normalize_tasks(I.tasks(s, d))[0].select(F.col("task_id").alias("row_id"), F.coalesce("MajorityClassSize", F.lit(0.0)).alias("y"))
+    return explain.permutation_importance(long, weights, 1.0, truth)
+
+
+# Reports.
+
+
+@query("select fold, rank, regexp_replace(feature, '^(meta::|text::)', '') as feature, mean_abs_shap from (select *, row_number() over (partition by fold order by mean_abs_shap desc, feature desc) as rank from by_fold) where rank <= 12")
+def top_features(s, d):
+    return report.top_features(_by_fold(s, d), ["fold"])
+
+
+@query("select feature, avg(mean_abs_shap) as mean_abs_shap, stddev_pop(mean_abs_shap) as std_abs_shap from by_fold group by 1 order by 2 desc, 1 desc limit 12")
+def top_of_one(s, d):
+    return report.top_of_one(_by_fold(s, d))
+
+
+@query("select 'a' as run, t.row_id, rank, feature_id, feature, shap from (select *, row_number() over (order by abs(shap) desc, feature_id desc) as rank from attr where row_id = (select min(row_id) from attr where fold = 2)) t where rank <= 10")
+def case_study(s, d):
+    a = I.attributions(s, d).where("fold = 2").withColumn("run", F.lit("a"))
+    return explain.case_study(a, "run", ["a"])
+
+
+@query("select 'tfidf_meta' as experiment, * from summary where split_mode = 'task_group_kfold' order by r2_mean desc")
+def predictive_anchor(s, d):
+    return report.predictive_anchor(metrics.summarize(_cv(s, d)).withColumn("experiment", F.lit("tfidf_meta")))
+
+
+@query("select 'TF-IDF' as representation, model, split_mode, r2_mean, r2_std from summary")
+def score_chart(s, d):
+    return report.score_chart(metrics.summarize(_cv(s, d)).withColumn("experiment", F.lit("tfidf_meta")))
+
+
+@query("select 'e' as experiment, model, split_mode, printf('%.3f ± %.3f', r2_mean, r2_std) as r2, printf('%.3f ± %.3f', mae_mean, mae_std) as mae, printf('%.3f ± %.3f', mse_mean, mse_std) as mse from summary")
+def score_table(s, d):
+    return report.score_table(metrics.summarize(_cv(s, d)).withColumn("experiment", F.lit("e")))
+
+
+@query("select split_mode, model, n_repeats, " + ", ".join(f"round_even({m}_{k}, 4) as {m}_{k}" for m in ("r2", "mae", "mse") for k in ("mean", "std")) + f" from ({REPEATED})")
+def robust_table(s, d):
+    r = metrics.repeated_summary(_cv(s, d).withColumn("rep", F.col("fold") % 2), ["split_mode", "model"])
+    return report.robust_table(r)

@@ -1,0 +1 @@
+"""Reserved.  The workload is batch only: no operator here has event time, windows or state."""
