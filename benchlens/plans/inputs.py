@@ -101,4 +101,7 @@ def oracle(body: str) -> str:
     for name in used(body):
         add(name)
     views = [GREEDY if n == "greedy" else f"{n} as materialized ({SQL[n]})" for n in need]
-    return f"with recursive {', '.join(views)} {body}" if need else body
+    if not need:
+        return body
+    rest = f", {body[5:]}" if body.startswith("with ") else f" {body}"
+    return f"with recursive {', '.join(views)}{rest}"

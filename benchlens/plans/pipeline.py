@@ -9,7 +9,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlens.operators import attribution, explain, features, folds, metrics, models, report, tables
+from benchlens.operators import attribution, explain, features, folds, metrics, report, tables
+from benchlens.operators import models as regressors
 from benchlens.sources import results
 
 
@@ -36,7 +37,7 @@ class Config:
     interaction_eval: int = 50
     top_k: int = explain.TOP_K
     mass: float = explain.MASS
-    settings: models.Settings = field(default_factory=models.Settings)
+    settings: regressors.Settings = field(default_factory=regressors.Settings)
 
     def check(self) -> None:
         if self.text_mode not in features.TEXT_MODES:
@@ -47,7 +48,7 @@ class Config:
             raise ValueError("no protocol selected")
         if self.text_mode == "none" and not self.use_task_metafeatures:
             raise ValueError("no features selected")
-        models.select_models(list(self.models))
+        regressors.select_models(list(self.models))
 
 
 def supervise(evals: DataFrame, raw_tasks: DataFrame, raw_flows: DataFrame, config: Config) -> tuple[DataFrame, list[str]]:
@@ -87,7 +88,7 @@ def run(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows:
         folded = folds.row_folds(rows, "row_id", config.cv_folds, config.seed) if mode == "row_kfold" else folds.with_group_folds(rows, "task_id", config.cv_folds)
         folded = folded.select("row_id", "features", "y", "fold").persist()
         own: dict = {}
-        parts.append(models.cross_validate(folded, names, mode, config.seed, config.settings, own))
+        parts.append(regressors.cross_validate(folded, names, mode, config.seed, config.settings, own))
         fitted |= {(mode, *k): v for k, v in own.items()}
         if config.compute_shap:
             for (name, fold), model in own.items():
@@ -164,10 +165,10 @@ def consolidate(spark: SparkSession, root: str, agg_mode: str, split_mode: str =
     return out
 
 
-def repeated_validation(rows: DataFrame, group: str, names: list[str], repeats: int = 6, k: int = 5, seed: int = 2000, settings: models.Settings = models.Settings()) -> DataFrame:
+def repeated_validation(rows: DataFrame, group: str, names: list[str], repeats: int = 6, k: int = 5, seed: int = 2000, settings: regressors.Settings = regressors.Settings()) -> DataFrame:
     """Predictions (rep, split_mode, model, fold, ...) of shuffled group folds, for several repeats."""
     parts = []
     for rep in range(repeats):
         folded = rows.join(folds.shuffled_group_folds(rows, group, k, seed, rep), group).select("row_id", "features", "y", "fold")
-        parts.append(models.cross_validate(folded, names, "shuffled_groups", seed + rep, settings).withColumn("rep", F.lit(rep)))
+        parts.append(regressors.cross_validate(folded, names, "shuffled_groups", seed + rep, settings).withColumn("rep", F.lit(rep)))
     return _union(parts)

@@ -13,7 +13,7 @@ def spark(tmp_path_factory):
     session = (
         SparkSession.builder.master(f"local[{os.environ.get('TEST_CORES', '8')}]")
         .appName("benchlens-tests")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
         .config("spark.sql.session.timeZone", "UTC")
