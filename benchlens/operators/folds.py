@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-PREFIX_DIGITS = 2
+#: Hex digits of a hash by which rows are ranked apart; the table of prefixes is broadcast (65,536 rows).
+PREFIX_DIGITS = 4
 
 
 def order_key(key: Column, *parts) -> Column:

@@ -18,7 +18,7 @@ def fold_metrics(predictions: DataFrame, by: list[str]) -> DataFrame:
     means = predictions.groupBy(*by).agg(F.avg("y_true").alias("_mean"))
     error = F.col("y_true") - F.col("y_pred")
     around = F.col("y_true") - F.col("_mean")
-    sums = predictions.join(F.broadcast(means) if not by else means, by).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"), F.sum(error * error).alias("_rss"), F.sum(around * around).alias("_tss"))
+    sums = predictions.join(means, by).groupBy(*by).agg(F.count("*").alias("n"), F.avg(F.abs(error)).alias("mae"), F.avg(error * error).alias("mse"), F.sum(error * error).alias("_rss"), F.sum(around * around).alias("_tss"))
     r2 = F.when(F.col("n") < 2, F.lit(None)).when(F.col("_tss") == 0, F.when(F.col("_rss") == 0, 1.0).otherwise(0.0)).otherwise(1.0 - F.col("_rss") / F.col("_tss"))
     return sums.select(*by, r2.alias("r2"), "mae", "mse")
 

@@ -7,13 +7,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchlens.functions import text as X
-from benchlens.operators import explain, features, folds, metrics, models, report, tables
+from benchlens.operators import attribution, explain, features, folds, metrics, models, report, tables
 from benchlens.plans import inputs as I
+from benchlens.plans import pipeline
 from benchlens.sources import evaluations as S
+from benchlens.sources import results
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "flow_family_summary"
@@ -488,3 +492,60 @@ def score_table(s, d):
 def robust_table(s, d):
     r = metrics.repeated_summary(_cv(s, d).withColumn("rep", F.col("fold") % 2), ["split_mode", "model"])
     return report.robust_table(r)
+
+
+# Models and whole runs: no SQL; tests hold them against closed forms, subset enumeration and invariants.
+
+SMALL = models.Settings(trees=5, depth=4, iterations=5, random_trees=3, bins=32)
+
+
+def _matrix(s, d):
+    """(row_id, task_id, features, y) with scaled task metafeatures, and their number."""
+    supervised = _supervised(s, d)
+    meta = tables.normalize_tasks(I.tasks(s, d))[1]
+    long = features.numeric_features(supervised, meta)
+    vectors = features.to_vectors(long, features.feature_dictionary(long), len(meta))
+    return supervised.select("row_id", "task_id", F.col("target_value").alias("y")).join(vectors, "row_id"), len(meta)
+
+
+def _forest(s, d):
+    """Leaves of a forest on the training rows of one fold, sampled test rows and background."""
+    rows, width = _matrix(s, d)
+    train, test = folds.split(folds.row_folds(rows, "row_id", I.FOLDS, I.SEED).persist(), 0)
+    model = models.random_forest(train, I.SEED, SMALL).model
+    array = lambda df: df.select("row_id", "fold", vector_to_array("features").alias("x"))
+    background = folds.sample(array(train).withColumn("g", F.lit(0)), ["g"], "row_id", 50, I.SEED, "background").orderBy("row_id").collect()
+    leaves = attribution.ensemble_leaves(s, model, f"{results.work_dir(s)}/forest")
+    return leaves, folds.sample(array(test), ["fold"], "row_id", 20, I.SEED), np.array([r.x for r in background]), width
+
+
+@query(None)
+def cross_validation(s, d):
+    folded = folds.with_group_folds(_matrix(s, d)[0], "task_id", 3)
+    return models.cross_validate(folded.select("row_id", "features", "y", "fold"), None, "task_group_kfold", I.SEED, SMALL)
+
+
+@query(None)
+def repeated_validation(s, d):
+    predictions = pipeline.repeated_validation(_matrix(s, d)[0], "task_id", ["ridge"], repeats=2, k=3, settings=SMALL)
+    return metrics.repeated_summary(metrics.fold_metrics(predictions, ["model", "rep", "fold"]), ["model"])
+
+
+@query(None)
+def tree_attributions(s, d):
+    leaves, rows, background, _ = _forest(s, d)
+    return attribution.explain(rows, leaves, background)[0]
+
+
+@query(None)
+def tree_interactions(s, d):
+    leaves, rows, _, width = _forest(s, d)
+    return attribution.explain_interactions(rows, leaves, width)
+
+
+@query(None)
+def whole_run(s, d):
+    config = pipeline.Config("meta_only", text_mode="none", models=("ridge", "random_forest"), prefixes=I.KEEP, cv_folds=3, settings=SMALL)
+    root = results.work_dir(s)
+    pipeline.run(s, I.evaluations(s, d), I.tasks(s, d), I.flows(s, d), config, root)
+    return pipeline.consolidate(s, root, "mean")["predictive_anchor"]
