@@ -6,6 +6,9 @@ filled up with absent features, highest id first, as ties are broken.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -154,24 +157,47 @@ def case_study(attr: DataFrame, run: str, runs: list[str], k: int = TOP_K) -> Da
     return local_topk(own, [run, "row_id"], k)
 
 
-def permutation_importance(features: DataFrame, weights: DataFrame, intercept: float, truth: DataFrame, repeats: int = 10, seed: int = 42) -> DataFrame:
-    """Rise of a linear model's squared error when one feature's values change places.
+def _exchanged(values: DataFrame, repeats: int, seed: int) -> DataFrame:
+    """(feature, rep, row_id, value, _new): every value beside another row's, for each feature and repeat.
 
-    For each (feature, repeat), two hash orders pair every row with another row's value; a feature's
-    values move within shards of bounded size, so no task holds a whole feature.  The change of a
-    prediction is ``weight * (new - old)``, so predictions are made once.
+    Two hash orders pair the rows.  Values change places within 64 shards of the rows, so no task holds
+    all rows of a feature.
     """
-    base = features.join(F.broadcast(weights), "feature").groupBy("row_id").agg((F.sum(F.col("weight") * F.col("value")) + intercept).alias("pred")).join(truth, "row_id")
-    base = base.select("row_id", (F.col("y") - F.col("pred")).alias("e"))
-    before = base.agg(F.avg(F.col("e") * F.col("e")).alias("_mse"))
-    many = features.join(F.broadcast(weights), "feature").withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    place = lambda role: F.md5(F.concat_ws("::", F.col("row_id").cast("string"), "feature", F.col("rep").cast("string"), F.lit(str(seed)), F.lit(role)))
-    shard = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(64))
-    own = many.withColumn("_s", shard)
+    many = values.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
+    place = lambda role: F.md5(F.concat_ws("::", F.col("row_id").cast("string"), F.col("feature").cast("string"), F.col("rep").cast("string"), F.lit(str(seed)), F.lit(role)))
+    own = many.withColumn("_s", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(64)))
     by = ["feature", "rep", "_s"]
     left = own.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(place("to"), "row_id")))
     right = own.select(*by, F.row_number().over(W.partitionBy(*by).orderBy(place("from"), "row_id")).alias("_r"), F.col("value").alias("_new"))
-    moved = left.join(right, [*by, "_r"]).select("feature", "rep", "row_id", (F.col("weight") * (F.col("_new") - F.col("value"))).alias("d"))
-    after = moved.join(base, "row_id").groupBy("feature", "rep").agg(F.avg((F.col("e") - F.col("d")) * (F.col("e") - F.col("d"))).alias("_after"))
+    return left.join(right, [*by, "_r"]).drop("_s", "_r")
+
+
+def _importance(after: DataFrame, before: DataFrame) -> DataFrame:
     rise = after.crossJoin(F.broadcast(before)).select("feature", (F.col("_after") - F.col("_mse")).alias("rise"))  # one row
     return rise.groupBy("feature").agg(F.avg("rise").alias("importance_mean"), F.stddev_pop("rise").alias("importance_std")).orderBy(F.desc("importance_mean"), "feature")
+
+
+def permutation_importance(features: DataFrame, weights: DataFrame, intercept: float, truth: DataFrame, repeats: int = 10, seed: int = 42) -> DataFrame:
+    """Rise of a linear model's squared error when one feature's values change places.
+
+    The change of a prediction is ``weight * (new - old)``, so predictions are made once.
+    """
+    known = features.join(F.broadcast(weights), "feature")
+    base = known.groupBy("row_id").agg((F.sum(F.col("weight") * F.col("value")) + intercept).alias("pred")).join(truth, "row_id").select("row_id", (F.col("y") - F.col("pred")).alias("e"))
+    before = base.agg(F.avg(F.col("e") * F.col("e")).alias("_mse"))
+    moved = _exchanged(known, repeats, seed).select("feature", "rep", "row_id", (F.col("weight") * (F.col("_new") - F.col("value"))).alias("d"))
+    left = F.col("e") - F.col("d")
+    return _importance(moved.join(base, "row_id").groupBy("feature", "rep").agg(F.avg(left * left).alias("_after")), before)
+
+
+def permutation_importance_of(fitted: Callable[[DataFrame], DataFrame], rows: DataFrame, feature_ids: list[int], repeats: int = 10, seed: int = 42) -> DataFrame:
+    """The same for any fitted model and chosen positions of (row_id, features, y): each row is scored
+    once for each feature and repeat, all in one job.  ``feature`` is the position."""
+    arrays = rows.select("row_id", "y", vector_to_array("features").alias("_x"))
+    pairs = F.explode(F.array(*[F.struct(F.lit(i).alias("feature"), F.get("_x", F.lit(i)).alias("value")) for i in feature_ids]))
+    values = arrays.select("row_id", pairs.alias("p")).select("row_id", "p.feature", "p.value")
+    moved = _exchanged(values, repeats, seed).join(arrays, "row_id")
+    changed = moved.select("feature", "rep", "y", array_to_vector(F.transform("_x", lambda v, i: F.when(i == F.col("feature"), F.col("_new")).otherwise(v))).alias("features"))
+    error = F.col("y") - F.col("prediction")
+    before = fitted(rows).agg(F.avg(error * error).alias("_mse"))
+    return _importance(fitted(changed).groupBy("feature", "rep").agg(F.avg(error * error).alias("_after")), before)

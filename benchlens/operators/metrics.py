@@ -88,14 +88,17 @@ def _upper(z: Column) -> Column:
     return F.when(z < 3, 0.5 - density * series).otherwise(density / fraction)
 
 
-def wilcoxon(results: DataFrame, metric: str = "mse", split_mode: str | None = None) -> DataFrame:
-    """Paired signed-rank tests of all model pairs, by split, two-sided, lowest p first.
+def wilcoxon(results: DataFrame, metric: str = "mse", split_mode: str | None = None, pooled: bool = False) -> DataFrame:
+    """Paired signed-rank tests of all model pairs, by split (or over all of them, if ``pooled``),
+    two-sided, lowest p first.
 
     Zero differences are dropped; pairs without the same folds are skipped.  The test is exact for up
     to 50 differences without ties or zeros, and normal otherwise.  With 5 folds no p is below 0.0625.
     """
     if split_mode is not None:
         results = results.where(F.col("split_mode") == split_mode)
+    if pooled:
+        results = results.withColumn("fold", F.concat_ws("::", "split_mode", F.col("fold").cast("string"))).withColumn("split_mode", F.lit("all"))
     by = ["split_mode", "model_a", "model_b"]
     pairs = model_pairs(results, metric)
     sizes = results.groupBy("split_mode", "model").agg(F.count("*").alias("k"))

@@ -51,6 +51,12 @@ def read_results(spark: SparkSession, root: str, kind: str) -> DataFrame:
     return spark.read.option("basePath", f"{root}/{kind}").parquet(f"{root}/{kind}")
 
 
+def read_artifacts(spark: SparkSession, root: str, run: str, agg_mode: str = "mean") -> tuple[DataFrame, DataFrame]:
+    """The supervised table and the long features of a finished run."""
+    own = lambda kind: read_results(spark, root, kind).where((F.col("agg_mode") == agg_mode) & (F.col("run") == run)).drop("agg_mode", "run")
+    return own("supervised"), own("features")
+
+
 def materialize(spark: SparkSession, make: Callable[[], DataFrame], root: str, prefix: str, payload: dict) -> DataFrame:
     """The table of ``make``, computed once for each payload: every parameter is part of its name."""
     path = f"{root}/{cache_key(prefix, payload)}"

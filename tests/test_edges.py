@@ -107,6 +107,9 @@ def results(spark, *models_):
 def test_wilcoxon(spark):
     one = metrics.wilcoxon(results(spark, ("a", [1, 2, 3, 4, 5]), ("b", [2, 4, 6, 8, 10])))
     assert [(r.statistic, r.p_value) for r in one.collect()] == [(0.0, 0.0625)]
+    both = results(spark, ("a", [1, 2, 3]), ("b", [2, 4, 6]))
+    both = both.union(both.withColumn("split_mode", F.lit("t")).withColumn("mse", F.col("mse") * 10.5))
+    assert [(r.split_mode, r.p_value) for r in metrics.wilcoxon(both, pooled=True).collect()] == [("all", 2 / 64)]
     same = metrics.wilcoxon(results(spark, ("a", [1, 2]), ("b", [1, 2])))
     assert [(r.statistic, r.p_value) for r in same.collect()] == [(0.0, 1.0)]
     assert metrics.wilcoxon(results(spark, ("a", [1, 2, 3]), ("b", [1, 2]))).collect() == []

@@ -5,6 +5,7 @@ from math import factorial
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
@@ -43,6 +44,19 @@ def test_cross_validation(data):
         models.cross_validate(df, ["unknown"])
 
 
+def test_permutation_importance_of_a_model(spark, data):
+    """The general form equals the linear one for a linear model."""
+    *_, df = data
+    fitted = models.ridge(df, 0, SMALL)
+    got = {r.feature: (r.importance_mean, r.importance_std) for r in explain.permutation_importance_of(fitted, df, [0, 1, 2, 3], 3).collect()}
+    long = df.select("row_id", F.posexplode(vector_to_array("features")).alias("feature", "value"))
+    weights = spark.createDataFrame([(i, float(w)) for i, w in enumerate(fitted.model.coefficients.toArray())], "feature int, weight double")
+    want = explain.permutation_importance(long, weights, fitted.model.intercept, df.select("row_id", "y"), 3)
+    for r in want.collect():
+        assert np.allclose(got[r.feature], (r.importance_mean, r.importance_std))
+    assert got[2][0] > max(got[0][0], got[1][0], got[3][0])
+
+
 def brute_shapley(f, x, background):
     p = len(x)
     value = lambda s: np.mean([f(np.where([i in s for i in range(p)], x, b)) for b in background])
@@ -113,6 +127,8 @@ def test_whole_runs(spark, tmp_path):
     assert tables["cv_results"].count() == 2 * 2 * 3
     assert tables["local_shap_metrics"].where("readability between 0 and 1 and sparsity >= 0").count() == tables["local_shap_metrics"].count() == 2 * 2 * 3 * 5
     assert {r.name for r in results.discover_runs(spark, f"{root}/metadata").collect()} == {"tfidf_meta", "meta_only"}
+    supervised, long = results.read_artifacts(spark, root, "tfidf_meta")
+    assert long.select("row_id").distinct().count() == supervised.count()
     both = pipeline.consolidate(spark, root, "mean")
     assert {r.experiment for r in both["predictive_anchor"].collect()} == {"tfidf_meta", "meta_only"}
     assert both["shap_summary"].count() == both["local_summary"].count() == 2
