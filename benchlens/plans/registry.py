@@ -61,13 +61,15 @@ def _rows(s, d):
 
 
 def _folded(s, d):
-    rows = _rows(s, d)
+    """Rows under both protocols, from one written table."""
+    rows = results.written(_rows(s, d))
     return {"row_kfold": folds.row_folds(rows, "row_id", I.FOLDS, I.SEED), "task_group_kfold": folds.with_group_folds(rows, "task_id", I.FOLDS)}
 
 
 def _predictions(s, d):
     out = None
     for mode, folded in _folded(s, d).items():
+        folded = results.written(folded)  # three predictors read it
         for name, by in (("global_mean", []), ("task_mean", ["task_id"]), ("flow_mean", ["flow_id"])):
             own = models.mean_predictor(folded, name, by, mode)
             out = own if out is None else out.unionByName(own)
@@ -75,7 +77,7 @@ def _predictions(s, d):
 
 
 def _cv(s, d):
-    return metrics.fold_metrics(_predictions(s, d), ["split_mode", "model", "fold"])
+    return metrics.fold_metrics(results.written(_predictions(s, d)), ["split_mode", "model", "fold"])
 
 
 def _by_fold(s, d):

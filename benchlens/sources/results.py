@@ -31,6 +31,13 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/runs-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, with no lineage behind it."""
+    path = work_dir(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, at = _file_system(spark, path)
     return fs.exists(at)
