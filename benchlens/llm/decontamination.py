@@ -239,7 +239,7 @@ def _union(x: list[dict], y: list[dict]) -> list[dict]:
     return out
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, cut: bool = False) -> DataFrame:
     """``docs`` with ``n_words``, ``spans`` (merged, in words and UTF-8 bytes) and ``item_ids`` added.
 
     Null text has no words, no spans and no items; neither has an empty document.  Null or empty
@@ -261,37 +261,50 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         own = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k)
         block = spark.sparkContext.broadcast(_windows([(r.i, r.t) for r in own.toLocalIterator()], window))
         names = [f.name for f in schema]
-        out = out.mapInArrow(lambda batches, block=block, earlier=k > 0: _scan(batches, block.value, at, names, earlier), schema)
+        scan = lambda batches, block=block, earlier=k > 0: _scan(batches, block.value, at, names, earlier)
+        if cut and k == n_blocks - 1:
+            out = out.mapInArrow(lambda batches, scan=scan: _cut(scan(batches), at, len(names) - 2), schema)
+        else:
+            out = out.mapInArrow(scan, schema)
         if k % CHAIN == CHAIN - 1 and k < n_blocks - 1:
             out = written(out)
     return out
 
 
-def remove_spans(found: DataFrame, text: str = "text") -> DataFrame:
-    """Texts without their contaminated spans; all other columns stay, helper columns go.
+def _cut(batches: Iterator[pa.RecordBatch], at: int, spans: int) -> Iterator[pa.RecordBatch]:
+    """Texts without their spans."""
+    for batch in batches:
+        texts, cuts = batch.column(at), batch.column(spans)
+        if len(cuts.values if not cuts.offset else cuts.flatten()):
+            parts = []
+            for a in range(0, batch.num_rows, 500):
+                new, own = texts.slice(a, 500), cuts.slice(a, 500)
+                if len(own.flatten()):
+                    new = pa.array([_without(t, c) for t, c in zip(new.to_pylist(), own.to_pylist(), strict=True)], texts.type)
+                parts.append(new)
+            texts = pa.concat_arrays(parts)
+        columns = list(batch.columns)
+        columns[at] = texts
+        yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    Documents without a span keep their text untouched; null stays null.
-    """
 
-    def cut(batches: Iterator[pa.RecordBatch], at: int, spans: int) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, cuts = batch.column(at), batch.column(spans).to_pylist()
-            if any(cuts):
-                new = texts.to_pylist()
-                for i, own in enumerate(cuts):
-                    if own and new[i] is not None:
-                        raw, parts, end = new[i].encode(), [], 0
-                        for s in own:
-                            parts.append(raw[end : s["first_byte"]])
-                            end = s["first_byte"] + s["n_bytes"]
-                        new[i] = b"".join([*parts, raw[end:]]).decode()
-                texts = pa.array(new, texts.type)
-            columns = list(batch.columns)
-            columns[at] = texts
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
-
-    at, spans = found.columns.index(text), found.columns.index("spans")
-    return found.mapInArrow(lambda b: cut(b, at, spans), found.schema).drop("n_words", "spans", "item_ids")
+def _without(text: str | None, spans: list[dict]) -> str | None:
+    if text is None or not spans:
+        return text
+    raw, parts, end = text.encode(), [], 0
+    for s in spans:
+        parts.append(raw[end : s["first_byte"]])
+        end = s["first_byte"] + s["n_bytes"]
+    return b"".join([*parts, raw[end:]]).decode()
+
+
+def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` with the spans that ``find_contamination`` finds cut out of the texts; all else stays.
+
+    Documents without a span keep their text untouched; null stays null.  Columns of ``docs`` with
+    the names that ``find_contamination`` adds are lost.  The last pass over the benchmark cuts too.
+    """
+    return find_contamination(docs, benchmark, text, window, block_bytes, cut=True).drop("n_words", "spans", "item_ids")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -306,4 +319,4 @@ def digest(found: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["FMIndex", "digest", "find_contamination", "remove_spans"]
+__all__ = ["FMIndex", "digest", "find_contamination", "remove_contamination"]

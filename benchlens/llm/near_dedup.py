@@ -32,6 +32,8 @@ COMPONENTS, ROWS = 96, 4
 BANDS = COMPONENTS // ROWS
 #: Members of a bucket that one block holds from each of its two chunks.
 CHUNK = 512
+#: Shingles that a block compares at once.
+MOST_TOKENS = 1 << 20
 #: Values of a hash that narrow the texts down before the exact join; their broadcast is bounded.
 SLOTS = 1 << 19
 _WORD_KEYS = mix(np.arange(77, 77 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -198,12 +200,18 @@ def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
 def _block_links(comps: list[bytes], tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links of a block between rows of different components, as many as connect them."""
     sizes = np.array([len(t) for t in tokens])
-    flat = np.concatenate(tokens)
+    if sizes[left].sum() + sizes[right].sum() > MOST_TOKENS and max(len(left), len(right)) > 1:  # long texts: in parts
+        if len(left) < len(right):
+            left, right = right, left
+        half = len(left) // 2
+        return _block_links(comps, tokens, left[:half], right, similarity) + _block_links(comps, tokens, left[half:], right, similarity)
+    rows = np.union1d(left, right)
+    flat = np.concatenate([tokens[i] for i in rows])
     _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
     shared = count[place] > 1
     _, column = np.unique(place[shared], return_inverse=True)
     width = int(column.max()) + 1 if len(column) else 0
-    owner = np.repeat(np.arange(len(tokens)), sizes)[shared]
+    owner = np.repeat(rows, sizes[rows])[shared]
     common = np.zeros((len(left), len(right)), np.float32)
     place_left, place_right = np.full(len(tokens), -1), np.full(len(tokens), -1)
     place_left[left], place_right[right] = np.arange(len(left)), np.arange(len(right))

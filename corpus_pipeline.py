@@ -30,9 +30,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark passages are cut out of the texts; documents without one stay as they are."""
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    cut = F.size("spans") > 0
-    return decontamination.remove_spans(found.withColumn("n_chars", F.when(cut, -1).otherwise(F.col("n_chars")))).withColumn("n_chars", F.when(F.col("n_chars") < 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    before = free_name(docs, "before")
+    cut = decontamination.remove_contamination(docs.withColumn(before, F.length("text")), table(spark, sf_dir, "benchmark"))
+    return cut.withColumn("n_chars", F.when(F.length("text") < F.col(before), F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(before)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -42,10 +42,11 @@ def test_against_brute_force(spark, block_bytes):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute(DOCS, ITEMS)))
 
 
-def test_spans_are_cut(spark):
+@pytest.mark.parametrize("block_bytes", [1 << 20, 40])
+def test_spans_are_cut(spark, block_bytes):
     docs = spark.createDataFrame([(d, t, "clash", 1) for d, t in DOCS], SCHEMA)
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    got = {r.doc_id: r.text for r in D.remove_spans(D.find_contamination(docs, items)).collect()}
+    got = {r.doc_id: r.text for r in D.remove_contamination(docs, items, block_bytes=block_bytes).collect()}
     assert got[1] == "zz ." and got[2] is None and got[4] == DOCS[3][1] and got[None] == ""
 
 

@@ -89,3 +89,29 @@ def test_signatures_estimate_weighted_jaccard():
     x, y = (N._tokens(packed[bounds[i] : bounds[i + 1]]) for i in (0, 1))
     common = N.overlap(x, y)
     assert np.isclose(common / (len(x) + len(y) - common), want)
+
+
+def test_blocks_of_long_texts_are_compared_in_parts(monkeypatch):
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 40, 300).astype(np.uint64)
+    tokens = [np.sort(np.where(rng.random(300) < 0.05, rng.integers(0, 1 << 40, 300), base).astype(np.uint64)) for _ in range(20)]
+    comps = [bytes([i]) for i in range(20)]
+    left, right = np.arange(10), np.arange(10, 20)
+    whole = set(N._block_links(comps, tokens, left, right, 0.8))
+    monkeypatch.setattr(N, "MOST_TOKENS", 1500)
+    parts = N._block_links(comps, tokens, left, right, 0.8)
+    joined = lambda links: {frozenset((min(a, b), max(a, b))) for a, b in links}
+
+    def classes(links):
+        root = list(range(20))
+
+        def find(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for a, b in map(sorted, links):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in range(20)]
+
+    assert classes(joined(parts)) == classes(joined(whole))
