@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that a task turns into NumPy arrays at once (a longer text is taken alone).
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +76,19 @@ def slices(offsets: np.ndarray, most: int = SLICE_BYTES):
         a = min(b, n)
 
 
+def releasing(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same batches; what a batch no longer needs goes back to the system, as workers stay alive.
+
+    Spark keeps Python workers between stages, and an allocator would keep their freed memory too.
+    """
+    for batch in rows:
+        yield batch
+        del batch
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finalizer (the public splitmix64 steps) on uint64 arrays."""
     x = x + np.uint64(0x9E3779B97F4A7C15)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchlens.llm.common import slices, utf8, words, written
+from benchlens.llm.common import releasing, slices, utf8, words, written
 
 WINDOW = 10
 #: Bytes of benchmark text in one broadcast; more text goes in further passes over the documents.
@@ -263,9 +263,9 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
         names = [f.name for f in schema]
         scan = lambda batches, block=block, earlier=k > 0: _scan(batches, block.value, at, names, earlier)
         if cut and k == n_blocks - 1:
-            out = out.mapInArrow(lambda batches, scan=scan: _cut(scan(batches), at, len(names) - 2), schema)
+            out = out.mapInArrow(lambda batches, scan=scan: releasing(_cut(scan(batches), at, len(names) - 2)), schema)
         else:
-            out = out.mapInArrow(scan, schema)
+            out = out.mapInArrow(lambda batches, scan=scan: releasing(scan(batches)), schema)
         if k % CHAIN == CHAIN - 1 and k < n_blocks - 1:
             out = written(out)
     return out

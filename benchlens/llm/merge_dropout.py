@@ -23,13 +23,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchlens.llm.common import mix, slices, utf8
+from benchlens.llm.common import mix, releasing, slices, utf8
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 17
 SHORT = 48
-_SLICE = 1 << 20
+_SLICE = 1 << 19
 _SPACE, _MARK = 0x20, 0x2581
 _NONE = np.uint64(np.iinfo(np.uint64).max)
 
@@ -292,7 +292,7 @@ def encode_documents(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED
                 column = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32), mask=np.append(null, False)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], names=names)
 
-    return docs.mapInArrow(rows, T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
+    return docs.mapInArrow(lambda batches: releasing(rows(batches)), T.StructType([*docs.schema.fields, T.StructField("piece_ids", T.ArrayType(T.IntegerType()))]))
 
 
 def decode_documents(encoded: DataFrame, model: str = MODEL) -> DataFrame:
@@ -321,4 +321,4 @@ def round_trip(docs: DataFrame, dropout: float = DROPOUT, seed: int = SEED, mode
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(np.diff(begin)), pa.array(digests), pa.array(same)], names=["doc_id", "n_pieces", "ids_sha256", "lossless"])
 
     bare = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    return bare.mapInArrow(rows, T.StructType([bare.schema["doc_id"], T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())]))
+    return bare.mapInArrow(lambda batches: releasing(rows(batches)), T.StructType([bare.schema["doc_id"], T.StructField("n_pieces", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("lossless", T.BooleanType())]))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchlens.llm.common import free_name, mix, slices, utf8, words, written
+from benchlens.llm.common import free_name, mix, releasing, slices, utf8, words, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -297,7 +297,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     bare = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     usable = bare.where("id is not null and text is not null")
-    signed = written(usable.mapInArrow(_sign, "id long, node binary, bands array<long>"))
+    signed = written(usable.mapInArrow(lambda batches: releasing(_sign(batches)), "id long, node binary, bands array<long>"))
     nodes = written(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
     bands = nodes.select("node", F.explode("bands").alias("key"))
     shared = written(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -311,7 +311,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")
     # SLOTS numbers at most are broadcast: most texts that no candidate needs stay where they are.
     likely = usable.withColumn("slot", slot).join(F.broadcast(source.select(slot).distinct()), "slot", "left_semi")
-    tokens = written(likely.join(source, "id").select("node", "text").mapInArrow(_token_rows, "node binary, tokens binary").dropDuplicates(["node"]))
+    tokens = written(likely.join(source, "id").select("node", "text").mapInArrow(lambda batches: releasing(_token_rows(batches)), "node binary, tokens binary").dropDuplicates(["node"]))
     links = written(_confirmed(pairs, tokens, similarity))
     found = components(links)
     rest = written(_rest(members, found, tokens, similarity))
@@ -354,7 +354,7 @@ def _confirmed(pairs: DataFrame, tokens: DataFrame, similarity: float) -> DataFr
     left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
     right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(lambda batches: _verify(batches, similarity), "a binary, b binary")
+    return joined.mapInArrow(lambda batches: releasing(_verify(batches, similarity)), "a binary, b binary")
 
 
 def _rest(members: DataFrame, found: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
@@ -374,4 +374,4 @@ def _rest(members: DataFrame, found: DataFrame, tokens: DataFrame, similarity: f
     blocks = own.select("key", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "node", "component")
     blocks = blocks.join(tokens, "node").select("key", "c1", "c2", "chunk", "node", "component", "tokens")
     blocks = blocks.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
-    return blocks.mapInArrow(lambda batches: _blocks(batches, similarity), "a binary, b binary")
+    return blocks.mapInArrow(lambda batches: releasing(_blocks(batches, similarity)), "a binary, b binary")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from benchlens.llm.common import slices, utf8, words
+from benchlens.llm.common import releasing, slices, utf8, words
 
 #: Labelled rows of each class that the model may hold (the documented bound of the fit).
 SAMPLE_PER_CLASS = 1024
@@ -27,7 +27,7 @@ REPEATED, LAGS = (0.0, 0.02, 0.1, 0.25, 0.5), 4
 TERMS = WORD_TERMS + SHAPE_TERMS + len(REPEATED)
 #: Similarities are raised to this power in a vote.
 SHARPNESS = 4
-_DOCS_AT_ONCE = 256
+_DOCS_AT_ONCE = 128
 
 
 def _classes() -> np.ndarray:
@@ -166,7 +166,7 @@ def score(docs: DataFrame, model: dict | None, neighbours: int = NEIGHBOURS, nam
     held = docs.sparkSession.sparkContext.broadcast(model)  # bounded by per_class, rank and the number of terms
     at, names = docs.columns.index("text"), [*docs.columns, name]
     schema = docs.withColumn(name, F.lit(0.0)).schema
-    return docs.mapInArrow(lambda batches: _score(batches, held.value, at, names, neighbours), schema)
+    return docs.mapInArrow(lambda batches: releasing(_score(batches, held.value, at, names, neighbours)), schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
