@@ -273,7 +273,7 @@ def repeated_summary(s, d):
     return metrics.repeated_summary(_cv(s, d).withColumn("rep", F.col("fold") % 2), ["split_mode", "model"])
 
 
-@query("select x.split_mode, model_a, model_b, 'mse' as metric, least(up, down) as statistic, least(1.0, 2.0 * (select count(*) from range(32) t(b) where (b & 1) * 1 + ((b >> 1) & 1) * 2 + ((b >> 2) & 1) * 3 + ((b >> 3) & 1) * 4 + ((b >> 4) & 1) * 5 <= least(up, down)) / 32) as p_value from (select split_mode, model_a, model_b, sum(case when diff > 0 then r else 0 end) as up, sum(case when diff < 0 then r else 0 end) as down from (select *, cast(row_number() over (partition by split_mode, model_a, model_b order by abs(diff)) as double) as r from (select a.split_mode, a.model as model_a, b.model as model_b, a.mse - b.mse as diff from cv a join cv b on a.split_mode = b.split_mode and a.fold = b.fold and a.model < b.model)) group by 1, 2, 3) x")
+@query("select x.split_mode, model_a, model_b, 'mse' as metric, least(up, down) as statistic, case when up + down = 0 then 1.0 else least(1.0, 2.0 * (select count(*) from range(32) t(b) where (b & 1) * 1 + ((b >> 1) & 1) * 2 + ((b >> 2) & 1) * 3 + ((b >> 3) & 1) * 4 + ((b >> 4) & 1) * 5 <= least(up, down)) / 32) end as p_value from (select split_mode, model_a, model_b, sum(case when diff > 0 then r else 0 end) as up, sum(case when diff < 0 then r else 0 end) as down from (select *, cast(row_number() over (partition by split_mode, model_a, model_b order by abs(diff)) as double) as r from (select a.split_mode, a.model as model_a, b.model as model_b, a.mse - b.mse as diff from cv a join cv b on a.split_mode = b.split_mode and a.fold = b.fold and a.model < b.model)) group by 1, 2, 3) x")
 def wilcoxon(s, d):
     return metrics.wilcoxon(_cv(s, d), "mse")
 
