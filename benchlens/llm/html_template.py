@@ -4,9 +4,11 @@ Tokens of a page are its tags (with their path and class) and its text blocks.
 whose occurrence vectors over the host's pages are equal form an equivalence class; a vector is kept
 as a fingerprint that partial sums can build (the exclusive or of a hash of page and count), so even
 a host with a third of all pages never meets in one task.  Classes that are frequent, ordered and
-properly nested make the host's template.  What a page has outside its template are slots; the main
+properly nested make the host's template.  A text is frequent among the pages that have its element,
+so each layout of a host has its own classes.  What a page has outside its template are slots; the main
 text is the slots of its article (or of its main element; or, where a page has neither, of its body),
-without regions that menus, notices, adverts, forms, comments and the like fill.
+without regions that menus, notices, adverts, forms, comments and the like fill.  An article without
+any slot keeps its text.
 """
 
 from __future__ import annotations
@@ -24,8 +26,10 @@ from pyspark.sql import types as T
 
 from benchlens.llm.common import written
 
-#: A token belongs to a template if this share of its host's pages has it, and so many at least.
+#: A text belongs to a template if this share of the host's pages with its element has it, and so many pages at least.
 LEAST_SHARE, LEAST_PAGES = 0.5, 3
+#: A layout counts if this share of its host's pages has it, which bounds a host's classes.
+LEAST_LAYOUT = 0.01
 #: Templates of all hosts are broadcast up to this size and joined by host beyond it.
 BROADCAST_BYTES = 16 << 20
 
@@ -147,50 +151,52 @@ def block_token(path: str, text: str) -> int:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, html) -> (host, token, is_text, page, count, place of the first)."""
+    """(host, page, html) -> (host, token, is_text, element, page, count, place of the first)."""
     for batch in batches:
         for a in range(0, batch.num_rows, 200):
             part = batch.slice(a, 200)
             out: list[tuple] = []
             for host, page_key, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 page = read(source or "")
-                counts: dict[tuple[int, bool], list[int]] = {}
-                for token, text, place in [*((_key(p), False, k) for p, k in page.tags), *((block_token(p, t), True, k) for p, t, _, k in page.blocks)]:
-                    own = counts.setdefault((token, text), [0, place])
+                counts: dict[tuple[int, bool, int], list[int]] = {}
+                for token, text, element, place in [*((e := _key(p), False, e, k) for p, k in page.tags), *((block_token(p, t), True, _key(p), k) for p, t, _, k in page.blocks)]:
+                    own = counts.setdefault((token, text, element), [0, place])
                     own[0] += 1
-                out += [(host, token, text, page_key, c, k) for (token, text), (c, k) in counts.items()]
+                out += [(host, token, text, element, page_key, c, k) for (token, text, element), (c, k) in counts.items()]
             if out:
-                kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["host", "token", "is_text", "page", "n", "place"])
+                kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["host", "token", "is_text", "element", "page", "n", "place"])
 
 
-def nested(classes: list[dict]) -> list[dict]:
+def nested(classes: list[dict], pages: int = 0) -> list[dict]:
     """The classes that are ordered and lie whole inside, or whole outside, each class taken before.
 
     A class has ``first`` and ``last`` mean places and ``support``; those of more pages come first.
+    Places are means over a class's own pages, so a class of less than half of the ``pages`` is compared
+    with those of the same pages only, by their fingerprint ``own``.
     """
     kept: list[dict] = []
     for c in sorted(classes, key=lambda c: (-c["support"], -len(c["tokens"]), c["tokens"])):
-        if all(c["last"] < k["first"] or c["first"] > k["last"] or (k["first"] <= c["first"] and c["last"] <= k["last"]) for k in kept):
+        if all((2 * c["support"] < pages and c["own"] != k["own"]) or c["last"] < k["first"] or c["first"] > k["last"] or (k["first"] <= c["first"] and c["last"] <= k["last"]) for k in kept):
             kept.append(c)
     return kept
 
 
 def _deduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, tokens of frequent classes) -> (host, text tokens of the template, number of classes)."""
+    """(host, tokens of frequent classes, pages) -> (host, text tokens of the template, number of classes)."""
     for batch in batches:
         hosts, texts, sizes = [], [], []
-        for host, tokens in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for host, tokens, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             classes: dict[tuple, dict] = {}
             for t in tokens:
-                c = classes.setdefault((t["support"], t["vector"]), {"support": t["support"], "tokens": [], "texts": [], "first": t["place"], "last": t["place"]})
+                c = classes.setdefault((t["support"], t["vector"]), {"support": t["support"], "own": t["own"], "tokens": [], "texts": [], "first": t["place"], "last": t["place"]})
                 c["tokens"].append(t["token"])
                 c["first"], c["last"] = min(c["first"], t["place"]), max(c["last"], t["place"])
                 if t["is_text"]:
                     c["texts"].append(t["token"])
             for c in classes.values():
                 c["tokens"].sort()
-            valid = nested(list(classes.values()))
+            valid = nested(list(classes.values()), pages)
             hosts.append(host)
             texts.append(sorted(x for c in valid for x in c["texts"]))
             sizes.append(len(valid))
@@ -206,28 +212,34 @@ def templates(pages: DataFrame) -> DataFrame:
     """(host, template, n_classes): hashed text blocks of each host's template.
 
     All pages count.  Equal pages (same url and html) count once, so copies make no template.  A
-    host's frequent tokens are at most ``1 / LEAST_SHARE`` times the tokens of its mean page, so its
+    host's frequent tokens are at most ``1 / LEAST_LAYOUT`` times the tokens of its mean page, so its
     template is a bounded list however many pages the host has.
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     bare = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64(html).alias("page"), html.alias("html"))
-    seen = written(bare.mapInArrow(_tokens, "host string, token long, is_text boolean, page long, n int, place int").groupBy("host", "token", "is_text", "page").agg(F.max("n").alias("n"), F.min("place").alias("place")))
+    seen = written(bare.mapInArrow(_tokens, "host string, token long, is_text boolean, element long, page long, n int, place int").groupBy("host", "token", "is_text", "element", "page").agg(F.max("n").alias("n"), F.min("place").alias("place")))
     size = bare.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    vectors = seen.groupBy("host", "token", "is_text").agg(F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.avg("place").alias("place"))
+    vectors = seen.groupBy("host", "token", "is_text", "element").agg(F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.bit_xor(F.xxhash64("page")).alias("own"), F.avg("place").alias("place"))
     often = vectors.where(F.col("support") >= LEAST_PAGES)
-    often = often.join(written(size), "host").where(F.col("support") >= LEAST_SHARE * F.col("pages"))
-    lists = often.groupBy("host").agg(F.collect_list(F.struct("token", "is_text", "support", "vector", "place")).alias("tokens"))
+    often = written(often.join(written(size), "host").where(F.col("support") >= LEAST_LAYOUT * F.col("pages")))
+    with_element = often.where("not is_text").select("host", "element", F.col("support").alias("_with"))
+    often = often.join(with_element, ["host", "element"], "left").where(F.col("support") >= LEAST_SHARE * F.coalesce("_with", "pages"))
+    lists = often.groupBy("host").agg(F.collect_list(F.struct("token", "is_text", "support", "vector", "own", "place")).alias("tokens"), F.max("pages").alias("pages"))
     return lists.mapInArrow(_deduce, "host string, template array<long>, n_classes int")
 
 
 def main_text(source: str, template: frozenset[int] | set[int]) -> str:
-    """The page's main text: one line for each block."""
+    """The page's main text: one line for each block that is a slot.
+
+    An article (or main element) that is all template is no frame around slots, so its blocks stay.
+    """
     page = read(source)
     inside = [b for b in page.blocks if not b[2].left_out]
+    slots = [b for b in inside if block_token(b[0], b[1]) not in template] if template else inside
     for kind in ("article", "main"):
         if own := [b for b in inside if getattr(b[2], kind)]:
-            return "\n".join(b[1] for b in own)
-    return "\n".join(t for p, t, _, _ in inside if block_token(p, t) not in template)
+            return "\n".join(b[1] for b in [b for b in slots if getattr(b[2], kind)] or own)
+    return "\n".join(b[1] for b in slots)
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -56,3 +56,23 @@ def test_crossing_classes_are_not_nested():
     cross = {"support": 5, "tokens": [3, 4], "first": 4, "last": 8}
     inside = {"support": 5, "tokens": [5], "first": 2, "last": 3}
     assert H.nested([inside, cross, one]) == [one, inside]
+
+
+def test_template_decides_inside_articles(spark):
+    """Boilerplate of an article goes, in a layout of a third of the host's pages too; repeated prose stays."""
+
+    def one(k):
+        promo = "<div class='app'><p>Get our app</p></div>" if k % 3 == 0 else ""
+        often = "<p>Shared by a few</p>" if k < 5 else ""
+        return f"<body><p>Top</p><article><h1>Story {k}</h1><p class='by'>By our staff</p>{promo}<p>Text {k}</p>{often}</article></body>"
+
+    rows = [(k, f"http://h.example/{k}", one(k)) for k in range(12)] + [(20 + k, f"http://wall.example/{k}", f"<body><p>{k}</p><article><p>Please log in</p></article></body>") for k in range(4)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(12):
+        assert got[k] == f"Story {k}\nText {k}" + ("\nShared by a few" if k < 5 else "")
+    assert got[20] == "Please log in"  # all of the article is template: the tag rules keep it
+
+
+def test_classes_of_two_layouts_are_not_compared():
+    a, b = {"support": 4, "own": 1, "tokens": [1, 2], "first": 1, "last": 5}, {"support": 4, "own": 2, "tokens": [3, 4], "first": 4, "last": 8}
+    assert H.nested([a, b], 9) == [a, b] and H.nested([a, b], 8) == [a] and H.nested([a, b | {"own": 1}], 9) == [a]
