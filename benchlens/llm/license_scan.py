@@ -2,13 +2,14 @@
 
 Candidate blocks are runs of sentences made of license wording around a telling word.  Each block is
 compressed alone and with every template as a zstandard raw dictionary; templates rank by the share
-of bytes that they save.  The best ones are then compared with the block word by word, and the
-wording differences decide which license, if any, the block states.
+of bytes that they save.  They are then compared with the block word by word, best ones first until
+one is confirmed, and the wording differences decide which license, if any, the block states.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
@@ -53,7 +54,7 @@ NOTICES = {
 }
 #: A block is looked at only around one of these.
 TELLING = r"(?i)licen[sc]|copyright|permission|redistribut|warrant|public domain|creative commons|\bCC[ -](?:BY|0)|free software"
-#: Templates whose wording is compared with a block, best saving first.
+#: So many templates at a time are compared with a block, best saving first, until one of them is confirmed.
 COMPARED = 5
 #: Least share of a template's words that a block has in order, and most words besides, by template word.
 LEAST_SAME, MOST_EXTRA = 0.85, 0.5
@@ -80,6 +81,11 @@ def _compressors(extra: tuple[tuple[str, str], ...]) -> tuple:
     return zstandard.ZstdCompressor(compression_params=own), with_each
 
 
+@lru_cache(maxsize=4)
+def _counts(extra: tuple[tuple[str, str], ...]) -> tuple[Counter, ...]:
+    return tuple(Counter(w) for _, w in templates(extra))
+
+
 @lru_cache(maxsize=4)
 def _vocabulary(extra: tuple[tuple[str, str], ...]) -> frozenset[str]:
     return frozenset(w for _, t in templates(extra) for w in t)
@@ -120,7 +126,8 @@ def differences(block: list[str], template: tuple[str, ...]) -> tuple[int, list[
 def match(block: str, extra: tuple[tuple[str, str], ...] = ()) -> list[dict]:
     """What a block states: licenses with their saving and wording differences, in reading order.
 
-    The template that leaves the fewest differences wins among the best savers; what the block has
+    The template that leaves the fewest differences wins among the best savers; if none of these is
+    confirmed, the next ones in the ranking are compared, down to the last.  What the block has
     after (or before) the winner's words is looked at again, since notices may follow each other.
     """
     spoken = words_of(block)
@@ -132,12 +139,20 @@ def match(block: str, extra: tuple[tuple[str, str], ...] = ()) -> list[dict]:
         part = parts.pop(0)
         if len(part) < 2:
             continue
+        have = Counter(part)
+        able = {k for k, c in enumerate(_counts(extra)) if sum(min(n, have[w]) for w, n in c.items()) >= LEAST_SAME * len(known[k][1])}
+        if not able:  # the others lack too many words to be confirmed
+            continue
         raw = " ".join(part).encode()
         alone = len(plain.compress(raw))
         saving = [1 - len(c.compress(raw)) / alone for c in with_each]
-        order = sorted(range(len(known)), key=lambda k: (-saving[k], known[k][0], len(known[k][1])))[:COMPARED]
+        order = sorted(range(len(known)), key=lambda k: (-saving[k], known[k][0], len(known[k][1])))
         best = None
-        for k in order:
+        for place, k in enumerate(order):
+            if best is not None and place % COMPARED == 0:
+                break
+            if k not in able:
+                continue
             same, missing, more = differences(part, known[k][1])
             if same < LEAST_SAME * len(known[k][1]):
                 continue

@@ -46,3 +46,10 @@ def test_edges(spark):
     assert L.scan(docs.limit(0)).collect() == []
     own = (("Own-1", "You may read this text but never aloud"),)
     assert L.scan(spark.createDataFrame([(1, "You may read this text but never aloud. License")], "doc_id long, text string"), own).first().license == "Own-1"
+
+
+def test_a_reworded_notice_does_not_hide_a_short_statement():
+    notice = "Permission is hereby granted, free of charge, to any person obtaining a copy of this work, to use, copy, modify, publish and distribute copies of the work, provided that the above copyright notice and this permission notice appear in all copies."
+    assert one(notice) == []
+    assert one(f"{notice} Released under the MIT License.") == [("MIT", [], [])]
+    assert one(f"Released under the MIT License. {notice}") == [("MIT", [], [])]
