@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-Candidate blocks are runs of sentences made of license wording around a telling word.  Each block is
+Candidate blocks are runs of sentences made of license wording around a telling word, or that hold one
+amid other words.  Each block is
 compressed alone and with every template as a zstandard raw dictionary; templates rank by the share
 of bytes that they save.  They are then compared with the block word by word, best ones first until
 one is confirmed, and the wording differences decide which license, if any, the block states.
@@ -53,11 +54,14 @@ NOTICES = {
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 #: A block is looked at only around one of these.
-TELLING = r"(?i)licen[sc]|copyright|permission|redistribut|warrant|public domain|creative commons|\bCC[ -](?:BY|0)|free software"
+TELLING = r"(?i)licen[sc]|copyright|permission|redistribut|warrant|public domain|creative commons|\bCC[ -]?(?:BY|0)|\bGPL|free software"
 #: So many templates at a time are compared with a block, best saving first, until one of them is confirmed.
 COMPARED = 5
 #: Least share of a template's words that a block has in order, and most words besides, by template word.
 LEAST_SAME, MOST_EXTRA = 0.85, 0.5
+#: Words of names that tell no license from another, and words that make one license another.
+PLAIN = frozenset("the a license version international".split())
+MODIFYING = frozenset("affero lesser library nc nd sa noncommercial noderivatives noderivs sharealike".split())
 
 _WORD = re.compile(r"[^\W_]+(?:[.'-][^\W_]+)*")
 _SENTENCE = re.compile(r"[^\n.!?;]*(?:[.!?;](?!\s|\Z)[^\n.!?;]*)*[.!?;]?")
@@ -86,29 +90,47 @@ def _counts(extra: tuple[tuple[str, str], ...]) -> tuple[Counter, ...]:
     return tuple(Counter(w) for _, w in templates(extra))
 
 
+@lru_cache(maxsize=4)
+def _names(extra: tuple[tuple[str, str], ...]) -> tuple[frozenset[str], ...]:
+    """For each template, the name and version words that a block must share with it."""
+    own = {k: frozenset(w for n in names for w in words_of(n)) - PLAIN for k, names in NAMES.items()}
+    added = {(k, tuple(words_of(t))) for k, t in extra}
+    return tuple(frozenset() if (k, w) in added else own[k].intersection(w) for k, w in templates(extra))
+
+
 @lru_cache(maxsize=4)
 def _vocabulary(extra: tuple[tuple[str, str], ...]) -> frozenset[str]:
     return frozenset(w for _, t in templates(extra) for w in t)
 
 
 def blocks(text: str, extra: tuple[tuple[str, str], ...] = ()) -> Iterator[tuple[int, int]]:
-    """Character ranges of candidate blocks: runs of sentences that mostly use template words, one of them telling."""
+    """Character ranges of candidate blocks: runs of sentences that mostly use template words, one of them
+    telling, or that are telling themselves, with the lines over which such a sentence is wrapped."""
     known, telling = _vocabulary(extra), re.compile(TELLING)
-    run: list[tuple[int, int]] = []
+    lines: list[tuple[int, int, bool]] = []  # place, and whether it takes part by its own words
+    wrapped: list[bool] = []  # whether a sentence goes on from the line before
 
     def whole() -> Iterator[tuple[int, int]]:
-        if run and telling.search(text, run[0][0], run[-1][1]):
-            yield run[0][0], run[-1][1]
-        run.clear()
+        if lines and telling.search(text, lines[0][0], lines[-1][1]):
+            yield lines[0][0], lines[-1][1]
 
     for m in _SENTENCE.finditer(text):
         own = words_of(m[0])
         if not own:
             continue
-        if sum(w in known for w in own) >= 0.7 * len(own):
-            run.append((m.start() + len(m[0]) - len(m[0].lstrip()), m.end()))
+        start = m.start() + len(m[0]) - len(m[0].lstrip())
+        took = sum(w in known for w in own) >= 0.7 * len(own) or telling.search(m[0]) is not None
+        wrapped.append(bool(lines) and text[lines[-1][1] - 1] not in ".!?;" and text.count("\n", lines[-1][1], start) == 1)
+        lines.append((start, m.end(), took))
+    every, lines = lines, []
+    for i, (start, end, took) in enumerate(every):
+        before = wrapped[i] and telling.search(text, every[i - 1][0], every[i - 1][1])
+        after = i + 1 < len(every) and wrapped[i + 1] and telling.search(text, every[i + 1][0], every[i + 1][1])
+        if took or before or after:
+            lines.append((start, end, took))
         else:
             yield from whole()
+            lines = []
     yield from whole()
 
 
@@ -126,6 +148,8 @@ def differences(block: list[str], template: tuple[str, ...]) -> tuple[int, list[
 def match(block: str, extra: tuple[tuple[str, str], ...] = ()) -> list[dict]:
     """What a block states: licenses with their saving and wording differences, in reading order.
 
+    A license is stated only by a template whose name and version words are among the equal ones, and with no
+    word besides that makes it another license.
     The template that leaves the fewest differences wins among the best savers; if none of these is
     confirmed, the next ones in the ranking are compared, down to the last.  What the block has
     after (or before) the winner's words is looked at again, since notices may follow each other.
@@ -161,6 +185,9 @@ def match(block: str, extra: tuple[tuple[str, str], ...] = ()) -> list[dict]:
             same, missing, more = differences(inner, known[k][1])
             if same < LEAST_SAME * len(known[k][1]) or len(more) > MOST_EXTRA * len(known[k][1]):
                 continue
+            named = _names(extra)[k]
+            if named and (named - (Counter(known[k][1]) - Counter(missing)).keys() or MODIFYING.intersection(more)):
+                continue
             key = (len(missing) + len(more), -len(known[k][1]), -saving[k], known[k][0])
             if best is None or key < best[0]:
                 best = (key, k, at, missing, more)

@@ -53,3 +53,24 @@ def test_a_reworded_notice_does_not_hide_a_short_statement():
     assert one(notice) == []
     assert one(f"{notice} Released under the MIT License.") == [("MIT", [], [])]
     assert one(f"Released under the MIT License. {notice}") == [("MIT", [], [])]
+
+
+def test_statements_inside_prose():
+    assert one("Our weather station firmware, maintained since 2014 by volunteers, is released under the MIT License.") == [("MIT", [], [])]
+    assert one("Our weather station firmware, kept by volunteers, is released under\nthe MIT License and runs on small boards.") == [("MIT", [], [])]
+    assert one("Volunteers keep it alive. Nobody is paid.\n\nThe mast was raised before dawn, a license was not needed.") == []
+    for license, names in L.NAMES.items():
+        for name in names:
+            got = one(f"The weather station firmware, kept alive since 2014 by volunteers, is released under {name} and runs well.")
+            assert [g[0] for g in got] == [license], name
+
+
+def test_another_name_is_another_license():
+    for text in (
+        "This work is licensed under CC BY-NC-ND 4.0.",
+        "This software is licensed under the Eclipse Public License, version 2.0.",
+        "This work is licensed under the GNU Affero General Public License, version 2.",
+        "This work is licensed under the GNU General Public License, version 4.",
+        "This work is licensed under CC BY ND SA 4.0.",
+    ):
+        assert one(text) == [], text
