@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from benchlens.functions.text import is_readable
+from benchlens.operators.folds import PREFIX_DIGITS
 
 TOP_K, MASS = 10, 0.8
 
@@ -160,16 +161,23 @@ def case_study(attr: DataFrame, run: str, runs: list[str], k: int = TOP_K) -> Da
 def _exchanged(values: DataFrame, repeats: int, seed: int) -> DataFrame:
     """(feature, rep, row_id, value, _new): every value beside another row's, for each feature and repeat.
 
-    Two hash orders pair the rows.  Values change places within 64 shards of the rows, so no task holds
-    all rows of a feature.
+    Two hash orders number all rows of a feature, and equal numbers pair: a full shuffle.  Rows are
+    numbered within hash prefixes, whose counts give each prefix its offset, so no task holds all rows
+    of a feature.
     """
     many = values.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(repeats - 1))))
-    place = lambda role: F.md5(F.concat_ws("::", F.col("row_id").cast("string"), F.col("feature").cast("string"), F.col("rep").cast("string"), F.lit(str(seed)), F.lit(role)))
-    own = many.withColumn("_s", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(64)))
-    by = ["feature", "rep", "_s"]
-    left = own.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy(place("to"), "row_id")))
-    right = own.select(*by, F.row_number().over(W.partitionBy(*by).orderBy(place("from"), "row_id")).alias("_r"), F.col("value").alias("_new"))
-    return left.join(right, [*by, "_r"]).drop("_s", "_r")
+    by = ["feature", "rep"]
+
+    def numbered(role: str) -> DataFrame:
+        place = F.md5(F.concat_ws("::", F.col("row_id").cast("string"), F.col("feature").cast("string"), F.col("rep").cast("string"), F.lit(str(seed)), F.lit(role)))
+        hashed = many.withColumn("_h", place).withColumn("_p", F.substring("_h", 1, PREFIX_DIGITS))
+        counts = hashed.groupBy(*by, "_p").agg(F.count("*").alias("_n"))
+        offsets = counts.select(*by, "_p", (F.sum("_n").over(W.partitionBy(*by).orderBy("_p")) - F.col("_n")).alias("_offset"))
+        ranked = hashed.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_p").orderBy("_h", "row_id")))
+        return ranked.join(offsets, [*by, "_p"]).withColumn("_r", F.col("_r") + F.col("_offset")).drop("_h", "_p", "_offset")
+
+    right = numbered("from").select(*by, "_r", F.col("value").alias("_new"))
+    return numbered("to").join(right, [*by, "_r"]).drop("_r")
 
 
 def _importance(after: DataFrame, before: DataFrame) -> DataFrame:

@@ -44,6 +44,22 @@ def test_cross_validation(data):
         models.cross_validate(df, ["unknown"])
 
 
+def test_permutation_importance_is_a_full_shuffle(spark):
+    """On few rows it equals a plain shuffle of all values, in the two orders of the hashes."""
+    from hashlib import md5
+
+    x = {f: {i: float((i * k) % 11) for i in range(12)} for f, k in (("a", 3), ("b", 5))}
+    weight, repeats = {"a": 2.0, "b": -1.0}, 8
+    long = spark.createDataFrame([(i, f, v) for f, own in x.items() for i, v in own.items()], "row_id long, feature string, value double")
+    truth = spark.createDataFrame([(i, sum(weight[f] * x[f][i] for f in x)) for i in range(12)], "row_id long, y double")
+    got = {r.feature: r.importance_mean for r in explain.permutation_importance(long, spark.createDataFrame(list(weight.items()), "feature string, weight double"), 0.0, truth, repeats, 7).collect()}
+    for f, own in x.items():
+        order = lambda r, role: sorted(own, key=lambda i: md5(f"{i}::{f}::{r}::7::{role}".encode()).hexdigest())  # noqa: E731, B023
+        moved = [[(own[t] - own[s]) ** 2 for t, s in zip(order(r, "to"), order(r, "from"), strict=True)] for r in range(repeats)]
+        assert np.isclose(got[f], weight[f] ** 2 * np.mean(moved))
+        assert 0.7 < got[f] / (weight[f] ** 2 * 2 * np.var(list(own.values()))) < 1.4  # what a shuffle gives on average
+
+
 def test_permutation_importance_of_a_model(spark, data):
     """The general form equals the linear one for a linear model."""
     *_, df = data
