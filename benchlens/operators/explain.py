@@ -139,6 +139,17 @@ def interaction_ratio(interactions: DataFrame, by: list[str]) -> DataFrame:
     return sums.select(*by, F.when(F.col("_all") > 0, F.col("_off") / F.col("_all")).alias("interaction_ratio"))
 
 
+def product_interaction_ratio(attr: DataFrame, by: list[str]) -> DataFrame:
+    """``interaction_ratio`` where pairs interact by the product of their attributions, over all features.
+
+    A row's magnitudes sum to ``sum(abs(shap)) ** 2`` over all pairs and ``sum(shap ** 2)`` on the
+    diagonal, so no pair is made.
+    """
+    rows = attr.groupBy(*by, "row_id").agg(F.sum(F.abs("shap")).alias("_s"), F.sum(F.col("shap") * F.col("shap")).alias("_q"))
+    sums = rows.groupBy(*by).agg(F.sum(F.col("_s") * F.col("_s") - F.col("_q")).alias("_off"), F.sum(F.col("_s") * F.col("_s")).alias("_all"))
+    return sums.select(*by, F.when(F.col("_all") > 0, F.col("_off") / F.col("_all")).alias("interaction_ratio"))
+
+
 def keep_last(rows: DataFrame, key: list[str], having: str) -> DataFrame:
     """One row for each key; one whose ``having`` is known wins, then the largest."""
     order = W.partitionBy(*key).orderBy(F.col(having).isNotNull().desc(), F.desc(having))

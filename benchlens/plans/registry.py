@@ -104,6 +104,11 @@ def load_flows(s, d):
     return S.load_flows(I.flows(s, d), I.evaluations(s, d).where("task_id % 10 = 0"))[0].select("id", "name", "full_name")
 
 
+@query("select id, name, full_name from flows_raw where id in (select flow_id from evals_raw)")
+def load_all_flows(s, d):
+    return S.load_flows(I.flows(s, d), I.evaluations(s, d))[0].select("id", "name", "full_name")
+
+
 @query("select distinct flow_id from evals_raw where flow_id not in (select id from flows_raw where version <> '7')")
 def unresolved_flows(s, d):
     return S.load_flows(I.flows(s, d).where("version <> '7'"), I.evaluations(s, d))[1]
@@ -433,6 +438,20 @@ def interaction_chart(s, d):
     return report.interaction_chart(r.withColumns({"experiment": F.lit("e"), "model": F.lit("m")}))
 
 
+RATIO_ALL = "select fold, sum(s * s - q) / sum(s * s) as interaction_ratio from (select fold, row_id, sum(abs(shap)) as s, sum(shap * shap) as q from attr group by 1, 2) group by 1"
+
+
+@query(RATIO_ALL)
+def interaction_ratio_all(s, d):
+    return explain.product_interaction_ratio(I.attributions(s, d), ["fold"])
+
+
+@query(f"select 'e' as experiment, 'm' as model, avg(interaction_ratio) as interaction_ratio from ({RATIO_ALL})")
+def interaction_chart_all(s, d):
+    r = explain.product_interaction_ratio(I.attributions(s, d), ["fold"])
+    return report.interaction_chart(r.withColumns({"experiment": F.lit("e"), "model": F.lit("m")}))
+
+
 WEIGHTS = (("NumberOfInstances", 0.5), ("NumberOfFeatures", -1.25), ("NumberOfClasses", 2.0))
 _LONG = " union all ".join(f"select task_id as row_id, '{c}' as feature, cast({c} as double) as value, cast({w} as double) as weight from tasks where {c} is not null" for c, w in WEIGHTS)
 

@@ -1,7 +1,10 @@
 """Queries without SQL run and keep their invariants; the entry point works."""
 
 import __spark_entry__ as entry
+import pytest
+from benchlens.operators import explain
 from benchlens.plans import registry
+from pyspark.sql import functions as F
 
 SF = "/root/testdata/sf0.001"
 
@@ -22,3 +25,13 @@ def test_models_and_runs(spark):
     assert all(abs(v - pairs.get((r, j, i), 0.0)) < 1e-9 for (r, i, j), v in pairs.items())
     assert registry.QUERIES["whole_run"](spark, SF).count() == 2
     assert registry.QUERIES["permutation_importance"](spark, SF).count() == 3
+
+
+def test_all_flows_and_all_pairs(spark):
+    """Flows of any task are loaded, and the ratio is that of all pairs of features."""
+    of_all, of_some = ({r.id for r in registry.QUERIES[n](spark, SF).collect()} for n in ("load_all_flows", "load_flows"))
+    assert of_some < of_all
+    a = spark.createDataFrame([(r, r % 2, i, (i - r) / 7.0) for r in range(4) for i in range(12)], "row_id long, fold int, feature_id int, shap double")
+    pairs = a.alias("a").join(a.alias("b"), "row_id").select("a.fold", F.col("a.feature_id").alias("feature_i"), F.col("b.feature_id").alias("feature_j"), (F.col("a.shap") * F.col("b.shap")).alias("value"))
+    got, want = ({r.fold: r.interaction_ratio for r in f.collect()} for f in (explain.product_interaction_ratio(a, ["fold"]), explain.interaction_ratio(pairs, ["fold"])))
+    assert got == pytest.approx(want)
