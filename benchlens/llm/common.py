@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -23,12 +24,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors see.
 
-    Only where the session names none (tests, a local shell) is a temporary one set.
+    Only where the session names none and runs in one process (tests, a local shell) is a temporary
+    one set; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         held = spark.sparkContext.getCheckpointDir()
         if held is None:
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="benchlens-"))
             held = spark.sparkContext.getCheckpointDir()
         root = held
@@ -43,6 +47,23 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Tables:
+    """Intermediate Parquet tables of one operator; each can be removed once its successors are written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, shared_dir(spark)
+
+    def write(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")
+
+    def remove(self, *names: str) -> None:
+        """Only tables that no frame still to be computed reads."""
+        for name in names:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that ``df`` does not have in any letter case."""
     taken = {c.lower() for c in df.columns}

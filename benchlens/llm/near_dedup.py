@@ -9,9 +9,10 @@ the time by which all components of its document are filled: a signature costs a
 ``m * (ln m + 6)`` points, whatever the length of the text.  Two components agree with exactly the
 probability of the multiset Jaccard similarity.
 
-Equal multisets become one node first.  Nodes that share a band are candidates; each band bucket is
-checked against one pivot, and buckets that still hold several components are checked in full, in
-blocks of bounded size.  Every link is confirmed on the multisets themselves.
+Equal multisets become one numbered node first.  Nodes that share a band are candidates; each band
+bucket is checked against one pivot, and buckets that still hold several components are checked in
+full, in blocks of bounded size.  Every link is confirmed on the multisets themselves.  Only whole
+texts of candidates move, and only numbers beside them; shingles are built where they are compared.
 """
 
 from __future__ import annotations
@@ -23,8 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from benchlens.llm.common import free_name, mix, releasing, slices, utf8, words, written
+from benchlens.llm.common import Tables, free_name, mix, releasing, slices, utf8, words, written
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -34,6 +36,8 @@ BANDS = COMPONENTS // ROWS
 CHUNK = 512
 #: Shingles that a block compares at once.
 MOST_TOKENS = 1 << 20
+#: Pairs of a block that are compared one by one; larger blocks are compared as matrices.
+SMALL = 64
 #: Values of a hash that narrow the texts down before the exact join; their broadcast is bounded.
 SLOTS = 1 << 19
 _WORD_KEYS = mix(np.arange(77, 77 + SHINGLE, dtype=np.uint64)) | np.uint64(1)
@@ -163,41 +167,65 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(nodes, pa.binary()), bands], names=["id", "node", "bands"])
 
 
-def _token_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text) -> (node, tokens), where the text is that node's."""
-    for batch in batches:
-        wanted = batch.column(0).to_pylist()
-        for a, _, raw, offsets in _pieces(batch.column(1)):
-            packed, bounds = shingles(raw, offsets)
-            nodes, out = [], []
-            for i, node in enumerate(_node_keys(packed, bounds, raw, offsets)):
-                if node == wanted[a + i]:
-                    nodes.append(node)
-                    out.append(_tokens(packed[bounds[i] : bounds[i + 1]]).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.binary()), pa.array(out, pa.binary())], names=["node", "tokens"])
-
-
 def overlap(x: np.ndarray, y: np.ndarray) -> int:
     both = np.concatenate([x, y])
     both.sort()
     return int((both[1:] == both[:-1]).sum())
 
 
-def _verify(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """(a, b, tokens of a, tokens of b) -> (a, b) of the pairs that are similar enough."""
+def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+    """Row number and tokens of each text whose node key is the expected one (columns node, text last)."""
+    wanted = batch.column(batch.num_columns - 2).to_pylist()
+    for a, _, raw, offsets in _pieces(batch.column(batch.num_columns - 1)):
+        packed, bounds = shingles(raw, offsets)
+        for i, node in enumerate(_node_keys(packed, bounds, raw, offsets)):
+            if node == wanted[a + i]:  # an id may come with several texts
+                yield a + i, _tokens(packed[bounds[i] : bounds[i + 1]])
+
+
+def _similar(x: np.ndarray, y: np.ndarray, similarity: float) -> bool:
+    if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
+        return False
+    common = overlap(x, y)
+    return common >= similarity * (len(x) + len(y) - common) - 1e-9
+
+
+def _group_links(numbers: list[int], tokens: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect a group: of its first row to all others, then of what is left to all rows."""
+    linked = np.array([True] + [_similar(tokens[0], t, similarity) for t in tokens[1:]])
+    links = [(numbers[0], numbers[i]) for i in np.flatnonzero(linked).tolist() if i]
+    outer = np.flatnonzero(~linked)
+    if len(outer) and len(tokens) > 2:
+        comps = np.where(linked, numbers[0], numbers).tolist()
+        links += [(numbers[i], numbers[j]) for i, j in _block_links(comps, tokens, outer, np.arange(1, len(tokens)), similarity)]
+    return links
+
+
+def _stars(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Rows (pivot, chunk, n, node, text), the pivot's own first in each chunk -> links (a, b)."""
+    held: dict[int, np.ndarray] = {}
+    at = None
+
+    def done() -> pa.RecordBatch:
+        links = _group_links(list(held), list(held.values()), similarity)
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
     for batch in batches:
-        keep = []
-        for x, y in zip(batch.column(2), batch.column(3), strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-            if min(len(x), len(y)) < similarity * max(len(x), len(y)) - 1e-9:
-                keep.append(False)
-                continue
-            common = overlap(x, y)
-            keep.append(common >= similarity * (len(x) + len(y) - common) - 1e-9)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _block_links(comps: list[bytes], tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+        pivots, chunks, numbers = (batch.column(k).to_numpy() for k in range(3))
+        for i, tokens in _texts(batch):
+            here = (int(pivots[i]), int(chunks[i]))
+            if at != here:
+                if len(held) > 1:
+                    yield done()
+                held, at = {}, here
+                if numbers[i] != pivots[i]:
+                    raise ValueError("the documents changed between two reads: a pivot's text is not there")
+            held[int(numbers[i])] = tokens
+    if len(held) > 1:
+        yield done()
+
+
+def _block_links(comps: list[int], tokens: list[np.ndarray], left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Links of a block between rows of different components, as many as connect them."""
     sizes = np.array([len(t) for t in tokens])
     if sizes[left].sum() + sizes[right].sum() > MOST_TOKENS and max(len(left), len(right)) > 1:  # long texts: in parts
@@ -205,6 +233,9 @@ def _block_links(comps: list[bytes], tokens: list[np.ndarray], left: np.ndarray,
             left, right = right, left
         half = len(left) // 2
         return _block_links(comps, tokens, left[:half], right, similarity) + _block_links(comps, tokens, left[half:], right, similarity)
+    if len(left) * len(right) <= SMALL:
+        similar = np.array([[comps[i] != comps[j] and _similar(tokens[i], tokens[j], similarity) for j in right] for i in left])
+        return _connecting(comps, similar, left, right)
     rows = np.union1d(left, right)
     flat = np.concatenate([tokens[i] for i in rows])
     _, place, count = np.unique(flat, return_inverse=True, return_counts=True)
@@ -223,16 +254,21 @@ def _block_links(comps: list[bytes], tokens: list[np.ndarray], left: np.ndarray,
         y[place_right[owner[r]], column[r] - c] = 1
         common += x @ y.T
     similar = common >= similarity * (sizes[left][:, None] + sizes[right][None, :] - common) - 1e-6
+    number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
+    label = np.array([number[c] for c in comps])
+    similar &= label[left][:, None] != label[right][None, :]
+    return _connecting(comps, similar, left, right)
+
+
+def _connecting(comps: list[int], similar: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple[int, int]]:
+    """Of the similar pairs, as many as connect their components."""
     root = {c: c for c in comps}
 
-    def find(c: bytes) -> bytes:
+    def find(c: int) -> int:
         while root[c] != c:
             root[c] = c = root[root[c]]
         return c
 
-    number = {c: i for i, c in enumerate(dict.fromkeys(comps))}
-    label = np.array([number[c] for c in comps])
-    similar &= label[left][:, None] != label[right][None, :]
     out = []
     for i, j in np.argwhere(similar).tolist():
         a, b = find(comps[left[i]]), find(comps[right[j]])
@@ -243,135 +279,205 @@ def _block_links(comps: list[bytes], tokens: list[np.ndarray], left: np.ndarray,
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Rows (key, c1, c2, chunk, node, component, tokens), sorted by block -> links."""
-    held: list[tuple] = []
+    """Rows (key, c1, c2, chunk, n, component, node, text), sorted by block -> links (a, b)."""
+    held: dict[int, tuple] = {}
     at = None
 
     def done() -> pa.RecordBatch:
-        comps = [h[1] for h in held]
+        rows = list(held.values())
+        comps = [h[1] for h in rows]
         links = []
         if len(set(comps)) > 1:
-            chunk = np.array([h[2] for h in held])
+            chunk = np.array([h[2] for h in rows])
             left, right = np.flatnonzero(chunk == at[1]), np.flatnonzero(chunk == at[2])
-            links = _block_links(comps, [h[3] for h in held], left, right, similarity)
-        return pa.RecordBatch.from_arrays([pa.array([held[i][0] for i, _ in links], pa.binary()), pa.array([held[j][0] for _, j in links], pa.binary())], names=["a", "b"])
+            links = _block_links(comps, [h[3] for h in rows], left, right, similarity)
+        return pa.RecordBatch.from_arrays([pa.array([rows[i][0] for i, _ in links], pa.int64()), pa.array([rows[j][0] for _, j in links], pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for key, c1, c2, chunk, node, comp, tokens in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if at != (key, c1, c2):
+        keys, first, second, chunk, numbers, comps = (batch.column(k).to_numpy() for k in range(6))
+        for i, tokens in _texts(batch):
+            here = (int(keys[i]), int(first[i]), int(second[i]))
+            if at != here:
                 if len(held) > 1:
                     yield done()
-                held, at = [], (key, c1, c2)
-            held.append((node, comp, chunk, np.frombuffer(tokens, np.uint64)))
+                held, at = {}, here
+            held[int(numbers[i])] = (int(numbers[i]), int(comps[i]), int(chunk[i]), tokens)
     if len(held) > 1:
         yield done()
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, component) for every node of ``edges`` (a, b); the component is its least node.
+    """(n, component) for every number in ``edges`` (a, b); the component is its least number.
 
-    Each round hooks nodes to their least neighbour and contracts the edges; edges and map are
+    Each round hooks numbers to their least neighbour and contracts the edges; edges and map are
     written to the shared folder, and only counts come to the driver.
     """
-    edges = written(edges.where("a <> b").distinct())
-    ends = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    found = written(ends.withColumn("component", F.col("node")))
+    tables, k = Tables(edges.sparkSession), 0
+    edges = tables.write("edges0", edges.where("a <> b").distinct())
+    ends = edges.select(F.col("a").alias("n")).union(edges.select("b")).distinct()
+    found = tables.write("found0", ends.withColumn("component", F.col("n")))
     while not edges.isEmpty():
+        k += 1
         both = edges.union(edges.select("b", "a"))
-        hook = written(both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("v"), F.least("a", "p").alias("p")))
-        found = written(found.join(hook, found.component == hook.v, "left").select("node", F.coalesce("p", "component").alias("component")))
+        hook = tables.write(f"hook{k}", both.groupBy("a").agg(F.min("b").alias("p")).select(F.col("a").alias("v"), F.least("a", "p").alias("p")))
+        found = tables.write(f"found{k}", found.join(hook, found.component == hook.v, "left").select("n", F.coalesce("p", "component").alias("component")))
         moved = edges.join(hook, edges.a == hook.v).select(F.col("p").alias("a"), "b")
         moved = moved.join(hook, moved.b == hook.v).select("a", F.col("p").alias("b"))
         kept = hook.select(F.col("p").alias("q")).join(hook, F.col("q") == F.col("v")).select(F.col("q").alias("a"), F.col("p").alias("b"))
-        edges = written(moved.union(kept).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = tables.write(f"edges{k}", moved.union(kept).where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        tables.remove(f"edges{k - 1}", f"found{k - 1}", f"hook{k}")
     return found
 
 
+def _usable(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    bare = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
+    return bare.where("id is not null and text is not null")
+
+
+def _with_text(usable: DataFrame, rows: DataFrame, nodes: DataFrame, tables: Tables, name: str) -> DataFrame:
+    """``rows`` (n, ...) with the node key and the text of each number; texts move once, by document id."""
+    rows = tables.write(name, rows.join(nodes.select("n", "id", "node"), "n"))
+    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")
+    # SLOTS numbers at most are broadcast: most texts that no candidate needs stay where they are.
+    slots = F.broadcast(tables.write(f"{name}_slots", rows.select(slot).distinct()))
+    return usable.withColumn("slot", slot).join(slots, "slot", "left_semi").select("id", "text").join(rows, "id")
+
+
+def _classes(docs: DataFrame, doc_id: str, text: str, similarity: float) -> DataFrame:
+    """(id, node, class_id, first_node) of each row with id and text; the class's first row has ids and keys equal."""
+    usable, tables = _usable(docs, doc_id, text), Tables(docs.sparkSession)
+    signed = tables.write("signed", usable.mapInArrow(lambda batches: releasing(_sign(batches)), "id long, node binary, bands array<long>"))
+    nodes = signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands"))
+    nodes = tables.write("nodes", nodes.withColumn("n", F.monotonically_increasing_id()))  # numbers count once written
+    ids = signed.groupBy("id").agg(F.count("*").alias("c")).where("c > 1")
+    if not ids.isEmpty():  # each text of a repeated id once
+        usable = usable.dropDuplicates(["id", "text"])
+    members = _members(nodes, tables)
+    links, large = _star_links(usable, members, nodes, tables, similarity)
+    links = tables.write("links", links)
+    found = components(links)
+    if not large.isEmpty():
+        rest = tables.write("rest", _rest(usable, members.join(large.select("pivot"), "pivot"), found, nodes, tables, similarity))
+        if not rest.isEmpty():
+            found = components(links.union(rest))
+    linked = found.join(nodes.select("n", "id", "node"), "n")
+    first = linked.groupBy("component").agg(F.min(F.struct("id", "node")).alias("first"))
+    first = tables.write("first", first.select("component", F.col("first.id").alias("class_id"), F.col("first.node").alias("first_node")))
+    moved = tables.write("moved", linked.join(first, "component").select("node", "class_id", "first_node"))
+    alone = nodes.select("node", "id").join(moved.select("node"), "node", "left_anti").select("node", F.col("id").alias("class_id"), F.col("node").alias("first_node"))
+    by_node = tables.write("by_node", moved.union(alone))
+    tables.remove("nodes", "members", "links", "rest", "first", "moved", "roles", "roles_slots", "blocks", "blocks_slots")
+    return signed.select("id", "node").join(by_node, "node")
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """One row (doc_id, class_id) for every row of ``docs``; the class is its least document id.
 
     Documents are in one class when links of multiset similarity ``similarity`` or more connect them.
     Texts of under five words are one shingle; texts without any word (empty ones too) are alike
     only if their bytes are equal.  Null text is never a duplicate: its class is its own id.  A null
-    id gets a null class and stands for no other document.  Repeated rows are returned each.
+    id gets a null class and stands for no other document.  Repeated rows are returned each, and
+    every text of a repeated id is classed by itself.  Very long texts are signed and compared
+    whole, one at a time.  An empty table gives no rows.  Other columns, whatever their names, are
+    not read.
     """
-    bare = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    usable = bare.where("id is not null and text is not null")
-    signed = written(usable.mapInArrow(lambda batches: releasing(_sign(batches)), "id long, node binary, bands array<long>"))
-    nodes = written(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("bands").alias("bands")))
-    bands = nodes.select("node", F.explode("bands").alias("key"))
-    shared = written(bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
-    members = written(bands.join(shared, "key").select("key", "n", "node", F.xxhash64("node", "key").alias("h")))
-    least = members.groupBy("key").agg(F.min("h").alias("h"))
-    pivots = written(members.select("key", "h", "node").join(least, ["key", "h"]).groupBy("key").agg(F.min("node").alias("pivot")))
-    members = written(members.join(pivots, "key").select("key", "node", "pivot", "n"))
-    pairs = written(members.where("node <> pivot").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct())
-    needed = written(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
-    source = written(nodes.select("node", "id").join(needed, "node"))
-    slot = F.pmod(F.xxhash64("id"), F.lit(SLOTS)).alias("slot")
-    # SLOTS numbers at most are broadcast: most texts that no candidate needs stay where they are.
-    likely = usable.withColumn("slot", slot).join(F.broadcast(source.select(slot).distinct()), "slot", "left_semi")
-    tokens = written(likely.join(source, "id").select("node", "text").mapInArrow(lambda batches: releasing(_token_rows(batches)), "node binary, tokens binary").dropDuplicates(["node"]))
-    links = written(_confirmed(pairs, tokens, similarity))
-    found = components(links)
-    rest = written(_rest(members, found, tokens, similarity))
-    if not rest.isEmpty():
-        found = components(links.union(rest))
-    least = nodes.select("node", "id").join(found, "node", "left").select("node", "id", F.coalesce("component", "node").alias("component"))
-    least = written(least)
-    classes = least.groupBy("component").agg(F.min("id").alias("class_id"))
-    classes = written(least.join(written(classes), "component").select("node", "class_id"))
-    out = signed.select("id", "node").join(classes, "node").select(F.col("id").alias("doc_id"), "class_id")
-    alone = bare.where("id is null or text is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"))
-    return out.unionByName(alone)
+    classes = _classes(docs, doc_id, text, similarity)
+    bare = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(doc_id).cast("long").alias("class_id"), F.col(text).isNull().alias("none"))
+    alone = bare.where("doc_id is null or none").drop("none")
+    return classes.select(F.col("id").alias("doc_id"), "class_id").unionByName(alone)
+
+
+def _keyed(batches: Iterator[pa.RecordBatch], text: int, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The same rows with the node key of their text as a last column."""
+    for batch in batches:
+        keys: list[bytes] = []
+        for _, _, raw, offsets in _pieces(batch.column(text)):
+            packed, bounds = shingles(raw, offsets)
+            keys += _node_keys(packed, bounds, raw, offsets)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary())], names=names)
 
 
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each class: that with the least id, and one row of it.
+    """``docs`` with one row of each class: of those with its least id, that of the least node key.
 
-    Rows without id or text all stay.
+    Rows without id or text all stay.  A repeated id stands for each of its texts: one whose class
+    has another first row goes, the others stay, and of equal rows of one text one stays.  Columns
+    beside ``doc_id`` and ``text``, whatever their names, stay as they are; an empty table stays empty.
     """
-    classes = near_duplicates(docs, similarity=similarity)
-    gone = written(classes.where("doc_id <> class_id").select("doc_id").distinct())
-    slot, name = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)), free_name(docs, "slot")
+    rows = written(_classes(docs, "doc_id", "text", similarity).select("id", "node", (F.col("id") == F.col("class_id")).alias("least"), (F.col("node") == F.col("first_node")).alias("first")))
+    repeated = written(rows.groupBy("id").agg(F.count("*").alias("c")).where("c > 1").select("id"))
+    gone = rows.where("not (least and first)").select("id").union(repeated).distinct().withColumnRenamed("id", "doc_id")
+    slot, name = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SLOTS)), free_name(docs, "slot")
+    gone = written(gone)
     # SLOTS numbers at most are broadcast; only documents whose number is among them are joined by id.
-    numbers = written(gone.select(slot.alias(name)).distinct()).withColumn("hit", F.lit(True))
-    numbers = F.broadcast(numbers.withColumnRenamed("hit", hit := free_name(docs, "hit")))
-    marked = docs.withColumn(name, slot).join(numbers, name, "left").drop(name)
-    clear = marked.where(F.col(hit).isNull()).drop(hit)
-    doubtful = marked.where(F.col(hit).isNotNull()).drop(hit).join(gone, "doc_id", "left_anti").select(*docs.columns)
-    kept = clear.unionByName(doubtful)
-    repeated = written(docs.where("doc_id is not null and text is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    hit = free_name(docs, "hit")
+    numbers = written(gone.select(slot.alias(name)).distinct()).withColumn(hit, F.lit(True))
+    marked = docs.withColumn(name, slot).join(F.broadcast(numbers), name, "left").drop(name)
+    loose = F.col("doc_id").isNull() | F.col("text").isNull() | F.col(hit).isNull()
+    clear = marked.where(loose).drop(hit)
+    kept = clear.unionByName(marked.where(~loose).drop(hit).join(gone, "doc_id", "left_anti").select(*docs.columns))
     if repeated.isEmpty():
         return kept
-    kept = written(kept)
-    once = kept.where("text is not null").join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    others = kept.where("text is not null").join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    return others.unionByName(once).unionByName(kept.where("text is null"))
-
+    doubtful = docs.where("doc_id is not null and text is not null").join(repeated.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi").select(*docs.columns)
+    node = free_name(docs, "node")
+    names = [*docs.columns, node]
+    schema = T.StructType([*docs.schema.fields, T.StructField(node, T.BinaryType())])
+    at = docs.columns.index("text")
+    doubtful = doubtful.mapInArrow(lambda batches: releasing(_keyed(batches, at, names)), schema)
+    firsts = rows.where("least and first").select(F.col("id").alias("doc_id"), F.col("node").alias(node)).distinct()
+    once = doubtful.join(firsts, ["doc_id", node], "left_semi").dropDuplicates(["doc_id", node])
+    return kept.unionByName(once.select(*docs.columns))
 
-def _confirmed(pairs: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
-    left = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    right = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
-    return joined.mapInArrow(lambda batches: releasing(_verify(batches, similarity)), "a binary, b binary")
 
+def _members(nodes: DataFrame, tables: Tables) -> DataFrame:
+    """(key, n, pivot, size) of the band buckets with several members; of buckets with equal members, one.
 
-def _rest(members: DataFrame, found: DataFrame, tokens: DataFrame, similarity: float) -> DataFrame:
+    The pivot is the bucket's least number, so that the buckets of one group share few pivots.
+    """
+    bands = nodes.select("n", F.explode("bands").alias("key"))
+    shared = tables.write("shared", bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"))
+    every = tables.write("every", bands.join(shared.select("key"), "key"))
+    one, two = F.xxhash64("n"), F.xxhash64("n", F.lit(1))
+    buckets = every.groupBy("key").agg(F.min("n").alias("pivot"), F.count("*").alias("size"), F.bit_xor(one).alias("x"), F.bit_xor(two).alias("y"))
+    buckets = tables.write("buckets", buckets.groupBy("size", "x", "y").agg(F.min("key").alias("key"), F.min("pivot").alias("pivot")).select("key", "pivot", "size"))
+    members = tables.write("members", every.join(buckets, "key").select("key", "n", "pivot", "size"))
+    tables.remove("shared", "every", "buckets")
+    return members
+
+
+def _star_links(usable: DataFrame, members: DataFrame, nodes: DataFrame, tables: Tables, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Links among a pivot and all members of its buckets, and the pivots with several chunks.
+
+    A pivot's members are dealt out to chunks of about CHUNK, and the pivot's text goes to each.  In
+    a chunk, what is not linked to the pivot is compared with all of the chunk, so that only pivots
+    with several chunks leave pairs open.
+    """
+    pairs = tables.write("pairs", members.where("n <> pivot").select("n", "pivot").distinct())
+    chunks = tables.write("chunks", pairs.groupBy("pivot").agg(F.count("*").alias("c")).select("pivot", F.ceil(F.col("c") / CHUNK).alias("chunks")))
+    large = tables.write("large", chunks.where("chunks > 1"))
+    own = pairs.join(large, "pivot", "left").select("n", "pivot", F.pmod(F.xxhash64("n"), F.coalesce("chunks", F.lit(1))).alias("first"))
+    roles = own.withColumn("last", F.col("first")).union(chunks.select(F.col("pivot").alias("n"), "pivot", F.lit(0).cast("long"), F.col("chunks") - 1))
+    rows = _with_text(usable, roles, nodes, tables, "roles")
+    rows = rows.select("pivot", F.explode(F.sequence("first", "last")).alias("chunk"), "n", "node", "text")
+    rows = rows.repartition("pivot", "chunk").sortWithinPartitions("pivot", "chunk", "n")
+    return rows.mapInArrow(lambda batches: releasing(_stars(batches, similarity)), "a long, b long"), large
+
+
+def _rest(usable: DataFrame, members: DataFrame, found: DataFrame, nodes: DataFrame, tables: Tables, similarity: float) -> DataFrame:
     """Links inside buckets whose members still lie in several components, from all their pairs."""
-    own = members.where("n > 2")
-    own = own.join(found, "node", "left").select("key", "node", "pivot", F.coalesce("component", "node").alias("component"))
-    core = found.select(F.col("node").alias("pivot"), F.col("component").alias("core"))
-    own = written(own.join(core, "pivot", "left").select("key", "node", "component", (F.col("component") == F.coalesce("core", "pivot")).alias("inner")))
+    own = members.join(found, "n", "left").select("key", "n", "pivot", F.coalesce("component", "n").alias("component"))
+    own = tables.write("own", own)
     # The pivot's component is not compared with itself, so a large one is read once for each outer chunk.
-    counts = own.groupBy("key").agg(F.count(F.when(~F.col("inner"), 1)).alias("outer"), F.count(F.when(F.col("inner"), 1)).alias("core")).where("outer > 0 and outer + core > 2")
-    own = own.join(written(counts), "key")
+    core = own.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("n") == F.col("pivot"), F.col("component"))).alias("core")).where("lo < hi").select("key", "core")
+    own = tables.write("open", own.join(core, "key").select("key", "n", "component", (F.col("component") == F.col("core")).alias("inner")))
+    counts = own.groupBy("key").agg(F.count(F.when(~F.col("inner"), 1)).alias("outer"), F.count(F.when(F.col("inner"), 1)).alias("core"))
+    own = own.join(counts, "key")
     outer, core = (F.ceil(F.col(c) / CHUNK).cast("int") for c in ("outer", "core"))
     whole = F.col("outer") + F.col("core") <= CHUNK  # one block holds the bucket
-    chunk = F.when(whole, 0).when(F.col("inner"), outer + F.pmod(F.xxhash64("node"), core)).otherwise(F.pmod(F.xxhash64("node"), outer)).cast("int")
-    others = F.when(whole, F.array(F.lit(0))).when(F.col("inner"), F.sequence(F.lit(0), outer - 1)).otherwise(F.sequence(F.lit(0), outer + core - 1))
-    own = own.withColumn("chunk", chunk).select("key", "chunk", "node", "component", F.explode(others).alias("other"))
-    blocks = own.select("key", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "node", "component")
-    blocks = blocks.join(tokens, "node").select("key", "c1", "c2", "chunk", "node", "component", "tokens")
-    blocks = blocks.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
-    return blocks.mapInArrow(lambda batches: releasing(_blocks(batches, similarity)), "a binary, b binary")
+    chunk = F.when(whole, 0).when(F.col("inner"), outer + F.pmod(F.xxhash64("n"), core)).otherwise(F.pmod(F.xxhash64("n"), outer)).cast("int")
+    last = F.when(whole, 0).when(F.col("inner"), outer - 1).otherwise(outer + core - 1)
+    own = own.select("key", chunk.alias("chunk"), "n", "component", last.alias("last"))
+    rows = _with_text(usable, own, nodes, tables, "blocks").withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+    rows = rows.select("key", F.least("chunk", "other").alias("c1"), F.greatest("chunk", "other").alias("c2"), "chunk", "n", "component", "node", "text")
+    rows = rows.repartition("key", "c1", "c2").sortWithinPartitions("key", "c1", "c2")
+    return rows.mapInArrow(lambda batches: releasing(_blocks(batches, similarity)), "a long, b long")

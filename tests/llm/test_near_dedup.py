@@ -115,3 +115,62 @@ def test_blocks_of_long_texts_are_compared_in_parts(monkeypatch):
         return [find(i) for i in range(20)]
 
     assert classes(joined(parts)) == classes(joined(whole))
+
+
+def kept(rows):
+    """What ``keep_first`` keeps, by plain code: (id, text) of the first row of each class."""
+    texts = sorted({(d, t) for d, t in rows if d is not None and t is not None}, key=str)
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    bags = [bag(t) for _, t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if (texts[i][1] == texts[j][1]) if not (bags[i] and bags[j]) else jaccard(bags[i], bags[j]) >= 0.8:
+                root[find(i)] = find(j)
+    groups = {}
+    for i, row in enumerate(texts):
+        groups.setdefault(find(i), []).append(row)
+    return groups.values()
+
+
+def test_keep_first_loses_no_text(spark):
+    """Ids with several texts: every class keeps exactly one row, one with its least id."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    rows = [(1, a), (2, a), (2, b), (5, b + " tail"), (7, c), (7, d), (7, d), (8, d), (9, None), (9, None), (None, a), (10, ""), (11, "")]
+    frame = spark.createDataFrame([(i, t, k, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, node int, slot int").repartition(3)
+    out = N.keep_first(frame)
+    assert out.columns == frame.columns
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(1, a), (2, b), (7, c), (7, d), (9, None), (9, None), (None, a), (10, "")], key=str)
+    full = [x for x in got if x[0] is not None and x[1] is not None]
+    for group in kept(rows):
+        assert len([x for x in full if x in group]) == 1 and min(i for i, _ in group) in [i for i, _ in full if (i, _) in group]
+
+
+def test_keep_first_on_random_repeats(spark):
+    docs = corpus(11, 12)
+    rng = random.Random(2)
+    ids = [d for d, _ in docs if d is not None]
+    rows = [(rng.choice(ids) if rng.random() < 0.3 and d is not None else d, t) for d, t in docs] + docs[:5]
+    got = [(r.doc_id, r.text) for r in N.keep_first(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    assert sorted((x for x in got if None in x), key=str) == sorted((x for x in rows if None in x), key=str)
+    full = [x for x in got if None not in x]
+    groups = list(kept(rows))
+    assert len(full) == len(groups)
+    for group in groups:
+        assert [i for i, t in full if (i, t) in group] == [min(i for i, _ in group)]
+
+
+def test_one_very_long_text(spark):
+    """A text of 200,000 words and a copy with a few words changed are one class; a half of it is none."""
+    rng = random.Random(9)
+    long = [f"w{rng.randrange(9000)}" for _ in range(200_000)]
+    other = [w if i % 50_000 else "changed" for i, w in enumerate(long)]
+    docs = [(1, " ".join(long)), (2, " ".join(other)), (3, " ".join(long[:100_000]))]
+    got = {r.doc_id: r.class_id for r in N.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3}
