@@ -3,9 +3,10 @@
 A task cuts its documents into shards of bounded size.  Words become symbols of the benchmark's
 vocabulary; a word that no benchmark item has becomes a separator, since no window can hold it, and
 so does each border of two documents.  Each shard gets a suffix array (prefix doubling), its
-Burrows-Wheeler transform in a wavelet matrix, and every s-th suffix position.  All windows are
-searched backward at once by wavelet ranks; occurrences are located by walking to a sampled
-position; overlapping occurrences merge into removal spans.
+Burrows-Wheeler transform in a wavelet matrix, and every s-th suffix position.  Windows with two
+neighbouring words that are never neighbours in the shard are left out; all others are searched
+backward at once by wavelet ranks; occurrences are located by walking to a sampled position;
+overlapping occurrences merge into removal spans.
 
 No row is shuffled: the index of a shard lives in the task that reads the shard.
 """
@@ -20,11 +21,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchlens.llm.common import releasing, slices, utf8, words, written
+from benchlens.llm.common import Tables, mix, releasing, slices, utf8, words, written
 
 WINDOW = 10
-#: Bytes of benchmark text in one broadcast; more text goes in further passes over the documents.
+#: Bytes of a training shard, whose documents share one index (a longer document is a shard alone).
+SHARD_BYTES = 1 << 20
+#: Bytes of benchmark words (8 each) in one broadcast; more go in further passes over the documents.
 BLOCK_BYTES = 32 << 20
+#: First words of the windows in one row of the packed benchmark.
+SEGMENT = 1 << 14
+#: Places of the bitmap in which a shard marks its pairs of neighbouring words.
+PAIR_SLOTS = 1 << 21
 #: Passes that run in one task chain before the result is written to the shared folder.
 CHAIN = 3
 #: Windows that are searched at once.
@@ -127,25 +134,77 @@ class FMIndex:
         return out % self.n
 
 
-def _windows(texts: list[tuple[str, str | None]], window: int) -> dict:
-    """Distinct windows of all items as symbols, and which items have each."""
-    column = pa.array([t or "" for _, t in texts], pa.string())
-    raw, offsets = utf8(column)
-    hashes, _, _, row = words(raw, offsets)
-    vocabulary, symbol = np.unique(hashes, return_inverse=True)
-    symbol = symbol + 2  # 0 ends a text, 1 separates
-    bounds = np.searchsorted(row, np.arange(len(texts) + 1))
-    owners: dict[tuple[int, ...], set[int]] = {}
-    for item in range(len(texts)):
-        own = symbol[bounds[item] : bounds[item + 1]].tolist()
-        for at in range(max(1, len(own) - window + 1) if own else 0):
-            owners.setdefault(tuple(own[at : at + window]), set()).add(item)
-    keys = sorted(owners)
-    padded = np.zeros((len(keys), window), np.int64)
-    for k, key in enumerate(keys):
-        padded[k, window - len(key) :] = key
-    pairs = np.array([(k, item) for k, key in enumerate(keys) for item in sorted(owners[key])], np.int64).reshape(-1, 2)
-    return {"vocabulary": vocabulary, "windows": padded, "lengths": np.array([len(k) for k in keys], np.int64), "owner_at": np.searchsorted(pairs[:, 0], np.arange(len(keys) + 1)), "owner": pairs[:, 1], "names": [n for n, _ in texts]}
+def _segments(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    """Rows (item id, text) -> (item id, 8 bytes for each of up to SEGMENT + window - 1 words).
+
+    Neighbouring segments share ``window - 1`` words, so that each window lies in one segment whole.
+    """
+    for batch in batches:
+        raw, offsets = utf8(batch.column(1))
+        rows, parts = [], []
+        for a, b in slices(offsets):
+            hashes, _, _, row = words(raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            bounds = np.searchsorted(row, np.arange(b - a + 1))
+            for k in np.flatnonzero(np.diff(bounds)).tolist():
+                own = hashes[bounds[k] : bounds[k + 1]]
+                for at in range(0, max(1, len(own) - window + 1), SEGMENT):
+                    rows.append(a + k)
+                    parts.append(own[at : at + SEGMENT + window - 1].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(parts, pa.binary())], names=["i", "words"])
+
+
+def _slots(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """A bitmap place of each pair of neighbouring symbols."""
+    return ((left.astype(np.int64) * 0x9E3779B1 + right.astype(np.int64) * 0x85EBCA77) >> 7 & (PAIR_SLOTS - 1)).astype(np.int32)
+
+
+def _windows(segments: Iterator[tuple[str, bytes]], window: int) -> dict:
+    """Distinct windows of a block as places in its packed symbols, and which items have each."""
+    number: dict[str, int] = {}
+    owners, parts = [], []
+    for item, data in segments:
+        owners.append(number.setdefault(item, len(number)))
+        parts.append(np.frombuffer(data, np.uint64))
+    flat = np.concatenate([*parts, np.zeros(0, np.uint64)])
+    sizes = np.array([len(p) for p in parts], np.int64)
+    del parts
+    vocabulary, symbols = np.unique(flat, return_inverse=True)
+    symbols = (symbols + 2).astype(np.int32)  # 0 ends a text, 1 separates
+    count = np.maximum(sizes - window + 1, np.minimum(sizes, 1))
+    length = np.repeat(np.minimum(sizes, window), count)
+    first = np.repeat(np.cumsum(sizes) - sizes, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    key = length.astype(np.uint64)
+    for k in range(window):
+        word = mix(flat[np.minimum(first + k, max(0, len(flat) - 1))] + np.uint64(k + 1))
+        key = np.where(k < length, mix(key ^ word), key)
+    del flat
+    _, kept, same = np.unique(key, return_index=True, return_inverse=True)
+    del key
+    pairs = np.unique(same * max(1, len(number)) + np.repeat(np.array(owners, np.int64), count))
+    return {
+        "vocabulary": vocabulary,
+        "symbols": symbols,
+        "slots": _slots(symbols[:-1], symbols[1:]),
+        "first": first[kept].astype(np.int32),
+        "lengths": length[kept].astype(np.int32),
+        "window": window,
+        "owner_at": np.searchsorted(pairs // max(1, len(number)), np.arange(len(kept) + 1)).astype(np.int32),
+        "owner": (pairs % max(1, len(number))).astype(np.int32),
+        "names": list(number),
+    }
+
+
+def _possible(block: dict, text: np.ndarray) -> np.ndarray:
+    """The windows whose neighbouring words all are neighbours somewhere in the shard; the rest cannot occur."""
+    bitmap = np.zeros(PAIR_SLOTS, bool)
+    both = (text[:-1] > 1) & (text[1:] > 1)
+    bitmap[_slots(text[:-1][both], text[1:][both])] = True
+    missing = np.zeros(len(block["symbols"]) + 1, np.int32)
+    np.cumsum(~bitmap[block["slots"]], out=missing[1 : len(block["slots"]) + 1])
+    first, length = block["first"], block["lengths"]
+    word = np.zeros(len(block["vocabulary"]) + 2, bool)
+    word[text] = True
+    return np.flatnonzero((missing[first + length - 1] == missing[first]) & word[block["symbols"][first]])
 
 
 def _occurrences(raw: np.ndarray, offsets: np.ndarray, block: dict) -> tuple[np.ndarray, ...]:
@@ -173,17 +232,20 @@ def _occurrences(raw: np.ndarray, offsets: np.ndarray, block: dict) -> tuple[np.
             origin = np.full(len(text), -1, np.int64)
             origin[at] = kept
             index = FMIndex(text, len(vocabulary) + 2)
-            hits = []
-            for a in range(0, len(lengths), SEARCH_BLOCK):
-                low, high = index.search(block["windows"][a : a + SEARCH_BLOCK], lengths[a : a + SEARCH_BLOCK])
+            hits = [(none, none)]
+            likely, width = _possible(block, text), block["window"]
+            for a in range(0, len(likely), SEARCH_BLOCK):
+                own = likely[a : a + SEARCH_BLOCK]
+                size = lengths[own].astype(np.int64)
+                at = block["first"][own][:, None] + size[:, None] - width + np.arange(width)  # right-aligned
+                low, high = index.search(block["symbols"][np.maximum(at, 0)].astype(np.int64), size)
                 n = np.maximum(high - low, 0)
-                n[lengths[a : a + SEARCH_BLOCK] == 0] = 0
                 which = np.repeat(np.arange(len(n)), n)
                 suffix = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + low[which]
-                hits.append((origin[index.locate(suffix)], which + a))
+                hits.append((origin[index.locate(suffix)], own[which]))
             first = np.concatenate([h[0] for h in hits])
             window = np.concatenate([h[1] for h in hits])
-            found = (first, lengths[window], window)
+            found = (first, lengths[window].astype(np.int64), window)
     return (*found, starts, sizes, row)
 
 
@@ -194,7 +256,7 @@ def _scan(batches: Iterator[pa.RecordBatch], block: dict, text: int, names: list
     for batch in batches:
         raw, offsets = utf8(batch.column(text))
         counts, spans, items = [], [], []
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, SHARD_BYTES):
             shard, at = raw[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             first, size, window, starts, sizes, row = _occurrences(shard, at, block)
             per_row = np.bincount(row, minlength=b - a)
@@ -244,22 +306,26 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
 
     Null text has no words, no spans and no items; neither has an empty document.  Null or empty
     items have no window; items with equal ids count once; null ids read ``null``.  Rows are handled
-    one by one, so repeated rows give equal results.  Columns of ``docs`` with one of the added names
-    are replaced.  The benchmark is broadcast in blocks of ``block_bytes`` of text at most (or one
-    item); further blocks are further passes over the documents, and no block is left out.
+    one by one, so repeated rows give equal results.  A very long document is a shard of its own, a
+    very long item many segments.  Empty documents give no rows, an empty benchmark no hits.  Columns
+    of ``docs`` with one of the added names are replaced.
+
+    The benchmark's words are packed by Spark; ``block_bytes`` of them at most (or one segment) are
+    broadcast at once, further blocks are further passes over the documents, and no block is left out.
     """
     spark = docs.sparkSession
     added = ("n_words", "spans", "item_ids")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), F.col("text").cast("string").alias("t"))
-    size = F.coalesce(F.octet_length("t"), F.lit(0)) + 16
-    total = items.agg(F.sum(size.cast("long"))).first()[0] or 0
+    packed = Tables(spark).write("segments", items.distinct().mapInArrow(lambda batches: releasing(_segments(batches, window)), "i string, words binary").distinct())
+    total = packed.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", _SPAN), T.StructField("item_ids", T.ArrayType(T.StringType()))])
-    out, at = docs, docs.columns.index(text)
+    out, at, past = docs, docs.columns.index(text), []
     for k in range(n_blocks):
-        own = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(n_blocks)) == k)
-        block = spark.sparkContext.broadcast(_windows([(r.i, r.t) for r in own.toLocalIterator()], window))
+        own = packed if n_blocks == 1 else packed.where(F.pmod(F.xxhash64("i", "words"), F.lit(n_blocks)) == k)
+        block = spark.sparkContext.broadcast(_windows(own.toLocalIterator(), window))
+        past.append(block)
         names = [f.name for f in schema]
         scan = lambda batches, block=block, earlier=k > 0: _scan(batches, block.value, at, names, earlier)
         if cut and k == n_blocks - 1:
@@ -268,6 +334,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
             out = out.mapInArrow(lambda batches, scan=scan: releasing(scan(batches)), schema)
         if k % CHAIN == CHAIN - 1 and k < n_blocks - 1:
             out = written(out)
+            while past:  # their passes are over
+                past.pop().destroy()
     return out
 
 
