@@ -18,13 +18,21 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
-from benchlens.llm.common import shared_dir, written
+from benchlens.llm.common import Tables, written
 
 #: Payloads below this many bytes are always stored in full.
 DEDUP_BYTES = 100
-RECORDS_PER_FILE = 3 * 4096
+#: Payload bytes of an archive file, at most (or one record): a reader holds one file at a time.
+FILE_BYTES = 32 << 20
+#: Payloads are filed by size, so that a file's number of records bounds its bytes.
+SIZE_CLASSES = (8 << 10, 128 << 10, 2 << 20)
+#: Rows of a repeated record id are numbered in so many parts.
+PARTS = 64
 _END = "\r\n\r\n"
+#: Fields that a record may have several times; their values are kept side by side.
+_REPEATED = ("warc-concurrent-to",)
 _BATCH_BYTES = 4 << 20
 
 
@@ -41,23 +49,9 @@ def _record(kind: Column | str, record_id: Column, uri: Column, content_type: st
     return F.concat(F.concat_ws("\r\n", *lines), F.lit(_END), block)
 
 
-def write_pages(pages: DataFrame, path: str) -> None:
-    """Write all pages (page_id, url, html) as WARC files into the new folder ``path``.
-
-    Of the rows with equal payloads of DEDUP_BYTES or more, those with the least page id are responses
-    and the others revisit it.  Repeated rows of one page id and payload count as captures of their own
-    with the same role.  A row without page id is a response and no revisit refers to it, unless all of
-    its equals lack an id too.  Null html is an empty payload; null urls are empty; further columns are
-    not read.
-    """
-    page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\x00-\x20\x7f]+", "%20").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    page = page.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
-    groups = page.where((F.col("n") >= DEDUP_BYTES) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("page_id", "url")).alias("of")).where("copies > 1")
-    groups = written(groups.select(F.col("digest").alias("key"), F.col("of.page_id").alias("of_page"), F.col("of.url").alias("of_url")))
-    # Short payloads never match a group; the id spreads them over all partitions.
-    key = F.when(F.col("n") >= DEDUP_BYTES, F.col("digest")).otherwise(F.concat_ws(":", "digest", F.coalesce(F.col("page_id").cast("string"), F.lit("")), "url"))
-    page = page.withColumn("key", key).join(groups, "key", "left")
-    again = F.coalesce(F.col("page_id") != F.col("of_page"), F.lit(False))
+def _records(page: DataFrame) -> DataFrame:
+    """The three records of each page (page_id, url, html, n, digest; of_page and of_url if it revisits)."""
+    again = F.col("of_page").isNotNull()
     own = _urn("response", F.col("page_id"), F.col("url"), F.col("digest"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("n").cast("string"), F.lit(_END))
     path_part = F.regexp_extract("url", r"^\w+://[^/]*(/.*)?$", 1)
@@ -70,7 +64,36 @@ def write_pages(pages: DataFrame, path: str) -> None:
         _record("request", _urn("request", F.col("page_id"), F.col("url"), F.col("digest")), F.col("url"), "application/http; msgtype=request", request, with_own),
         _record("metadata", _urn("metadata", F.col("page_id"), F.col("url"), F.col("digest")), F.col("url"), "application/warc-fields", fields, with_own),
     )
-    page.select(F.explode(records)).write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    return page.select(F.explode(records).alias("value"))
+
+
+def write_pages(pages: DataFrame, path: str) -> None:
+    """Write all pages (page_id, url, html) as WARC files into the new folder ``path``.
+
+    Of the rows with equal payloads of DEDUP_BYTES or more, those with the least page id are responses
+    and the others revisit it.  Repeated rows of one page id and payload count as captures of their own
+    with the same role.  A row without page id is a response and no revisit refers to it, unless all of
+    its equals lack an id too.  Null html is an empty payload; null urls are empty; a very long payload
+    has a file of its own; an empty table writes no record.  Further columns are not read.
+
+    Roles are found on narrow rows.  Each size class that occurs is written by itself, so payloads are
+    moved once at most (to meet their role by page id) and files are bounded.
+    """
+    page = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.coalesce(F.col("url").cast("string"), F.lit("")), r"[\x00-\x20\x7f]+", "%20").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    page = page.withColumn("n", F.octet_length("html").cast("long")).withColumn("digest", F.sha2("html", 256))
+    tables = Tables(pages.sparkSession)
+    narrow = tables.write("narrow", page.where((F.col("n") >= DEDUP_BYTES) & F.col("page_id").isNotNull()).select("page_id", "url", "digest"))
+    groups = narrow.groupBy("digest").agg(F.count("*").alias("copies"), F.min(F.struct("page_id", "url")).alias("of")).where("copies > 1")
+    groups = tables.write("groups", groups.select("digest", F.col("of.page_id").alias("of_page"), F.col("of.url").alias("of_url")))
+    roles = tables.write("roles", narrow.select("page_id", "digest").distinct().join(groups, "digest").where("page_id <> of_page"))
+    size_class = F.lit(len(SIZE_CLASSES))
+    for k in reversed(range(len(SIZE_CLASSES))):
+        size_class = F.when(F.col("n") <= SIZE_CLASSES[k], k).otherwise(size_class)
+    for k in sorted(r.k for r in page.select(size_class.alias("k")).distinct().collect()) or [0]:  # four classes at most
+        own = _records(page.where(size_class == k).join(roles, ["page_id", "digest"], "left"))
+        most = 3 * (FILE_BYTES // SIZE_CLASSES[k] if k < len(SIZE_CLASSES) else 1)
+        own.write.option("lineSep", _END).option("compression", "gzip").option("maxRecordsPerFile", most).text(f"{path}/size={k}")
+    tables.remove("narrow", "groups", "roles")
 
 
 RECORD = T.StructType(
@@ -107,7 +130,8 @@ def _lines(head: bytes) -> dict[str, str]:
     for line in head.split(b"\r\n"):
         name, colon, value = line.partition(b":")
         if colon:
-            out[name.decode("utf-8", "replace").strip().lower()] = value.decode("utf-8", "replace").strip()
+            key, text = name.decode("utf-8", "replace").strip().lower(), value.decode("utf-8", "replace").strip()
+            out[key] = f"{out[key]} {text}" if key in _REPEATED and key in out else text
     return out
 
 
@@ -172,36 +196,72 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     return files.where("length > 0").select("content").mapInArrow(_read, RECORD)
 
 
+def _numbered(records: DataFrame) -> DataFrame:
+    """``records`` with ``at``, which numbers the rows of each type and record id from 0.
+
+    Only where some id is repeated are rows numbered: within PARTS parts of each id, whose counts give
+    each part its offset, so that no task holds all rows of an id.
+    """
+    by = ["record_type", "record_id"]
+    if records.where("record_id is not null").groupBy(*by).agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        return records.select("*", F.lit(0).cast("long").alias("at"))
+    rows = written(records.withColumn("at", F.monotonically_increasing_id()))
+    rows = rows.withColumn("part", F.pmod("at", F.lit(PARTS)))
+    counts = rows.groupBy(*by, "part").agg(F.count("*").alias("c"))
+    before = counts.select(*by, "part", (F.sum("c").over(W.partitionBy(*by).orderBy("part")) - F.col("c")).alias("before"))  # PARTS rows an id
+    place = F.row_number().over(W.partitionBy(*by, "part").orderBy("at")) - 1
+    rows = rows.withColumn("at", place.cast("long"))
+    same = [rows[c].eqNullSafe(before[c]) for c in (*by, "part")]
+    return rows.join(before, same).select(*[rows[c] for c in records.columns], (rows["at"] + before["before"]).alias("at"))
+
+
 def assemble(records: DataFrame) -> DataFrame:
     """One row for each capture: its ``response`` (or revisit), ``request`` and ``metadata`` records.
 
-    A record belongs to the response that its concurrent-to id names, or that names it, directly or
-    through one further record.  Records repeated under one id are paired in the order of their
-    values.  Requests and metadata without any response are left out; a response without them has
-    nulls there.  Further columns of ``records`` stay inside the nested rows.
+    A record belongs to the response that a concurrent-to id of its names, or that names it, directly
+    or through one further record; of several, the least id counts.  Records repeated under one id are
+    paired one by one.  Requests and metadata without any response are left out; a response without
+    them has nulls there.  Null ids belong to nothing.  An empty table gives no rows.  Further columns
+    of ``records`` stay inside the nested rows.
     """
     hub = F.col("record_type").isin("response", "revisit")
     columns = F.struct(*records.columns)
-    hops = records.where(~hub).select(F.col("record_id").alias("start"), F.col("concurrent_to").alias("to")).union(records.where(hub).select("concurrent_to", "record_id"))
-    hops = hops.where("start is not null and to is not null and start <> to").groupBy("start").agg(F.min("to").alias("to"))
-    known = records.where("record_id is not null").select("record_type", columns.alias("record"), F.when(hub, F.col("record_id")).otherwise(F.coalesce("concurrent_to", "record_id")).alias("key"))
-    hubs, others = known.where(hub), known.where(~hub)
-    others = others.join(hops, others.key == hops.start, "left").select("record_type", "record", F.coalesce("to", "key").alias("key"))
-    nested = hubs.unionByName(others).groupBy("key").agg(*[F.collect_list(F.when(F.col("record_type").isin(*kinds), F.col("record"))).alias(name) for name, kinds in (("response", ("response", "revisit")), ("request", ("request",)), ("metadata", ("metadata",)))])
-    return nested.where(F.size("response") > 0).select("key", F.posexplode("response").alias("at", "response"), "request", "metadata").select(F.col("key").alias("capture_id"), "response", F.get("request", F.col("at")).alias("request"), F.get("metadata", F.col("at")).alias("metadata"))
+    links = records.where("record_id is not null and concurrent_to is not null").select(hub.alias("hub"), "record_id", F.explode(F.split("concurrent_to", r"\s+")).alias("other")).where("other <> ''")
+    hubs = records.where(hub).select(F.col("record_id").alias("h")).distinct()
+    hops = links.where("not hub").select(F.col("record_id").alias("start"), F.col("other").alias("to")).union(links.where("hub").select(F.col("other").alias("start"), F.col("record_id").alias("to")))
+    hops = written(hops.where("start <> to").distinct())
+    near = hops.join(hubs, F.col("to") == F.col("h")).select("start", F.col("h").alias("key"))
+    near = near.groupBy("start").agg(F.min("key").alias("key")).withColumnRenamed("start", "record_id")
+    near = written(near)
+    rows = _numbered(records.where("record_id is not null")).select("record_type", "record_id", columns.alias("record"), "at")
+    others = written(rows.where(~hub).join(near, "record_id", "left"))
+    loose = others.where("key is null").select("record_id").distinct()
+    if not loose.isEmpty():  # through one further record, which names it or which it names
+        either = links.select("record_id", "other")
+        either = either.union(either.select("other", "record_id")).distinct().join(loose, "record_id")
+        far = either.join(near.withColumnsRenamed({"record_id": "other", "key": "far"}), "other").groupBy("record_id").agg(F.min("far").alias("far"))
+        others = others.join(far, "record_id", "left").withColumn("key", F.coalesce("key", "far"))
+    every = rows.where(hub).select("record_type", "record_id", "record", "at", F.col("record_id").alias("key")).unionByName(others.where("key is not null").select("record_type", "record_id", "record", "at", "key"))
+    kinds = (("response", ("response", "revisit")), ("request", ("request",)), ("metadata", ("metadata",)))
+    nested = every.groupBy("key", "at").agg(*[F.min_by("record", F.when(F.col("record_type").isin(*names), F.col("record_id"))).alias(name) for name, names in kinds])
+    return nested.where("response is not null").select(F.col("key").alias("capture_id"), "response", "request", "metadata")
 
 
 def captures(pages: DataFrame) -> DataFrame:
     """Write ``pages`` as archives, read them back and return one digest row for each page."""
-    path = f"{shared_dir(pages.sparkSession)}/warc"
+    tables = Tables(pages.sparkSession)
+    path = f"{tables.root}/warc"
     write_pages(pages, path)
     records = read_records(pages.sparkSession, path)
     records = records.select("record_id", "record_type", "concurrent_to", "refers_to", F.element_at("fields", "pageid").alias("page_id"), F.element_at("fields", "content-length").cast("long").alias("stated"), "payload_digest", F.octet_length("payload").cast("long").alias("n"), F.sha2("payload", 256).alias("sha256"))
-    records = written(records)  # a few hundred bytes a record: payloads are read once and not shuffled
-    found = written(assemble(records).select("response", F.expr("try_cast(nullif(metadata.page_id, '') as long)").alias("page_id")))
-    stored = found.where("response.record_type = 'response'").select(F.col("response.record_id").alias("target"), F.col("page_id").alias("refers_to")).dropDuplicates(["target"])
+    records = tables.write("records", records)  # a few hundred bytes a record: payloads are read once and not shuffled
+    found = tables.write("found", assemble(records).select("response", F.expr("try_cast(nullif(metadata.page_id, '') as long)").alias("page_id")))
     revisit = F.col("response.record_type") == "revisit"
-    joined = found.where(revisit).join(written(stored), F.col("response.refers_to") == F.col("target"), "left").select("page_id", "response", "refers_to")
-    whole = found.where(~revisit).select("page_id", "response", F.lit(None).cast("long").alias("refers_to")).unionByName(joined)
-    # A revisit states its payload's size and digest; a response's are those of the bytes read back.
-    return whole.select("page_id", F.when(revisit, F.col("response.stated")).otherwise(F.col("response.n")).alias("payload_bytes"), F.when(revisit, F.regexp_replace("response.payload_digest", "^sha256:", "")).otherwise(F.col("response.sha256")).alias("payload_digest"), F.col("response.record_type").alias("record_type"), "refers_to")
+    stored = found.where(~revisit).select(F.col("response.record_id").alias("target"), F.col("page_id").alias("refers_to"), F.col("response.n").alias("payload_bytes"), F.col("response.sha256").alias("payload_digest"))
+    # A revisit's payload is that of the response it refers to, as read back; only where an archive
+    # lacks that response are size and digest those that the revisit states.
+    joined = found.where(revisit).join(tables.write("stored", stored.dropDuplicates(["target"])), F.col("response.refers_to") == F.col("target"), "left")
+    stated = F.regexp_replace("response.payload_digest", "^sha256:", "")
+    joined = joined.select("page_id", F.coalesce("payload_bytes", "response.stated").alias("payload_bytes"), F.coalesce("payload_digest", stated).alias("payload_digest"), F.lit("revisit").alias("record_type"), "refers_to")
+    whole = found.where(~revisit).select("page_id", F.col("response.n").alias("payload_bytes"), F.col("response.sha256").alias("payload_digest"), F.lit("response").alias("record_type"), F.lit(None).cast("long").alias("refers_to"))
+    return whole.unionByName(joined)
