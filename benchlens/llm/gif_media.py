@@ -21,10 +21,13 @@ from pyspark.sql import types as T
 from benchlens.llm.common import utf8
 
 #: Samples in a row of a stored payload, and rows of a frame at most.
-WIDTH, MOST_ROWS = 64, 65_535
+WIDTH, MOST_ROWS = 64, 512
+#: Pixels of a screen or frame that is decoded; a file that states more gives an error row.
+MOST_PIXELS = 1 << 24
 #: Bits of each colour that the histogram keeps: 4 * 4 * 4 bins.
 HISTOGRAM_BITS = 2
-_GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: A stored sample's colour: three bits of red, three of green, two of blue, so colours give samples back.
+_COLOURS = np.array([((v >> 5) * 36, (v >> 2 & 7) * 36, (v & 3) * 85) for v in range(256)], np.uint8)
 
 
 @dataclass
@@ -38,9 +41,9 @@ class Frame:
     interlaced: bool
     canvas: np.ndarray  # height x width x 4 of the whole screen
 
-    def histogram(self) -> list[int]:
-        """Counts of visible pixels in bins of red, green and blue, in this order."""
-        seen = self.canvas[self.canvas[:, :, 3] > 0][:, :3] >> (8 - HISTOGRAM_BITS)
+    def histogram(self, rows: int | None = None) -> list[int]:
+        """Counts of visible pixels (of the first ``rows``) in bins of red, green and blue, in this order."""
+        seen = self.canvas[:rows][self.canvas[:rows, :, 3] > 0][:, :3] >> (8 - HISTOGRAM_BITS)
         code = (seen[:, 0].astype(np.int32) << (2 * HISTOGRAM_BITS)) | (seen[:, 1].astype(np.int32) << HISTOGRAM_BITS) | seen[:, 2]
         return np.bincount(code, minlength=1 << (3 * HISTOGRAM_BITS)).tolist()
 
@@ -97,14 +100,18 @@ def lzw_encode(data: bytes) -> bytes:
     return np.packbits(bits[: -(-int(first[-1]) // 8) * 8], bitorder="little").tobytes()
 
 
-def lzw_decode(stream: bytes, size: int) -> bytes:
-    """Samples of a code stream with ``size`` bits a sample; a damaged stream raises ValueError."""
+def lzw_decode(stream: bytes, size: int, most: int | None = None) -> bytes:
+    """Samples of a code stream with ``size`` bits a sample; a damaged stream raises ValueError.
+
+    Decoding stops soon after ``most`` samples (4,096 codes later at most).
+    """
     if not 2 <= size <= 8:
         raise ValueError(f"LZW code size {size}")
     clear, end = 1 << size, (1 << size) + 1
     raw = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.int64)
     total, at = len(stream) * 8, 0
     out: list[bytes] = []
+    room, done = most or 0, 0
     single = [bytes([i]) for i in range(clear)] + [b"", b""]
     ask = 4096
     while at + size < total:
@@ -122,18 +129,24 @@ def lzw_decode(stream: bytes, size: int) -> bytes:
         n = int(stops[0]) if len(stops) else fit
         table = single.copy()
         last = b""
-        for code in codes[:n].tolist():
-            if code < len(table):
-                entry = table[code]
-                if last and len(table) < 4096:
-                    table.append(last + entry[:1])
-            elif last and code == len(table) < 4096:
-                entry = last + last[:1]
-                table.append(entry)
-            else:
-                raise ValueError("LZW code out of range")
-            out.append(entry)
-            last = entry
+        for k in range(0, n, 4096):
+            for code in codes[k : min(n, k + 4096)].tolist():
+                if code < len(table):
+                    entry = table[code]
+                    if last and len(table) < 4096:
+                        table.append(last + entry[:1])
+                elif last and code == len(table) < 4096:
+                    entry = last + last[:1]
+                    table.append(entry)
+                else:
+                    raise ValueError("LZW code out of range")
+                out.append(entry)
+                last = entry
+            if most is not None:
+                room -= sum(map(len, out[done:]))
+                done = len(out)
+                if room <= 0:  # what follows the last pixel is not needed
+                    return b"".join(out)
         if not len(stops) or codes[n] == end:
             break
         at, ask = int(first[n + 1]), 4096
@@ -162,11 +175,13 @@ def _palette(data: bytes, at: int, packed: int) -> tuple[np.ndarray, int]:
     return rgba, at + 3 * n
 
 
-def decode(data: bytes) -> Iterator[Frame]:
-    """Composed frames of a GIF file, in order; damaged data raises ValueError."""
+def decode(data: bytes, most: int = MOST_PIXELS) -> Iterator[Frame]:
+    """Composed frames of a GIF file, in order; damaged data, or a screen of over ``most`` pixels, raises ValueError."""
     if len(data) < 13 or data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("not a GIF")
     width, height, packed = struct.unpack_from("<HHB", data, 6)
+    if width * height > most:
+        raise ValueError(f"GIF screen of {width} x {height} exceeds {most} pixels")
     at, shared = 13, None
     if packed & 0x80:
         shared, at = _palette(data, at, packed)
@@ -190,9 +205,11 @@ def decode(data: bytes) -> Iterator[Frame]:
             palette, at = _palette(data, at, packed)
         if palette is None or at >= len(data):
             raise ValueError("GIF frame without palette or data")
+        if w * h > most:
+            raise ValueError(f"GIF frame of {w} x {h} exceeds {most} pixels")
         size = data[at]
         stream, at = _blocks(data, at + 1)
-        samples = np.frombuffer(lzw_decode(stream, size), np.uint8)
+        samples = np.frombuffer(lzw_decode(stream, size, w * h), np.uint8)
         if len(samples) < w * h:
             raise ValueError("GIF frame is too short")
         samples = samples[: w * h].reshape(h, w)
@@ -218,9 +235,9 @@ def decode(data: bytes) -> Iterator[Frame]:
 
 
 def encode(samples: bytes, delay_ms: int = 100) -> bytes:
-    """8-bit samples (a multiple of WIDTH) as a grey GIF; each frame holds up to MOST_ROWS rows."""
+    """8-bit samples (a multiple of WIDTH) as a GIF of timed frames, each of up to MOST_ROWS rows."""
     rows = len(samples) // WIDTH
-    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, MOST_ROWS), 0xF7, 0, 0), _GREY]
+    out = [b"GIF89a", struct.pack("<HHBBB", WIDTH, min(rows, MOST_ROWS), 0xF7, 0, 0), _COLOURS.tobytes()]
     for a in range(0, rows, MOST_ROWS):
         part = samples[a * WIDTH : (a + MOST_ROWS) * WIDTH]
         stream = lzw_encode(part)
@@ -248,8 +265,9 @@ FRAMES = T.StructType(
 def frames(files: DataFrame, key: str, content: str) -> DataFrame:
     """One row (``key``, then FRAMES) for each frame of each GIF in column ``content``.
 
-    Null, empty or damaged content gives one row after its good frames, whose ``frame`` is null and
-    whose ``error`` says why.  Repeated rows are decoded each; other columns are not read.
+    Null, empty or damaged content, or a screen or frame of over MOST_PIXELS, gives one row after its
+    good frames, whose ``frame`` is null and whose ``error`` says why.  Null keys stay; repeated rows are
+    decoded each; an empty table gives no rows; other columns are not read.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,14 +306,13 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = encode(_payload(text))
             read, counts, n, ms = [], None, 0, 0
             for f in decode(media):
-                read.append(f.canvas[: f.height, :, 0].tobytes())
-                own = f.histogram()
+                rgb = f.canvas[: f.height]
+                read.append((rgb[:, :, 0] // 36 << 5 | rgb[:, :, 1] // 36 << 2 | rgb[:, :, 2] // 85).tobytes())
+                own = f.histogram(f.height)
                 counts = own if counts is None else [x + y for x, y in zip(counts, own, strict=True)]
                 n, ms = n + 1, ms + f.delay_ms
             back = b"".join(read)
-            step = (1 << (3 * HISTOGRAM_BITS)) // ((1 << HISTOGRAM_BITS) - 1)
-            grey = [counts[g * step] for g in range(1 << HISTOGRAM_BITS)]
-            feature = f"frames={n};ms={ms};grey={','.join(map(str, grey))}"
+            feature = f"frames={n};ms={ms};histogram={','.join(map(str, counts))}"
             out.append((len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), hashlib.sha256(media).hexdigest(), feature))
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
         columns = [pa.array([o[k] for o in out], t) for k, t in enumerate(kinds)]
@@ -305,8 +322,10 @@ def _store(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def store_texts(docs: DataFrame) -> DataFrame:
     """Every text as GIF samples, read back from the stored bytes, with its digests and features.
 
-    Null counts as empty; an empty text is stored as 64 zero samples.  Equal texts give equal values,
-    whatever their row; other columns are not read.
+    Null counts as empty; an empty text is stored as 64 zero samples; a very long text is stored whole,
+    as many timed frames.  Equal texts give equal values, whatever their row; an empty table gives no
+    rows; other columns, whatever their names, are not read.  ``feature`` sums the colour histograms of
+    the frames that were read back.
     """
     bare = docs.selectExpr("cast(doc_id as long) as doc_id", "cast(text as string) as text")
     return bare.mapInArrow(_store, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

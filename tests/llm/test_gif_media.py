@@ -89,3 +89,69 @@ def test_frame_rows(spark):
     assert [(r.key, r.frame, r.start_ms) for r in got if r.error is None] == [(1, 0, 0), (1, 1, 50)]
     assert sorted(r.key for r in got if r.error) == [1, 2, 3, 4]
     assert np.frombuffer(got[0].rgba, np.uint8).reshape(2, 2, 4)[0, 0].tolist() == [255, 0, 0, 255]
+
+
+def plain_decode(media):
+    """Samples and colours of a stored GIF, code by code, by plain code; and its frames' times."""
+    table = [tuple(media[13 + 3 * i : 16 + 3 * i]) for i in range(256)]
+    at, samples, delays = 13 + 768, [], []
+    while media[at] != 0x3B:
+        if media[at] == 0x21:
+            delays.append(struct.unpack_from("<H", media, at + 4)[0] * 10)
+            at += 8
+            continue
+        w, h = struct.unpack_from("<HH", media, at + 5)
+        at += 11
+        stream = b""
+        while media[at]:
+            stream += media[at + 1 : at + 1 + media[at]]
+            at += 1 + media[at]
+        at += 1
+        bits, place, width, own, last = int.from_bytes(stream, "little"), 0, 9, {}, None
+        got = []
+        while True:
+            code = bits >> place & ((1 << width) - 1)
+            place += width
+            if code == 256:
+                own, width, last = {i: bytes([i]) for i in range(256)} | {256: b"", 257: b""}, 9, None
+                continue
+            if code == 257:
+                break
+            entry = own[code] if code in own else last + last[:1]
+            if last is not None and len(own) < 4096:
+                own[len(own)] = last + entry[:1]
+            got.append(entry)
+            last = entry
+            if len(own) >= 1 << width and width < 12:
+                width += 1
+        frame = b"".join(got)
+        assert len(frame) == w * h
+        samples.append(frame)
+    return b"".join(samples), table, delays
+
+
+def test_features_against_plain_decoding(spark):
+    texts = ["", "abc", "été " * 300, "".join(random.Random(5).choice("abcdefgh \n") for _ in range(G.WIDTH * G.MOST_ROWS * 2 + 100))]
+    got = {r.doc_id: r for r in G.store_texts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for d, text in enumerate(texts):
+        raw = text.encode()
+        payload = raw + bytes(max(64, -(-len(raw) // 64) * 64) - len(raw))
+        media = G.encode(payload)
+        assert (got[d].media_bytes, got[d].media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        samples, table, delays = plain_decode(media)
+        assert samples == payload and len(set(table)) == 256
+        bins = [0] * 64
+        for v in samples:
+            r, g, b = table[v]
+            bins[(r >> 6) * 16 + (g >> 6) * 4 + (b >> 6)] += 1
+        assert got[d].feature == f"frames={len(delays)};ms={sum(delays)};histogram={','.join(map(str, bins))}"
+    assert got[3].feature.startswith("frames=3;ms=300;")
+
+
+def test_huge_screens_and_bombs_give_error_rows(spark):
+    bomb = b"GIF89a" + struct.pack("<HHBBB", 65_535, 65_535, 0, 0, 0) + b"\x3b"
+    wide = gif(image([1], 0, 0, 65_535, 65_535))
+    long = G.lzw_encode(random.Random(1).randbytes(200_000))
+    assert 10 <= len(G.lzw_decode(long, 8, 10)) < 20_000
+    got = G.frames(spark.createDataFrame([(1, bomb), (2, wide), (3, gif(image([1, 1, 1, 1], 0, 0, 2, 2)))], "id int, content binary"), "id", "content").collect()
+    assert sorted((r.key, r.error is None) for r in got) == [(1, False), (2, False), (3, True)]
