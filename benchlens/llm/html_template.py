@@ -4,7 +4,7 @@ Tokens of a page are its tags (with their path and class) and its text blocks.
 whose occurrence vectors over the host's pages are equal form an equivalence class; a vector is kept
 as a fingerprint that partial sums can build (the exclusive or of a hash of page and count), so even
 a host with a third of all pages never meets in one task.  Classes that are frequent, ordered and
-properly nested make the host's template.  A text is frequent among the pages that have its element,
+properly nested, as each page of the host is asked, make the host's template.  A text is frequent among the pages that have its element,
 so each layout of a host has its own classes.  What a page has outside its template are slots; the main
 text is the slots of its article (or of its main element; or, where a page has neither, of its body),
 without regions that menus, notices, adverts, forms, comments and the like fill.  An article without
@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchlens.llm.common import written
+from benchlens.llm.common import Tables
 
 #: A text belongs to a template if this share of the host's pages with its element has it, and so many pages at least.
 LEAST_SHARE, LEAST_PAGES = 0.5, 3
@@ -41,8 +42,12 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead footer sidebar aside rail notice notices cookie cookies consent gdpr banner alert popup modal overlay newsletter subscribe signup login ad ads advert adverts advertisement adsense sponsor sponsored promo promotion comment comments disqus respond reply replies share sharing social related recommended widget pagination pager toolbar skip".split()
 )
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+#: Elements nested deeper lie beside the deepest one, as in browsers.
+MOST_DEPTH = 512
+_OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
+_ATTRIBUTE = re.compile(r"(?<![^\s/\"'])([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -57,10 +62,44 @@ class Element:
 
 @dataclass
 class Page:
-    tags: list[tuple[str, int]] = field(default_factory=list)  # path of each start tag, place
+    tags: list[tuple[str, int]] = field(default_factory=list)  # path (as a hash) of each start tag, place
     blocks: list[tuple[str, str, Element, int]] = field(default_factory=list)  # path, text, region, place
 
 
+class _Markup:
+    """Finds the comments and tags of a source one after the other, in linear time."""
+
+    def __init__(self, source: str):
+        self.source, self.last = source, source.rfind(">")
+        self.broken = -1  # before here quotes are not followed: one of them is never closed
+
+    def find(self, at: int) -> tuple[int, int, str, str, str] | None:
+        """(start, end, slash, name, attributes) of the next one; comments have no name."""
+        source = self.source
+        while m := _OPEN.search(source, at):
+            start = at = m.start()
+            at += 1
+            if m[0] == "<!--":
+                end = source.find("-->", start + 4)
+                return start, len(source) if end < 0 else end + 3, "", "", ""
+            if start > self.last:
+                continue
+            if m[0] in ("<!", "<?"):
+                return start, source.find(">", start) + 1, "", "", ""
+            named = _NAME.match(source, start)
+            end = named.end()
+            if start >= self.broken:
+                end = _REST.match(source, end).end()
+                if source[end : end + 1] != ">":
+                    self.broken = end
+            if start < self.broken:
+                end = source.find(">", named.end())
+                if end < 0:
+                    continue
+            return start, end + 1, named[1], named[2].lower(), source[named.end() : end]
+        return None
+
+
 def _left_out(tag: str, attributes: str) -> tuple[bool, str]:
     """Whether an element opens a region that is never main text, and its class for the path."""
     if not attributes or "=" not in attributes:
@@ -90,18 +129,17 @@ def read(source: str) -> Page:
             place += 1
             page.blocks.append((stack[-1].path, text, stack[-1], place))
 
-    at, n = 0, len(source)
+    at, n, markup = 0, len(source), _Markup(source)
     while at < n:
-        m = _MARKUP.search(source, at)
+        m = markup.find(at)
         if m is None:
             held.append(source[at:])
             break
-        held.append(source[at : m.start()])
-        at = m.end()
-        tag = (m[2] or "").lower()
+        held.append(source[at : m[0]])
+        _, at, slash, tag, attributes = m
         if not tag:
             continue
-        if m[1]:
+        if slash:
             depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag), 0)
             if depth:
                 if any(e.tag in BLOCK or e.left_out != stack[depth - 1].left_out for e in stack[depth:]):
@@ -113,7 +151,7 @@ def read(source: str) -> Page:
         if tag == "br":
             held.append(" ")
             continue
-        out, name = _left_out(tag, m[3])
+        out, name = _left_out(tag, attributes)
         above = stack[-1]
         if tag in BLOCK or out != above.left_out:
             flush()
@@ -124,19 +162,21 @@ def read(source: str) -> Page:
                 if first is not None:
                     del stack[first:]
         above = stack[-1]
-        path = f"{above.path}/{tag}" + (f".{name}" if name else "")
+        path = xxhash.xxh64_hexdigest(f"{above.path}/{tag}.{name}".encode("utf-8", "surrogatepass"))
         place += 1
         page.tags.append((path, place))
-        if tag in VOID or m[3].endswith("/") and tag not in BLOCK:
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
             continue
         own = Element(tag, path, above.left_out or out, above.article or tag == "article", above.main or tag == "main")
         if tag in RAW:
-            close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(source, at)
-            end = close.start() if close else n
+            close = re.compile(rf"</{tag}\b", re.I).search(source, at)
+            end = close.start() if close and close.start() < markup.last else n
             if not own.left_out:
                 held.append(source[at:end])
-            at = close.end() if close else n
+            at = source.find(">", end) + 1 if end < n else n
             continue
+        if len(stack) > MOST_DEPTH:
+            del stack[-1]
         stack.append(own)
     flush()
     return page
@@ -151,52 +191,116 @@ def block_token(path: str, text: str) -> int:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, page, html) -> (host, token, is_text, element, page, count, place of the first)."""
+    """(host, page, html) -> (host, token, is_text, element, page, count)."""
     for batch in batches:
         for a in range(0, batch.num_rows, 200):
             part = batch.slice(a, 200)
             out: list[tuple] = []
             for host, page_key, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 page = read(source or "")
-                counts: dict[tuple[int, bool, int], list[int]] = {}
-                for token, text, element, place in [*((e := _key(p), False, e, k) for p, k in page.tags), *((block_token(p, t), True, _key(p), k) for p, t, _, k in page.blocks)]:
-                    own = counts.setdefault((token, text, element), [0, place])
-                    own[0] += 1
-                out += [(host, token, text, element, page_key, c, k) for (token, text, element), (c, k) in counts.items()]
+                counts = Counter([*((e := _key(p), False, e) for p, _ in page.tags), *((block_token(p, t), True, _key(p)) for p, t, _, _ in page.blocks)])
+                out += [(host, token, text, element, page_key, c) for (token, text, element), c in counts.items()]
             if out:
-                kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["host", "token", "is_text", "element", "page", "n", "place"])
+                kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["host", "token", "is_text", "element", "page", "n"])
+
 
+def structure(sequence: list[tuple[int, int]]) -> tuple[dict[int, tuple[int, ...] | None], set[tuple[int, int]]]:
+    """What one page says about its classes, from its (class, token) occurrences in order.
 
-def nested(classes: list[dict], pages: int = 0) -> list[dict]:
+    A class's tokens occur equally often, so its occurrences are cut into tuples of all its tokens.
+    First: the order of each class's tokens, or None if two tuples differ.  Second: the pairs of
+    classes with tuples that cross, neither lying in one gap of the other nor outside it.
+    """
+    widths: dict[int, set[int]] = {}
+    for c, token in sequence:
+        widths.setdefault(c, set()).add(token)
+    held: dict[int, list[int]] = {c: [] for c in widths}
+    orders: dict[int, tuple[int, ...] | None] = {}
+    crossing: set[tuple[int, int]] = set()
+    stack: list[int] = []
+    for c, token in sequence:
+        own = held[c]
+        if not own:
+            stack.append(c)
+        elif stack[-1] != c:  # tuples that began since are still open
+            crossing |= {(min(c, x), max(c, x)) for x in stack[stack.index(c) + 1 :]}
+        own.append(token)
+        if len(own) == len(widths[c]):
+            order = tuple(own)
+            orders[c] = order if orders.get(c, order) == order and len(set(order)) == len(order) else None
+            own.clear()
+            stack.remove(c)
+    return orders | {c: None for c, own in held.items() if own}, crossing
+
+
+#: Sequences of classes, and hosts, that a task remembers, so that pages of one layout are looked at once.
+_REMEMBERED, _REMEMBERED_HOSTS = 1 << 14, 64
+
+
+def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, html, classes of tokens) -> (host, a, b, order): orders of class a (0: none), and crossing pairs."""
+    seen: set[int] = set()
+    hosts: dict[str, dict[int, int]] = {}
+    for batch in batches:
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            out: set[tuple] = set()
+            for i, (host, source) in enumerate(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)):
+                if host not in hosts:
+                    if len(hosts) >= _REMEMBERED_HOSTS:
+                        hosts.clear()
+                    hosts[host] = {t["token"]: t["cls"] for t in part.column(2)[i].as_py()}
+                known = hosts[host]
+                page = read(source or "")
+                places = sorted([*((k, _key(p)) for p, k in page.tags), *((k, block_token(p, t)) for p, t, _, k in page.blocks)])
+                sequence = [(known[t], t) for _, t in places if t in known]
+                mark = hash((host, tuple(t for _, t in sequence)))
+                if mark in seen:
+                    continue
+                if len(seen) >= _REMEMBERED:
+                    seen.clear()
+                seen.add(mark)
+                orders, crossing = structure(sequence)
+                out |= {(host, c, None, _key(repr(o)) if o else 0) for c, o in orders.items()}
+                out |= {(host, a, b, None) for a, b in crossing}
+            rows = list(out)
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int64(), pa.int64(), pa.int64()))], names=["host", "a", "b", "ordered"])
+
+
+def nested(classes: list[dict], pages: int = 0, crossing: set[tuple[int, int]] | None = None, unordered: frozenset[int] = frozenset()) -> list[dict]:
     """The classes that are ordered and lie whole inside, or whole outside, each class taken before.
 
-    A class has ``first`` and ``last`` mean places and ``support``; those of more pages come first.
-    Places are means over a class's own pages, so a class of less than half of the ``pages`` is compared
-    with those of the same pages only, by their fingerprint ``own``.
+    Classes of more pages come first.  With ``crossing`` (pairs of ``cls``) and ``unordered``, what
+    the pages themselves say decides.  Without, mean places (``first``, ``last``) do: these are means
+    over a class's own pages, so a class of less than half of the ``pages`` is compared with those of
+    the same pages only, by their fingerprint ``own``.
     """
     kept: list[dict] = []
     for c in sorted(classes, key=lambda c: (-c["support"], -len(c["tokens"]), c["tokens"])):
-        if all((2 * c["support"] < pages and c["own"] != k["own"]) or c["last"] < k["first"] or c["first"] > k["last"] or (k["first"] <= c["first"] and c["last"] <= k["last"]) for k in kept):
+        if crossing is not None:
+            fits = c["cls"] not in unordered and all((min(c["cls"], k["cls"]), max(c["cls"], k["cls"])) not in crossing for k in kept)
+        else:
+            fits = all((2 * c["support"] < pages and c["own"] != k["own"]) or c["last"] < k["first"] or c["first"] > k["last"] or (k["first"] <= c["first"] and c["last"] <= k["last"]) for k in kept)
+        if fits:
             kept.append(c)
     return kept
 
 
 def _deduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, tokens of frequent classes, pages) -> (host, text tokens of the template, number of classes)."""
+    """(host, tokens of frequent classes, unordered classes, crossing pairs) -> (host, text tokens of the template, number of classes)."""
     for batch in batches:
         hosts, texts, sizes = [], [], []
-        for host, tokens, pages in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            classes: dict[tuple, dict] = {}
+        for host, tokens, unordered, crossing in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            classes: dict[int, dict] = {}
             for t in tokens:
-                c = classes.setdefault((t["support"], t["vector"]), {"support": t["support"], "own": t["own"], "tokens": [], "texts": [], "first": t["place"], "last": t["place"]})
+                c = classes.setdefault(t["cls"], {"cls": t["cls"], "support": t["support"], "tokens": [], "texts": []})
                 c["tokens"].append(t["token"])
-                c["first"], c["last"] = min(c["first"], t["place"]), max(c["last"], t["place"])
                 if t["is_text"]:
                     c["texts"].append(t["token"])
             for c in classes.values():
                 c["tokens"].sort()
-            valid = nested(list(classes.values()), pages)
+            valid = nested(list(classes.values()), crossing={(x["a"], x["b"]) for x in crossing or ()}, unordered=frozenset(unordered or ()))
             hosts.append(host)
             texts.append(sorted(x for c in valid for x in c["texts"]))
             sizes.append(len(valid))
@@ -217,15 +321,27 @@ def templates(pages: DataFrame) -> DataFrame:
     """
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     bare = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64(html).alias("page"), html.alias("html"))
-    seen = written(bare.mapInArrow(_tokens, "host string, token long, is_text boolean, element long, page long, n int, place int").groupBy("host", "token", "is_text", "element", "page").agg(F.max("n").alias("n"), F.min("place").alias("place")))
+    tables = Tables(pages.sparkSession)
+    seen = tables.write("seen", bare.mapInArrow(_tokens, "host string, token long, is_text boolean, element long, page long, n int").groupBy("host", "token", "is_text", "element", "page").agg(F.max("n").alias("n")))
     size = bare.select("host", "page").distinct().groupBy("host").agg(F.count("*").alias("pages"))
-    vectors = seen.groupBy("host", "token", "is_text", "element").agg(F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"), F.bit_xor(F.xxhash64("page")).alias("own"), F.avg("place").alias("place"))
+    vectors = seen.groupBy("host", "token", "is_text", "element").agg(F.count("*").alias("support"), F.bit_xor(F.xxhash64("page", "n")).alias("vector"))
     often = vectors.where(F.col("support") >= LEAST_PAGES)
-    often = written(often.join(written(size), "host").where(F.col("support") >= LEAST_LAYOUT * F.col("pages")))
+    often = tables.write("often", often.join(tables.write("size", size), "host").where(F.col("support") >= LEAST_LAYOUT * F.col("pages")))
     with_element = often.where("not is_text").select("host", "element", F.col("support").alias("_with"))
     often = often.join(with_element, ["host", "element"], "left").where(F.col("support") >= LEAST_SHARE * F.coalesce("_with", "pages"))
-    lists = often.groupBy("host").agg(F.collect_list(F.struct("token", "is_text", "support", "vector", "own", "place")).alias("tokens"), F.max("pages").alias("pages"))
-    return lists.mapInArrow(_deduce, "host string, template array<long>, n_classes int")
+    often = often.withColumn("cls", F.xxhash64("support", "vector")).select("host", "token", "is_text", "support", "cls")
+    lists = tables.write("lists", often.groupBy("host").agg(F.collect_list(F.struct("token", "is_text", "support", "cls")).alias("tokens")))
+    listed = lists.select("host", F.transform("tokens", lambda t: F.struct(t["token"].alias("token"), t["cls"].alias("cls"))).alias("tokens"))
+    size = listed.agg(F.sum(F.size("tokens").cast("long") * 16 + 64)).first()[0] or 0
+    # Pages of a host with candidates are read once more: do they keep the order and the nesting?
+    said = bare.select("host", "html").join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed, "host")
+    said = tables.write("said", said.mapInArrow(_structures, "host string, a long, b long, ordered long").distinct())
+    unordered = said.where("b is null").groupBy("host", "a").agg(F.count("*").alias("orders"), F.min(F.col("ordered") != 0).alias("kept")).where("orders > 1 or not kept").groupBy("host").agg(F.collect_list("a").alias("unordered"))
+    crossing = said.where("b is not null").groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("crossing"))
+    out = lists.join(unordered, "host", "left").join(crossing, "host", "left").select("host", "tokens", "unordered", "crossing")
+    out = tables.write("templates", out.mapInArrow(_deduce, "host string, template array<long>, n_classes int"))
+    tables.remove("seen", "often", "size", "lists", "said")
+    return out
 
 
 def main_text(source: str, template: frozenset[int] | set[int]) -> str:
@@ -253,10 +369,12 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(pages: DataFrame) -> DataFrame:
     """One row for each page: page_id, url, the main text and its number of code points.
 
-    Null or empty html, and pages without main text, give an empty text.  Repeated rows are extracted
-    each; null ids and urls stay; further columns are not read.
+    Null or empty html, and pages without main text, give an empty text.  Very long pages are read whole,
+    in linear time.  Repeated rows are extracted each, and as one page for the template; classes of equal
+    support are taken in the order of their tokens.  Null ids and urls stay (null urls are one host); an
+    empty table gives no rows; further columns are not read.
     """
-    found = written(templates(pages).where("size(template) > 0"))
+    found = templates(pages).where("size(template) > 0")
     size = found.agg(F.sum(F.size("template").cast("long") * 8 + 64)).first()[0] or 0
     found = found.select("host", "template")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))

@@ -1,3 +1,6 @@
+import random
+import time
+
 from benchlens.llm import html_template as H
 
 BROKEN = (
@@ -76,3 +79,64 @@ def test_template_decides_inside_articles(spark):
 def test_classes_of_two_layouts_are_not_compared():
     a, b = {"support": 4, "own": 1, "tokens": [1, 2], "first": 1, "last": 5}, {"support": 4, "own": 2, "tokens": [3, 4], "first": 4, "last": 8}
     assert H.nested([a, b], 9) == [a, b] and H.nested([a, b], 8) == [a] and H.nested([a, b | {"own": 1}], 9) == [a]
+
+
+def plain_structure(sequence):
+    """Orders and crossing pairs from the definition, over all pairs of tuples."""
+    from itertools import combinations
+
+    places = {}
+    for at, (c, token) in enumerate(sequence):
+        places.setdefault(c, []).append((at, token))
+    tuples, orders = {}, {}
+    for c, own in places.items():
+        k = len({t for _, t in own})
+        parts = [own[i : i + k] for i in range(0, len(own), k)]
+        found = {tuple(t for _, t in p) for p in parts}
+        orders[c] = next(iter(found)) if len(found) == 1 and len(set(next(iter(found)))) == k else None
+        tuples[c] = [[a for a, _ in p] for p in parts]
+
+    def apart(x, y):
+        inside = lambda a, b: any(lo < a[0] and a[-1] < hi for lo, hi in zip(b, b[1:]))
+        return x[-1] < y[0] or y[-1] < x[0] or inside(x, y) or inside(y, x)
+
+    crossing = {(a, b) for a, b in combinations(sorted(tuples), 2) if any(not apart(x, y) for x in tuples[a] for y in tuples[b])}
+    return orders, crossing
+
+
+def test_order_and_nesting_of_pages_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(3000):
+        sequence = []
+        for c in range(rng.randint(1, 4)):
+            tokens = [10 * c + i for i in range(rng.randint(1, 3))]
+            for _ in range(rng.randint(1, 3)):
+                at = sorted(rng.choices(range(len(sequence) + 1), k=len(tokens))) if rng.random() < 0.5 else [rng.randint(0, len(sequence))] * len(tokens)
+                own = rng.sample(tokens, len(tokens)) if rng.random() < 0.1 else tokens
+                for a, t in sorted(zip(at, own, strict=True), reverse=True, key=lambda x: x[0]):
+                    sequence.insert(a, (c, t))
+        assert H.structure(sequence) == plain_structure(sequence), sequence
+
+
+def test_unordered_and_crossing_classes_make_no_template(spark):
+    """The same texts on every page, in changing order, are no template; in one order they are."""
+
+    def one(k, swap):
+        a, b = "<div class='a'><p>Read our terms</p></div>", "<div class='b'><p>Mind the gap</p></div>"
+        return f"<body><article><h1>Story {k}</h1>{b + a if swap else a + b}<p>Text {k}</p></article></body>"
+
+    rows = [(k, "http://calm.example/", one(k, False)) for k in range(8)] + [(20 + k, "http://mixed.example/", one(k, k % 2)) for k in range(8)]
+    got = {r.page_id: r.text for r in H.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story 3\nText 3"
+    assert got[23] == "Story 3\nMind the gap\nRead our terms\nText 3"
+
+
+def test_reading_is_linear():
+    for hostile in ('<a "', "<a '", '<a x="', "</script ", "<script", "<b>", "<i></u>", "<a x=1 " + "b" * 50, '<a ">" ', "<!-", "<!x"):
+        took = []
+        for n in (20_000, 160_000):
+            source = (hostile * n)[: n * 4] + "'"
+            began = time.process_time()
+            H.read(source)
+            took.append(time.process_time() - began)
+        assert took[1] < 40 * max(took[0], 0.01), (hostile, took)
