@@ -16,9 +16,12 @@ TEXT_MODES = ("tfidf", "embedding", "none")
 
 
 def term_counts(df: DataFrame, text: str, bigrams: bool = True) -> DataFrame:
-    """(text_key, n_rows, term, tf): counts of each distinct cleaned text, and how many rows have it."""
+    """(text_key, n_rows, term, tf): counts of each distinct cleaned text, and how many rows have it.
+
+    Texts meet once by key; terms are then counted where their text lies, without another shuffle.
+    """
     cleaned = df.select(clean_text(F.col(text).cast("string")).alias("t"))
-    distinct = cleaned.groupBy("t").agg(F.count("*").alias("n_rows")).withColumn("text_key", F.md5("t"))
+    distinct = cleaned.groupBy(F.md5("t").alias("text_key")).agg(F.count("*").alias("n_rows"), F.first("t").alias("t"))
     return distinct.select("text_key", "n_rows", F.explode(terms(tokens(F.col("t")), bigrams)).alias("term")).groupBy("text_key", "n_rows", "term").agg(F.count("*").alias("tf"))
 
 
@@ -47,9 +50,9 @@ def tfidf(df: DataFrame, text: str, max_features: int = 5000, max_df: float = 0.
     return raw.select("text_key", "term", "feature_id", (F.col("raw") / norm).alias("weight"))
 
 
-def tfidf_features(df: DataFrame, text: str, **options) -> DataFrame:
-    """(row_id, feature, value) of every row, from its text's weights."""
-    weights = tfidf(df, text, **options)
+def tfidf_features(df: DataFrame, text: str, weights: DataFrame | None = None, **options) -> DataFrame:
+    """(row_id, feature, value) of every row, from its text's weights (made here unless given)."""
+    weights = tfidf(df, text, **options) if weights is None else weights
     keyed = df.select("row_id", F.md5(clean_text(F.col(text).cast("string"))).alias("text_key"))
     return keyed.join(weights, "text_key").select("row_id", F.concat(F.lit(TEXT), "term").alias("feature"), F.col("weight").alias("value"))
 
@@ -110,19 +113,19 @@ def numeric_features(df: DataFrame, columns: list[str], fit_on: DataFrame | None
     return scaled.select("row_id", pairs.alias("p")).select("row_id", "p.feature", "p.value")
 
 
-def build_features(df: DataFrame, text_mode: str, metafeatures: list[str] | None, text: str = "flow_text", vectors: DataFrame | None = None, vector_key: str = "vec_id", **options) -> DataFrame:
-    """Text features and metafeatures together, as the configuration asks."""
+def build_features(df: DataFrame, text_mode: str, metafeatures: list[str] | None, text: str = "flow_text", vectors: DataFrame | None = None, vector_key: str = "vec_id", fit_on: DataFrame | None = None, **options) -> DataFrame:
+    """Text features and metafeatures together, as the configuration asks; fitted on all rows or ``fit_on``."""
     if text_mode not in TEXT_MODES:
         raise ValueError(f"text_mode {text_mode!r}: one of {TEXT_MODES}")
     parts = []
     if text_mode == "tfidf":
-        parts.append(tfidf_features(df, text, **options))
+        parts.append(tfidf_features(df, text, fit_on=fit_on, **options))
     elif text_mode == "embedding":
         if vectors is None:
             raise ValueError("text_mode embedding needs vectors")
         parts.append(embedding_features(df, vectors, "flow_id", vector_key, "embedding"))
     if metafeatures:
-        parts.append(numeric_features(df, metafeatures))
+        parts.append(numeric_features(df, metafeatures, fit_on))
     if not parts:
         raise ValueError("no features selected")
     out = parts[0]
@@ -141,7 +144,7 @@ def feature_dictionary(features: DataFrame) -> DataFrame:
 def to_vectors(features: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:
     """(row_id, features) as sparse MLlib vectors."""
 
-    @F.udf(VectorUDT())
+    @F.udf(VectorUDT(), useArrow=True)
     def vector(pairs):
         return SparseVector(size, [p[0] for p in pairs], [p[1] for p in pairs])
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: Hex digits of a hash by which rows are ranked apart; the table of prefixes is broadcast (65,536 rows).
@@ -37,21 +42,23 @@ def row_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
 def group_folds(groups: DataFrame, group: str, k: int = 5, size: str = "n") -> DataFrame:
     """(group, fold): largest groups first, each to the lightest fold so far (ties: least id, least fold).
 
-    ``groups`` has one row for each group; greedy assignment is sequential, so this table (never the
-    rows behind it) is folded in one task.
+    ``groups`` has one row for each group.  Greedy assignment is sequential, so one task deals this
+    table (never the rows behind it): sorted on disk where it must be, streamed past a heap of k loads.
     """
-    listed = groups.agg(F.sort_array(F.collect_list(F.struct((-F.col(size)).alias("neg"), F.col(group).alias("g")))).alias("all"))
-    zero = F.array_repeat(F.lit(0).cast("long"), k)
-
-    def step(state: Column, x: Column) -> Column:
-        loads = state["loads"]
-        least = (F.array_position(loads, F.array_min(loads)) - 1).cast("int")
-        return F.struct(F.transform(loads, lambda v, i: F.when(i == least, v - x["neg"]).otherwise(v)).alias("loads"), F.concat(state["folds"], F.array(least)).alias("folds"))
-
-    start = F.struct(zero.alias("loads"), F.array().cast("array<int>").alias("folds"))
-    folded = listed.select("all", F.aggregate("all", start, step, lambda s: s["folds"]).alias("folds"))
-    pairs = folded.select(F.explode(F.arrays_zip(F.transform("all", lambda x: x["g"]).alias("g"), F.col("folds").alias("f"))).alias("x"))
-    return pairs.select(F.col("x.g").alias(group), F.col("x.f").alias("fold"))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heap = [(0, fold) for fold in range(k)]
+        for batch in batches:
+            dealt = []
+            for n in batch.column(1).to_pylist():
+                load, fold = heap[0]
+                heapq.heapreplace(heap, (load + n, fold))
+                dealt.append(fold)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dealt, pa.int32())], names=[group, "fold"])
+
+    ordered = groups.select(F.col(group), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_n")).repartition(1).sortWithinPartitions(F.desc("_n"), group)
+    schema = T.StructType([T.StructField(group, groups.schema[group].dataType), T.StructField("fold", T.IntegerType())])
+    return ordered.mapInArrow(deal, schema)
 
 
 def with_group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:

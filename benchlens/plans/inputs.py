@@ -40,9 +40,10 @@ def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def interaction_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = attributions(spark, sf_dir).where("feature_id < 8")
-    b = a.select("row_id", F.col("feature_id").alias("feature_j"), F.col("shap").alias("y"))
-    return a.join(b, "row_id").select("row_id", "fold", F.col("feature_id").alias("feature_i"), "feature_j", (F.col("shap") * F.col("y")).alias("value"))
+    """Products of all feature pairs of each row, made inside the row."""
+    rows = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row_id"), (F.col("label") % 5).alias("fold"), "embedding", F.posexplode("embedding").alias("feature_i", "x"))
+    pairs = rows.select("row_id", "fold", "feature_i", "x", F.posexplode("embedding").alias("feature_j", "y"))
+    return pairs.select("row_id", "fold", "feature_i", "feature_j", (F.col("x").cast("double") * F.col("y").cast("double")).alias("value"))
 
 
 # The same views for DuckDB.
@@ -51,7 +52,7 @@ SQL = {
     "tasks_raw": "select s.s_suppkey as tid, s.s_nationkey as did, s.s_name as name, x.n as NumberOfInstances, x.p as NumberOfFeatures, x.k as NumberOfClasses, case when s.s_suppkey % 7 = 0 then null else s.s_acctbal end as MajorityClassSize from supplier s left join (select l_suppkey, count(*) n, count(distinct l_partkey) p, count(distinct l_returnflag) k from lineitem group by l_suppkey) x on x.l_suppkey = s.s_suppkey",
     "flows_raw": "select p_partkey as id, p_name as name, concat(p_brand, '.', p_type, '(size=', cast(p_size as varchar), ')') as full_name, cast(p_size as varchar) as version, cast(null as varchar) as external_version from part",
     "attr": "select row_id, fold, feature_id, case feature_id % 3 when 0 then 'meta::m' when 1 then 'text::emb_' else 'text::tok' end || cast(feature_id as varchar) as feature, shap from (select vec_id as row_id, label % 5 as fold, cast(unnest(range(0, len(embedding))) as integer) as feature_id, cast(unnest(embedding) as double) as shap from embeddings)",
-    "inter": "select a.row_id, a.fold, a.feature_id as feature_i, b.feature_id as feature_j, a.shap * b.shap as value from attr a join attr b on a.row_id = b.row_id where a.feature_id < 8 and b.feature_id < 8",
+    "inter": "select a.row_id, a.fold, a.feature_id as feature_i, b.feature_id as feature_j, a.shap * b.shap as value from attr a join attr b on a.row_id = b.row_id",
     "evals": "select task_id, flow_id, try_cast(value as double) as v from evals_raw where try_cast(value as double) is not null",
     "agg_mean": "select task_id, flow_id, avg(v) as target_value, coalesce(stddev_samp(v), 0) as value_std, count(v) as value_count from evals group by 1, 2",
     "flow_parts": "select id as flow_id, name as flow_name, full_name as flow_full_name, version as flow_version, external_version as flow_external_version, cast(null as varchar) as flow_uploader, concat_ws(chr(10), case when name <> '' then 'name: ' || name end, case when full_name <> '' then 'full_name: ' || full_name end, case when version <> '' then 'version: ' || version end, case when external_version <> '' then 'external_version: ' || external_version end) as flow_text from flows_raw",
@@ -60,14 +61,16 @@ SQL = {
     "kept_flows": "select * from flows where (starts_with(coalesce(flow_name, ''), 'small ') or starts_with(coalesce(flow_full_name, ''), 'small ') or starts_with(coalesce(flow_name, ''), 'Brand#1.') or starts_with(coalesce(flow_full_name, ''), 'Brand#1.')) and flow_id in (select flow_id from evals_raw)",
     "kept_evals": "select * from agg_mean where flow_id in (select flow_id from kept_flows)",
     "supervised": "select e.*, t.dataset_id, t.task_name, t.MajorityClassSize, t.NumberOfClasses, t.NumberOfFeatures, t.NumberOfInstances, f.flow_name, f.flow_full_name, f.flow_version, f.flow_external_version, f.flow_uploader, f.flow_text, f.flow_text_clean, concat_ws('::', e.task_id, e.flow_id) as row_id from kept_evals e left join tasks t using (task_id) left join kept_flows f using (flow_id) where f.flow_text is not null and e.target_value is not null",
-    "row_folds": "select row_id, task_id, flow_id, target_value as y, cast(ntile(5) over (order by md5(concat_ws('::', row_id, '42')), row_id) - 1 as integer) as fold from supervised",
+    "row_folds": "select row_id, task_id, flow_id, flow_version, target_value as y, cast(ntile(5) over (order by md5(concat_ws('::', row_id, '42')), row_id) - 1 as integer) as fold from supervised",
     "task_sizes": "select task_id, n, row_number() over (order by n desc, task_id) as rn from (select task_id, count(*) as n from supervised group by 1)",
     "task_folds": "select task_id, fold from greedy where rn > 0",
-    "group_folds": "select row_id, task_id, flow_id, target_value as y, fold from supervised join task_folds using (task_id)",
+    "group_folds": "select row_id, task_id, flow_id, flow_version, target_value as y, fold from supervised join task_folds using (task_id)",
     "folded": "select 'row_kfold' as split_mode, * from row_folds union all by name select 'task_group_kfold' as split_mode, * from group_folds",
-    "base": "select f.*, (sum(y) over (partition by split_mode) - sum(y) over (partition by split_mode, fold)) / (count(*) over (partition by split_mode) - count(*) over (partition by split_mode, fold)) as global_mean, (sum(y) over (partition by split_mode, task_id) - sum(y) over (partition by split_mode, task_id, fold)) / nullif(count(*) over (partition by split_mode, task_id) - count(*) over (partition by split_mode, task_id, fold), 0) as task_own, (sum(y) over (partition by split_mode, flow_id) - sum(y) over (partition by split_mode, flow_id, fold)) / nullif(count(*) over (partition by split_mode, flow_id) - count(*) over (partition by split_mode, flow_id, fold), 0) as flow_own from folded f",
+    "base": "select f.*, (sum(y) over (partition by split_mode) - sum(y) over (partition by split_mode, fold)) / (count(*) over (partition by split_mode) - count(*) over (partition by split_mode, fold)) as global_mean, (sum(y) over (partition by split_mode, task_id) - sum(y) over (partition by split_mode, task_id, fold)) / nullif(count(*) over (partition by split_mode, task_id) - count(*) over (partition by split_mode, task_id, fold), 0) as task_own, (sum(y) over (partition by split_mode, flow_id) - sum(y) over (partition by split_mode, flow_id, fold)) / nullif(count(*) over (partition by split_mode, flow_id) - count(*) over (partition by split_mode, flow_id, fold), 0) as flow_own, (sum(y) over (partition by split_mode, flow_version) - sum(y) over (partition by split_mode, flow_version, fold)) / nullif(count(*) over (partition by split_mode, flow_version) - count(*) over (partition by split_mode, flow_version, fold), 0) as version_own from folded f",
     "predictions": "select split_mode, 'global_mean' as model, fold, row_id, y as y_true, global_mean as y_pred from base union all select split_mode, 'task_mean', fold, row_id, y, coalesce(task_own, global_mean) from base union all select split_mode, 'flow_mean', fold, row_id, y, coalesce(flow_own, global_mean) from base",
     "cv": "select split_mode, model, fold, 1 - sum((y_true - y_pred) ** 2) / sum((y_true - m) ** 2) as r2, avg(abs(y_true - y_pred)) as mae, avg((y_true - y_pred) ** 2) as mse from (select *, avg(y_true) over (partition by split_mode, model, fold) as m from predictions) group by 1, 2, 3",
+    "differing": "select split_mode, model, fold, y_true, y_pred from predictions where model <> 'task_mean' union all select split_mode, 'version_mean', fold, y, coalesce(version_own, global_mean) from base",
+    "cv_differing": "select split_mode, model, fold, avg((y_true - y_pred) ** 2) as mse from differing group by 1, 2, 3",
     "summary": "select split_mode, model, avg(r2) as r2_mean, stddev_samp(r2) as r2_std, avg(mae) as mae_mean, stddev_samp(mae) as mae_std, avg(mse) as mse_mean, stddev_samp(mse) as mse_std from cv group by 1, 2",
     "by_fold": "select fold, feature_id, feature, sum(abs(shap)) / any_value(n) as mean_abs_shap from attr join (select fold, count(distinct row_id) as n from attr group by 1) using (fold) group by 1, 2, 3",
     "ranked": "select *, row_number() over (partition by fold, row_id order by abs(shap) desc, feature_id desc) as rank from attr",

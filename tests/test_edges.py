@@ -178,3 +178,14 @@ def test_configurations():
         with pytest.raises(ValueError):
             Config("c", **bad).check()
     assert list(models.select_models()) == ["ridge", "random_forest", "extra_trees", "hist_gbrt"]
+
+
+def test_group_folds_against_plain_greedy(spark):
+    """Largest groups first, each to the lightest fold; ties by id, then fold; many groups take linear time."""
+    sizes = {g: (g * 7919) % 13 + 1 for g in range(3000)}
+    loads, want = [0] * 5, {}
+    for g in sorted(sizes, key=lambda g: (-sizes[g], g)):
+        want[g] = loads.index(min(loads))
+        loads[want[g]] += sizes[g]
+    frame = spark.createDataFrame(list(sizes.items()), "g long, n long").repartition(7)
+    assert {r.g: r.fold for r in folds.group_folds(frame, "g", 5).collect()} == want
