@@ -2,14 +2,15 @@
 
 A saved ensemble is a table of nodes.  Every leaf is a box over the features of its path; for one
 explained and one background row a leaf's share follows in closed form from the features that only
-the one, or only the other, has inside the box.  Leaves and background (both bounded: by the
-ensemble's size and by ``background``) are broadcast, and NumPy works over leaf x background.
+the one, or only the other, has inside the box.  Leaves are broadcast in parts of bounded size, whose
+shares add up; within a task NumPy works over blocks of leaf x background of bounded size.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
+from functools import reduce
 from math import factorial
 
 import numpy as np
@@ -18,6 +19,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of leaves in one broadcast; further parts of an ensemble are further passes over the rows.
+PART_BYTES = 64 << 20
+#: Cells (background x leaf x depth) that a task compares at once.
+BLOCK_CELLS = 1 << 22
+
+
 @dataclass
 class Leaves:
     """Leaf boxes: features (-1 fills up), bounds (low, high], coverage ratios and values."""
@@ -34,7 +41,16 @@ class Leaves:
         return (own > self.low) & (own <= self.high) | (self.feature < 0)
 
     def predict(self, x: np.ndarray) -> np.ndarray:
-        return self.inside(x).all(2) @ self.value
+        return sum((part.inside(x).all(2) @ part.value for part in self.cut(BLOCK_CELLS // (max(1, len(x)) * self.feature.shape[1]))), np.zeros(len(x)))
+
+    def cut(self, most: int) -> Iterator[Leaves]:
+        """The same leaves in parts of ``most`` at most (of one at least)."""
+        most = max(1, most)
+        for a in range(0, len(self.value), most):
+            yield Leaves(*(getattr(self, f.name)[a : a + most] for f in fields(self)))
+
+    def parts(self) -> list[Leaves]:
+        return list(self.cut(PART_BYTES // (32 * self.feature.shape[1] + 8)))
 
 
 def boxes(nodes: dict[int, tuple], scale: float) -> list[tuple[dict[int, list], float]]:
@@ -144,32 +160,51 @@ def _matrix(vectors: pd.Series, width: int) -> np.ndarray:
 
 def explain(rows: DataFrame, leaves: Leaves, background: np.ndarray) -> tuple[DataFrame, float]:
     """(row_id, feature_id, shap), zeros left out, for (row_id, x: array<double>); and the expected value."""
-    spark = rows.sparkSession
     width = background.shape[1]
-    held = spark.sparkContext.broadcast((leaves, leaves.inside(background)))
+    kind = rows.schema["row_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, inside = held.value
-        for f in frames:
-            for row_id, x in zip(f["row_id"], _matrix(f["x"], width), strict=True):
-                values = shapley(own, x[None, :], inside, width)
-                at = np.flatnonzero(values)
-                yield pd.DataFrame({"row_id": row_id, "feature_id": at, "shap": values[at]})
+    def passed(part: Leaves) -> DataFrame:
+        held = rows.sparkSession.sparkContext.broadcast(part)
 
-    kind = rows.schema["row_id"].dataType.simpleString()
-    return rows.select("row_id", "x").mapInPandas(run, f"row_id {kind}, feature_id int, shap double"), float(leaves.predict(background).mean())
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            most = BLOCK_CELLS // (len(background) * held.value.feature.shape[1])
+            for f in frames:
+                xs = _matrix(f["x"], width)
+                values = np.zeros(xs.shape)
+                for own in held.value.cut(most):
+                    inside = own.inside(background)
+                    for k in range(len(xs)):
+                        values[k] += shapley(own, xs[k : k + 1], inside, width)
+                at, feature = np.nonzero(values)
+                yield pd.DataFrame({"row_id": f["row_id"].to_numpy()[at], "feature_id": feature, "shap": values[at, feature]})
+
+        return rows.select("row_id", "x").mapInPandas(run, f"row_id {kind}, feature_id int, shap double")
+
+    found = [passed(part) for part in leaves.parts()]
+    out = reduce(DataFrame.unionByName, found)
+    if len(found) > 1:
+        out = out.groupBy("row_id", "feature_id").agg(F.sum("shap").alias("shap")).where("shap <> 0")
+    return out, float(leaves.predict(background).mean())
 
 
 def explain_interactions(rows: DataFrame, leaves: Leaves, width: int) -> DataFrame:
     """(row_id, feature_i, feature_j, value), zeros left out."""
-    held = rows.sparkSession.sparkContext.broadcast(leaves)
+    kind = rows.schema["row_id"].dataType.simpleString()
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for row_id, x in zip(f["row_id"], _matrix(f["x"], width), strict=True):
-                values = interactions(held.value, x[None, :], width)
-                i, j = np.nonzero(values)
-                yield pd.DataFrame({"row_id": row_id, "feature_i": i, "feature_j": j, "value": values[i, j]})
+    def passed(part: Leaves) -> DataFrame:
+        held = rows.sparkSession.sparkContext.broadcast(part)
 
-    kind = rows.schema["row_id"].dataType.simpleString()
-    return rows.select("row_id", "x").mapInPandas(run, f"row_id {kind}, feature_i int, feature_j int, value double")
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                for row_id, x in zip(f["row_id"], _matrix(f["x"], width), strict=True):
+                    values = interactions(held.value, x[None, :], width)
+                    i, j = np.nonzero(values)
+                    yield pd.DataFrame({"row_id": row_id, "feature_i": i, "feature_j": j, "value": values[i, j]})
+
+        return rows.select("row_id", "x").mapInPandas(run, f"row_id {kind}, feature_i int, feature_j int, value double")
+
+    found = [passed(part) for part in leaves.parts()]
+    out = reduce(DataFrame.unionByName, found)
+    if len(found) > 1:
+        out = out.groupBy("row_id", "feature_i", "feature_j").agg(F.sum("value").alias("value")).where("value <> 0")
+    return out

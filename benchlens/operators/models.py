@@ -8,13 +8,15 @@ from dataclasses import dataclass
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.linalg import Vectors, VectorUDT
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from benchlens.operators.folds import split
+from benchlens.sources.results import written
 
 #: Columns of the normal equations that MLlib solves directly.
 MOST_NORMAL = 4096
@@ -55,6 +57,20 @@ def random_forest(train: DataFrame, seed: int, settings: Settings) -> Fitted:
     return _transformer(RandomForestRegressor(labelCol="y", numTrees=settings.trees, featureSubsetStrategy="all", maxBins=settings.bins, maxDepth=settings.depth, minInstancesPerNode=1, seed=seed).fit(train))
 
 
+def _binning(cuts: np.ndarray) -> Callable[[str], Column]:
+    """How many of a feature's cuts lie below its value, for all features of a vector column."""
+
+    @F.pandas_udf("array<double>")
+    def codes(rows: pd.Series) -> pd.Series:
+        held = np.stack(rows.to_numpy()) if len(rows) else np.zeros((0, len(cuts)))
+        out = np.zeros(held.shape)
+        for c in cuts.T:
+            out += c < held
+        return pd.Series(list(out))
+
+    return lambda column: array_to_vector(codes(vector_to_array(column)))
+
+
 def extra_trees(train: DataFrame, seed: int, settings: Settings) -> Fitted:
     """Trees over random thresholds: each sees the features cut at uniform points of their ranges.
 
@@ -66,10 +82,7 @@ def extra_trees(train: DataFrame, seed: int, settings: Settings) -> Fitted:
     for t in range(settings.random_trees):
         cuts = np.sort(np.random.default_rng((seed, t)).uniform(low[:, None], high[:, None], (len(low), settings.cuts)), axis=1)
 
-        @F.udf(VectorUDT())
-        def binned(v, cuts=cuts):
-            return Vectors.dense((cuts < v.toArray()[:, None]).sum(1))
-
+        binned = _binning(cuts)
         tree = DecisionTreeRegressor(labelCol="y", featuresCol="_cut", predictionCol=f"_t{t}", maxDepth=settings.depth, maxBins=settings.cuts + 2, seed=seed + t)
         trees.append((binned, tree.fit(train.withColumn("_cut", binned("features")))))
 
@@ -108,14 +121,15 @@ def select_models(names: list[str] | None = None) -> dict[str, Callable]:
     return {n: MODELS[n] for n in (names or MODELS)}
 
 
-def cross_validate(folded: DataFrame, names: list[str] | None = None, split_mode: str = "row_kfold", seed: int = 42, settings: Settings = Settings(), keep: dict | None = None) -> DataFrame:
+def cross_validate(folded: DataFrame, names: list[str] | None = None, split_mode: str = "row_kfold", seed: int = 42, settings: Settings = Settings(), keep: dict | None = None, only: int | None = None) -> DataFrame:
     """Out-of-fold predictions (split_mode, model, fold, row_id, y_true, y_pred) of each model.
 
     ``folded`` is (row_id, features, y, fold).  Fits are submitted from a small pool of threads, each
-    of them one MLlib job on the cluster; ``keep`` collects the fitted models by (model, fold).
+    of them one MLlib job on the cluster; ``keep`` collects the fitted models by (model, fold).  With
+    ``only``, that fold alone is held out.
     """
     models = select_models(names)
-    folded = folded.persist()
+    folded = written(folded)  # every fit reads it
     folds = sorted(r.fold for r in folded.select("fold").distinct().collect())
     if len(folds) < 2:
         raise ValueError("cross-validation needs two folds")
@@ -129,7 +143,7 @@ def cross_validate(folded: DataFrame, names: list[str] | None = None, split_mode
         return fitted(test).select(F.lit(split_mode).alias("split_mode"), F.lit(name).alias("model"), F.lit(fold).alias("fold"), "row_id", F.col("y").alias("y_true"), F.col("prediction").alias("y_pred"))
 
     with ThreadPoolExecutor(PARALLEL_FITS) as pool:
-        parts = list(pool.map(one, [(n, f) for n in models for f in folds]))
+        parts = list(pool.map(one, [(n, f) for n in models for f in folds if only in (None, f)]))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from benchlens.functions.text import fingerprint
 from benchlens.operators import attribution, explain, features, folds, metrics, report, tables
 from benchlens.operators import models as regressors
 from benchlens.sources import results
@@ -30,6 +31,7 @@ class Config:
     prefixes: tuple[str, ...] = (tables.PREFIX,)
     max_features: int = 5000
     max_df: float = 0.95
+    fit_scope: str = "all"
     compute_shap: bool = False
     shap_background: int = 200
     shap_eval: int = 100
@@ -42,6 +44,8 @@ class Config:
     def check(self) -> None:
         if self.text_mode not in features.TEXT_MODES:
             raise ValueError(f"text_mode {self.text_mode!r}")
+        if self.fit_scope not in ("all", "fold"):
+            raise ValueError(f"fit_scope {self.fit_scope!r}")
         if self.agg_mode not in ("mean", "max"):
             raise ValueError(f"agg_mode {self.agg_mode!r}")
         if not (self.run_row_kfold or self.run_task_group_kfold):
@@ -74,35 +78,42 @@ def run(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows:
     supervised, meta = supervise(evals, raw_tasks, raw_flows, config)
     if (supervised := keep("supervised", supervised)) is None:
         raise ValueError("no supervised rows")
-    text = {"max_features": config.max_features, "max_df": config.max_df} if config.text_mode == "tfidf" else {}
-    long = keep("features", features.build_features(supervised, config.text_mode, meta if config.use_task_metafeatures else None, vectors=vectors, **text))
-    dictionary = features.feature_dictionary(long).persist()
-    width = dictionary.count()
-    matrix = features.to_vectors(long, dictionary, width)
-    rows = supervised.select("row_id", "task_id", "flow_id", F.col("target_value").alias("y")).join(matrix, "row_id")
-    names, fitted = list(config.models), {}
-    parts, attributions, pairs = [], [], []
-    for mode, wanted in (("row_kfold", config.run_row_kfold), ("task_group_kfold", config.run_task_group_kfold)):
-        if not wanted:
-            continue
-        folded = folds.row_folds(rows, "row_id", config.cv_folds, config.seed) if mode == "row_kfold" else folds.with_group_folds(rows, "task_id", config.cv_folds)
-        folded = folded.select("row_id", "features", "y", "fold").persist()
-        own: dict = {}
-        parts.append(regressors.cross_validate(folded, names, mode, config.seed, config.settings, own))
-        fitted |= {(mode, *k): v for k, v in own.items()}
-        if config.compute_shap:
+    rows = supervised.select("row_id", "task_id", "flow_id", F.col("target_value").alias("y"))
+    protocols = {}
+    if config.run_row_kfold:
+        protocols["row_kfold"] = folds.row_folds(rows, "row_id", config.cv_folds, config.seed)
+    if config.run_task_group_kfold:
+        protocols["task_group_kfold"] = folds.with_group_folds(rows, "task_id", config.cv_folds)
+    protocols = {mode: results.written(folded.select("row_id", "y", "fold")) for mode, folded in protocols.items()}
+    long = keep("features", _features(spark, supervised, meta, config, root, vectors, protocols))
+    dictionary = results.written(features.feature_dictionary(long))
+    names, parts, attributions, pairs = list(config.models), [], [], []
+    for mode, folded in protocols.items():
+        # Features fitted on all rows serve every fold; those fitted on training rows have a matrix each.
+        for only in [None] if config.fit_scope == "all" else range(config.cv_folds):
+            seen = long if only is None else long.where((F.col("split_mode") == mode) & (F.col("fold") == only)).drop("split_mode", "fold")
+            known = dictionary if only is None else results.written(features.feature_dictionary(seen))
+            matrix = features.to_vectors(seen, known, known.count())
+            own: dict = {}
+            matched = results.written(folded.join(matrix, "row_id").select("row_id", "features", "y", "fold"))
+            parts.append(regressors.cross_validate(matched, names, mode, config.seed, config.settings, own, only))
+            if not config.compute_shap:
+                continue
             for (name, fold), model in own.items():
-                a, b = _explained(spark, folded, model, name, fold, mode, config, root, dictionary)
+                a, b = explained(spark, matched, model, name, fold, mode, config, root, known)
                 attributions.append(a)
                 pairs += [b] if b is not None else []
-    predictions = keep("predictions", _union(parts))
+    predictions = keep("predictions", union(parts))
     cv = keep("cv_results", metrics.fold_metrics(predictions, ["split_mode", "model", "fold"]))
     keep("summary", metrics.summarize(cv))
     keep("wilcoxon_mse", metrics.wilcoxon(cv, "mse"))
     keep("wilcoxon_r2", metrics.wilcoxon(cv, "r2"))
     if attributions:
         by = ["split_mode", "model"]
-        shap = _union(attributions).persist()
+        shap = union(attributions)
+        if config.fit_scope == "fold":  # one numbering for the features of all folds
+            shap = shap.drop("feature_id").join(F.broadcast(dictionary), "feature")
+        shap = keep("local_shap", shap)
         by_fold = explain.mean_abs(shap, [*by, "fold"])
         keep("global_shap", explain.global_importance(by_fold, by))
         local = keep("local_shap_metrics", explain.local_metrics(shap, [*by, "fold", "row_id"], config.top_k, config.mass, dictionary))
@@ -110,19 +121,41 @@ def run(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows:
         stability = keep("global_shap_stability", explain.fold_stability(top, by, config.top_k))
         keep("shap_summary_metrics", explain.shap_summary(local, stability, by, config.top_k, config.mass))
         if pairs:
-            keep("interaction_metrics", explain.interaction_ratio(_union(pairs), [*by, "fold"]))
-    results.write_metadata(spark, root, f"{config.agg_mode}-{config.name}", {"name": config.name, "agg_mode": config.agg_mode, "text_mode": config.text_mode, "use_task_metafeatures": config.use_task_metafeatures, "cv_folds": config.cv_folds, "seed": config.seed, "models": names})
+            keep("interaction_metrics", explain.interaction_ratio(union(pairs), [*by, "fold"]))
+    results.write_metadata(spark, root, f"{config.agg_mode}-{config.name}", {"name": config.name, "agg_mode": config.agg_mode, "text_mode": config.text_mode, "use_task_metafeatures": config.use_task_metafeatures, "fit_scope": config.fit_scope, "cv_folds": config.cv_folds, "seed": config.seed, "models": names})
     return out
 
 
-def _union(parts: list[DataFrame]) -> DataFrame:
+def _features(spark: SparkSession, supervised: DataFrame, meta: list[str], config: Config, root: str, vectors: DataFrame | None, protocols: dict[str, DataFrame]) -> DataFrame:
+    """Features of all rows; with ``fit_scope`` fold, those of each protocol and fold, fitted on its training rows.
+
+    Term weights that are fitted on all rows depend on the texts and two parameters alone, so runs
+    below one root that agree in these share one table.
+    """
+    wanted = meta if config.use_task_metafeatures else None
+    text: dict = {"max_features": config.max_features, "max_df": config.max_df} if config.text_mode == "tfidf" else {}
+    if config.fit_scope == "all":
+        if text:
+            payload = {**text, "texts": fingerprint(supervised, "flow_text").first().fingerprint}
+            text = {"weights": results.materialize(spark, lambda: features.tfidf(supervised, "flow_text", **text), f"{root}/shared", "tfidf", payload)}
+        return features.build_features(supervised, config.text_mode, wanted, vectors=vectors, **text)
+    parts = []
+    for mode, folded in protocols.items():
+        for fold in range(config.cv_folds):
+            train = supervised.join(folded.where(F.col("fold") != fold).select("row_id"), "row_id", "left_semi")
+            own = features.build_features(supervised, config.text_mode, wanted, vectors=vectors, fit_on=train, **text)
+            parts.append(own.select(F.lit(mode).alias("split_mode"), F.lit(fold).alias("fold"), "*"))
+    return union(parts)
+
+
+def union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _explained(spark, folded: DataFrame, model, name: str, fold: int, mode: str, config: Config, root: str, dictionary: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+def explained(spark, folded: DataFrame, model, name: str, fold: int, mode: str, config: Config, root: str, dictionary: DataFrame) -> tuple[DataFrame, DataFrame | None]:
     """Attributions of sampled test rows against sampled training rows, and their interactions."""
     train, test = folds.split(folded.select("row_id", "fold", vector_to_array("features").alias("x")), fold)
     background = folds.sample(train.withColumn("g", F.lit(0)), ["g"], "row_id", config.shap_background, config.seed + fold, "background")
@@ -171,4 +204,26 @@ def repeated_validation(rows: DataFrame, group: str, names: list[str], repeats:
     for rep in range(repeats):
         folded = rows.join(folds.shuffled_group_folds(rows, group, k, seed, rep), group).select("row_id", "features", "y", "fold")
         parts.append(regressors.cross_validate(folded, names, "shuffled_groups", seed + rep, settings).withColumn("rep", F.lit(rep)))
-    return _union(parts)
+    return union(parts)
+
+
+def repeated_stability(spark: SparkSession, rows: DataFrame, group: str, dictionary: DataFrame, config: Config, root: str, repeats: int = 6, seed: int = 2000) -> dict[str, DataFrame]:
+    """Repeated shuffled group folds with attributions: predictions, fold-pair overlaps and their summary.
+
+    ``overlaps`` has the Jaccard overlap of the top-k features of each fold pair, by model and repeat;
+    ``stability`` its mean within each repeat, then mean and population deviation over repeats.
+    """
+    parts, attributions = [], []
+    for rep in range(repeats):
+        folded = results.written(rows.join(folds.shuffled_group_folds(rows, group, config.cv_folds, seed, rep), group).select("row_id", "features", "y", "fold"))
+        own: dict = {}
+        parts.append(regressors.cross_validate(folded, list(config.models), "shuffled_groups", seed + rep, config.settings, own).withColumn("rep", F.lit(rep)))
+        for (name, fold), model in own.items():
+            attributions.append(explained(spark, folded, model, name, fold, f"rep{rep}", config, root, dictionary)[0].withColumn("rep", F.lit(rep)))
+    by = ["model", "rep"]
+    shap = results.written(union(attributions).select(*by, "fold", "row_id", "feature_id", "feature", "shap"))
+    top = explain.global_topk(explain.mean_abs(shap, [*by, "fold"]), [*by, "fold"], config.top_k)
+    overlaps = explain.fold_stability(top, by, config.top_k)
+    inner = overlaps.groupBy(*by).agg(F.avg("jaccard").alias("j"))
+    stability = inner.groupBy("model").agg(F.count("*").alias("n_repeats"), F.avg("j").alias("jaccard_mean"), F.stddev_pop("j").alias("jaccard_std"))
+    return {"predictions": union(parts), "overlaps": overlaps, "stability": stability}

@@ -57,7 +57,7 @@ def _supervised(s, d):
 
 
 def _rows(s, d):
-    return _supervised(s, d).select("row_id", "task_id", "flow_id", F.col("target_value").alias("y"))
+    return _supervised(s, d).select("row_id", "task_id", "flow_id", "flow_version", F.col("target_value").alias("y"))
 
 
 def _folded(s, d):
@@ -66,18 +66,25 @@ def _folded(s, d):
     return {"row_kfold": folds.row_folds(rows, "row_id", I.FOLDS, I.SEED), "task_group_kfold": folds.with_group_folds(rows, "task_id", I.FOLDS)}
 
 
-def _predictions(s, d):
+GLOBAL, FLOW = ("global_mean", []), ("flow_mean", ["flow_id"])
+#: Under group folds no training row has a test row's task, so ``task_mean`` is the global mean there.
+STAND_INS = (GLOBAL, ("task_mean", ["task_id"]), FLOW)
+#: Predictors that differ under both protocols, so that no difference is rounding noise.
+DIFFERING = (GLOBAL, ("version_mean", ["flow_version"]), FLOW)
+
+
+def _predictions(s, d, stand_ins=STAND_INS):
     out = None
     for mode, folded in _folded(s, d).items():
         folded = results.written(folded)  # three predictors read it
-        for name, by in (("global_mean", []), ("task_mean", ["task_id"]), ("flow_mean", ["flow_id"])):
+        for name, by in stand_ins:
             own = models.mean_predictor(folded, name, by, mode)
             out = own if out is None else out.unionByName(own)
     return out
 
 
-def _cv(s, d):
-    return metrics.fold_metrics(results.written(_predictions(s, d)), ["split_mode", "model", "fold"])
+def _cv(s, d, stand_ins=STAND_INS):
+    return metrics.fold_metrics(_predictions(s, d, stand_ins), ["split_mode", "model", "fold"])
 
 
 def _by_fold(s, d):
@@ -99,9 +106,9 @@ def load_tasks(s, d):
     return S.load_tasks(I.tasks(s, d), suite).select("tid", "did", "name")
 
 
-@query("select id, name, full_name from flows_raw where id in (select flow_id from evals_raw where task_id % 10 = 0)")
+@query("select id, name, full_name, version, external_version from flows_raw where id in (select flow_id from evals_raw)")
 def load_flows(s, d):
-    return S.load_flows(I.flows(s, d), I.evaluations(s, d).where("task_id % 10 = 0"))[0].select("id", "name", "full_name")
+    return S.load_flows(I.flows(s, d), I.evaluations(s, d))[0].select("id", "name", "full_name", "version", "external_version")
 
 
 @query("select id, name, full_name from flows_raw where id in (select flow_id from evals_raw)")
@@ -278,9 +285,9 @@ def repeated_summary(s, d):
     return metrics.repeated_summary(_cv(s, d).withColumn("rep", F.col("fold") % 2), ["split_mode", "model"])
 
 
-@query("select x.split_mode, model_a, model_b, 'mse' as metric, least(up, down) as statistic, case when up + down = 0 then 1.0 else least(1.0, 2.0 * (select count(*) from range(32) t(b) where (b & 1) * 1 + ((b >> 1) & 1) * 2 + ((b >> 2) & 1) * 3 + ((b >> 3) & 1) * 4 + ((b >> 4) & 1) * 5 <= least(up, down)) / 32) end as p_value from (select split_mode, model_a, model_b, sum(case when diff > 0 then r else 0 end) as up, sum(case when diff < 0 then r else 0 end) as down from (select *, cast(row_number() over (partition by split_mode, model_a, model_b order by abs(diff)) as double) as r from (select a.split_mode, a.model as model_a, b.model as model_b, a.mse - b.mse as diff from cv a join cv b on a.split_mode = b.split_mode and a.fold = b.fold and a.model < b.model)) group by 1, 2, 3) x")
+@query("select x.split_mode, model_a, model_b, 'mse' as metric, least(up, down) as statistic, least(1.0, 2.0 * (select count(*) from range(32) t(b) where (b & 1) * 1 + ((b >> 1) & 1) * 2 + ((b >> 2) & 1) * 3 + ((b >> 3) & 1) * 4 + ((b >> 4) & 1) * 5 <= least(up, down)) / 32) as p_value from (select split_mode, model_a, model_b, sum(case when diff > 0 then r else 0 end) as up, sum(case when diff < 0 then r else 0 end) as down from (select *, cast(row_number() over (partition by split_mode, model_a, model_b order by abs(diff)) as double) as r from (select a.split_mode, a.model as model_a, b.model as model_b, a.mse - b.mse as diff from cv_differing a join cv_differing b on a.split_mode = b.split_mode and a.fold = b.fold and a.model < b.model)) group by 1, 2, 3) x")
 def wilcoxon(s, d):
-    return metrics.wilcoxon(_cv(s, d), "mse")
+    return metrics.wilcoxon(_cv(s, d, DIFFERING), "mse")
 
 
 @query("select split_mode, model_a, model_b, diff, r + (c - 1) / 2.0 as rank, c as ties from (select *, rank() over (partition by split_mode, model_a, model_b order by abs(diff)) as r, count(*) over (partition by split_mode, model_a, model_b, abs(diff)) as c from (select 'all' as split_mode, task_id as model_a, flow_id % 3 as model_b, round(v / 1000) - 5 as diff from evals) where diff <> 0)")
@@ -315,11 +322,8 @@ def tfidf(s, d):
 
 @query("select 'NumberOfInstances' as feature, median(NumberOfInstances) as median, stddev_pop(coalesce(NumberOfInstances, (select median(NumberOfInstances) from tasks))) as std from tasks union all select 'MajorityClassSize', median(MajorityClassSize), stddev_pop(coalesce(MajorityClassSize, (select median(MajorityClassSize) from tasks))) from tasks")
 def numeric_statistics(s, d):
-    t = tables.normalize_tasks(I.tasks(s, d))[0]
-    medians = t.agg(*[F.median(c).alias(c) for c in ("NumberOfInstances", "MajorityClassSize")])
-    filled = t.crossJoin(F.broadcast(medians.withColumnsRenamed({"NumberOfInstances": "a", "MajorityClassSize": "b"})))  # one row
-    one = lambda c, m: filled.agg(F.lit(c).alias("feature"), F.first(m).cast("double").alias("median"), F.stddev_pop(F.coalesce(c, m)).alias("std"))
-    return one("NumberOfInstances", "a").unionByName(one("MajorityClassSize", "b"))
+    stats = features.numeric_statistics(tables.normalize_tasks(I.tasks(s, d))[0], ["NumberOfInstances", "MajorityClassSize"])
+    return s.createDataFrame([(c, float(m), float(std)) for c, (m, std) in stats.items()], "feature string, median double, std double")
 
 
 SCALED = ", ".join(f"coalesce({c}, (select median({c}) from tasks)) / (select case when s = 0 then 1 else s end from (select stddev_pop(coalesce({c}, (select median({c}) from tasks))) as s from tasks)) as {c}" for c in ("MajorityClassSize", "NumberOfInstances", "NumberOfClasses"))
@@ -488,10 +492,13 @@ def top_of_one(s, d):
     return report.top_of_one(_by_fold(s, d))
 
 
-@query("select 'a' as run, t.row_id, rank, feature_id, feature, shap from (select *, row_number() over (order by abs(shap) desc, feature_id desc) as rank from attr where row_id = (select min(row_id) from attr where fold = 2)) t where rank <= 10")
+@query("with runs as (select 'a' as run, row_id, feature_id, feature, shap from attr union all select 'b', row_id, feature_id, feature, case when feature_id % 2 = 0 then shap else -shap / 2 end from attr where fold = 2) select run, row_id, rank, feature_id, feature, shap from (select *, row_number() over (partition by run order by abs(shap) desc, feature_id desc) as rank from runs where row_id = (select min(row_id) from runs where run = 'b')) where rank <= 10")
 def case_study(s, d):
-    a = I.attributions(s, d).where("fold = 2").withColumn("run", F.lit("a"))
-    return explain.case_study(a, "run", ["a"])
+    """Run a explains every row, run b only those of fold 2: their least common row, side by side."""
+    a = I.attributions(s, d)
+    b = a.where("fold = 2").withColumn("shap", F.when(F.col("feature_id") % 2 == 0, F.col("shap")).otherwise(-F.col("shap") / 2))
+    runs = a.withColumn("run", F.lit("a")).unionByName(b.withColumn("run", F.lit("b")))
+    return explain.case_study(runs, "run", ["a", "b"])
 
 
 @query("select 'tfidf_meta' as experiment, * from summary where split_mode = 'task_group_kfold' order by r2_mean desc")
@@ -552,6 +559,18 @@ def repeated_validation(s, d):
     return metrics.repeated_summary(metrics.fold_metrics(predictions, ["model", "rep", "fold"]), ["model"])
 
 
+@query(None)
+def robust_stability(s, d):
+    """Overlap of the two strongest metafeatures over the folds of repeated group folds."""
+    supervised = results.written(_supervised(s, d))
+    long = results.written(features.build_features(supervised, "none", tables.normalize_tasks(I.tasks(s, d))[1]))
+    dictionary = results.written(features.feature_dictionary(long))
+    matrix = features.to_vectors(long, dictionary, dictionary.count())
+    rows = results.written(supervised.select("row_id", "task_id", F.col("target_value").alias("y")).join(matrix, "row_id"))
+    config = pipeline.Config("robust", text_mode="none", models=("ridge", "random_forest"), cv_folds=3, top_k=2, settings=SMALL)
+    return pipeline.repeated_stability(s, rows, "task_id", dictionary, config, results.work_dir(s), repeats=2)["stability"]
+
+
 @query(None)
 def tree_attributions(s, d):
     leaves, rows, background, _ = _forest(s, d)
@@ -564,6 +583,40 @@ def tree_interactions(s, d):
     return attribution.explain_interactions(rows, leaves, width)
 
 
+def _explained_folds(s, d, interactions: bool):
+    """Attributions (and interactions) of a forest in every fold, with the sample sizes of the full study."""
+    supervised = results.written(_supervised(s, d))
+    long = results.written(features.numeric_features(supervised, tables.normalize_tasks(I.tasks(s, d))[1]))
+    dictionary = results.written(features.feature_dictionary(long))
+    matrix = features.to_vectors(long, dictionary, dictionary.count())
+    rows = supervised.select("row_id", F.col("target_value").alias("y")).join(matrix, "row_id")
+    folded = results.written(folds.row_folds(rows, "row_id", I.FOLDS, I.SEED))
+    config = pipeline.Config("folds", text_mode="none", models=("random_forest",), compute_interactions=interactions, settings=SMALL)
+    own: dict = {}
+    models.cross_validate(folded, list(config.models), "row_kfold", I.SEED, SMALL, own)
+    found = [pipeline.explained(s, folded, own[k], *k, "row_kfold", config, results.work_dir(s), dictionary) for k in sorted(own)]
+    return pipeline.union([f[1 if interactions else 0] for f in found])
+
+
+@query(None)
+def fold_attributions(s, d):
+    return _explained_folds(s, d, False).select("fold", "row_id", "feature", "shap")
+
+
+@query(None)
+def fold_interactions(s, d):
+    return explain.interaction_ratio(_explained_folds(s, d, True), ["fold"])
+
+
+@query(None)
+def whole_text_run(s, d):
+    """Text and metafeatures, fitted on each fold's training rows, with attributions of every fold."""
+    config = pipeline.Config("tfidf_meta", fit_scope="fold", models=("random_forest",), prefixes=I.KEEP, cv_folds=3, compute_shap=True, settings=SMALL)
+    root = results.work_dir(s)
+    pipeline.run(s, I.evaluations(s, d), I.tasks(s, d), I.flows(s, d), config, root)
+    return pipeline.consolidate(s, root, "mean")["shap_summary"]
+
+
 @query(None)
 def whole_run(s, d):
     config = pipeline.Config("meta_only", text_mode="none", models=("ridge", "random_forest"), prefixes=I.KEEP, cv_folds=3, settings=SMALL)

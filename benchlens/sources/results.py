@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -13,8 +14,8 @@ from pyspark.sql import functions as F
 from benchlens.functions.text import cache_key
 
 #: Tables of a run.
-KINDS = ("cv_results", "summary", "wilcoxon_mse", "wilcoxon_r2", "global_shap", "local_shap_metrics", "global_shap_topk", "global_shap_stability", "interaction_metrics", "shap_summary_metrics", "predictions", "supervised", "features")
-METADATA = "name string, agg_mode string, text_mode string, use_task_metafeatures boolean, cv_folds int, seed long, models array<string>, created string"
+KINDS = ("cv_results", "summary", "wilcoxon_mse", "wilcoxon_r2", "global_shap", "local_shap_metrics", "global_shap_topk", "global_shap_stability", "interaction_metrics", "shap_summary_metrics", "local_shap", "predictions", "supervised", "features")
+METADATA = "name string, agg_mode string, text_mode string, use_task_metafeatures boolean, fit_scope string, cv_folds int, seed long, models array<string>, created string"
 
 
 def _file_system(spark: SparkSession, path: str):
@@ -23,9 +24,14 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new folder below the session's ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """A new folder below the session's ``spark.checkpoint.dir``.
+
+    Only where that is unset and Spark runs in one process is a temporary one set.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="benchlens-"))
         root = spark.sparkContext.getCheckpointDir()
     return f"{root.rstrip('/')}/runs-{uuid.uuid4().hex}"
@@ -44,13 +50,19 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_result(df: DataFrame, root: str, kind: str, run: str, agg_mode: str = "mean") -> bool:
-    """One table of one run, under its run's partition; empty tables are not written."""
+    """One table of one run, under its run's partition, computed once; empty tables are removed again."""
     if kind not in KINDS:
         raise ValueError(f"result kind {kind!r}")
-    if df.isEmpty():
-        return False
-    df.write.mode("overwrite").parquet(f"{root}/{kind}/agg_mode={agg_mode}/run={run}")
-    return True
+    spark, path = df.sparkSession, f"{root}/{kind}/agg_mode={agg_mode}/run={run}"
+    df.write.mode("overwrite").parquet(path)
+    if not spark.read.schema(df.schema).parquet(path).isEmpty():
+        return True
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
+    for above in (at.getParent(), at.getParent().getParent()):
+        if not fs.listStatus(above):
+            fs.delete(above, False)
+    return False
 
 
 def read_results(spark: SparkSession, root: str, kind: str) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import functions as F
 
 from benchlens.operators import attribution as A
-from benchlens.operators import explain, models
+from benchlens.operators import explain, folds, models
 from benchlens.plans import inputs, pipeline
 from benchlens.sources import results
 
@@ -176,3 +176,53 @@ def test_repeated_validation(spark, data):
     got = pipeline.repeated_validation(rows, "g", ["ridge"], repeats=2, k=2, settings=SMALL)
     assert got.groupBy("rep", "row_id").count().where("count <> 1").isEmpty() and got.count() == 300
     assert explain.TOP_K == 10
+
+
+def test_features_fitted_on_training_rows(spark, tmp_path):
+    """With ``fit_scope`` fold, no fold's features know its test rows; a table of attributions is kept."""
+    sf, root = "/root/testdata/sf0.001", f"file://{tmp_path}/results"
+    config = pipeline.Config("scoped", text_mode="none", fit_scope="fold", models=("ridge",), prefixes=("Brand#1.", "small "), settings=SMALL, cv_folds=2, run_row_kfold=False, compute_shap=True, shap_background=5, shap_eval=4)
+    out = pipeline.run(spark, inputs.evaluations(spark, sf), inputs.tasks(spark, sf), inputs.flows(spark, sf), config, root)
+    long, supervised = out["features"], out["supervised"]
+    fold_of = {r.row_id: r.fold for r in folds.with_group_folds(supervised, "task_id", 2).collect()}
+    column = "NumberOfInstances"
+    values = {r.row_id: r[column] for r in supervised.collect()}
+    for fold in (0, 1):
+        train = np.array([v for k, v in values.items() if fold_of[k] != fold], float)
+        median = np.nanmedian(train)
+        std = np.std(np.where(np.isnan(train), median, train))
+        for r in long.where(f"fold = {fold} and feature = 'meta::{column}'").collect():
+            own = values[r.row_id] if values[r.row_id] is not None else median
+            assert np.isclose(r.value, own / (std or 1.0))
+    assert out["predictions"].count() == supervised.count()
+    assert out["local_shap"].select("feature_id", "feature").distinct().groupBy("feature").count().where("count > 1").isEmpty()
+
+
+def test_shared_text_weights_are_made_once(spark, tmp_path, monkeypatch):
+    sf, root = "/root/testdata/sf0.001", f"file://{tmp_path}/results"
+    calls, real = [], pipeline.features.tfidf
+    monkeypatch.setattr(pipeline.features, "tfidf", lambda *a, **k: calls.append(1) or real(*a, **k))
+    base = {"models": ("ridge",), "prefixes": ("Brand#1.", "small "), "settings": SMALL, "cv_folds": 2, "max_features": 20, "run_row_kfold": False}
+    grid = [pipeline.Config("a", **base), pipeline.Config("b", use_task_metafeatures=False, **base)]
+    pipeline.run_grid(spark, inputs.evaluations(spark, sf), inputs.tasks(spark, sf), inputs.flows(spark, sf), grid, root)
+    assert len(calls) == 1
+
+
+def test_leaves_in_parts(spark, data, monkeypatch, tmp_path):
+    """An ensemble that is broadcast in parts, and compared in small blocks, gives the same attributions."""
+    x, _, df = data
+    model = RandomForestRegressor(labelCol="y", maxDepth=3, seed=1, numTrees=3).fit(df)
+    leaves = A.ensemble_leaves(spark, model, f"file://{tmp_path}/m")
+    rows = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(3)], "row_id long, x array<double>")
+    read = lambda f: {(r.row_id, r.feature_id): r.shap for r in f.collect()}
+    whole = read(A.explain(rows, leaves, x[100:110])[0])
+    pairs = {(r.row_id, r.feature_i, r.feature_j): r.value for r in A.explain_interactions(rows, leaves, 4).collect()}
+    monkeypatch.setattr(A, "PART_BYTES", 900)
+    monkeypatch.setattr(A, "BLOCK_CELLS", 64)
+    assert len(leaves.parts()) > 2
+    found, expected = A.explain(rows, leaves, x[100:110])
+    parts = read(found)
+    assert parts.keys() == whole.keys() and all(np.isclose(parts[k], whole[k]) for k in whole)
+    assert np.isclose(expected, leaves.predict(x[100:110]).mean())
+    again = {(r.row_id, r.feature_i, r.feature_j): r.value for r in A.explain_interactions(rows, leaves, 4).collect()}
+    assert all(np.isclose(again.get(k, 0.0), v) for k, v in pairs.items())

@@ -30,8 +30,21 @@ def test_models_and_runs(spark):
 def test_all_flows_and_all_pairs(spark):
     """Flows of any task are loaded, and the ratio is that of all pairs of features."""
     of_all, of_some = ({r.id for r in registry.QUERIES[n](spark, SF).collect()} for n in ("load_all_flows", "load_flows"))
-    assert of_some < of_all
+    assert of_some == of_all == {r.id for r in spark.read.parquet(f"{SF}/part.parquet").selectExpr("p_partkey as id").join(spark.read.parquet(f"{SF}/lineitem.parquet").selectExpr("l_partkey as id"), "id", "left_semi").collect()}
     a = spark.createDataFrame([(r, r % 2, i, (i - r) / 7.0) for r in range(4) for i in range(12)], "row_id long, fold int, feature_id int, shap double")
     pairs = a.alias("a").join(a.alias("b"), "row_id").select("a.fold", F.col("a.feature_id").alias("feature_i"), F.col("b.feature_id").alias("feature_j"), (F.col("a.shap") * F.col("b.shap")).alias("value"))
     got, want = ({r.fold: r.interaction_ratio for r in f.collect()} for f in (explain.product_interaction_ratio(a, ["fold"]), explain.interaction_ratio(pairs, ["fold"])))
     assert got == pytest.approx(want)
+
+
+def test_every_fold_is_explained(spark):
+    shap = registry.QUERIES["fold_attributions"](spark, SF)
+    assert {r.fold for r in shap.select("fold").distinct().collect()} == set(range(5))
+    assert {r.fold for r in registry.QUERIES["fold_interactions"](spark, SF).collect()} == set(range(5))
+
+
+def test_text_run_and_repeats(spark):
+    run = registry.QUERIES["whole_text_run"](spark, SF).collect()
+    assert [(r.experiment, r.model) for r in run] == [("tfidf_meta", "random_forest")] and run[0].n_local_explanations > 0
+    got = {r.model: r for r in registry.QUERIES["robust_stability"](spark, SF).collect()}
+    assert set(got) == {"ridge", "random_forest"} and all(r.n_repeats == 2 and 0 <= r.jaccard_mean <= 1 for r in got.values())
