@@ -18,6 +18,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -54,7 +55,7 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 @dataclass
 class Element:
     tag: str
-    path: str
+    path: int
     left_out: bool
     article: bool
     main: bool
@@ -62,8 +63,8 @@ class Element:
 
 @dataclass
 class Page:
-    tags: list[tuple[str, int]] = field(default_factory=list)  # path (as a hash) of each start tag, place
-    blocks: list[tuple[str, str, Element, int]] = field(default_factory=list)  # path, text, region, place
+    tags: list[tuple[int, int]] = field(default_factory=list)  # path (as a hash) of each start tag, place
+    blocks: list[tuple[int, str, Element, int]] = field(default_factory=list)  # path, text, region, place
 
 
 class _Markup:
@@ -100,6 +101,20 @@ class _Markup:
         return None
 
 
+def _key(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+@lru_cache(1 << 14)
+def _below(path: int, tag: str, name: str) -> int:
+    return _key(f"{path}/{tag}.{name}")
+
+
+def block_token(path: int, text: str) -> int:
+    return _key(f"{path}\n{text}")
+
+
+@lru_cache(1 << 14)
 def _left_out(tag: str, attributes: str) -> tuple[bool, str]:
     """Whether an element opens a region that is never main text, and its class for the path."""
     if not attributes or "=" not in attributes:
@@ -117,7 +132,7 @@ def _left_out(tag: str, attributes: str) -> tuple[bool, str]:
 def read(source: str) -> Page:
     """Tags and text blocks of a page, in order.  Unclosed and crossed tags are tolerated."""
     page = Page()
-    stack = [Element("", "", False, False, False)]
+    stack = [Element("", 0, False, False, False)]
     held: list[str] = []
     place = 0
 
@@ -162,7 +177,7 @@ def read(source: str) -> Page:
                 if first is not None:
                     del stack[first:]
         above = stack[-1]
-        path = xxhash.xxh64_hexdigest(f"{above.path}/{tag}.{name}".encode("utf-8", "surrogatepass"))
+        path = _below(above.path, tag, name)
         place += 1
         page.tags.append((path, place))
         if tag in VOID or attributes.endswith("/") and tag not in BLOCK:
@@ -182,14 +197,6 @@ def read(source: str) -> Page:
     return page
 
 
-def _key(text: str) -> int:
-    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
-def block_token(path: str, text: str) -> int:
-    return _key(f"{path}\n{text}")
-
-
 def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(host, page, html) -> (host, token, is_text, element, page, count)."""
     for batch in batches:
@@ -198,7 +205,7 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             out: list[tuple] = []
             for host, page_key, source in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 page = read(source or "")
-                counts = Counter([*((e := _key(p), False, e) for p, _ in page.tags), *((block_token(p, t), True, _key(p)) for p, t, _, _ in page.blocks)])
+                counts = Counter([*((p, False, p) for p, _ in page.tags), *((block_token(p, t), True, p) for p, t, _, _ in page.blocks)])
                 out += [(host, token, text, element, page_key, c) for (token, text, element), c in counts.items()]
             if out:
                 kinds = (pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int32())
@@ -253,8 +260,9 @@ def _structures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     hosts[host] = {t["token"]: t["cls"] for t in part.column(2)[i].as_py()}
                 known = hosts[host]
                 page = read(source or "")
-                places = sorted([*((k, _key(p)) for p, k in page.tags), *((k, block_token(p, t)) for p, t, _, k in page.blocks)])
-                sequence = [(known[t], t) for _, t in places if t in known]
+                places = [(k, p) for p, k in page.tags if p in known]
+                places += [(k, x) for p, t, _, k in page.blocks if (x := block_token(p, t)) in known]
+                sequence = [(known[t], t) for _, t in sorted(places)]
                 mark = hash((host, tuple(t for _, t in sequence)))
                 if mark in seen:
                     continue
