@@ -3,8 +3,8 @@
 Candidate blocks are runs of sentences made of license wording around a telling word, or that hold one
 amid other words.  Each block is
 compressed alone and with every template as a zstandard raw dictionary; templates rank by the share
-of bytes that they save.  They are then compared with the block word by word, best ones first until
-one is confirmed, and the wording differences decide which license, if any, the block states.
+of bytes that they save.  All that a block has words enough for are then compared with it word by
+word, best savers first, and the wording differences decide which license, if any, the block states.
 """
 
 from __future__ import annotations
@@ -103,6 +103,22 @@ def _vocabulary(extra: tuple[tuple[str, str], ...]) -> frozenset[str]:
     return frozenset(w for _, t in templates(extra) for w in t)
 
 
+@lru_cache(maxsize=4)
+def _silent(extra: tuple[tuple[str, str], ...]) -> tuple[tuple[Counter, int], ...]:
+    """Word counts and lengths of the own templates that have no telling word."""
+    told = re.compile(TELLING)
+    return tuple((Counter(w), len(w)) for _, t in extra if not told.search(t) and (w := words_of(t)))
+
+
+def _tells(spoken: str, telling: re.Pattern, extra: tuple[tuple[str, str], ...]) -> bool:
+    """Whether a text has a telling word, or words enough for an own template without one."""
+    if telling.search(spoken):
+        return True
+    silent = _silent(extra)
+    have = Counter(words_of(spoken)) if silent else Counter()
+    return any(sum(min(n, have[w]) for w, n in c.items()) >= LEAST_SAME * size for c, size in silent)
+
+
 def blocks(text: str, extra: tuple[tuple[str, str], ...] = ()) -> Iterator[tuple[int, int]]:
     """Character ranges of candidate blocks: runs of sentences that mostly use template words, one of them
     telling, or that are telling themselves, with the lines over which such a sentence is wrapped."""
@@ -111,7 +127,7 @@ def blocks(text: str, extra: tuple[tuple[str, str], ...] = ()) -> Iterator[tuple
     wrapped: list[bool] = []  # whether a sentence goes on from the line before
 
     def whole() -> Iterator[tuple[int, int]]:
-        if lines and telling.search(text, lines[0][0], lines[-1][1]):
+        if lines and _tells(text[lines[0][0] : lines[-1][1]], telling, extra):
             yield lines[0][0], lines[-1][1]
 
     for m in _SENTENCE.finditer(text):
@@ -119,7 +135,7 @@ def blocks(text: str, extra: tuple[tuple[str, str], ...] = ()) -> Iterator[tuple
         if not own:
             continue
         start = m.start() + len(m[0]) - len(m[0].lstrip())
-        took = sum(w in known for w in own) >= 0.7 * len(own) or telling.search(m[0]) is not None
+        took = sum(w in known for w in own) >= 0.7 * len(own) or _tells(m[0], telling, extra)
         wrapped.append(bool(lines) and text[lines[-1][1] - 1] not in ".!?;" and text.count("\n", lines[-1][1], start) == 1)
         lines.append((start, m.end(), took))
     every, lines = lines, []
@@ -150,9 +166,10 @@ def match(block: str, extra: tuple[tuple[str, str], ...] = ()) -> list[dict]:
 
     A license is stated only by a template whose name and version words are among the equal ones, and with no
     word besides that makes it another license.
-    The template that leaves the fewest differences wins among the best savers; if none of these is
-    confirmed, the next ones in the ranking are compared, down to the last.  What the block has
-    after (or before) the winner's words is looked at again, since notices may follow each other.
+    Every template that the block has words enough for is compared, down the whole ranking; the one
+    that leaves the fewest differences wins, then the longest, then the best saver, then the first
+    by name.  What the block has after (or before) the winner's words is looked at again, since
+    notices may follow each other.
     """
     spoken = words_of(block)
     plain, with_each = _compressors(extra)
@@ -172,9 +189,7 @@ def match(block: str, extra: tuple[tuple[str, str], ...] = ()) -> list[dict]:
         saving = [1 - len(c.compress(raw)) / alone for c in with_each]
         order = sorted(range(len(known)), key=lambda k: (-saving[k], known[k][0], len(known[k][1])))
         best = None
-        for place, k in enumerate(order):
-            if best is not None and place % COMPARED == 0:
-                break
+        for k in order:
             if k not in able:
                 continue
             same, missing, more = differences(part, known[k][1])
@@ -223,9 +238,11 @@ _KIND = T.StructType(
 def scan(docs: DataFrame, extra: tuple[tuple[str, str], ...] = ()) -> DataFrame:
     """One row for each license statement of each document: doc_id, then place, license and differences.
 
-    ``extra`` adds (license, text) templates.  Documents without a statement (null and empty texts
-    too) give no row; repeated rows give rows each; null ids stay null; other columns are not read.
-    Texts without any telling word never leave the JVM.
+    ``extra`` adds (license, text) templates, with or without a telling word.  Documents without a
+    statement (null and empty texts too) give no row, and an empty table none; repeated rows give rows
+    each; null ids stay null; very long texts are scanned whole, block by block; templates of equal
+    saving are ranked by license and length.  Other columns, whatever their names, are not read.
+    Without ``extra``, texts without any telling word never leave the JVM.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 

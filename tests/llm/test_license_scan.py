@@ -1,4 +1,6 @@
+import random
 import re
+from collections import Counter
 
 from benchlens.llm import license_scan as L
 
@@ -74,3 +76,50 @@ def test_another_name_is_another_license():
         "This work is licensed under CC BY ND SA 4.0.",
     ):
         assert one(text) == [], text
+
+
+def every(block, extra=()):
+    """What a block states, from all templates in turn: no ranking, no compression."""
+    parts, out = [L.words_of(block)], []
+    while parts:
+        part = parts.pop(0)
+        best = None
+        for k, (license, words) in enumerate(L.templates(extra)):
+            if len(part) < 2 or L.differences(part, words)[0] < L.LEAST_SAME * len(words):
+                continue
+            at = L._place(part, words)
+            same, missing, more = L.differences(part[at[0] : at[1]], words)
+            named = L._names(extra)[k]
+            if same < L.LEAST_SAME * len(words) or len(more) > L.MOST_EXTRA * len(words):
+                continue
+            if named and (named - (Counter(words) - Counter(missing)).keys() or L.MODIFYING & set(more)):
+                continue
+            key = (len(missing) + len(more), -len(words))
+            if best is None or key < best[0]:
+                best = (key, license, at, missing, more)
+        if best:
+            out.append((best[1], best[3], best[4]))
+            parts += [part[: best[2][0]], part[best[2][1] :]]
+    return sorted(out, key=str)
+
+
+def test_joined_statements_against_all_templates():
+    """Every pair of licenses, and seeded joins of three own templates, as if there were no ranking."""
+    from itertools import combinations
+
+    names = [(k, n[0]) for k, n in L.NAMES.items()]
+    for (k, a), (j, b) in combinations(names, 2):
+        got = one(f"Released under {a}. Licensed under {b}.")
+        assert sorted(g[0] for g in got) == sorted((k, j)), (a, b)
+    rng = random.Random(8)
+    texts = [p.format(n) for ns in L.NAMES.values() for n in ns for p in L.PHRASES] + list(L.NOTICES.values())
+    for _ in range(60):
+        block = " ".join(rng.choice(texts) for _ in range(3))
+        assert sorted([(m["license"], m["missing"], m["extra"]) for m in L.match(block)], key=str) == every(block), block
+
+
+def test_own_templates_without_a_telling_word(spark):
+    own = (("Own-1", "You may read this text but never aloud"), ("Own-2", "Sing it at dawn only, and at dusk twice"))
+    docs = spark.createDataFrame([(1, "Prose that goes on. You may read this text but never aloud. More prose."), (2, "You may read it."), (3, "Sing it at dawn only, and at dusk twice")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.license) for r in L.scan(docs, own).collect()) == [(1, "Own-1"), (3, "Own-2")]
+    assert L.scan(docs).collect() == []
