@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from benchlens.llm.common import Tables, mix, releasing, slices, utf8, words, written
+from benchlens.llm.common import Tables, free_name, mix, releasing, slices, utf8, words, written
 
 WINDOW = 10
 #: Bytes of a training shard, whose documents share one index (a longer document is a shard alone).
@@ -369,10 +369,14 @@ def _without(text: str | None, spans: list[dict]) -> str | None:
 def remove_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` with the spans that ``find_contamination`` finds cut out of the texts; all else stays.
 
-    Documents without a span keep their text untouched; null stays null.  Columns of ``docs`` with
-    the names that ``find_contamination`` adds are lost.  The last pass over the benchmark cuts too.
+    Documents without a span keep their text untouched; null stays null.  Columns of ``docs``, those
+    with the names that ``find_contamination`` adds too, are returned as they were.  The last pass
+    over the benchmark cuts too.
     """
-    return find_contamination(docs, benchmark, text, window, block_bytes, cut=True).drop("n_words", "spans", "item_ids")
+    added = ("n_words", "spans", "item_ids")
+    held = {c: free_name(docs, f"{c}_kept") for c in docs.columns if c.lower() in added}
+    cut = find_contamination(docs.withColumnsRenamed(held), benchmark, held.get(text, text), window, block_bytes, cut=True)
+    return cut.drop(*added).withColumnsRenamed({new: old for old, new in held.items()})
 
 
 def digest(found: DataFrame) -> DataFrame:
