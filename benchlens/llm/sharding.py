@@ -60,7 +60,7 @@ def numbered(rows: DataFrame, keys: list[str], buckets: int = BUCKETS) -> DataFr
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Every row's size, checksum, shard and slot under the law ``rows``.
 
-    Null text has size 8 and the checksum of no bytes.  Null ids come first in their bucket.  Rows with
+    Null text has size 8 and the checksum of no bytes; very long texts are measured whole.  Null ids come first in their bucket.  Rows with
     equal id, checksum and size are interchangeable: each gets its own slot, and the result as a whole
     is the same on any partitioning.  An empty table gives no rows; further columns are not read.
     """
