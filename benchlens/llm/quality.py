@@ -170,7 +170,13 @@ def score(docs: DataFrame, model: dict | None, neighbours: int = NEIGHBOURS, nam
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row for each document: ``doc_id``, ``held_out``, ``score`` and ``predicted``."""
+    """One row for each document: ``doc_id``, ``held_out``, ``score`` and ``predicted``.
+
+    Texts without any term (null, empty) get the labels' mean in the sample; very long texts are scored
+    whole.  Neighbours that tie with the last one vote too.  Repeated rows are scored each; null ids are
+    not held out.  Without labels all scores are 0.5; an empty table gives no rows.  Columns beside
+    doc_id and text, whatever their names, are not read.
+    """
     scored = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(docs, labels))
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
