@@ -16,7 +16,11 @@ from benchlens.llm.common import free_name, table, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier finds of low quality go (score under 0.5)."""
+    """Documents that the classifier finds of low quality go (score under 0.5).
+
+    Null and empty texts score the labels' mean; repeated rows are judged each; very long texts whole.
+    All columns stay, one named ``score`` too; an empty table stays empty.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     name = free_name(docs, "score")
     scored = quality.score(docs, model, name=name)
@@ -24,19 +28,35 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near-duplicates the document with the least id stays."""
+    """Of each class of near-duplicates the document with the least id stays, in one row.
+
+    Rows without id or text all stay; every text of a repeated id is judged by itself.  All columns
+    stay; an empty table stays empty.
+    """
     return near_dedup.keep_first(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out of the texts; documents without one stay as they are."""
+    """Benchmark passages are cut out of the texts; documents without one stay as they are.
+
+    ``n_chars``, where there is such a column, follows a cut text.  Null and empty texts stay, very long
+    texts are searched whole, repeated rows are cut each, and an empty table or benchmark cuts nothing.
+    All columns stay, those named like the operator's own too.
+    """
     before = free_name(docs, "before")
     cut = decontamination.remove_contamination(docs.withColumn(before, F.length("text")), table(spark, sf_dir, "benchmark"))
-    return cut.withColumn("n_chars", F.when(F.length("text") < F.col(before), F.length("text").cast("long")).otherwise(F.col("n_chars"))).drop(before)
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        cut = cut.withColumn("n_chars", F.when(F.length("text") < F.col(before), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return cut.drop(before)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Subword ids by seeded merge-dropout, beside the document."""
+    """Subword ids by seeded merge-dropout, as ``piece_ids`` beside the document.
+
+    Null text has null ids, an empty one none; very long texts are encoded whole; repeated rows get
+    equal ids.  A column named ``piece_ids`` is replaced; an empty table stays empty.
+    """
     return merge_dropout.encode_documents(docs)
 
 
