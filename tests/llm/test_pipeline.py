@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from benchlens.llm import decontamination as D
@@ -64,3 +65,12 @@ def test_stages_keep_columns_and_rows(spark, tables):
     kept = [r.doc_id for r in N.keep_first(extra).collect()]
     assert len(kept) == len(set(kept))
     assert D.find_contamination(extra, tables["benchmark"]).count() == extra.count()
+
+
+def test_stages_keep_clashing_columns_and_need_no_n_chars(spark, tables):
+    docs = tables["documents"].limit(30).select("doc_id", "text").withColumns({"spans": F.lit(1), "item_ids": F.lit("x"), "N_words": F.lit(2), "score": F.lit(3), "slot": F.lit(4), "hit": F.lit(5), "node": F.lit(6), "before": F.lit(7)})
+    for _, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns
+        assert {tuple(r)[2:] for r in out.collect()} == {(1, "x", 2, 3, 4, 5, 6, 7)}
+    assert C.encode(spark, docs, SF).columns == [*docs.columns, "piece_ids"]
