@@ -93,6 +93,10 @@ class Rollup:
         path = jvm.org.apache.hadoop.fs.Path(at)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
+    def is_committed(self, batch: str) -> bool:
+        fs, mark = self._files(f"{self.path}/batch-{batch}/_SUCCESS")
+        return fs.exists(mark)
+
     def committed(self) -> list[str]:
         fs, top = self._files(self.path)
         if not fs.exists(top):
@@ -104,18 +108,41 @@ class Rollup:
         """Sum and store a batch of CHANGES; False where its id is committed already."""
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
             raise ValueError(f"batch id {batch!r}")
-        if f"batch-{batch}" in self.committed():
+        if self.is_committed(batch):
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
         sums.write.mode("overwrite").parquet(f"{self.path}/batch-{batch}")
         return True
 
+    def _base(self) -> tuple[str | None, set[str]]:
+        """The folder of the latest complete base, and the batches that it holds (a row a commit)."""
+        fs, top = self._files(self.path)
+        names = sorted((s.getPath().getName() for s in fs.listStatus(top)), reverse=True) if fs.exists(top) else []
+        for name in names:
+            if name.startswith("base-") and fs.exists(self._files(f"{self.path}/{name}/ids/_SUCCESS")[1]):
+                return name, {r.id for r in self.spark.read.schema("id string").parquet(f"{self.path}/{name}/ids").collect()}
+        return None, set()
+
+    def _sums(self) -> DataFrame:
+        base, held = self._base()
+        paths = [f"{self.path}/{n}" for n in self.committed() if n not in held] + ([f"{self.path}/{base}/sums"] if base else [])
+        rows = self.spark.read.schema(CHANGES).parquet(*paths) if paths else self.spark.createDataFrame([], CHANGES)
+        return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+
+    def compact(self) -> None:
+        """Sum all committed batches into a base, so that totals read it and later batches alone.
+
+        The base's list of batches is written last, so a base that failed counts for nothing; the
+        batches' marks stay, so a replay of theirs still changes nothing.
+        """
+        base, names = self._base()[0], self.committed()
+        at = f"{self.path}/base-{int(base[5:]) + 1 if base else 1:08d}"
+        self._sums().write.mode("overwrite").parquet(f"{at}/sums")
+        self.spark.createDataFrame([(n,) for n in names], "id string").coalesce(1).write.mode("overwrite").parquet(f"{at}/ids")
+
     def totals(self) -> DataFrame:
         """Additive totals by KEYS over all committed batches; groups without documents and tokens go."""
-        paths = [f"{self.path}/{n}" for n in self.committed()]
-        rows = self.spark.read.schema(CHANGES).parquet(*paths) if paths else self.spark.createDataFrame([], CHANGES)
-        sums = rows.groupBy(*KEYS).agg(F.sum("docs").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
-        return sums.where("n_docs <> 0 or n_tokens <> 0")
+        return self._sums().select(*KEYS, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
 
 def roll_up(docs: DataFrame, versions: tuple[str, ...] = VERSIONS, folder: str = FOLDER) -> DataFrame:
@@ -124,7 +151,9 @@ def roll_up(docs: DataFrame, versions: tuple[str, ...] = VERSIONS, folder: str =
 
     Of documents with equal texts that with the least id stays (of rows with this same id, all).
     Null text counts as a document of no tokens and is nobody's copy; rows without id are never
-    deleted; null sources and languages are groups of their own.
+    deleted; null sources and languages are groups of their own.  An empty text has no tokens; a very
+    long one is counted whole; repeated rows count each.  An empty table gives no totals.  Columns
+    beside doc_id, source, lang and text, whatever their names, are not read.
     """
     spark = docs.sparkSession
     rows = written(counted(docs, versions, folder))

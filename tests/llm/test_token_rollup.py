@@ -57,3 +57,28 @@ def test_commits(spark, tmp_path):
     assert rollup.commit("4", R.change(rows.limit(0), "v", F.col("n"), 1)) and len(rollup.committed()) == 4
     with pytest.raises(ValueError):
         rollup.commit("../x", rows)
+
+
+def test_compaction(spark, tmp_path):
+    """A base gives the totals of its batches, later batches add to it, and a failed base counts for nothing."""
+    rollup = R.Rollup(spark, f"file://{tmp_path}/r")
+    rows = spark.createDataFrame([("s", "en", 3), ("t", None, 5)], "source string, lang string, n long")
+    read = lambda: sorted(map(str, map(tuple, rollup.totals().collect())))
+    rollup.commit("1", R.change(rows, "v", F.col("n"), 1))
+    rollup.commit("2", R.change(rows, "v", F.col("n"), 1))
+    before = read()
+    rollup.compact()
+    assert read() == before
+    for part in (tmp_path / "r").glob("batch-*/part-*"):  # the base alone holds them now
+        part.unlink()
+    for crc in (tmp_path / "r").glob("batch-*/.part-*"):
+        crc.unlink()
+    assert read() == before
+    assert not rollup.commit("2", R.change(rows, "v", F.col("n"), 1)) and read() == before
+    rollup.commit("3", R.change(rows.where("source = 't'"), "v", F.col("n"), -1))
+    later = read()
+    assert later != before
+    rollup.compact()
+    assert read() == later
+    (tmp_path / "r/base-00000003/sums").mkdir(parents=True)
+    assert read() == later
