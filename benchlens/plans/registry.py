@@ -53,7 +53,9 @@ def _targets(s, d):
 
 
 def _supervised(s, d):
-    return tables.supervised_table(_targets(s, d), tables.normalize_tasks(I.tasks(s, d))[0], _kept_flows(s, d))
+    kept = results.written(_kept_flows(s, d))  # targets and texts need them
+    targets = tables.restrict_evaluations(tables.aggregate_evaluations(I.evaluations(s, d)), kept)
+    return tables.supervised_table(targets, tables.normalize_tasks(I.tasks(s, d))[0], kept)
 
 
 def _rows(s, d):
@@ -472,7 +474,18 @@ def linear_attributions(s, d):
     return explain.linear_attributions(long, weights, long)
 
 
-@query(None)
+_ORDER = "row_number() over (partition by feature, rep order by md5(concat_ws('::', row_id, feature, rep, '42', '{}')), row_id)"
+_IMPORTANCE = f"""
+with long as ({_LONG}), many as (select long.*, r.rep from long, range(10) r(rep)),
+numbered as (select *, {_ORDER.format("to")} as t, {_ORDER.format("from")} as f from many),
+errors as (select row_id, any_value(coalesce(MajorityClassSize, 0)) - (sum(weight * value) + 1.0) as e from long join tasks on task_id = row_id group by 1),
+moved as (select a.feature, a.rep, a.row_id, a.weight * (b.value - a.value) as d from numbered a join numbered b on a.feature = b.feature and a.rep = b.rep and a.t = b.f),
+rises as (select feature, rep, avg((e - d) * (e - d)) - (select avg(e * e) from errors) as rise from moved join errors using (row_id) group by 1, 2)
+select feature, avg(rise) as importance_mean, stddev_pop(rise) as importance_std from rises group by 1
+""".strip()
+
+
+@query(_IMPORTANCE)
 def permutation_importance(s, d):
     long, weights = _task_values(s, d)
     truth = tables.normalize_tasks(I.tasks(s, d))[0].select(F.col("task_id").alias("row_id"), F.coalesce("MajorityClassSize", F.lit(0.0)).alias("y"))
