@@ -157,12 +157,15 @@ def _heap(symbols: list[int], place: int, key: np.uint64, v: Vocabulary, dropout
     return out
 
 
-def _short(symbols: np.ndarray, places: np.ndarray, keys: np.ndarray, v: Vocabulary, dropout: float) -> tuple[np.ndarray, np.ndarray]:
-    """The agendas of units of equal length (units x symbols) -> symbols and their number."""
+def _short(symbols: np.ndarray, first: np.ndarray, keys: np.ndarray, v: Vocabulary, dropout: float) -> tuple[np.ndarray, np.ndarray]:
+    """The agendas of units of equal length (units x symbols) -> the symbols left, unit by unit, and their numbers.
+
+    ``first`` is the place of each unit's first symbol.  Symbols stay in their columns and are linked
+    to the next one left, so a merge touches its neighbours alone.
+    """
     units, width = symbols.shape
-    count = np.full(units, width)
     if width < 2:
-        return symbols, count
+        return symbols.ravel(), np.full(units, width)
 
     def offers(a, b, left, right, key):
         found = v.merge(a, b)
@@ -172,36 +175,41 @@ def _short(symbols: np.ndarray, places: np.ndarray, keys: np.ndarray, v: Vocabul
         return np.where(on, found.astype(np.uint64), _NONE)
 
     # A candidate's key is rank << 20 | piece, so the least key is the best piece; argmin takes the leftmost.
-    flat = offers(symbols[:, :-1].ravel(), symbols[:, 1:].ravel(), places[:, :-1].ravel(), places[:, 1:].ravel(), np.repeat(keys, width - 1))
-    rank = np.concatenate([flat.reshape(units, -1), np.full((units, 1), _NONE)], 1)
-    done_symbols = symbols.copy()
+    rank = np.full((units, width), _NONE)
+    places = first[:, None] + np.arange(width)
+    rank[:, :-1] = offers(symbols[:, :-1].ravel(), symbols[:, 1:].ravel(), places[:, :-1].ravel(), places[:, 1:].ravel(), np.repeat(keys, width - 1)).reshape(units, -1)
+    flat = symbols.ravel()
+    after, before = (np.tile(np.arange(k, width + k, dtype=np.int16), units) for k in (1, -1))
+    left = np.ones(units * width, bool)
     live = np.arange(units)
-    columns = np.arange(width)
     while len(live):
         best = rank.argmin(1)
-        row = np.arange(len(live))
-        least = rank[row, best]
-        over = least == _NONE
-        if over.any():
-            done_symbols[live[over]] = symbols[over]
-            keep = ~over
-            live, symbols, places, rank, best, least, keys = live[keep], symbols[keep], places[keep], rank[keep], best[keep], least[keep], keys[keep]
+        least = rank[np.arange(len(live)), best]
+        row = np.flatnonzero(least != _NONE)
+        if len(row) < 0.7 * len(live):  # most agendas are empty: go on with the others
+            live, rank, best, least = live[row], rank[row], best[row], least[row]
             row = np.arange(len(live))
-            if not len(live):
-                break
-        symbols[row, best] = (least & np.uint64(0xFFFFF)).astype(np.int64)
-        take = np.minimum(columns + (columns > best[:, None]), width - 1)
-        symbols, places, rank = (np.take_along_axis(x, take, 1) for x in (symbols, places, rank))
-        count[live] -= 1
-        last = count[live]
-        symbols[row, last], rank[row, last] = -1, _NONE
-        for left in (best, best - 1):
-            on = np.flatnonzero((left >= 0) & (left + 1 < last))
-            i = left[on]
-            rank[on, i] = offers(symbols[on, i], symbols[on, i + 1], places[on, i], places[on, i + 1], keys[on])
-            off = np.flatnonzero((left >= 0) & (left + 1 >= last))
-            rank[off, left[off]] = _NONE
-    return done_symbols, count
+        if not len(row):
+            break
+        unit, i = live[row], best[row]
+        base = unit * width
+        at = base + i
+        gone = after[at].astype(np.int64)
+        left[base + gone] = False
+        rank[row, gone] = rank[row, i] = _NONE
+        flat[at] = (least[row] & np.uint64(0xFFFFF)).astype(np.int64)
+        right = after[base + gone].astype(np.int64)
+        after[at] = right
+        has = np.flatnonzero(right < width)
+        before[base[has] + right[has]] = i[has]
+        prior = before[at].astype(np.int64)
+        had = np.flatnonzero(prior >= 0)
+        # the pairs of the new symbol with the one after it and the one before it
+        own = np.concatenate([has, had])
+        one, two = np.concatenate([i[has], prior[had]]), np.concatenate([right[has], i[had]])
+        start, place = base[own], first[unit[own]]
+        rank[row[own], one] = offers(flat[start + one], flat[start + two], place + one, place + two, keys[unit[own]])
+    return flat[left], left.reshape(units, width).sum(1)
 
 
 def encode(texts: list[str], keys: np.ndarray, v: Vocabulary, dropout: float) -> tuple[np.ndarray, np.ndarray]:
@@ -230,16 +238,15 @@ def encode(texts: list[str], keys: np.ndarray, v: Vocabulary, dropout: float) ->
             for u in units.tolist():
                 ids = _heap(symbols[starts[u] : starts[u] + n].tolist(), int(local[u]), keys[owner[u]], v, dropout)
                 counts[u] = len(ids)
-                parts.append((np.array([u]), np.array([ids], np.int64)))
+                parts.append((np.array([u]), np.array(ids, np.int64)))
             continue
-        places = local[units][:, None] + np.arange(n)
-        got, counts[units] = _short(symbols[starts[units][:, None] + np.arange(n)], places, keys[owner[units]], v, dropout)
+        got, counts[units] = _short(symbols[starts[units][:, None] + np.arange(n)], local[units], keys[owner[units]], v, dropout)
         parts.append((units, got))
     at = np.concatenate([[0], np.cumsum(counts)])
     out = np.empty(at[-1], np.int64)
     for units, got in parts:
-        there = np.arange(got.shape[1]) < counts[units][:, None]
-        out[(at[units][:, None] + np.arange(got.shape[1]))[there]] = got[there]
+        own = counts[units]
+        out[np.repeat(at[units] - np.cumsum(own) + own, own) + np.arange(len(got))] = got
     text_at = np.concatenate([at[np.searchsorted(starts, begin[:-1])], at[-1:]])
     unknown = out < 0
     if unknown.any():  # by their UTF-8 bytes
