@@ -317,7 +317,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
     added = ("n_words", "spans", "item_ids")
     docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("i"), F.col("text").cast("string").alias("t"))
-    packed = Tables(spark).write("segments", items.distinct().mapInArrow(lambda batches: releasing(_segments(batches, window)), "i string, words binary").distinct())
+    tables = Tables(spark)
+    packed = tables.write("segments", items.distinct().mapInArrow(lambda batches: releasing(_segments(batches, window)), "i string, words binary").distinct())
     total = packed.agg(F.sum(F.octet_length("words").cast("long"))).first()[0] or 0
     n_blocks = max(1, -(-total // block_bytes))
     schema = T.StructType([*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("spans", _SPAN), T.StructField("item_ids", T.ArrayType(T.StringType()))])
@@ -336,6 +337,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text"
             out = written(out)
             while past:  # their passes are over
                 past.pop().destroy()
+    tables.remove("segments")  # all blocks are broadcast
     return out
 
 
