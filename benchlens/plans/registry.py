@@ -24,6 +24,7 @@ FLAGSHIP = "flow_family_summary"
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 LOCAL = ["fold", "row_id"]
+SMALL = models.Settings(trees=5, depth=4, iterations=5, random_trees=3, bins=32)
 FLOW_COLUMNS = "flow_id, flow_name, flow_full_name, flow_version, flow_external_version, flow_uploader, flow_text, flow_text_clean"
 
 
@@ -535,9 +536,98 @@ def robust_table(s, d):
     return report.robust_table(r)
 
 
-# Models and whole runs: no SQL; tests hold them against closed forms, subset enumeration and invariants.
+# What runs leave behind: written, found again and consolidated.
 
-SMALL = models.Settings(trees=5, depth=4, iterations=5, random_trees=3, bins=32)
+
+def _stored_importance(s, d):
+    """Importance tables as CSV exports, one run a fold, below folders that name run, split and model."""
+    root = results.work_dir(s)
+    for fold in range(I.FOLDS):
+        own = _by_fold(s, d).where(F.col("fold") == fold).select("feature", "mean_abs_shap")
+        results.export_csv(own, f"{root}/run{fold}/global_shap_row_kfold_ridge.csv")
+    return root
+
+
+@query("select 'run' || fold as run, 'row_kfold' as split_mode, 'ridge' as model, feature, mean_abs_shap from by_fold")
+def labelled_csv(s, d):
+    return results.read_labelled_csv(s, _stored_importance(s, d), "feature string, mean_abs_shap double")
+
+
+@query("select distinct l_returnflag as name from lineitem")
+def discovered_runs(s, d):
+    root = results.work_dir(s)
+    for r in s.read.parquet(f"{d}/lineitem.parquet").select("l_returnflag").distinct().collect():  # three values
+        results.write_metadata(s, root, f"run-{r.l_returnflag}", {"name": r.l_returnflag, "agg_mode": "mean", "cv_folds": I.FOLDS, "seed": I.SEED})
+    return results.discover_runs(s, root).select("name")
+
+
+@query("select row_id, task_id, flow_id, target_value from supervised")
+def run_artifacts(s, d):
+    root = results.work_dir(s)
+    supervised = _supervised(s, d)
+    results.write_result(supervised, root, "supervised", "one")
+    results.write_result(supervised.where("false"), root, "features", "none")
+    results.write_result(features.numeric_features(supervised, ["NumberOfInstances"]), root, "features", "one")
+    return results.read_artifacts(s, root, "one")[0].select("row_id", "task_id", "flow_id", "target_value")
+
+
+@query("select * from agg_mean")
+def computed_once(s, d):
+    """The second call reads what the first one wrote; its own table is never made."""
+    root, payload = results.work_dir(s), {"table": "targets", "agg_mode": "mean"}
+    results.materialize(s, lambda: tables.aggregate_evaluations(I.evaluations(s, d)), root, "targets", payload)
+    return results.materialize(s, lambda: s.range(0), root, "targets", payload)
+
+
+@query("select experiment, agg_mode, model, split_mode, r2_mean, r2_std from (select unnest(['a', 'b']) as experiment, 'mean' as agg_mode, * from summary) where split_mode = 'task_group_kfold'")
+def consolidated_anchor(s, d):
+    root, summary = results.work_dir(s), results.written(metrics.summarize(_cv(s, d)))
+    for run, agg in (("a", "mean"), ("b", "mean"), ("c", "max")):
+        results.write_result(summary, root, "summary", run, agg)
+    return pipeline.consolidate(s, root, "mean")["predictive_anchor"].select("experiment", "agg_mode", "model", "split_mode", "r2_mean", "r2_std")
+
+
+@query("select unnest(['a', 'b']) as experiment, 'm' as model, count(*) as n, avg(readability) as readability_mean, stddev_pop(readability) as readability_std, avg(sparsity) as sparsity_mean, stddev_pop(sparsity) as sparsity_std from local")
+def consolidated_local(s, d):
+    root = results.work_dir(s)
+    labels = {"split_mode": F.lit("task_group_kfold"), "model": F.lit("m")}
+    local = results.written(explain.local_metrics(I.attributions(s, d), LOCAL).withColumns(labels))
+    shap = explain.shap_summary(local, explain.fold_stability(explain.global_topk(_by_fold(s, d), ["fold"])).withColumns(labels), ["split_mode", "model"])
+    summary = results.written(local.select("split_mode", "model").distinct().withColumn("r2_mean", F.lit(0.0)))
+    for run in ("a", "b"):
+        for kind, table in (("local_shap_metrics", local), ("shap_summary_metrics", shap), ("summary", summary)):
+            results.write_result(table, root, kind, run)
+    return pipeline.consolidate(s, root, "mean")["local_summary"]
+
+
+@query("select r.row_id, h.held, case when r.fold = h.held then 'test' else 'train' end as part from row_folds r, (select unnest(range(5)) as held) h")
+def split_rows(s, d):
+    """Train and test rows of every fold."""
+    folded = results.written(_folded(s, d)["row_kfold"].select("row_id", "fold"))
+    parts = [side.select("row_id", F.lit(k).alias("held"), F.lit(name).alias("part")) for k in range(I.FOLDS) for name, side in zip(("train", "test"), folds.split(folded, k), strict=True)]
+    return pipeline.union(parts)
+
+
+_X = "select row_id, fold, y, x from row_folds join (select row_id, NumberOfInstances / (select stddev_pop(NumberOfInstances) from supervised) as x from supervised) using (row_id)"
+
+
+@query(f"with points as ({_X}), sums as (select h.held, count(*) as n, avg(x) as mx, avg(y) as my, sum(x * x) as xx, sum(x * y) as xy from points, (select unnest(range(5)) as held) h where fold <> h.held group by 1), line as (select held, (xy - n * mx * my) / (xx - n * mx * mx + 1) as w, mx, my from sums) select fold, row_id, y as y_true, my + w * (x - mx) as y_pred from points join line on fold = held")
+def ridge_validation(s, d):
+    """Cross-validated ridge on one metafeature, whose closed form SQL can state."""
+    supervised = results.written(_supervised(s, d))
+    long = features.numeric_features(supervised, ["NumberOfInstances"])
+    matrix = features.to_vectors(long, features.feature_dictionary(long), 1)
+    rows = supervised.select("row_id", F.col("target_value").alias("y")).join(matrix, "row_id")
+    folded = folds.row_folds(rows, "row_id", I.FOLDS, I.SEED)
+    return models.cross_validate(folded, ["ridge"], "row_kfold", I.SEED, SMALL).select("fold", "row_id", "y_true", "y_pred")
+
+
+@query("select column_name as feature from (describe select * from supervised) where column_type in ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE', 'BOOLEAN') and column_name not in ('task_id', 'flow_id', 'dataset_id', 'target_value', 'value_std', 'value_count')")
+def feature_columns(s, d):
+    return s.createDataFrame([(c,) for c in tables.feature_columns(_supervised(s, d))], "feature string")
+
+
+# Models and whole runs: no SQL; tests hold them against closed forms, subset enumeration and invariants.
 
 
 def _matrix(s, d):

@@ -101,10 +101,11 @@ def discover_runs(spark: SparkSession, root: str) -> DataFrame:
 def read_labelled_csv(spark: SparkSession, root: str, schema: str, prefix: str = "global_shap") -> DataFrame:
     """CSV tables ``<run>/<prefix>_<split>_<model>.csv`` with run, split and model from their names.
 
-    Files of other kinds whose names begin alike (``<prefix>_topk_...``) are not taken.
+    Each is one file, or a folder as ``export_csv`` writes it.  Files of other kinds whose names begin
+    alike (``<prefix>_topk_...``) are not taken.
     """
-    rows = spark.read.schema(schema).option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", f"{prefix}_*.csv").csv(root)
-    pattern = rf"/([^/]+)/{prefix}_(row_kfold|task_group_kfold)_([^/]+)\.csv$"
+    rows = spark.read.schema(schema).option("header", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").csv(root)
+    pattern = rf"/([^/]+)/{prefix}_(row_kfold|task_group_kfold)_([^/]+?)\.csv(?:/[^/]*)?$"
     path = F.col("_metadata.file_path")
     return rows.where(path.rlike(pattern)).select(*[F.regexp_extract(path, pattern, k).alias(n) for k, n in ((1, "run"), (2, "split_mode"), (3, "model"))], *rows.columns)
 
