@@ -210,9 +210,9 @@ def flow_family_summary(s, d):
     return _supervised(s, d).groupBy(family, "dataset_id").agg(F.count("*").alias("n"), F.avg("target_value").alias("target_mean"), F.max("target_value").alias("target_max"), F.avg("value_std").alias("std_mean"))
 
 
-@query("select a.split_mode, a.fold, a.model as model_a, b.model as model_b, a.mse - b.mse as diff from cv a join cv b on a.split_mode = b.split_mode and a.fold = b.fold and a.model < b.model")
+@query("select a.split_mode, a.fold, a.model as model_a, b.model as model_b, a.mse - b.mse as diff from cv_differing a join cv_differing b on a.split_mode = b.split_mode and a.fold = b.fold and a.model < b.model")
 def model_pairs(s, d):
-    return metrics.model_pairs(_cv(s, d), "mse")
+    return metrics.model_pairs(_cv(s, d, DIFFERING), "mse")
 
 
 @query("select a.experiment, a.model, a.split_mode, a.r2_mean as r2_max, b.r2_mean as r2_mean, a.r2_mean - b.r2_mean as r2_difference from (select 'e' as experiment, * from summary) a join (select 'e' as experiment, * from summary where model <> 'flow_mean') b using (experiment, model, split_mode)")
