@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,13 +85,16 @@ SQL = {
     "sets": "select fold, list(feature) as s from topk group by 1",
     "stability": "select a.fold as fold_a, b.fold as fold_b, 10 as top_k, len(list_intersect(a.s, b.s)) / cast(len(list_distinct(list_concat(a.s, b.s))) as double) as jaccard from sets a join sets b on a.fold < b.fold",
 }
+# The same for the best value of each pair instead of the mean; rows, folds and their keys are equal.
+SQL["agg_max"] = SQL["agg_mean"].replace("avg(v)", "max(v)")
+SQL["folded_max"] = "select f.* exclude (y), a.target_value as y from folded f join agg_max a using (task_id, flow_id)"
+for _name, _below in (("base", "folded"), ("predictions", "base"), ("cv", "predictions"), ("summary", "cv")):
+    SQL[f"{_name}_max"] = re.sub(rf"\b{_below}\b", f"{_below}_max", SQL[_name])
 GREEDY = "greedy(rn, task_id, fold, loads) as (select cast(0 as bigint), cast(null as bigint), cast(null as integer), [0, 0, 0, 0, 0]::bigint[] union all select t.rn, t.task_id, cast(list_position(g.loads, list_min(g.loads)) - 1 as integer), list_transform(g.loads, lambda v, i: case when i = list_position(g.loads, list_min(g.loads)) then v + t.n else v end) from greedy g join task_sizes t on t.rn = g.rn + 1)"
 
 
 def oracle(body: str) -> str:
     """A DuckDB query over the views above, with those that it needs in front."""
-    import re
-
     need: list[str] = []
     used = lambda text: [n for n in [*SQL, "greedy"] if re.search(rf"\b{n}\b", text)]
 
