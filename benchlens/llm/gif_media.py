@@ -43,9 +43,10 @@ class Frame:
 
     def histogram(self, rows: int | None = None) -> list[int]:
         """Counts of visible pixels (of the first ``rows``) in bins of red, green and blue, in this order."""
-        seen = self.canvas[:rows][self.canvas[:rows, :, 3] > 0][:, :3] >> (8 - HISTOGRAM_BITS)
-        code = (seen[:, 0].astype(np.int32) << (2 * HISTOGRAM_BITS)) | (seen[:, 1].astype(np.int32) << HISTOGRAM_BITS) | seen[:, 2]
-        return np.bincount(code, minlength=1 << (3 * HISTOGRAM_BITS)).tolist()
+        pixels, keep = self.canvas[:rows].reshape(-1, 4), 8 - HISTOGRAM_BITS
+        code = (pixels[:, 0] >> keep << (2 * HISTOGRAM_BITS)) | (pixels[:, 1] >> keep << HISTOGRAM_BITS) | (pixels[:, 2] >> keep)
+        seen = pixels[:, 3] > 0
+        return np.bincount(code if seen.all() else code[seen], minlength=1 << (3 * HISTOGRAM_BITS)).tolist()
 
 
 def _widths(n: int, size: int) -> np.ndarray:
@@ -57,17 +58,17 @@ def _widths(n: int, size: int) -> np.ndarray:
 _WIDTHS = {s: _widths(1 << 14, s) for s in range(2, 9)}
 
 
+_SINGLE = [bytes([i]) for i in range(256)]
+
+
 def lzw_encode(data: bytes) -> bytes:
     """The LZW code stream of 8-bit samples."""
     codes, cuts = [256], [0]
     table: dict[int, int] = {}
     find, emit = table.get, codes.append
     free = 258
-    prefix = -1
-    for byte in data:
-        if prefix < 0:
-            prefix = byte
-            continue
+    prefix = data[0] if data else None
+    for byte in memoryview(data)[1:]:
         key = prefix << 8 | byte
         code = find(key)
         if code is None:
@@ -82,7 +83,7 @@ def lzw_encode(data: bytes) -> bytes:
                 free = 258
         else:
             prefix = code
-    if prefix >= 0:
+    if data:
         emit(prefix)
     emit(257)
     values = np.array(codes, np.int64)
@@ -92,12 +93,9 @@ def lzw_encode(data: bytes) -> bytes:
     widths[0] = 9
     for a, b in zip(at[:-1] + 1, [*(at[1:-1] + 1), len(codes)], strict=True):
         widths[a:b] = _WIDTHS[8][: b - a]
-    first = np.concatenate([[0], np.cumsum(widths)])
-    bits = np.zeros(int(first[-1]) + 8, np.uint8)
-    for k in range(12):
-        on = widths > k
-        bits[first[:-1][on] + k] = (values[on] >> k) & 1
-    return np.packbits(bits[: -(-int(first[-1]) // 8) * 8], bitorder="little").tobytes()
+    # Bits of all codes in order, the least first; packing fills up the last byte.
+    bits = (values[:, None] >> np.arange(12) & 1).astype(np.uint8)
+    return np.packbits(bits[np.arange(12) < widths[:, None]], bitorder="little").tobytes()
 
 
 def lzw_decode(stream: bytes, size: int, most: int | None = None) -> bytes:
@@ -112,10 +110,12 @@ def lzw_decode(stream: bytes, size: int, most: int | None = None) -> bytes:
     total, at = len(stream) * 8, 0
     out: list[bytes] = []
     room, done = most or 0, 0
-    single = [bytes([i]) for i in range(clear)] + [b"", b""]
+    single = _SINGLE[:clear] + [b"", b""]
     ask = 4096
     while at + size < total:
         known = _WIDTHS[size]
+        enough = (total - at) // (size + 1) + 1  # codes that the rest can hold at most
+        ask = min(ask, enough)
         widths = known[:ask] if ask <= len(known) else np.concatenate([known, np.full(ask - len(known), 12)])
         first = at + np.concatenate([[0], np.cumsum(widths)])
         fit = int(np.searchsorted(first, total, "right")) - 1
@@ -123,30 +123,34 @@ def lzw_decode(stream: bytes, size: int, most: int | None = None) -> bytes:
         byte = begin >> 3
         codes = (raw[byte] | (raw[byte + 1] << 8) | (raw[byte + 2] << 16)) >> (begin & 7) & ((1 << widths) - 1)
         stops = np.flatnonzero((codes == clear) | (codes == end))
-        if not len(stops) and fit == len(first) - 1:
+        if not len(stops) and fit == len(first) - 1 and ask < enough:
             ask *= 2  # no clear code for a long time: look further
             continue
         n = int(stops[0]) if len(stops) else fit
-        table = single.copy()
-        last = b""
-        for k in range(0, n, 4096):
-            for code in codes[k : min(n, k + 4096)].tolist():
-                if code < len(table):
+        run, table, free = codes[:n].tolist(), single.copy(), clear + 2
+        if run:
+            if run[0] >= clear:
+                raise ValueError("LZW code out of range")
+            last = table[run[0]]
+            out.append(last)
+            for code in run[1 : 1 + 4096 - free]:  # each adds an entry, until the table is full
+                if code < free:
                     entry = table[code]
-                    if last and len(table) < 4096:
-                        table.append(last + entry[:1])
-                elif last and code == len(table) < 4096:
+                elif code == free:
                     entry = last + last[:1]
-                    table.append(entry)
                 else:
                     raise ValueError("LZW code out of range")
+                table.append(last + entry[:1])
                 out.append(entry)
+                free += 1
                 last = entry
-            if most is not None:
-                room -= sum(map(len, out[done:]))
-                done = len(out)
-                if room <= 0:  # what follows the last pixel is not needed
-                    return b"".join(out)
+            for k in range(1 + 4096 - clear - 2, n + 4096, 4096):
+                if most is not None:
+                    room -= sum(map(len, out[done:]))
+                    done = len(out)
+                    if room <= 0:  # what follows the last pixel is not needed
+                        return b"".join(out)
+                out.extend(map(table.__getitem__, run[k : k + 4096]))
         if not len(stops) or codes[n] == end:
             break
         at, ask = int(first[n + 1]), 4096
