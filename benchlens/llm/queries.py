@@ -1,4 +1,4 @@
-"""The ten numbered queries and the pipeline, as ``(spark, sf_dir) -> DataFrame``."""
+"""The thirteen numbered queries and the pipeline, as ``(spark, sf_dir) -> DataFrame``."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from benchlens.llm import decontamination, gif_media, html_template, license_scan, merge_dropout, near_dedup, quality, sharding, token_rollup, warc
+from benchlens.llm import decontamination, gif_media, html_template, license_scan, merge_dropout, near_dedup, periodic_runs, quality, quality_rules, sharding, token_rollup, warc, whitening
 from benchlens.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,6 +53,19 @@ def op10_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_dropout.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic_runs.with_planted_runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return periodic_runs.digest(periodic_runs.periodic_runs(docs))
+
+
+def op13_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_decontamination": op1_decontamination,
     "op2_license_scan": op2_license_scan,
@@ -64,6 +77,9 @@ QUERIES: dict[str, Query] = {
     "op8_token_rollup": op8_token_rollup,
     "op9_html_template": op9_html_template,
     "op10_merge_dropout": op10_merge_dropout,
+    "op11_whitening": op11_whitening,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_quality_rules": op13_quality_rules,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -96,7 +112,35 @@ reach(doc_id, z) as (select doc_id, doc_id from doc_words union select doc_id, y
 select doc_id, min(z) as class_id from reach group by 1
 """
 
+_MEASURE = {m: (sql.replace(" div ", " // "), *rest) for m, (sql, *rest) in quality_rules.MEASURES.items()}
+_LEVEL = """(select {keys}measure, max(total) as total, min(bucket) filter (4 * upto >= total) as low, min(bucket) filter (4 * upto >= 3 * total) as high from
+  (select *, sum(n) over (partition by {keys}measure) as total, sum(n) over (partition by {keys}measure order by bucket) as upto from (select {keys}measure, bucket, sum(n) as n from sketch group by all)) group by all)"""
+_BOUND = {m: f"q.measure = '{m}' and (v > high + {quality_rules.FENCE} * greatest(high - low, {least})" + (f" or v < low - {quality_rules.FENCE} * greatest(high - low, {least}))" if both else ")") for m, (_, both, least) in _MEASURE.items()}
+
+_OP13 = rf"""
+with texts as (select doc_id, lang, source, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') as w from documents),
+lines as (select doc_id, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select doc_id, unnest(string_split(text, chr(10))) as line from texts) where regexp_matches(line, '[^ 	-]') group by 1),
+windows as (select doc_id, i, array_to_string(w[i : i + {quality_rules.WINDOW - 1}], ' ') as k from (select *, unnest(range(1, len(w) - {quality_rules.WINDOW - 2})) as i from texts)),
+again as (select doc_id, i from (select *, count(*) over (partition by doc_id, k) as c from windows) where c > 1),
+repeats as (select doc_id, count(*) as n_repeat_words from (select distinct doc_id, unnest(range(i, i + {quality_rules.WINDOW})) as q from again) group by 1),
+counts as (select doc_id, lang, source, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+  coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words, coalesce(n_lines, 0) as n_lines,
+  length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) as n_capitals, length(text) - length(regexp_replace(text, '[!?]', '', 'g')) as n_marks
+  from texts left join lines using (doc_id) left join repeats using (doc_id)),
+flagged as (select *, n_words < {quality_rules.LEAST_WORDS} or 100 * n_repeat_words > {quality_rules.MOST_REPEATED_PERCENT} * n_words as base_failed from counts),
+measured as ({" union all ".join(f"select doc_id, lang, source, '{m}' as measure, {sql} as v from flagged where not base_failed" for m, (sql, *_) in _MEASURE.items())}),
+sketch as (select lang, source, measure, case when v < 128 then v else (v >> (length(bin(v)) - 7)) << (length(bin(v)) - 7) end as bucket, count(*) as n from measured group by all),
+chosen as (select g.lang, g.source, g.measure, coalesce(a.low, b.low, c.low) as low, coalesce(a.high, b.high, c.high) as high from (select distinct lang, source, measure from sketch) g
+  left join {_LEVEL.format(keys="lang, source, ")} a on a.lang is not distinct from g.lang and a.source is not distinct from g.source and a.measure = g.measure and a.total >= {quality_rules.LEAST_DOCUMENTS}
+  left join {_LEVEL.format(keys="lang, ")} b on b.lang is not distinct from g.lang and b.measure = g.measure and b.total >= {quality_rules.LEAST_DOCUMENTS}
+  left join {_LEVEL.format(keys="")} c on c.measure = g.measure),
+verdicts as (select doc_id, {", ".join(f"bool_or({x}) as {m}" for m, x in _BOUND.items())} from measured m join chosen q on q.lang is not distinct from m.lang and q.source is not distinct from m.source and q.measure = m.measure group by 1),
+named as (select doc_id, concat_ws(',', {", ".join(f"case when {m} then '{m}' end" for m in _MEASURE)}) as failed from verdicts)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(failed, '') = '' as kept, coalesce(failed, '') as failed, n_lines, n_capitals, n_marks
+from flagged left join named using (doc_id)
+"""
+
 #: DuckDB SQL of those queries that SQL can express.  Compressed sizes, permutations by hash, fitted
 #: models, code streams, tokenizers and page templates are tested against brute force, round trips or
 #: held-out accuracy instead.
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": _OP1, "op3_warc": _OP3, "op4_near_dedup": _OP4}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": _OP1, "op3_warc": _OP3, "op4_near_dedup": _OP4, "op13_quality_rules": _OP13}

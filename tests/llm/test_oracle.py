@@ -20,4 +20,4 @@ def test_equal(spark, name):
 
 
 def test_all_numbered_queries_are_there():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
