@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from benchlens.functions.text import META, TEXT, clean_text, terms, tokens
+from benchlens.operators import selection
+from benchlens.sources.results import written
 
 TEXT_MODES = ("tfidf", "embedding", "none")
 
@@ -78,12 +80,13 @@ def encode_texts(df: DataFrame, text: str, encoder: Callable[[], Callable[[list[
 def numeric_statistics(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
     """Median and population deviation after imputation, for columns with any value.
 
-    Two aggregations, one row each.  Columns without a value are dropped, with their names.
+    Medians come from narrowing intervals, so no task holds a column.  Columns without a value are
+    dropped, with their names.
     """
     if not columns:
         raise ValueError("no numeric columns")
-    clean = df.select(*[_plain(c) for c in columns])
-    medians = clean.agg(*[F.median(c).alias(c) for c in columns]).first().asDict()
+    clean = written(df.select(*[_plain(c) for c in columns]))
+    medians = selection.medians(clean, columns)
     held = [c for c in columns if medians[c] is not None]
     if not held:
         return {}

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from benchlens.sources.results import written
+
 #: Hex digits of a hash by which rows are ranked apart; the table of prefixes is broadcast (65,536 rows).
 PREFIX_DIGITS = 4
 
@@ -39,26 +39,81 @@ def row_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42) -> DataFrame:
     return ranked.withColumn("fold", fold.cast("int")).drop("_h", "_p", "_r", "_offset", "_total")
 
 
+def rank_within(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df`` with ``rank`` (from 0) in its group by ``order``; a group of any size is ranked by many tasks.
+
+    Rows are dealt by ranges and kept; each range counts its part of a group, and the counts of the
+    ranges before it are its offset.
+    """
+    dealt = written(df.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    counts = dealt.groupBy(*by, "_range").agg(F.count("*").alias("_n"))
+    # a group has as many rows here as there are ranges with a part of it
+    offsets = counts.select(*by, "_range", (F.sum("_n").over(W.partitionBy(*by).orderBy("_range")) - F.col("_n")).alias("_offset"))
+    ranked = dealt.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_range").orderBy(*order)) - 1)
+    return ranked.join(offsets, [*by, "_range"]).withColumn("rank", F.col("_offset") + F.col("_r")).drop("_range", "_r", "_offset")
+
+
+def deal_sizes(sizes: Iterator[tuple[int, int]], k: int) -> Iterator[tuple[int, int, list[int]]]:
+    """Deal groups size by size, largest first, each to the lightest of k folds so far (ties: least fold).
+
+    ``sizes`` is (size, how many groups).  Within one size, fold f would take its groups at loads
+    load_f, load_f + size, ...; the groups take these places in order.  So they go round a fixed list of
+    folds until the next heavier fold comes to its turn: k stretches at most, however many groups.
+    Yields (size, first rank of the stretch, folds in turn).
+    """
+    loads = [0] * k
+    for size, count in sizes:
+        if not size:  # empty groups weigh nothing: the lightest fold takes them all
+            yield size, 0, [min(range(k), key=lambda f: (loads[f], f))]
+            continue
+        begin, waiting, turns = 0, sorted((load, f) for f, load in enumerate(loads)), []
+        while begin < count:
+            turns = sorted([*turns, waiting.pop(0)])
+            n = count - begin
+            if waiting:  # only the places that come before the next heavier fold's first one
+                load_next, f_next = waiting[0]
+                n = min(n, sum(max(0, -((load - load_next) // size) + ((load_next - load) % size == 0 and f < f_next)) for load, f in turns))
+            if n:
+                yield size, begin, [f for _, f in turns]
+            whole, rest = divmod(n, len(turns))
+            turns = [(load + size * (whole + (i < rest)), f) for i, (load, f) in enumerate(turns)]
+            begin += n
+        for load, f in turns:
+            loads[f] = load
+
+
 def group_folds(groups: DataFrame, group: str, k: int = 5, size: str = "n") -> DataFrame:
     """(group, fold): largest groups first, each to the lightest fold so far (ties: least id, least fold).
 
-    ``groups`` has one row for each group.  Greedy assignment is sequential, so one task deals this
-    table (never the rows behind it): sorted on disk where it must be, streamed past a heap of k loads.
+    ``groups`` has one row for each group.  Dealing is sequential, but groups of equal size differ by their
+    rank alone: one task deals the distinct sizes (no more than the root of twice the number of rows), and
+    every group finds its fold by its rank within its size.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heap = [(0, fold) for fold in range(k)]
-        for batch in batches:
-            dealt = []
-            for n in batch.column(1).to_pylist():
-                load, fold = heap[0]
-                heapq.heapreplace(heap, (load + n, fold))
-                dealt.append(fold)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(dealt, pa.int32())], names=[group, "fold"])
-
-    ordered = groups.select(F.col(group), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_n")).repartition(1).sortWithinPartitions(F.desc("_n"), group)
-    schema = T.StructType([T.StructField(group, groups.schema[group].dataType), T.StructField("fold", T.IntegerType())])
-    return ordered.mapInArrow(deal, schema)
+        pairs = (pair for batch in batches for pair in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        stretches: list[tuple[int, int, list[int]]] = []
+        for row in deal_sizes(pairs, k):
+            stretches.append(row)
+            if len(stretches) == 1024:
+                yield _stretches(stretches)
+                stretches = []
+        if stretches:
+            yield _stretches(stretches)
+
+    sized = groups.select(F.col(group), F.coalesce(F.col(size), F.lit(0)).cast("long").alias("_size"))
+    ranked = rank_within(sized, ["_size"], [group])
+    counts = ranked.groupBy("_size").agg(F.count("*").alias("_count")).repartition(1).sortWithinPartitions(F.desc("_size"))
+    dealt = counts.mapInArrow(deal, "_size long, _begin long, _turns array<int>")
+    steps = dealt.groupBy("_size").agg(F.sort_array(F.collect_list(F.struct("_begin", "_turns"))).alias("_steps"))  # k of them at most
+    step = F.element_at(F.filter("_steps", lambda s: s["_begin"] <= F.col("rank")), -1)
+    fold = F.get(F.col("_step._turns"), F.pmod(F.col("rank") - F.col("_step._begin"), F.size("_step._turns")).cast("int"))
+    return ranked.join(steps, "_size").withColumn("_step", step).select(group, fold.alias("fold"))
+
+
+def _stretches(rows: list[tuple[int, int, list[int]]]) -> pa.RecordBatch:
+    size, begin, turns = zip(*rows, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(size, pa.int64()), pa.array(begin, pa.int64()), pa.array(turns, pa.list_(pa.int32()))], names=["_size", "_begin", "_turns"])
 
 
 def with_group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchlens.functions import text as X
-from benchlens.operators import attribution, explain, features, folds, metrics, models, report, tables
+from benchlens.operators import attribution, explain, features, folds, metrics, models, report, selection, tables
 from benchlens.plans import inputs as I
 from benchlens.plans import pipeline
 from benchlens.sources import evaluations as S
@@ -330,6 +330,15 @@ def numeric_statistics(s, d):
     return s.createDataFrame([(c, float(m), float(std)) for c, (m, std) in stats.items()], "feature string, median double, std double")
 
 
+@query("select unnest(['l_quantity', 'l_extendedprice', 'l_discount']) as feature, unnest([median(cast(l_quantity as double)), median(cast(l_extendedprice as double)), median(cast(l_discount as double))]) as median, count(*) as n from lineitem")
+def exact_medians(s, d):
+    """Medians of columns that no task holds."""
+    names = ["l_quantity", "l_extendedprice", "l_discount"]
+    values = s.read.parquet(f"{d}/lineitem.parquet").select(*[F.col(c).cast("double").alias(c) for c in names])
+    n = values.count()
+    return s.createDataFrame([(c, m, n) for c, m in selection.medians(values, names).items()], "feature string, median double, n long")
+
+
 SCALED = ", ".join(f"coalesce({c}, (select median({c}) from tasks)) / (select case when s = 0 then 1 else s end from (select stddev_pop(coalesce({c}, (select median({c}) from tasks))) as s from tasks)) as {c}" for c in ("MajorityClassSize", "NumberOfInstances", "NumberOfClasses"))
 
 
