@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -135,13 +136,19 @@ def split(folded: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
 
 
 def sample(df: DataFrame, by: list[str], key: str, n: int, seed: int = 42, role: str = "eval") -> DataFrame:
-    """Up to n rows of each group, without replacement, the same on any partitioning.
+    """Up to n rows of each group, without replacement, the same on any partitioning; keys are unique in a group.
 
-    Hashes rank rows in two steps, by shards first, so a group of any size never meets in one task.
+    Only hashes and keys are ranked, in two steps, by shards first, so a group of any size never meets in
+    one task; other columns are joined to the keys that were drawn.
     """
-    hashed = df.withColumn("_h", order_key(F.col(key), seed, role)).withColumn("_s", F.substring("_h", -2, 2))
+    hashed = df.select(*by, key).withColumn("_h", order_key(F.col(key), seed, role)).withColumn("_s", F.substring("_h", -2, 2))
     some = hashed.withColumn("_r", F.row_number().over(W.partitionBy(*by, "_s").orderBy("_h", key))).where(F.col("_r") <= n)
-    return some.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_h", key))).where(F.col("_r") <= n).drop("_h", "_s", "_r")
+    drawn = some.withColumn("_r", F.row_number().over(W.partitionBy(*by).orderBy("_h", key))).where(F.col("_r") <= n).select(*by, key)
+    if set(df.columns) == {*by, key}:
+        return drawn.select(df.columns)
+    names = [*by, key]
+    other = drawn.select(*[F.col(c).alias(f"_{c}") for c in names])
+    return df.join(other, reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in names]), "left_semi")
 
 
 def leakage(folded: DataFrame, entity: str) -> DataFrame:

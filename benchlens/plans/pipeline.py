@@ -87,7 +87,7 @@ def run(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows:
     protocols = {mode: results.written(folded.select("row_id", "y", "fold")) for mode, folded in protocols.items()}
     long = keep("features", _features(spark, supervised, meta, config, root, vectors, protocols))
     dictionary = results.written(features.feature_dictionary(long))
-    names, parts, attributions, pairs = list(config.models), [], [], []
+    names, parts, attributions, pairs, rows_explained = list(config.models), [], [], [], []
     for mode, folded in protocols.items():
         # Features fitted on all rows serve every fold; those fitted on training rows have a matrix each.
         for only in [None] if config.fit_scope == "all" else range(config.cv_folds):
@@ -100,8 +100,9 @@ def run(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows:
             if not config.compute_shap:
                 continue
             for (name, fold), model in own.items():
-                a, b = explained(spark, matched, model, name, fold, mode, config, root, known)
+                a, b, c = explained(spark, matched, model, name, fold, mode, config, root, known)
                 attributions.append(a)
+                rows_explained.append(c)
                 pairs += [b] if b is not None else []
     predictions = keep("predictions", union(parts))
     cv = keep("cv_results", metrics.fold_metrics(predictions, ["split_mode", "model", "fold"]))
@@ -114,6 +115,7 @@ def run(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows:
         if config.fit_scope == "fold":  # one numbering for the features of all folds
             shap = shap.drop("feature_id").join(F.broadcast(dictionary), "feature")
         shap = keep("local_shap", shap)
+        keep("explained_rows", union(rows_explained).join(predictions, [*by, "fold", "row_id"]))
         by_fold = explain.mean_abs(shap, [*by, "fold"])
         keep("global_shap", explain.global_importance(by_fold, by))
         local = keep("local_shap_metrics", explain.local_metrics(shap, [*by, "fold", "row_id"], config.top_k, config.mass, dictionary))
@@ -155,29 +157,32 @@ def union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def explained(spark, folded: DataFrame, model, name: str, fold: int, mode: str, config: Config, root: str, dictionary: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """Attributions of sampled test rows against sampled training rows, and their interactions."""
-    train, test = folds.split(folded.select("row_id", "fold", vector_to_array("features").alias("x")), fold)
+def explained(spark, folded: DataFrame, model, name: str, fold: int, mode: str, config: Config, root: str, dictionary: DataFrame) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Attributions of sampled test rows against sampled training rows, their interactions, and (row_id, expected_value)."""
+    train, test = folds.split(folded.select("row_id", "fold", "features"), fold)
     background = folds.sample(train.withColumn("g", F.lit(0)), ["g"], "row_id", config.shap_background, config.seed + fold, "background")
-    background = np.array([r.x for r in background.orderBy("row_id").collect()])  # shap_background rows at most
+    background = [r.features for r in background.orderBy("row_id").collect()]  # shap_background rows at most
     rows = folds.sample(test, ["fold"], "row_id", config.shap_eval, config.seed + fold)
     label = lambda df: df.select(F.lit(mode).alias("split_mode"), F.lit(name).alias("model"), F.lit(fold).alias("fold"), "*")
+    with_expected = lambda value: label(rows.select("row_id", F.lit(float(value)).alias("expected_value")))
     own = getattr(model, "model", None)
     if name == "ridge":
-        weights = own.coefficients.toArray()
-        long = rows.select("row_id", F.posexplode("x").alias("feature_id", "v"))
-        known = spark.createDataFrame([(i, float(w), float(m)) for i, (w, m) in enumerate(zip(weights, background.mean(0), strict=True))], "feature_id int, w double, m double")
+        weights, mean = own.coefficients.toArray(), np.zeros(own.numFeatures)
+        for v in background:
+            mean += v.toArray() / len(background)
+        long = rows.select("row_id", F.posexplode(vector_to_array("features")).alias("feature_id", "v"))
+        known = spark.createDataFrame([(i, float(w), float(m)) for i, (w, m) in enumerate(zip(weights, mean, strict=True))], "feature_id int, w double, m double")
         found = long.join(F.broadcast(known), "feature_id").select("row_id", "feature_id", (F.col("w") * (F.col("v") - F.col("m"))).alias("shap"))
-        return label(found.join(F.broadcast(dictionary), "feature_id")), None
+        return label(found.join(F.broadcast(dictionary), "feature_id")), None, with_expected(weights @ mean + own.intercept)
     if own is None:
         raise ValueError(f"{name} has no attributions")
     leaves = attribution.ensemble_leaves(spark, own, f"{root}/models/{config.agg_mode}-{config.name}/{mode}-{name}-{fold}")
-    found, _ = attribution.explain(rows, leaves, background)
+    found, expected = attribution.explain(rows, leaves, background)
     found = label(found.join(F.broadcast(dictionary), "feature_id"))
     if not config.compute_interactions:
-        return found, None
+        return found, None, with_expected(expected)
     some = folds.sample(test, ["fold"], "row_id", config.interaction_eval, config.seed + fold)
-    return found, label(attribution.explain_interactions(some, leaves, background.shape[1]))
+    return found, label(attribution.explain_interactions(some, leaves)), with_expected(expected)
 
 
 def run_grid(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows: DataFrame, configs: list[Config], root: str, vectors: DataFrame | None = None) -> dict[tuple[str, str], dict[str, DataFrame]]:

@@ -7,8 +7,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import numpy as np
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -652,12 +650,12 @@ def _matrix(s, d):
 def _forest(s, d):
     """Leaves of a forest on the training rows of one fold, sampled test rows and background."""
     rows, width = _matrix(s, d)
-    train, test = folds.split(folds.row_folds(rows, "row_id", I.FOLDS, I.SEED).persist(), 0)
+    train, test = folds.split(results.written(folds.row_folds(rows, "row_id", I.FOLDS, I.SEED)), 0)
     model = models.random_forest(train, I.SEED, SMALL).model
-    array = lambda df: df.select("row_id", "fold", vector_to_array("features").alias("x"))
-    background = folds.sample(array(train).withColumn("g", F.lit(0)), ["g"], "row_id", 50, I.SEED, "background").orderBy("row_id").collect()
+    narrow = lambda df: df.select("row_id", "fold", "features")
+    background = folds.sample(narrow(train).withColumn("g", F.lit(0)), ["g"], "row_id", 50, I.SEED, "background").orderBy("row_id").collect()
     leaves = attribution.ensemble_leaves(s, model, f"{results.work_dir(s)}/forest")
-    return leaves, folds.sample(array(test), ["fold"], "row_id", 20, I.SEED), np.array([r.x for r in background]), width
+    return leaves, folds.sample(narrow(test), ["fold"], "row_id", 20, I.SEED), [r.features for r in background], width
 
 
 @query(None)
@@ -721,6 +719,37 @@ def fold_interactions(s, d):
     return explain.interaction_ratio(_explained_folds(s, d, True), ["fold"])
 
 
+def _text_rows(s, d):
+    """(row_id, features, y, fold) with the whole vocabulary and scaled metafeatures, and the feature names."""
+    supervised = results.written(_supervised(s, d))
+    long = results.written(features.build_features(supervised, "tfidf", tables.normalize_tasks(I.tasks(s, d))[1]))
+    dictionary = results.written(features.feature_dictionary(long))
+    matrix = features.to_vectors(long, dictionary, dictionary.count())
+    rows = supervised.select("row_id", F.col("target_value").alias("y")).join(matrix, "row_id")
+    return results.written(folds.row_folds(rows, "row_id", I.FOLDS, I.SEED)), dictionary
+
+
+def _text_explained(s, d, interactions: bool):
+    """A forest over words and metafeatures in every fold, its sampled rows explained."""
+    folded, dictionary = _text_rows(s, d)
+    config = pipeline.Config("text", models=("random_forest",), compute_interactions=interactions, settings=SMALL)
+    own: dict = {}
+    models.cross_validate(folded, list(config.models), "row_kfold", I.SEED, SMALL, own)
+    return [pipeline.explained(s, folded, own[k], *k, "row_kfold", config, results.work_dir(s), dictionary) for k in sorted(own)]
+
+
+@query(None)
+def text_attributions(s, d):
+    """(fold, row_id, feature, shap) of sparse rows over the whole vocabulary."""
+    return pipeline.union([a for a, _, _ in _text_explained(s, d, False)]).select("fold", "row_id", "feature", "shap")
+
+
+@query(None)
+def text_interactions(s, d):
+    """(fold, row_id, feature_i, feature_j, value) of all pairs that share a path, over the whole vocabulary."""
+    return pipeline.union([b for _, b, _ in _text_explained(s, d, True)]).select("fold", "row_id", "feature_i", "feature_j", "value")
+
+
 @query(None)
 def whole_text_run(s, d):
     """Text and metafeatures, fitted on each fold's training rows, with attributions of every fold."""

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from benchlens.functions.text import cache_key
 
 #: Tables of a run.
-KINDS = ("cv_results", "summary", "wilcoxon_mse", "wilcoxon_r2", "global_shap", "local_shap_metrics", "global_shap_topk", "global_shap_stability", "interaction_metrics", "shap_summary_metrics", "local_shap", "predictions", "supervised", "features")
+KINDS = ("cv_results", "summary", "wilcoxon_mse", "wilcoxon_r2", "global_shap", "local_shap_metrics", "global_shap_topk", "global_shap_stability", "interaction_metrics", "shap_summary_metrics", "local_shap", "explained_rows", "predictions", "supervised", "features")
 METADATA = "name string, agg_mode string, text_mode string, use_task_metafeatures boolean, fit_scope string, cv_folds int, seed long, models array<string>, created string"
 
 

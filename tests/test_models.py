@@ -148,6 +148,8 @@ def test_whole_runs(spark, tmp_path):
     both = pipeline.consolidate(spark, root, "mean")
     assert {r.experiment for r in both["predictive_anchor"].collect()} == {"tfidf_meta", "meta_only"}
     assert both["shap_summary"].count() == both["local_summary"].count() == 2
+    told = tables["explained_rows"].join(tables["local_shap"].groupBy("split_mode", "model", "fold", "row_id").agg(F.sum("shap").alias("s")), ["split_mode", "model", "fold", "row_id"], "left")
+    assert told.count() == 2 * 2 * 3 * 5 and told.where(F.abs(F.coalesce("s", F.lit(0.0)) + F.col("expected_value") - F.col("y_pred")) > 1e-8).isEmpty()
 
 
 def test_compute_once_and_csv(spark, tmp_path):
@@ -226,3 +228,45 @@ def test_leaves_in_parts(spark, data, monkeypatch, tmp_path):
     assert np.isclose(expected, leaves.predict(x[100:110]).mean())
     again = {(r.row_id, r.feature_i, r.feature_j): r.value for r in A.explain_interactions(rows, leaves, 4).collect()}
     assert all(np.isclose(again.get(k, 0.0), v) for k, v in pairs.items())
+
+
+def test_wide_sparse_rows_cost_what_their_cells_cost(spark):
+    """5,010 features, 50 rows, 9,600 leaves: attributions add up, pairs stay on shared paths, memory is bounded."""
+    import resource
+
+    rng = np.random.default_rng(0)
+    p, n, d = 5010, 9600, 5
+    feature = np.sort(np.array([rng.choice(p, d, replace=False) for _ in range(n)]), 1)
+    up = rng.random((n, d)) < 0.5
+    leaves = A.Leaves(feature, np.where(up, 0.1, -np.inf), np.where(up, np.inf, 0.1), rng.random((n, d)), rng.normal(size=n))
+    vector = lambda: Vectors.sparse(p, sorted(rng.choice(p, 30, replace=False).tolist()), rng.random(30).tolist())
+    xs, background = [vector() for _ in range(50)], [vector() for _ in range(200)]
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    rows = spark.createDataFrame(list(enumerate(xs)), ["row_id", "features"])
+    found, expected = A.explain(rows, leaves, background)
+    sums = {r.row_id: r.s for r in found.groupBy("row_id").agg(F.sum("shap").alias("s")).collect()}
+    predicted = [leaves.predict(v.toArray()[None, :])[0] for v in xs]
+    assert np.isclose(expected, np.mean([leaves.predict(v.toArray()[None, :])[0] for v in background]))
+    assert np.allclose([sums.get(k, 0.0) + expected for k in range(50)], predicted)
+    pairs = A.explain_interactions(rows.limit(3), leaves)
+    total = {r.row_id: r.s for r in pairs.groupBy("row_id").agg(F.sum("value").alias("s")).collect()}
+    rest = (leaves.ratio.prod(1) * leaves.value).sum()  # prediction where every feature is absent
+    assert len(total) == 3 and all(np.isclose(total[k], predicted[k] - rest) for k in total)
+    paths = {(int(a), int(b)) for f in feature for a in f for b in f}
+    assert all((r.feature_i, r.feature_j) in paths for r in pairs.select("feature_i", "feature_j").distinct().collect())
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000  # kilobytes
+
+
+def test_sparse_and_dense_rows_are_explained_alike(spark, data, tmp_path):
+    x, _, df = data
+    model = RandomForestRegressor(labelCol="y", maxDepth=3, seed=1, numTrees=3).fit(df)
+    leaves = A.ensemble_leaves(spark, model, f"file://{tmp_path}/m")
+    x = np.where(np.abs(x) < 0.5, 0.0, x)
+    arrays = spark.createDataFrame([(i, [float(c) for c in x[i]]) for i in range(6)], "row_id long, x array<double>")
+    sparse = spark.createDataFrame([(i, Vectors.sparse(4, [(int(j), float(x[i, j])) for j in np.flatnonzero(x[i])])) for i in range(6)], ["row_id", "features"])
+    read = lambda f: {(r.row_id, r.feature_id): r.shap for r in f.collect()}
+    one, two = (read(A.explain(rows, leaves, x[50:70])[0]) for rows in (arrays, sparse))
+    assert one == two and len(one) > 6
+    cells = lambda f: {(r.row_id, r.feature_i, r.feature_j): r.value for r in f.collect()}
+    one, two = (cells(A.explain_interactions(rows, leaves)) for rows in (arrays, sparse))
+    assert one == two
