@@ -145,14 +145,15 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, r
     """The model, from ``per_class`` rows at most of each label, chosen by a hash of their ids.
 
     Null ids and labels teach nothing; several labels of one document count as their majority (a draw
-    as 1).  None where no labelled document is there.
+    as 1); of several texts of one id the one with the least hash teaches.  None where no labelled document is there.
     """
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("label"))
     known = known.where(~held_out()).join(docs.select("doc_id").where("doc_id is not null"), "doc_id", "left_semi")
     parts = [known.where(F.col("label") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for v in (0, 1)]
     sample = F.broadcast(parts[0].unionByName(parts[1]))  # at most 2 * per_class rows of two numbers
-    texts = docs.select("doc_id", "text").join(sample, "doc_id").dropDuplicates(["doc_id"])
-    rows = texts.select("label", F.col("text").cast("string").alias("text"), "doc_id").orderBy("doc_id").select("label", "text").mapInArrow(_term_rows, "label int, terms binary, counts binary").collect()
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id")
+    one = texts.groupBy("doc_id", "label").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))  # whatever the order of the rows
+    rows = one.orderBy("doc_id").select("label", "text").mapInArrow(_term_rows, "label int, terms binary, counts binary").collect()
     return _fit(rows, rank) if rows else None
 
 
@@ -173,7 +174,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row for each document: ``doc_id``, ``held_out``, ``score`` and ``predicted``.
 
     Texts without any term (null, empty) get the labels' mean in the sample; very long texts are scored
-    whole.  Neighbours that tie with the last one vote too.  Repeated rows are scored each; null ids are
+    whole.  Of several texts of one id all are scored and the one with the least hash may teach.  Neighbours that tie with the last one vote too.  Repeated rows are scored each; null ids are
     not held out.  Without labels all scores are 0.5; an empty table gives no rows.  Columns beside
     doc_id and text, whatever their names, are not read.
     """

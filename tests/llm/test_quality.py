@@ -88,3 +88,11 @@ def test_fit_against_a_full_decomposition():
     for rank in (4, 12):
         kept = ((x @ Q._fit(rows, rank)["projection"]) ** 2).sum()
         assert 0.97 * (singular[:rank] ** 2).sum() < kept <= (1 + 1e-4) * (singular[:rank] ** 2).sum()
+
+
+def test_several_texts_of_an_id_teach_alike_in_any_order(spark):
+    docs, labels = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 150"), spark.read.parquet(f"{SF}/labels.parquet")
+    other = docs.selectExpr("doc_id", "reverse(text) as text")
+    twice = docs.select("doc_id", "text").union(other)
+    one, two = (sorted(map(tuple, Q.classify(rows, labels).collect())) for rows in (twice.coalesce(1), other.union(docs.select("doc_id", "text")).repartition(7)))
+    assert one == two
