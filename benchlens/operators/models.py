@@ -1,4 +1,4 @@
-"""Regression models on MLlib, and cross-validation."""
+"""Regression models, on MLlib and on the trees of ``trees``, and cross-validation."""
 
 from __future__ import annotations
 
@@ -7,14 +7,11 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from benchlens.operators import trees
 from benchlens.operators.folds import split
 from benchlens.sources.results import written
 
@@ -35,11 +32,11 @@ class Settings:
     iterations: int = 20
     step: float = 0.05
     random_trees: int = 10
-    cuts: int = 16
     bins: int = 64
+    leaves: int = 31
 
 
-PAPER = Settings(trees=300, depth=15, iterations=300, random_trees=30, bins=256)
+PAPER = Settings(trees=300, depth=15, iterations=300, random_trees=300, bins=255)
 
 
 def ridge(train: DataFrame, seed: int, settings: Settings, alpha: float = 1.0) -> Fitted:
@@ -57,49 +54,15 @@ def random_forest(train: DataFrame, seed: int, settings: Settings) -> Fitted:
     return _transformer(RandomForestRegressor(labelCol="y", numTrees=settings.trees, featureSubsetStrategy="all", maxBins=settings.bins, maxDepth=settings.depth, minInstancesPerNode=1, seed=seed).fit(train))
 
 
-def _binning(cuts: np.ndarray) -> Callable[[str], Column]:
-    """How many of a feature's cuts lie below its value, for all features of a vector column."""
-
-    @F.pandas_udf("array<double>")
-    def codes(rows: pd.Series) -> pd.Series:
-        held = np.stack(rows.to_numpy()) if len(rows) else np.zeros((0, len(cuts)))
-        out = np.zeros(held.shape)
-        for c in cuts.T:
-            out += c < held
-        return pd.Series(list(out))
-
-    return lambda column: array_to_vector(codes(vector_to_array(column)))
-
-
 def extra_trees(train: DataFrame, seed: int, settings: Settings) -> Fitted:
-    """Trees over random thresholds: each sees the features cut at uniform points of their ranges.
-
-    An approximation of fully random splits, since MLlib has no such trees.
-    """
-    low, high = train.agg(Summarizer.min(F.col("features")), Summarizer.max(F.col("features"))).first()
-    low, high = low.toArray(), high.toArray()
-    trees = []
-    for t in range(settings.random_trees):
-        cuts = np.sort(np.random.default_rng((seed, t)).uniform(low[:, None], high[:, None], (len(low), settings.cuts)), axis=1)
-
-        binned = _binning(cuts)
-        tree = DecisionTreeRegressor(labelCol="y", featuresCol="_cut", predictionCol=f"_t{t}", maxDepth=settings.depth, maxBins=settings.cuts + 2, seed=seed + t)
-        trees.append((binned, tree.fit(train.withColumn("_cut", binned("features")))))
-
-    def apply(df: DataFrame) -> DataFrame:
-        for binned, tree in trees:
-            df = tree.transform(df.withColumn("_cut", binned("features"))).drop("_cut")
-        mean = reduce(lambda a, b: a + b, [F.col(f"_t{t}") for t in range(len(trees))]) / float(len(trees))
-        return df.withColumn("prediction", mean).drop(*[f"_t{t}" for t in range(len(trees))])
-
-    return apply
+    """Extremely random trees on all rows: a threshold drawn in a node's own range for each feature."""
+    return _transformer(trees.extremely_random_trees(train, seed, settings.random_trees, settings.depth))
 
 
 def hist_gbrt(train: DataFrame, seed: int, settings: Settings) -> Fitted:
-    """Boosted trees with a tenth of the rows, chosen by hash, for early stopping."""
-    marked = train.withColumn("_held", F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(10)) == 0)
-    gbt = GBTRegressor(labelCol="y", maxIter=settings.iterations, stepSize=settings.step, maxDepth=settings.depth, maxBins=settings.bins, minInstancesPerNode=20, validationIndicatorCol="_held", seed=seed)
-    return _transformer(gbt.fit(marked))
+    """Best-first boosted trees with a tenth of the rows, chosen by hash, for early stopping."""
+    held = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(10)) == 0
+    return _transformer(trees.boosted_trees(train, seed, trees.Boosting(iterations=settings.iterations, step=settings.step, leaves=settings.leaves, bins=settings.bins), held))
 
 
 def _transformer(model) -> Fitted:

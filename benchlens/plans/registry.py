@@ -7,11 +7,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchlens.functions import text as X
-from benchlens.operators import attribution, explain, features, folds, metrics, models, report, selection, tables
+from benchlens.operators import attribution, explain, features, folds, metrics, models, report, selection, tables, trees
 from benchlens.plans import inputs as I
 from benchlens.plans import pipeline
 from benchlens.sources import evaluations as S
@@ -630,6 +631,38 @@ def ridge_validation(s, d):
     return models.cross_validate(folded, ["ridge"], "row_kfold", I.SEED, SMALL).select("fold", "row_id", "y_true", "y_pred")
 
 
+_POINTS = "points as (select row_id, target_value as y, coalesce(NumberOfInstances, 0) as x from supervised)"
+
+
+@query(f"""with {_POINTS}, mean as (select avg(y) as m from points), kinds as (select x, count(*) as n, sum(y - m) as g from points, mean group by 1),
+sides as (select x, sum(n) over (order by x) as nl, sum(g) over (order by x) as gl, lead(x) over (order by x) as next, sum(n) over () as n, sum(g) over () as g from kinds),
+best as (select (x + next) / 2 as t, gl / nl as l, (g - gl) / (n - nl) as r from sides where next is not null and nl >= 20 and n - nl >= 20 order by gl * gl / nl + (g - gl) * (g - gl) / (n - nl) desc, x limit 1)
+select row_id, m + 0.5 * case when x <= t then l else r end as y_pred from points, mean, best""")
+def boosted_split(s, d):
+    """One round of boosting with one split on one feature, whose cuts are all midpoints."""
+    rows = _supervised(s, d).select("row_id", F.col("target_value").alias("y"), array_to_vector(F.array(F.coalesce(F.col("NumberOfInstances").cast("double"), F.lit(0.0)))).alias("features"))
+    rows = results.written(rows)
+    every = trees.Boosting(iterations=1, step=0.5, leaves=2, bins=1 << 40, cut_rows=1 << 60)
+    return trees.boosted_trees(rows, I.SEED, every).transform(rows).select("row_id", F.col("prediction").alias("y_pred"))
+
+
+_RANDOM = ("NumberOfInstances", "NumberOfFeatures", "NumberOfClasses")
+
+
+@query(f"""with long as ({" union all ".join(f"select {k} as feature, cast(coalesce({c}, 0) as double) as x, target_value as y from supervised" for k, c in enumerate(_RANDOM))}),
+ranges as (select feature, min(x) as low, max(x) as high, count(*) as n, sum(y) as s from long group by 1),
+drawn as (select tree, feature, n, s, low + cast(cast('0x' || substr(md5(concat_ws('::', tree, 0, feature, 42)), 1, 13) as bigint) as double) / 4503599627370496 * (high - low) as threshold from ranges, (select unnest(range(20)) as tree) where low < high),
+sides as (select tree, d.feature, threshold, d.n, d.s, count(*) as n_left, sum(y) as s_left from drawn d join long l on l.feature = d.feature and x <= threshold group by all),
+gains as (select *, s_left * s_left / n_left + (s - s_left) * (s - s_left) / (n - n_left) - s * s / n as gain from sides where n_left < n)
+select tree, feature, threshold, n_left, s_left / n_left as left_mean, (s - s_left) / (n - n_left) as right_mean from (select *, row_number() over (partition by tree order by gain desc, feature) as r from gains) where r = 1""")
+def random_split(s, d):
+    """The first level of twenty extremely random trees."""
+    cells = F.array(*[F.struct(F.lit(k).alias("f"), F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias("v")) for k, c in enumerate(_RANDOM)])
+    rows = _supervised(s, d).select(F.col("target_value").alias("y"), F.filter(cells, lambda c: c["v"] != 0).alias("_cells"))
+    found = trees.random_splits(rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("tree"), F.lit(0).alias("node")), I.SEED)
+    return found.select("tree", "feature", "threshold", "n_left", (F.col("s_left") / F.col("n_left")).alias("left_mean"), ((F.col("s") - F.col("s_left")) / (F.col("n") - F.col("n_left"))).alias("right_mean"))
+
+
 @query("select column_name as feature from (describe select * from supervised) where column_type in ('TINYINT', 'SMALLINT', 'INTEGER', 'BIGINT', 'HUGEINT', 'FLOAT', 'DOUBLE', 'BOOLEAN') and column_name not in ('task_id', 'flow_id', 'dataset_id', 'target_value', 'value_std', 'value_count')")
 def feature_columns(s, d):
     return s.createDataFrame([(c,) for c in tables.feature_columns(_supervised(s, d))], "feature string")

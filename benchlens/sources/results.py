@@ -37,11 +37,22 @@ def work_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/runs-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, with no lineage behind it."""
+def write_table(df: DataFrame) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared folder, and its path."""
     path = work_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, with no lineage behind it."""
+    return write_table(df)[0]
+
+
+def remove_table(spark: SparkSession, path: str) -> None:
+    """Only tables that no frame still to be computed reads."""
+    fs, at = _file_system(spark, path)
+    fs.delete(at, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
