@@ -5,14 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from benchlens.functions.text import META, TEXT, clean_text, terms, tokens
 from benchlens.operators import selection
-from benchlens.sources.results import written
+from benchlens.sources.results import write_table, written
 
 TEXT_MODES = ("tfidf", "embedding", "none")
 
@@ -145,12 +146,15 @@ def feature_dictionary(features: DataFrame) -> DataFrame:
 
 
 def to_vectors(features: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:
-    """(row_id, features) as sparse MLlib vectors."""
-
-    @F.udf(VectorUDT(), useArrow=True)
-    def vector(pairs):
-        return SparseVector(size, [p[0] for p in pairs], [p[1] for p in pairs])
+    """(row_id, features) as sparse MLlib vectors.
 
+    The vectors' parts are written as a table, whose columns are vectors when they are read as such.
+    """
     joined = features.join(F.broadcast(dictionary), "feature").where("value <> 0")
-    rows = joined.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("feature_id", "value"))).alias("pairs"))
-    return rows.select("row_id", vector("pairs").alias("features"))
+    pairs = F.sort_array(F.collect_list(F.struct("feature_id", "value")))
+    part = lambda name, kind: F.transform("pairs", lambda p: p[name].cast(kind)).alias(name)
+    rows = joined.groupBy("row_id").agg(pairs.alias("pairs")).select("row_id", part("feature_id", "int"), part("value", "double"))
+    stored = F.struct(F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"), F.col("feature_id").alias("indices"), F.col("value").alias("values"))
+    _, path = write_table(rows.select("row_id", stored.alias("features")))
+    schema = T.StructType([features.schema["row_id"], T.StructField("features", VectorUDT())])
+    return features.sparkSession.read.schema(schema).parquet(path)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchlens.functions import text as X
-from benchlens.operators import attribution, explain, features, folds, metrics, models, report, selection, tables, trees
+from benchlens.operators import attribution, explain, feature_model, features, folds, metrics, models, report, selection, tables, trees
 from benchlens.plans import inputs as I
 from benchlens.plans import pipeline
 from benchlens.sources import evaluations as S
@@ -323,6 +323,17 @@ def tfidf(s, d):
     return features.tfidf(s.read.parquet(f"{d}/documents.parquet"), "text", max_features=200)
 
 
+@query(f"with {TERMS}, keyed as (select doc_id, md5(lower(trim(regexp_replace(translate(coalesce(text, ''), '.()=,:', '      '), '[\\s\\x{{A0}}\\x{{2000}}-\\x{{200A}}\\x{{202F}}\\x{{3000}}]+', ' ', 'g')))) as text_key, n_chars from documents), weights as (select text_key, term, tf * idf / sqrt(sum(tf * idf * tf * idf) over (partition by text_key)) as value from counts join vocab using (term)) select doc_id, 'text::' || term as feature, value from keyed join weights using (text_key) union all select doc_id, 'meta::n_chars', coalesce(n_chars, (select median(n_chars) from documents)) / (select stddev_pop(coalesce(n_chars, (select median(n_chars) from documents))) from documents) from documents")
+def saved_features(s, d):
+    """Words and length of documents by a model that was fitted, saved and loaded again."""
+    docs, path = s.read.parquet(f"{d}/documents.parquet"), f"{results.work_dir(s)}/features"
+    feature_model.FeatureEstimator(textCol="text", numericCols=["n_chars"], maxFeatures=200).fit(docs).write().save(path)
+    model = feature_model.FeatureModel.load(path)
+    names = s.createDataFrame(list(enumerate(model.names)), "f int, feature string")
+    cells = trees.cells(model.transform(docs).select("doc_id", "features")).select("doc_id", F.explode("_cells").alias("c"))
+    return cells.select("doc_id", F.col("c.f").alias("f"), F.col("c.v").alias("value")).join(F.broadcast(names), "f").select("doc_id", "feature", "value")
+
+
 @query("select 'NumberOfInstances' as feature, median(NumberOfInstances) as median, stddev_pop(coalesce(NumberOfInstances, (select median(NumberOfInstances) from tasks))) as std from tasks union all select 'MajorityClassSize', median(MajorityClassSize), stddev_pop(coalesce(MajorityClassSize, (select median(MajorityClassSize) from tasks))) from tasks")
 def numeric_statistics(s, d):
     stats = features.numeric_statistics(tables.normalize_tasks(I.tasks(s, d))[0], ["NumberOfInstances", "MajorityClassSize"])
