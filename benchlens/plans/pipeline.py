@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchlens.functions.text import fingerprint
-from benchlens.operators import attribution, explain, features, folds, metrics, report, tables
+from benchlens.operators import attribution, explain, feature_model, features, folds, metrics, report, tables
 from benchlens.operators import models as regressors
 from benchlens.sources import results
 
@@ -86,6 +86,9 @@ def run(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows:
         protocols["task_group_kfold"] = folds.with_group_folds(rows, "task_id", config.cv_folds)
     protocols = {mode: results.written(folded.select("row_id", "y", "fold")) for mode, folded in protocols.items()}
     long = keep("features", _features(spark, supervised, meta, config, root, vectors, protocols))
+    if config.fit_scope == "all" and config.text_mode != "embedding":
+        fitted = feature_model.FeatureEstimator(textCol="flow_text" if config.text_mode == "tfidf" else "", numericCols=meta if config.use_task_metafeatures else [], maxFeatures=config.max_features, maxDF=config.max_df).fit(supervised)
+        fitted.write().overwrite().save(f"{root}/models/{config.agg_mode}-{config.name}/features")
     dictionary = results.written(features.feature_dictionary(long))
     names, parts, attributions, pairs, rows_explained = list(config.models), [], [], [], []
     for mode, folded in protocols.items():

@@ -593,10 +593,11 @@ def run_artifacts(s, d):
 
 @query("select * from agg_mean")
 def computed_once(s, d):
-    """The second call reads what the first one wrote; its own table is never made."""
-    root, payload = results.work_dir(s), {"table": "targets", "agg_mode": "mean"}
-    results.materialize(s, lambda: tables.aggregate_evaluations(I.evaluations(s, d)), root, "targets", payload)
-    return results.materialize(s, lambda: s.range(0), root, "targets", payload)
+    """The second call reads what the first one wrote, its own table is never made; other data are another table."""
+    root, payload, evals = results.work_dir(s), {"table": "targets", "agg_mode": "mean"}, I.evaluations(s, d)
+    results.materialize(s, lambda: tables.aggregate_evaluations(evals.withColumn("value", F.lit(5.0))), root, "targets", payload, [evals.withColumn("value", F.lit(5.0))])
+    results.materialize(s, lambda: tables.aggregate_evaluations(evals), root, "targets", payload, [evals])
+    return results.materialize(s, lambda: s.range(0), root, "targets", payload, [evals])
 
 
 @query("select experiment, agg_mode, model, split_mode, r2_mean, r2_std from (select unnest(['a', 'b']) as experiment, 'mean' as agg_mode, * from summary) where split_mode = 'task_group_kfold'")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from urllib.parse import unquote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,11 +90,63 @@ def read_artifacts(spark: SparkSession, root: str, run: str, agg_mode: str = "me
     return own("supervised"), own("features")
 
 
-def materialize(spark: SparkSession, make: Callable[[], DataFrame], root: str, prefix: str, payload: dict) -> DataFrame:
-    """The table of ``make``, computed once for each payload: every parameter is part of its name."""
-    path = f"{root}/{cache_key(prefix, payload)}"
+def publish(spark: SparkSession, finished: str, path: str) -> bool:
+    """Give a finished folder its name; False, and the folder is gone, where another one has the name already.
+
+    The rename refuses an existing target, so of several writers one wins, and nobody ever sees a part of a
+    table under ``path``.
+    """
+    fs, at = _file_system(spark, path)
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    fs.mkdirs(at.getParent())
+    options = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    files = jvm.org.apache.hadoop.fs.FileContext.getFileContext(at.toUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    try:
+        files.rename(jvm.org.apache.hadoop.fs.Path(finished), at, options)
+        return True
+    except Py4JJavaError:
+        if not fs.exists(at):
+            raise
+        remove_table(spark, finished)
+        return False
+
+
+def identity(df: DataFrame) -> str:
+    """A digest of what a frame would read: its plan, and path, size and time of every file below it.
+
+    Frames that are not made of files alone (local rows, say) are told apart by their rows, in any order.
+    """
+    spark, plan = df.sparkSession, df._jdf.queryExecution().optimizedPlan()
+    leaves = plan.collectLeaves()
+    kinds = {leaves.apply(k).getClass().getSimpleName() for k in range(leaves.size())}
+    told = [re.sub(r"#\d+L?|file:\S*|\S+://\S*", "", plan.canonicalized().toString())]
+    if kinds <= {"LogicalRelation", "OneRowRelation", "Range"}:
+        folders = {}
+        for f in df.inputFiles():
+            folders.setdefault(f.rpartition("/")[0], set()).add(f.rpartition("/")[2])
+        for folder in sorted(folders):
+            fs, at = _file_system(spark, unquote(folder))
+            held = {s.getPath().getName(): s for s in fs.listStatus(at)}
+            told += [f"{folder}/{n}:{held[unquote(n)].getLen()}:{held[unquote(n)].getModificationTime()}" for n in sorted(folders[folder])]
+    else:
+        row = F.xxhash64(F.to_json(F.struct(*df.columns)))
+        n, total = df.agg(F.count("*"), F.sum(row.cast("decimal(38,0)"))).first()
+        told.append(f"{df.schema.simpleString()}:{n}:{total}")
+    return hashlib.md5("\n".join(told).encode()).hexdigest()
+
+
+def materialize(spark: SparkSession, make: Callable[[], DataFrame], root: str, prefix: str, payload: dict, inputs: Iterable[DataFrame] = ()) -> DataFrame:
+    """The table of ``make``, computed once for each payload and each state of its ``inputs``.
+
+    Every parameter and the identity of every frame that ``make`` reads is part of the table's name.  It is
+    written beside and published whole: of several writers one wins, and one that dies leaves nothing to see.
+    """
+    read = [identity(df) for df in inputs]
+    path = f"{root}/{cache_key(prefix, {**payload, 'inputs': read} if read else payload)}"
     if not exists(spark, f"{path}/_SUCCESS"):
-        make().write.mode("overwrite").parquet(path)
+        beside = f"{root}/.making-{uuid.uuid4().hex}"
+        make().write.parquet(beside)
+        publish(spark, beside, path)
     return spark.read.parquet(path)
 
 
