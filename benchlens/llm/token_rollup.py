@@ -3,14 +3,15 @@
 Changes are signed rows: an insert adds a document's count, a delete takes it away, a revision does
 both.  A batch of changes is summed by source, language and tokenizer version and committed under its
 id; the sums are additive, so totals are the sum over committed batches.  A commit is idempotent: a
-batch counts once Spark's ``_SUCCESS`` mark stands in its folder, a second commit of its id changes
-nothing, and what a failed attempt left is overwritten.
+batch is written beside and gets its name whole, a second commit of its id changes nothing, and what a
+failed attempt left goes.
 """
 
 from __future__ import annotations
 
 import base64
 import re
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -19,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchlens.llm.common import shared_dir, slices, utf8, written
+from benchlens.sources.results import publish
 
 FOLDER = "/opt/tokenizers"
 #: Tokenizer versions: rank files of public byte-level encodings.
@@ -97,6 +99,13 @@ class Rollup:
         fs, mark = self._files(f"{self.path}/batch-{batch}/_SUCCESS")
         return fs.exists(mark)
 
+    def _publish(self, beside: str, at: str, mark: str) -> bool:
+        """Name a finished folder; what has the name without its mark is left of a failure and goes first."""
+        fs, path = self._files(at)
+        if fs.exists(path) and not fs.exists(self._files(f"{at}/{mark}")[1]):
+            fs.delete(path, True)
+        return publish(self.spark, beside, at)
+
     def committed(self) -> list[str]:
         fs, top = self._files(self.path)
         if not fs.exists(top):
@@ -105,14 +114,19 @@ class Rollup:
         return sorted(n for n in names if n.startswith("batch-") and fs.exists(self._files(f"{self.path}/{n}/_SUCCESS")[1]))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Sum and store a batch of CHANGES; False where its id is committed already."""
+        """Sum and store a batch of CHANGES; False where its id is committed already.
+
+        The sums are written beside and published by a rename that refuses an existing batch: of several
+        writers of one id one commits, and no committed total is ever replaced.
+        """
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
             raise ValueError(f"batch id {batch!r}")
         if self.is_committed(batch):
             return False
         sums = changes.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/batch-{batch}")
-        return True
+        beside = f"{self.path}/.making-{uuid.uuid4().hex}"
+        sums.write.parquet(beside)
+        return self._publish(beside, f"{self.path}/batch-{batch}", "_SUCCESS")
 
     def _base(self) -> tuple[str | None, set[str]]:
         """The folder of the latest complete base, and the batches that it holds (a row a commit)."""
@@ -123,26 +137,28 @@ class Rollup:
                 return name, {r.id for r in self.spark.read.schema("id string").parquet(f"{self.path}/{name}/ids").collect()}
         return None, set()
 
-    def _sums(self) -> DataFrame:
+    def _sums(self, names: list[str]) -> DataFrame:
         base, held = self._base()
-        paths = [f"{self.path}/{n}" for n in self.committed() if n not in held] + ([f"{self.path}/{base}/sums"] if base else [])
+        paths = [f"{self.path}/{n}" for n in names if n not in held] + ([f"{self.path}/{base}/sums"] if base else [])
         rows = self.spark.read.schema(CHANGES).parquet(*paths) if paths else self.spark.createDataFrame([], CHANGES)
         return rows.groupBy(*KEYS).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
 
     def compact(self) -> None:
         """Sum all committed batches into a base, so that totals read it and later batches alone.
 
-        The base's list of batches is written last, so a base that failed counts for nothing; the
-        batches' marks stay, so a replay of theirs still changes nothing.
+        Batches are listed once, so one that is committed meanwhile is in neither list nor sums and counts as
+        a later one.  A base is published whole, so one that failed counts for nothing; the batches' marks
+        stay, so a replay of theirs still changes nothing.
         """
         base, names = self._base()[0], self.committed()
-        at = f"{self.path}/base-{int(base[5:]) + 1 if base else 1:08d}"
-        self._sums().write.mode("overwrite").parquet(f"{at}/sums")
-        self.spark.createDataFrame([(n,) for n in names], "id string").coalesce(1).write.mode("overwrite").parquet(f"{at}/ids")
+        beside = f"{self.path}/.making-{uuid.uuid4().hex}"
+        self._sums(names).write.parquet(f"{beside}/sums")
+        self.spark.createDataFrame([(n,) for n in names], "id string").coalesce(1).write.parquet(f"{beside}/ids")
+        self._publish(beside, f"{self.path}/base-{int(base[5:]) + 1 if base else 1:08d}", "ids/_SUCCESS")
 
     def totals(self) -> DataFrame:
         """Additive totals by KEYS over all committed batches; groups without documents and tokens go."""
-        return self._sums().select(*KEYS, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
+        return self._sums(self.committed()).select(*KEYS, F.col("docs").alias("n_docs"), F.col("tokens").alias("n_tokens")).where("n_docs <> 0 or n_tokens <> 0")
 
 
 def roll_up(docs: DataFrame, versions: tuple[str, ...] = VERSIONS, folder: str = FOLDER) -> DataFrame:

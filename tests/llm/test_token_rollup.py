@@ -82,3 +82,34 @@ def test_compaction(spark, tmp_path):
     assert read() == later
     (tmp_path / "r/base-00000003/sums").mkdir(parents=True)
     assert read() == later
+    rollup.compact()
+    assert read() == later and (tmp_path / "r/base-00000003/ids/_SUCCESS").exists()
+
+
+def test_of_two_writers_one_commits(spark, tmp_path, monkeypatch):
+    """Both looked before either wrote: the second commits nothing and replaces nothing."""
+    rollup = R.Rollup(spark, f"file://{tmp_path}/two")
+    batch = lambda n: spark.createDataFrame([("s", "en", "v", 1, n)], R.CHANGES)
+    monkeypatch.setattr(R.Rollup, "is_committed", lambda self, name: False)
+    assert rollup.commit("b", batch(10)) and not rollup.commit("b", batch(99))
+    assert [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == [(1, 10)]
+
+
+def test_a_commit_during_compaction_counts_once(spark, tmp_path, monkeypatch):
+    rollup = R.Rollup(spark, f"file://{tmp_path}/busy")
+    batch = lambda n: spark.createDataFrame([("s", "en", "v", 1, n)], R.CHANGES)
+    rollup.commit("a", batch(10))
+    real = R.Rollup.committed
+
+    def late(self):
+        names = real(self)
+        if "batch-late" not in names:
+            rollup.commit("late", batch(5))  # right after the batches were listed
+        return names
+
+    monkeypatch.setattr(R.Rollup, "committed", late)
+    rollup.compact()
+    monkeypatch.setattr(R.Rollup, "committed", real)
+    assert [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == [(2, 15)]
+    rollup.compact()
+    assert [(r.n_docs, r.n_tokens) for r in rollup.totals().collect()] == [(2, 15)]
