@@ -16,6 +16,8 @@ from benchlens.operators import selection
 from benchlens.sources.results import write_table, written
 
 TEXT_MODES = ("tfidf", "embedding", "none")
+#: Makes a function from texts to vectors, once for each partition.
+Encoder = Callable[[], Callable[[list[str]], list]]
 
 
 def term_counts(df: DataFrame, text: str, bigrams: bool = True) -> DataFrame:
@@ -66,7 +68,7 @@ def embedding_features(df: DataFrame, vectors: DataFrame, key: str, vector_key:
     return joined.select("row_id", F.posexplode("v").alias("i", "x")).select("row_id", F.concat(F.lit(f"{TEXT}emb_"), F.col("i").cast("string")).alias("feature"), F.col("x").cast("double").alias("value"))
 
 
-def encode_texts(df: DataFrame, text: str, encoder: Callable[[], Callable[[list[str]], list]]) -> DataFrame:
+def encode_texts(df: DataFrame, text: str, encoder: Encoder) -> DataFrame:
     """(text, vector) of the distinct texts by a user's encoder, loaded once for each partition."""
 
     def rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,7 +119,7 @@ def numeric_features(df: DataFrame, columns: list[str], fit_on: DataFrame | None
     return scaled.select("row_id", pairs.alias("p")).select("row_id", "p.feature", "p.value")
 
 
-def build_features(df: DataFrame, text_mode: str, metafeatures: list[str] | None, text: str = "flow_text", vectors: DataFrame | None = None, vector_key: str = "vec_id", fit_on: DataFrame | None = None, **options) -> DataFrame:
+def build_features(df: DataFrame, text_mode: str, metafeatures: list[str] | None, text: str = "flow_text", vectors: DataFrame | None = None, vector_key: str = "vec_id", fit_on: DataFrame | None = None, key: str = "flow_id", vector: str = "embedding", **options) -> DataFrame:
     """Text features and metafeatures together, as the configuration asks; fitted on all rows or ``fit_on``."""
     if text_mode not in TEXT_MODES:
         raise ValueError(f"text_mode {text_mode!r}: one of {TEXT_MODES}")
@@ -127,7 +129,7 @@ def build_features(df: DataFrame, text_mode: str, metafeatures: list[str] | None
     elif text_mode == "embedding":
         if vectors is None:
             raise ValueError("text_mode embedding needs vectors")
-        parts.append(embedding_features(df, vectors, "flow_id", vector_key, "embedding"))
+        parts.append(embedding_features(df, vectors, key, vector_key, vector))
     if metafeatures:
         parts.append(numeric_features(df, metafeatures, fit_on))
     if not parts:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchlens.functions.text import fingerprint
-from benchlens.operators import attribution, explain, feature_model, features, folds, metrics, report, tables
+from benchlens.operators import attribution, encoder_store, explain, feature_model, features, folds, metrics, report, tables
 from benchlens.operators import models as regressors
 from benchlens.sources import results
 
@@ -40,6 +40,9 @@ class Config:
     top_k: int = explain.TOP_K
     mass: float = explain.MASS
     settings: regressors.Settings = field(default_factory=regressors.Settings)
+    #: For text_mode embedding without given vectors; the name stands for the encoder in the store of vectors.
+    encoder: features.Encoder | None = None
+    encoder_name: str = "encoder"
 
     def check(self) -> None:
         if self.text_mode not in features.TEXT_MODES:
@@ -139,8 +142,13 @@ def _features(spark: SparkSession, supervised: DataFrame, meta: list[str], confi
     """
     wanted = meta if config.use_task_metafeatures else None
     text: dict = {"max_features": config.max_features, "max_df": config.max_df} if config.text_mode == "tfidf" else {}
+    if config.text_mode == "embedding" and vectors is None and config.encoder is not None:
+        store = encoder_store.EncoderStore(spark, f"{root}/encoded", config.encoder_name)
+        vectors = store.vectors(supervised, "flow_text", config.encoder)
+        supervised = supervised.withColumn("_text_key", encoder_store.text_key("flow_text"))
+        text = {"key": "_text_key", "vector_key": "text_key", "vector": "vector"}
     if config.fit_scope == "all":
-        if text:
+        if config.text_mode == "tfidf":
             payload = {**text, "texts": fingerprint(supervised, "flow_text").first().fingerprint}
             text = {"weights": results.materialize(spark, lambda: features.tfidf(supervised, "flow_text", **text), f"{root}/shared", "tfidf", payload)}
         return features.build_features(supervised, config.text_mode, wanted, vectors=vectors, **text)
@@ -206,6 +214,19 @@ def consolidate(spark: SparkSession, root: str, agg_mode: str, split_mode: str =
     return out
 
 
+def consolidate_discovered(spark: SparkSession, roots: list[str], kind: str, agg_mode: str) -> DataFrame:
+    """One result table of every run whose metadata is found below any root, labelled with root and name.
+
+    Tables of runs without metadata (a run that never finished) are left out.
+    """
+    parts = []
+    for root in roots:
+        runs = results.discover_runs(spark, f"{root}/metadata").select(F.col("name").alias("run")).distinct()
+        rows = results.read_results(spark, root, kind).where(F.col("agg_mode") == agg_mode)
+        parts.append(rows.join(F.broadcast(runs), "run", "left_semi").select(F.lit(root.rstrip("/").rpartition("/")[2]).alias("root"), F.col("run").alias("experiment"), *[c for c in rows.columns if c != "run"]))  # a row a run
+    return union(parts)
+
+
 def repeated_validation(rows: DataFrame, group: str, names: list[str], repeats: int = 6, k: int = 5, seed: int = 2000, settings: regressors.Settings = regressors.Settings()) -> DataFrame:
     """Predictions (rep, split_mode, model, fold, ...) of shuffled group folds, for several repeats."""
     parts = []

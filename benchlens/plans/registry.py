@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from benchlens.functions import text as X
-from benchlens.operators import attribution, explain, feature_model, features, folds, metrics, models, report, selection, tables, trees
+from benchlens.operators import attribution, encoder_store, explain, feature_model, features, folds, metrics, models, report, selection, tables, trees
 from benchlens.plans import inputs as I
 from benchlens.plans import pipeline
 from benchlens.sources import evaluations as S
@@ -102,6 +102,14 @@ def load_evaluations(s, d):
     return S.load_evaluations([I.evaluations(s, d)], suite, per_task=50, order=["flow_id", "value"], check=False)
 
 
+@query("select distinct l_suppkey as task_id, l_partkey as flow_id, cast(l_extendedprice as varchar) as value from lineitem where l_returnflag = 'A' and l_suppkey in (select s_suppkey from supplier where s_acctbal > 0)")
+def load_metric_evaluations(s, d):
+    """Evaluations of one metric function out of several."""
+    lines = s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").alias("task_id"), F.col("l_partkey").alias("flow_id"), F.col("l_extendedprice").cast("string").alias("value"), F.col("l_returnflag").alias("function"))
+    suite = s.read.parquet(f"{d}/supplier.parquet").where("s_acctbal > 0").select(F.col("s_suppkey").alias("task_id"))
+    return S.load_evaluations([lines], suite, check=False, function="A")
+
+
 @query("select tid, did, name from tasks_raw where tid in (select l_suppkey from lineitem where l_quantity > 45)")
 def load_tasks(s, d):
     suite = s.read.parquet(f"{d}/lineitem.parquet").where("l_quantity > 45").select(F.col("l_suppkey").alias("task_id"))
@@ -364,6 +372,22 @@ def build_features(s, d):
     return features.build_features(t, "embedding", ["NumberOfInstances"], vectors=s.read.parquet(f"{d}/embeddings.parquet"))
 
 
+def letter_counts():
+    """An encoder that SQL can state: length and two letters' counts."""
+    return lambda texts: [[len(t), t.count("e"), t.count("a")] for t in texts]
+
+
+@query("select flow_id as row_id, 'text::emb_' || i as feature, cast(case i when 0 then length(flow_text) when 1 then length(flow_text) - length(replace(flow_text, 'e', '')) else length(flow_text) - length(replace(flow_text, 'a', '')) end as double) as value from flows, range(3) r(i)")
+def encoded_texts(s, d):
+    """Texts of flows by an encoder, whose vectors are stored: the second run encodes nothing."""
+    flows = _flows(s, d).select(F.col("flow_id").alias("row_id"), "flow_text")
+    store = encoder_store.EncoderStore(s, results.work_dir(s), "letters")
+    store.add(flows.where("row_id % 2 = 0"), "flow_text", letter_counts)
+    vectors = store.vectors(flows, "flow_text", letter_counts)
+    keyed = flows.withColumn("text_key", encoder_store.text_key("flow_text"))
+    return features.embedding_features(keyed, vectors, "text_key", "text_key", "vector")
+
+
 # Folds.
 
 
@@ -608,6 +632,17 @@ def consolidated_anchor(s, d):
     return pipeline.consolidate(s, root, "mean")["predictive_anchor"].select("experiment", "agg_mode", "model", "split_mode", "r2_mean", "r2_std")
 
 
+@query("select unnest(['one', 'one', 'two']) as root, unnest(['a', 'b', 'a']) as experiment, model, split_mode, r2_mean from summary")
+def consolidated_discovered(s, d):
+    """Runs found by their metadata below two roots; run c has none."""
+    base, summary = results.work_dir(s), results.written(metrics.summarize(_cv(s, d)))
+    for root, run in (("one", "a"), ("one", "b"), ("one", "c"), ("two", "a")):
+        results.write_result(summary, f"{base}/{root}", "summary", run)
+        if run != "c":
+            results.write_metadata(s, f"{base}/{root}", f"mean-{run}", {"name": run, "agg_mode": "mean"})
+    return pipeline.consolidate_discovered(s, [f"{base}/one", f"{base}/two"], "summary", "mean").select("root", "experiment", "model", "split_mode", "r2_mean")
+
+
 @query("select unnest(['a', 'b']) as experiment, 'm' as model, count(*) as n, avg(readability) as readability_mean, stddev_pop(readability) as readability_std, avg(sparsity) as sparsity_mean, stddev_pop(sparsity) as sparsity_std from local")
 def consolidated_local(s, d):
     root = results.work_dir(s)

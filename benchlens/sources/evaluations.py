@@ -18,8 +18,9 @@ def read_tables(spark: SparkSession, paths: list[str], kind: str = "parquet", **
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.options(**options).format(kind).load(p) for p in paths])
 
 
-def load_evaluations(parts: list[DataFrame], tasks: DataFrame | None = None, per_task: int | None = None, order: list[str] | None = None, check: bool = True) -> DataFrame:
-    """The union of evaluation batches, limited to listed tasks, with at most ``per_task`` rows of
+def load_evaluations(parts: list[DataFrame], tasks: DataFrame | None = None, per_task: int | None = None, order: list[str] | None = None, check: bool = True, function: str | None = None) -> DataFrame:
+    """The union of evaluation batches, of one metric ``function`` if named (a column of that name, which
+    then goes), limited to listed tasks, with at most ``per_task`` rows of
     each task in a stable order, and whole rows distinct.  Raises if nothing is left.
 
     The cap comes before the dedup.  Each task keeps its first rows of every shard of a hash before
@@ -28,6 +29,8 @@ def load_evaluations(parts: list[DataFrame], tasks: DataFrame | None = None, per
     if not parts:
         raise ValueError("no evaluations")
     rows = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    if function is not None:
+        rows = rows.where(F.col("function") == function).drop("function")
     if tasks is not None:
         rows = rows.join(tasks.select("task_id").distinct(), "task_id", "left_semi")
     if per_task is not None:

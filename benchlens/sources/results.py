@@ -37,7 +37,12 @@ def work_dir(spark: SparkSession) -> str:
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="benchlens-"))
         root = spark.sparkContext.getCheckpointDir()
-    return f"{root.rstrip('/')}/runs-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/runs-{fresh()}"
+
+
+def fresh() -> str:
+    """A name that no other writer takes."""
+    return uuid.uuid4().hex
 
 
 def write_table(df: DataFrame) -> tuple[DataFrame, str]:
@@ -144,7 +149,7 @@ def materialize(spark: SparkSession, make: Callable[[], DataFrame], root: str, p
     read = [identity(df) for df in inputs]
     path = f"{root}/{cache_key(prefix, {**payload, 'inputs': read} if read else payload)}"
     if not exists(spark, f"{path}/_SUCCESS"):
-        beside = f"{root}/.making-{uuid.uuid4().hex}"
+        beside = f"{root}/.making-{fresh()}"
         make().write.parquet(beside)
         publish(spark, beside, path)
     return spark.read.parquet(path)
