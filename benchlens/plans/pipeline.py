@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
@@ -12,8 +13,12 @@ from pyspark.sql import functions as F
 from benchlens.functions.text import fingerprint
 from benchlens.operators import attribution, encoder_store, explain, feature_model, features, folds, metrics, report, tables
 from benchlens.operators import models as regressors
+from benchlens.plans.stages import Stages
 from benchlens.sources import results
 
+#: Runs of a grid that are under way at once.
+RUNS_AT_ONCE = 2
+
 
 @dataclass(frozen=True)
 class Config:
@@ -58,19 +63,30 @@ class Config:
         regressors.select_models(list(self.models))
 
 
-def supervise(evals: DataFrame, raw_tasks: DataFrame, raw_flows: DataFrame, config: Config) -> tuple[DataFrame, list[str]]:
+def supervise(evals: DataFrame, raw_tasks: DataFrame, raw_flows: DataFrame, config: Config, stages: Stages) -> tuple[DataFrame, list[str]]:
     """The supervised table of a configuration, and its metafeatures."""
-    flows = tables.relevant_flows(tables.normalize_flows(raw_flows), evals, config.prefixes)
     known, meta = tables.normalize_tasks(raw_tasks)
-    targets = tables.restrict_evaluations(tables.aggregate_evaluations(evals, agg_mode=config.agg_mode), flows)
-    return tables.supervised_table(targets, known, flows), meta
+    prefixes = list(config.prefixes)
+
+    def join() -> DataFrame:
+        flows = stages.table("flows", {"prefixes": prefixes}, lambda: tables.relevant_flows(tables.normalize_flows(raw_flows), evals, config.prefixes))
+        targets = stages.table("targets", {"agg_mode": config.agg_mode}, lambda: tables.aggregate_evaluations(evals, agg_mode=config.agg_mode))
+        return tables.supervised_table(tables.restrict_evaluations(targets, flows), known, flows)
+
+    return stages.table("supervised", {"agg_mode": config.agg_mode, "prefixes": prefixes}, join), meta
+
 
+def run(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows: DataFrame, config: Config, root: str, vectors: DataFrame | None = None, stages: Stages | None = None) -> dict[str, DataFrame]:
+    """One experiment: its tables are written below ``root`` and returned as read back.
 
-def run(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows: DataFrame, config: Config, root: str, vectors: DataFrame | None = None) -> dict[str, DataFrame]:
-    """One experiment: its tables are written below ``root`` and returned as read back."""
+    What does not depend on the whole configuration (targets, supervised table, term weights, folds,
+    features) and what takes long (each protocol's fits) are stages, which runs of one root share and a run
+    that failed finds again.
+    """
     config.check()
     out: dict[str, DataFrame] = {}
     root = root.rstrip("/")
+    stages = stages or Stages(spark, root, inputs_of(evals, raw_tasks, raw_flows, vectors))
 
     def keep(kind: str, df: DataFrame) -> DataFrame | None:
         if results.write_result(df, root, kind, config.name, config.agg_mode):
@@ -78,62 +94,77 @@ def run(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows:
             return out[kind]
         return None
 
-    supervised, meta = supervise(evals, raw_tasks, raw_flows, config)
-    if (supervised := keep("supervised", supervised)) is None:
+    supervised, meta = supervise(evals, raw_tasks, raw_flows, config, stages)
+    if keep("supervised", supervised) is None:
         raise ValueError("no supervised rows")
-    rows = supervised.select("row_id", "task_id", "flow_id", F.col("target_value").alias("y"))
-    protocols = {}
+    rows = supervised.select("row_id", "task_id", F.col("target_value").alias("y"))
+    # Pairs of task and flow, and so folds and features, are the same whatever their values are aggregated to.
+    same = {"prefixes": list(config.prefixes), "cv_folds": config.cv_folds, "seed": config.seed}
+    assign = {}
     if config.run_row_kfold:
-        protocols["row_kfold"] = folds.row_folds(rows, "row_id", config.cv_folds, config.seed)
+        assign["row_kfold"] = lambda: folds.row_folds(rows.drop("y"), "row_id", config.cv_folds, config.seed)
     if config.run_task_group_kfold:
-        protocols["task_group_kfold"] = folds.with_group_folds(rows, "task_id", config.cv_folds)
-    protocols = {mode: results.written(folded.select("row_id", "y", "fold")) for mode, folded in protocols.items()}
-    long = keep("features", _features(spark, supervised, meta, config, root, vectors, protocols))
+        assign["task_group_kfold"] = lambda: folds.with_group_folds(rows.drop("y"), "task_id", config.cv_folds)
+    protocols = {mode: rows.select("row_id", "y").join(stages.table("folds", {**same, "mode": mode}, lambda make=make: make().select("row_id", "fold")), "row_id") for mode, make in assign.items()}
+    fitted_on = {"fit_scope": config.fit_scope} | ({**same, "modes": list(protocols)} if config.fit_scope == "fold" else {})
+    chosen = {"text_mode": config.text_mode, "meta": config.use_task_metafeatures, "encoder": config.encoder_name if config.encoder else None, "max_features": config.max_features, "max_df": config.max_df, "prefixes": same["prefixes"]}
+    long = stages.table("features", chosen | fitted_on, lambda: _features(spark, supervised, meta, config, root, vectors, protocols))
+    keep("features", long)
     if config.fit_scope == "all" and config.text_mode != "embedding":
         fitted = feature_model.FeatureEstimator(textCol="flow_text" if config.text_mode == "tfidf" else "", numericCols=meta if config.use_task_metafeatures else [], maxFeatures=config.max_features, maxDF=config.max_df).fit(supervised)
         fitted.write().overwrite().save(f"{root}/models/{config.agg_mode}-{config.name}/features")
     dictionary = results.written(features.feature_dictionary(long))
-    names, parts, attributions, pairs, rows_explained = list(config.models), [], [], [], []
-    for mode, folded in protocols.items():
-        # Features fitted on all rows serve every fold; those fitted on training rows have a matrix each.
-        for only in [None] if config.fit_scope == "all" else range(config.cv_folds):
-            seen = long if only is None else long.where((F.col("split_mode") == mode) & (F.col("fold") == only)).drop("split_mode", "fold")
-            known = dictionary if only is None else results.written(features.feature_dictionary(seen))
-            matrix = features.to_vectors(seen, known, known.count())
-            own: dict = {}
-            matched = results.written(folded.join(matrix, "row_id").select("row_id", "features", "y", "fold"))
-            parts.append(regressors.cross_validate(matched, names, mode, config.seed, config.settings, own, only))
-            if not config.compute_shap:
-                continue
-            for (name, fold), model in own.items():
-                a, b, c = explained(spark, matched, model, name, fold, mode, config, root, known)
-                attributions.append(a)
-                rows_explained.append(c)
-                pairs += [b] if b is not None else []
-    predictions = keep("predictions", union(parts))
-    cv = keep("cv_results", metrics.fold_metrics(predictions, ["split_mode", "model", "fold"]))
+    names, by = list(config.models), ["split_mode", "model"]
+    payload = {"config": repr(replace(config, name="", encoder=None))}
+    done = [stages.tables("fits", {**payload, "mode": mode}, lambda mode=mode, folded=folded: _fits(spark, mode, folded, long, dictionary, config, root)) for mode, folded in protocols.items()]
+    every = lambda kind: union([d[kind] for d in done])
+    predictions = keep("predictions", every("predictions"))
+    cv = keep("cv_results", metrics.fold_metrics(predictions, [*by, "fold"]))
     keep("summary", metrics.summarize(cv))
     keep("wilcoxon_mse", metrics.wilcoxon(cv, "mse"))
     keep("wilcoxon_r2", metrics.wilcoxon(cv, "r2"))
-    if attributions:
-        by = ["split_mode", "model"]
-        shap = union(attributions)
+    if config.compute_shap:
+        shap = every("attributions")
         if config.fit_scope == "fold":  # one numbering for the features of all folds
             shap = shap.drop("feature_id").join(F.broadcast(dictionary), "feature")
         shap = keep("local_shap", shap)
-        keep("explained_rows", union(rows_explained).join(predictions, [*by, "fold", "row_id"]))
+        keep("explained_rows", every("explained").join(predictions, [*by, "fold", "row_id"]))
         by_fold = explain.mean_abs(shap, [*by, "fold"])
         keep("global_shap", explain.global_importance(by_fold, by))
         local = keep("local_shap_metrics", explain.local_metrics(shap, [*by, "fold", "row_id"], config.top_k, config.mass, dictionary))
         top = keep("global_shap_topk", explain.global_topk(by_fold, [*by, "fold"], config.top_k))
         stability = keep("global_shap_stability", explain.fold_stability(top, by, config.top_k))
         keep("shap_summary_metrics", explain.shap_summary(local, stability, by, config.top_k, config.mass))
-        if pairs:
-            keep("interaction_metrics", explain.interaction_ratio(union(pairs), [*by, "fold"]))
+        if all("pairs" in d for d in done):
+            keep("interaction_metrics", explain.interaction_ratio(every("pairs"), [*by, "fold"]))
     results.write_metadata(spark, root, f"{config.agg_mode}-{config.name}", {"name": config.name, "agg_mode": config.agg_mode, "text_mode": config.text_mode, "use_task_metafeatures": config.use_task_metafeatures, "fit_scope": config.fit_scope, "cv_folds": config.cv_folds, "seed": config.seed, "models": names})
     return out
 
 
+def inputs_of(*frames: DataFrame | None) -> list[DataFrame]:
+    return [f for f in frames if f is not None]
+
+
+def _fits(spark: SparkSession, mode: str, folded: DataFrame, long: DataFrame, dictionary: DataFrame, config: Config, root: str) -> dict[str, DataFrame | None]:
+    """Predictions of all models and folds of a protocol and, where asked for, attributions, pairs and explained rows."""
+    parts, attributions, pairs, rows_explained = [], [], [], []
+    # Features fitted on all rows serve every fold; those fitted on training rows have a matrix each.
+    for only in [None] if config.fit_scope == "all" else range(config.cv_folds):
+        seen = long if only is None else long.where((F.col("split_mode") == mode) & (F.col("fold") == only)).drop("split_mode", "fold")
+        known = dictionary if only is None else results.written(features.feature_dictionary(seen))
+        matrix = features.to_vectors(seen, known, known.count())
+        own: dict = {}
+        matched = results.written(folded.join(matrix, "row_id").select("row_id", "features", "y", "fold"))
+        parts.append(regressors.cross_validate(matched, list(config.models), mode, config.seed, config.settings, own, only))
+        for (name, fold), model in own.items() if config.compute_shap else ():
+            a, b, c = explained(spark, matched, model, name, fold, mode, config, root, known)
+            attributions.append(a)
+            pairs += [b] if b is not None else []
+            rows_explained.append(c)
+    some = lambda frames: union(frames) if frames else None
+    return {"predictions": union(parts), "attributions": some(attributions), "pairs": some(pairs), "explained": some(rows_explained)}
+
+
 def _features(spark: SparkSession, supervised: DataFrame, meta: list[str], config: Config, root: str, vectors: DataFrame | None, protocols: dict[str, DataFrame]) -> DataFrame:
     """Features of all rows; with ``fit_scope`` fold, those of each protocol and fold, fitted on its training rows.
 
@@ -196,11 +227,19 @@ def explained(spark, folded: DataFrame, model, name: str, fold: int, mode: str,
     return found, label(attribution.explain_interactions(some, leaves)), with_expected(expected)
 
 
-def run_grid(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows: DataFrame, configs: list[Config], root: str, vectors: DataFrame | None = None) -> dict[tuple[str, str], dict[str, DataFrame]]:
-    """All configurations, each checked before the first starts."""
+def run_grid(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows: DataFrame, configs: list[Config], root: str, vectors: DataFrame | None = None, stages: Stages | None = None, at_once: int = RUNS_AT_ONCE) -> dict[tuple[str, str], dict[str, DataFrame]]:
+    """All configurations, each checked before the first starts; runs share their stages, some go at once."""
     for c in configs:
         c.check()
-    return {(c.agg_mode, c.name): run(spark, evals, raw_tasks, raw_flows, c, root, vectors) for c in configs}
+    stages = stages or Stages(spark, root, inputs_of(evals, raw_tasks, raw_flows, vectors))
+    with ThreadPoolExecutor(at_once) as pool:
+        found = list(pool.map(lambda c: run(spark, evals, raw_tasks, raw_flows, c, root, vectors, stages), configs))
+    return {(c.agg_mode, c.name): tables for c, tables in zip(configs, found, strict=True)}
+
+
+def grid(base: Config, names: dict[str, dict], agg_modes: tuple[str, ...] = ("max", "mean")) -> list[Config]:
+    """Every named variation of a configuration under every aggregation."""
+    return [replace(base, name=name, agg_mode=mode, **changes) for mode in agg_modes for name, changes in names.items()]
 
 
 def consolidate(spark: SparkSession, root: str, agg_mode: str, split_mode: str = "task_group_kfold") -> dict[str, DataFrame]:

@@ -605,6 +605,17 @@ def discovered_runs(s, d):
     return results.discover_runs(s, root).select("name")
 
 
+@query("select agg_mode, experiment, count(*) as n_rows, avg(target_value) as target_mean, count(*) as n_predictions from (select 'mean' as agg_mode, target_value from supervised union all select 'max', a.target_value from supervised s join agg_max a on s.task_id = a.task_id and s.flow_id = a.flow_id), (select unnest(['one', 'two']) as experiment) group by 1, 2")
+def grid_runs(s, d):
+    """Two configurations under both aggregations, whose stages are shared: what each run left behind."""
+    root = results.work_dir(s)
+    base = pipeline.Config("base", text_mode="none", models=("ridge",), prefixes=I.KEEP, run_task_group_kfold=False, settings=SMALL)
+    pipeline.run_grid(s, I.evaluations(s, d), I.tasks(s, d), I.flows(s, d), pipeline.grid(base, {"one": {}, "two": {"seed": 7}}), root)
+    of = lambda kind, *sums: results.read_results(s, root, kind).groupBy("agg_mode", F.col("run").alias("experiment")).agg(*sums)
+    rows = of("supervised", F.count("*").alias("n_rows"), F.avg("target_value").alias("target_mean"))
+    return rows.join(of("predictions", F.count("*").alias("n_predictions")), ["agg_mode", "experiment"])
+
+
 @query("select row_id, task_id, flow_id, target_value from supervised")
 def run_artifacts(s, d):
     root = results.work_dir(s)

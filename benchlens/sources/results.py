@@ -68,6 +68,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def folders(spark: SparkSession, path: str) -> list[str]:
+    fs, at = _file_system(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.isDirectory())
+
+
 def write_result(df: DataFrame, root: str, kind: str, run: str, agg_mode: str = "mean") -> bool:
     """One table of one run, under its run's partition, computed once; empty tables are removed again."""
     if kind not in KINDS:
