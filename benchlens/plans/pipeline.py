@@ -10,7 +10,6 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from benchlens.functions.text import fingerprint
 from benchlens.operators import attribution, encoder_store, explain, feature_model, features, folds, metrics, report, tables
 from benchlens.operators import models as regressors
 from benchlens.plans.stages import Stages
@@ -108,7 +107,7 @@ def run(spark: SparkSession, evals: DataFrame, raw_tasks: DataFrame, raw_flows:
     protocols = {mode: rows.select("row_id", "y").join(stages.table("folds", {**same, "mode": mode}, lambda make=make: make().select("row_id", "fold")), "row_id") for mode, make in assign.items()}
     fitted_on = {"fit_scope": config.fit_scope} | ({**same, "modes": list(protocols)} if config.fit_scope == "fold" else {})
     chosen = {"text_mode": config.text_mode, "meta": config.use_task_metafeatures, "encoder": config.encoder_name if config.encoder else None, "max_features": config.max_features, "max_df": config.max_df, "prefixes": same["prefixes"]}
-    long = stages.table("features", chosen | fitted_on, lambda: _features(spark, supervised, meta, config, root, vectors, protocols))
+    long = stages.table("features", chosen | fitted_on, lambda: _features(spark, supervised, meta, config, root, vectors, protocols, stages))
     keep("features", long)
     if config.fit_scope == "all" and config.text_mode != "embedding":
         fitted = feature_model.FeatureEstimator(textCol="flow_text" if config.text_mode == "tfidf" else "", numericCols=meta if config.use_task_metafeatures else [], maxFeatures=config.max_features, maxDF=config.max_df).fit(supervised)
@@ -165,11 +164,10 @@ def _fits(spark: SparkSession, mode: str, folded: DataFrame, long: DataFrame, di
     return {"predictions": union(parts), "attributions": some(attributions), "pairs": some(pairs), "explained": some(rows_explained)}
 
 
-def _features(spark: SparkSession, supervised: DataFrame, meta: list[str], config: Config, root: str, vectors: DataFrame | None, protocols: dict[str, DataFrame]) -> DataFrame:
+def _features(spark: SparkSession, supervised: DataFrame, meta: list[str], config: Config, root: str, vectors: DataFrame | None, protocols: dict[str, DataFrame], stages: Stages) -> DataFrame:
     """Features of all rows; with ``fit_scope`` fold, those of each protocol and fold, fitted on its training rows.
 
-    Term weights that are fitted on all rows depend on the texts and two parameters alone, so runs
-    below one root that agree in these share one table.
+    Term weights that are fitted on all rows depend on the texts and two parameters alone: a stage of theirs.
     """
     wanted = meta if config.use_task_metafeatures else None
     text: dict = {"max_features": config.max_features, "max_df": config.max_df} if config.text_mode == "tfidf" else {}
@@ -180,8 +178,8 @@ def _features(spark: SparkSession, supervised: DataFrame, meta: list[str], confi
         text = {"key": "_text_key", "vector_key": "text_key", "vector": "vector"}
     if config.fit_scope == "all":
         if config.text_mode == "tfidf":
-            payload = {**text, "texts": fingerprint(supervised, "flow_text").first().fingerprint}
-            text = {"weights": results.materialize(spark, lambda: features.tfidf(supervised, "flow_text", **text), f"{root}/shared", "tfidf", payload)}
+            weights = stages.table("weights", {**text, "prefixes": list(config.prefixes)}, lambda options=text: features.tfidf(supervised, "flow_text", **options))
+            text = {"weights": weights}
         return features.build_features(supervised, config.text_mode, wanted, vectors=vectors, **text)
     parts = []
     for mode, folded in protocols.items():

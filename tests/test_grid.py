@@ -31,7 +31,7 @@ def test_three_by_two_writes_each_stage_once_and_resumes(spark, tmp_path, monkey
     first = Stages(spark, root, data)
     with pytest.raises(RuntimeError, match="lost"):
         pipeline.run_grid(spark, *data, configs, root, stages=first)
-    assert Counter(first.made) == {"flows": 1, "targets": 2, "supervised": 2, "folds": 1, "features": 3, "fits": 5}
+    assert Counter(first.made) == {"flows": 1, "targets": 2, "supervised": 2, "folds": 1, "weights": 1, "features": 3, "fits": 5}
     fail.clear()
     second = Stages(spark, root, data)
     out = pipeline.run_grid(spark, *data, configs, root, stages=second)
