@@ -43,12 +43,14 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 NAMES = frozenset(
     "nav navbar navigation menu submenu breadcrumb breadcrumbs header masthead footer sidebar aside rail notice notices cookie cookies consent gdpr banner alert popup modal overlay newsletter subscribe signup login ad ads advert adverts advertisement adsense sponsor sponsored promo promotion comment comments disqus respond reply replies share sharing social related recommended widget pagination pager toolbar skip".split()
 )
+#: Words that a class or id may have beside those of NAMES; any other word gives it another meaning.
+NEUTRAL = frozenset("area bar block bottom box container fixed global inner item items left list main outer primary right secondary site slot sticky text top unit wrap wrapper".split())
 #: Elements nested deeper lie beside the deepest one, as in browsers.
 MOST_DEPTH = 512
 _OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
-_ATTRIBUTE = re.compile(r"(?<![^\s/\"'])([^\s=/\"'>]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+_ATTRIBUTE = re.compile(r"(?<![^\s/\"'])([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
@@ -114,17 +116,24 @@ def block_token(path: int, text: str) -> int:
     return _key(f"{path}\n{text}")
 
 
+@lru_cache(1 << 14)
+def _telling(token: str) -> bool:
+    """Whether a whole class or id names a part of the layout: no word of it means anything else."""
+    words = {w.lower() for w in _WORD.findall(token)}
+    return bool(words & NAMES) and words <= NAMES | NEUTRAL
+
+
 @lru_cache(1 << 14)
 def _left_out(tag: str, attributes: str) -> tuple[bool, str]:
     """Whether an element opens a region that is never main text, and its class for the path."""
-    if not attributes or "=" not in attributes:
+    if not attributes or attributes.isspace():
         return tag in LEFT_OUT, ""
     found = {m[1].lower(): entities.unescape(next((v for v in m.groups()[1:] if v is not None), "")) for m in _ATTRIBUTE.finditer(attributes)}
     names = f"{found.get('class', '')} {found.get('id', '')}"
     out = tag in LEFT_OUT or found.get("role", "").strip().lower() in ROLES
     if not out and tag not in ("html", "body", "article", "main"):
-        out = any(w.lower() in NAMES for w in _WORD.findall(names))
-    if re.search(r"(?:^|\s)hidden(?:\s|=|$)", attributes) or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
+        out = any(_telling(token) for token in names.split())
+    if "hidden" in found or found.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", found.get("style", ""), re.I):
         out = True
     return out, found.get("class", "").strip()
 

@@ -140,3 +140,12 @@ def test_reading_is_linear():
             H.read(source)
             took.append(time.process_time() - began)
         assert took[1] < 40 * max(took[0], 0.01), (hostile, took)
+
+
+def test_attributes_are_read_as_such():
+    page = lambda inner: f"<html><body><article><p>first words</p>{inner}<p>last words</p></article></body></html>"
+    text = lambda inner: H.main_text(page(inner), set())
+    for gone in ("<div hidden>gone</div>", "<div hidden=''>gone</div>", "<div HIDDEN class=x>gone</div>", "<div class='ad'>gone</div>", "<div class='cookie-banner'>gone</div>", "<div id='site-footer'>gone</div>", "<div class='top adBox'>gone</div>", "<div style='display: none'>gone</div>"):
+        assert text(gone) == "first words\nlast words", gone
+    for kept in ("<p title='the hidden cost'>kept</p>", "<div class='share-price'>kept</div>", "<section id='related-work'>kept</section>", "<h2 class='section-header'>kept</h2>", "<div class='has-sidebar'><p>kept</p></div>", "<p data-x=hidden>kept</p>"):
+        assert text(kept) == "first words\nkept\nlast words", kept
