@@ -55,8 +55,6 @@ NOTICES = {
 }
 #: A block is looked at only around one of these.
 TELLING = r"(?i)licen[sc]|copyright|permission|redistribut|warrant|public domain|creative commons|\bCC[ -]?(?:BY|0)|\bGPL|free software"
-#: So many templates at a time are compared with a block, best saving first, until one of them is confirmed.
-COMPARED = 5
 #: Least share of a template's words that a block has in order, and most words besides, by template word.
 LEAST_SAME, MOST_EXTRA = 0.85, 0.5
 #: Words of names that tell no license from another, and words that make one license another.
