@@ -296,6 +296,26 @@ def repeated_summary(s, d):
     return metrics.repeated_summary(_cv(s, d).withColumn("rep", F.col("fold") % 2), ["split_mode", "model"])
 
 
+_SCORES = ", ".join(f"avg({m}) as {m}_mean, stddev_pop({m}) as {m}_std" for m in ("r2", "mae", "mse"))
+
+
+@query(f"""with g as (select rep, task_id, ntile(5) over (partition by rep order by md5(concat_ws('::', task_id, '2000:' || rep)), task_id) - 1 as fold from (select distinct task_id from supervised), (select unnest(range(6)) as rep)),
+f as (select rep, fold, flow_id, target_value as y from supervised join g using (task_id)),
+n as (select *, sum(y) over w as s, count(*) over w as c, sum(y) over i as si, count(*) over i as ci, sum(y) over x as sx, count(*) over x as cx, sum(y) over z as sz, count(*) over z as cz from f window w as (partition by rep), i as (partition by rep, fold), x as (partition by rep, flow_id), z as (partition by rep, flow_id, fold)),
+p as (select rep, fold, y, (s - si) / (c - ci) as gm, case when cx > cz then (sx - sz) / (cx - cz) end as fm from n),
+m as (select rep, fold, 'global_mean' as model, y, gm as yp from p union all select rep, fold, 'flow_mean', y, coalesce(fm, gm) from p),
+e as (select rep, fold, model, 1 - sum((y - yp) ** 2) / sum((y - mu) ** 2) as r2, avg(abs(y - yp)) as mae, avg((y - yp) ** 2) as mse from (select *, avg(y) over (partition by rep, fold, model) as mu from m) group by 1, 2, 3),
+r as (select rep, model, avg(r2) as r2, avg(mae) as mae, avg(mse) as mse from e group by 1, 2)
+select model, count(*) as n_repeats, {_SCORES} from r group by 1""")
+def robust_validation(s, d):
+    """Six repeats of five shuffled group folds, as in the robust study."""
+    rows, parts = results.written(_rows(s, d)), []
+    for rep in range(6):
+        folded = results.written(rows.join(folds.shuffled_group_folds(rows, "task_id", 5, 2000, rep), "task_id"))
+        parts += [models.mean_predictor(folded, name, by, "shuffled_groups").withColumn("rep", F.lit(rep)) for name, by in (GLOBAL, FLOW)]
+    return metrics.repeated_summary(metrics.fold_metrics(pipeline.union(parts), ["model", "rep", "fold"]), ["model"])
+
+
 @query("select x.split_mode, model_a, model_b, 'mse' as metric, least(up, down) as statistic, least(1.0, 2.0 * (select count(*) from range(32) t(b) where (b & 1) * 1 + ((b >> 1) & 1) * 2 + ((b >> 2) & 1) * 3 + ((b >> 3) & 1) * 4 + ((b >> 4) & 1) * 5 <= least(up, down)) / 32) as p_value from (select split_mode, model_a, model_b, sum(case when diff > 0 then r else 0 end) as up, sum(case when diff < 0 then r else 0 end) as down from (select *, cast(row_number() over (partition by split_mode, model_a, model_b order by abs(diff)) as double) as r from (select a.split_mode, a.model as model_a, b.model as model_b, a.mse - b.mse as diff from cv_differing a join cv_differing b on a.split_mode = b.split_mode and a.fold = b.fold and a.model < b.model)) group by 1, 2, 3) x")
 def wilcoxon(s, d):
     return metrics.wilcoxon(_cv(s, d, DIFFERING), "mse")
