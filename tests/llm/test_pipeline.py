@@ -74,3 +74,19 @@ def test_stages_keep_clashing_columns_and_need_no_n_chars(spark, tables):
         assert out.columns == docs.columns
         assert {tuple(r)[2:] for r in out.collect()} == {(1, "x", 2, 3, 4, 5, 6, 7)}
     assert C.encode(spark, docs, SF).columns == [*docs.columns, "piece_ids"]
+
+
+def test_very_long_texts_and_ids_with_two_texts_pass_all_stages(spark, tables):
+    """Every stage in turn: a text of half a million characters stays whole, both texts of one id stay apart."""
+    good = [r.text for r in tables["documents"].join(tables["labels"].where("quality = 1"), "doc_id").orderBy("doc_id").limit(40).collect()]
+    words = [w for t in good for w in t.split()]
+    long = " ".join(words[(k * 7919) % len(words)] for k in range(100_000))
+    docs = spark.createDataFrame([(7_000_001, long, "en", "s", len(long)), (7_000_002, good[0], "en", "s", len(good[0])), (7_000_002, good[1], "en", "s", len(good[1]))], tables["documents"].schema)
+    docs = docs.union(tables["documents"].where(~F.col("text").isin(good[:2])).limit(60))
+    for _, stage in C.STAGES:
+        docs = C.written(stage(spark, docs, SF))
+    rows = docs.where("doc_id > 7000000").orderBy("doc_id", "text").collect()
+    assert [r.doc_id for r in rows] == [7_000_001, 7_000_002, 7_000_002]
+    assert len(rows[0].text) > 400_000 and {r.text for r in rows[1:]} == set(good[:2])
+    vocabulary = M.vocabulary(M.MODEL)
+    assert all(M.decode(r.piece_ids, vocabulary) == r.text for r in rows)
