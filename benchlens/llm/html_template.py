@@ -32,8 +32,9 @@ from benchlens.llm.common import Tables
 LEAST_SHARE, LEAST_PAGES = 0.5, 3
 #: A layout counts if this share of its host's pages has it, which bounds a host's classes.
 LEAST_LAYOUT = 0.01
-#: Templates of all hosts are broadcast up to this size and joined by host beyond it.
-BROADCAST_BYTES = 16 << 20
+#: Templates of all hosts are broadcast up to this size and joined by host beyond it, where the pages of a
+#: host are spread over so many keys and its template is repeated for each of them.
+BROADCAST_BYTES, KEYS_A_HOST = 16 << 20, 64
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes plaintext".split())
@@ -45,8 +46,6 @@ NAMES = frozenset(
 )
 #: Words that a class or id may have beside those of NAMES; any other word gives it another meaning.
 NEUTRAL = frozenset("area bar block bottom box container fixed global inner item items left list main outer primary right secondary site slot sticky text top unit wrap wrapper".split())
-#: Elements nested deeper lie beside the deepest one, as in browsers.
-MOST_DEPTH = 512
 _OPEN = re.compile(r"<(?:!--|[!?]|/?[a-zA-Z])")
 _NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
 _REST = re.compile(r"(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+")
@@ -61,6 +60,8 @@ class Element:
     left_out: bool
     article: bool
     main: bool
+    block_at: int = 0  # depth of the innermost block that is this element or around it
+    closed: bool = False  # ended while elements inside it go on
 
 
 @dataclass
@@ -69,6 +70,42 @@ class Page:
     blocks: list[tuple[int, str, Element, int]] = field(default_factory=list)  # path, text, region, place
 
 
+class _Open:
+    """The open elements of a page; every step takes constant time, spread over the elements, at any depth."""
+
+    def __init__(self):
+        self.stack = [Element("", 0, False, False, False)]
+        self.depths: dict[str, list[int]] = {}  # of the open elements of each tag, innermost last
+
+    def innermost(self, tag: str) -> int:
+        """Depth of the innermost open element of a tag (0: none)."""
+        return (self.depths.get(tag) or [0])[-1]
+
+    def add(self, own: Element) -> None:
+        own.block_at = len(self.stack) if own.tag in BLOCK else self.stack[-1].block_at
+        self.depths.setdefault(own.tag, []).append(len(self.stack))
+        self.stack.append(own)
+
+    def cut(self, depth: int) -> None:
+        """Ends the element at a depth and all inside it, and those around it that had ended before."""
+        while len(self.stack) > max(depth, 1) or self.stack[-1].closed:
+            if not (e := self.stack.pop()).closed:
+                self.depths[e.tag].pop()
+
+    def end(self, depth: int) -> None:
+        """Ends the innermost element of its tag; what is inside goes on."""
+        self.stack[depth].closed = True
+        self.depths[self.stack[depth].tag].pop()
+        self.cut(len(self.stack))
+
+    def ended_by(self, ended: set[str]) -> int:
+        """Depth of the outermost of the innermost blocks that are all of some tags (0: none)."""
+        first, at = 0, self.stack[-1].block_at
+        while at and self.stack[at].tag in ended:
+            first, at = at, self.stack[at - 1].block_at
+        return first
+
+
 class _Markup:
     """Finds the comments and tags of a source one after the other, in linear time."""
 
@@ -140,8 +177,8 @@ def _left_out(tag: str, attributes: str) -> tuple[bool, str]:
 
 def read(source: str) -> Page:
     """Tags and text blocks of a page, in order.  Unclosed and crossed tags are tolerated."""
-    page = Page()
-    stack = [Element("", 0, False, False, False)]
+    page, opened = Page(), _Open()
+    stack = opened.stack
     held: list[str] = []
     place = 0
 
@@ -164,13 +201,12 @@ def read(source: str) -> Page:
         if not tag:
             continue
         if slash:
-            depth = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag == tag), 0)
-            if depth:
-                if any(e.tag in BLOCK or e.left_out != stack[depth - 1].left_out for e in stack[depth:]):
+            if depth := opened.innermost(tag):
+                if stack[-1].block_at >= depth or stack[-1].left_out != stack[depth - 1].left_out:
                     flush()
-                    del stack[depth:]
+                    opened.cut(depth)
                 else:
-                    del stack[depth]
+                    opened.end(depth)
             continue
         if tag == "br":
             held.append(" ")
@@ -181,10 +217,8 @@ def read(source: str) -> Page:
             flush()
             if tag in BLOCK:  # a block ends open paragraphs, an item the item before it
                 ended = {"p"} if tag not in ("li", "dt", "dd", "option", "tr", "td", "th") else {"p", tag}
-                limit = next((d for d in range(len(stack) - 1, 0, -1) if stack[d].tag in BLOCK and stack[d].tag not in ended), 0)
-                first = next((d for d in range(limit + 1, len(stack)) if stack[d].tag in ended), None)
-                if first is not None:
-                    del stack[first:]
+                if first := opened.ended_by(ended):
+                    opened.cut(first)
         above = stack[-1]
         path = _below(above.path, tag, name)
         place += 1
@@ -199,9 +233,7 @@ def read(source: str) -> Page:
                 held.append(source[at:end])
             at = source.find(">", end) + 1 if end < n else n
             continue
-        if len(stack) > MOST_DEPTH:
-            del stack[-1]
-        stack.append(own)
+        opened.add(own)
     flush()
     return page
 
@@ -329,6 +361,14 @@ def host_of(url):
     return F.lower(F.coalesce(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
 
 
+def with_host(pages: DataFrame, hosts: DataFrame, size: int, how: str) -> DataFrame:
+    """``pages`` with the one row of their host out of ``hosts``, which take ``size`` bytes."""
+    if size <= BROADCAST_BYTES:
+        return pages.join(F.broadcast(hosts), "host", how)
+    keyed = pages.withColumn("_key", F.pmod(F.xxhash64("html"), F.lit(KEYS_A_HOST)))
+    return keyed.join(hosts.withColumn("_key", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(KEYS_A_HOST - 1).cast("long")))), ["host", "_key"], how).drop("_key")
+
+
 def templates(pages: DataFrame) -> DataFrame:
     """(host, template, n_classes): hashed text blocks of each host's template.
 
@@ -351,7 +391,7 @@ def templates(pages: DataFrame) -> DataFrame:
     listed = lists.select("host", F.transform("tokens", lambda t: F.struct(t["token"].alias("token"), t["cls"].alias("cls"))).alias("tokens"))
     size = listed.agg(F.sum(F.size("tokens").cast("long") * 16 + 64)).first()[0] or 0
     # Pages of a host with candidates are read once more: do they keep the order and the nesting?
-    said = bare.select("host", "html").join(F.broadcast(listed) if size <= BROADCAST_BYTES else listed, "host")
+    said = with_host(bare.select("host", "html"), listed, size, "inner")
     said = tables.write("said", said.mapInArrow(_structures, "host string, a long, b long, ordered long").distinct())
     unordered = said.where("b is null").groupBy("host", "a").agg(F.count("*").alias("orders"), F.min(F.col("ordered") != 0).alias("kept")).where("orders > 1 or not kept").groupBy("host").agg(F.collect_list("a").alias("unordered"))
     crossing = said.where("b is not null").groupBy("host").agg(F.collect_list(F.struct("a", "b")).alias("crossing"))
@@ -396,6 +436,6 @@ def extract(pages: DataFrame) -> DataFrame:
     found = found.select("host", "template")
     html = F.coalesce(F.col("html").cast("string"), F.lit(""))
     bare = pages.select("page_id", "url", html.alias("html"), host_of(F.col("url")).alias("host"))
-    joined = bare.join(F.broadcast(found) if size <= BROADCAST_BYTES else found, "host", "left")
+    joined = with_host(bare, found, size, "left")
     kinds = [pages.schema["page_id"], pages.schema["url"], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]
     return joined.select("page_id", "url", "html", "template").mapInArrow(_extract, T.StructType(kinds))

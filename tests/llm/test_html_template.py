@@ -1,4 +1,5 @@
 import random
+import re
 import time
 
 from benchlens.llm import html_template as H
@@ -149,3 +150,51 @@ def test_attributes_are_read_as_such():
         assert text(gone) == "first words\nlast words", gone
     for kept in ("<p title='the hidden cost'>kept</p>", "<div class='share-price'>kept</div>", "<section id='related-work'>kept</section>", "<h2 class='section-header'>kept</h2>", "<div class='has-sidebar'><p>kept</p></div>", "<p data-x=hidden>kept</p>"):
         assert text(kept) == "first words\nkept\nlast words", kept
+
+
+def plain_paths(source):
+    """Depth of each text, its open tags kept as a plain list that every end tag searches."""
+    stack, out = [], []
+    for close, tag, text in re.findall(r"<(/?)(\w+)>|([^<]+)", source):
+        if text:
+            out.append((text, list(stack)))
+        elif not close:
+            if tag in H.BLOCK:
+                ended = {"p"} if tag != "li" else {"p", "li"}
+                inner = [d for d, t in enumerate(stack) if t in H.BLOCK]
+                while inner and stack[inner[-1]] in ended:
+                    del stack[inner.pop() :]
+            stack.append(tag)
+        elif tag in stack:
+            depth = len(stack) - 1 - stack[::-1].index(tag)
+            if any(t in H.BLOCK for t in stack[depth:]):
+                del stack[depth:]
+            else:
+                del stack[depth]
+    return out
+
+
+def test_open_elements_against_a_plain_list():
+    rng = random.Random(3)
+    for _ in range(500):
+        source = "".join(rng.choice(["<{}>", "</{}>", "<{}>"]).format(rng.choice(["div", "p", "li", "ul", "b", "i", "span", "nav"])) + rng.choice(["", "t"]) for _ in range(rng.randrange(60)))
+        want = sum("nav" not in tags for _, tags in plain_paths(source))
+        assert sum(len(b[1].replace(" ", "")) for b in H.read(source).blocks if not b[2].left_out) == want, source
+
+
+def test_depth_is_no_limit():
+    deep = "<div>" * 5000
+    assert H.main_text(f"{deep}<nav>menu{'<div>' * 600}menu</nav><p>kept</p>{'</div>' * 4999}<p>end</p></div><p>after", set()) == "kept\nend\nafter"
+    began = time.time()
+    n = 60_000
+    for source in ("<b>" * n + "<i>" * n + "</b>" * n + "x", "<b>" * n + "<hr>" * n + "x", ("<div>" * n) + "x" + "</div>" * n, "<ul>" + "<li><b>" * n + "x", "<b><i>" * n + "</b></i>" * n + "x"):
+        assert H.main_text(source, set()) == "x"
+    assert time.time() - began < 20
+
+
+def test_large_templates_are_joined_by_spread_keys(spark, monkeypatch):
+    rows = [(i, f"http://{'h' if i % 3 else 'other'}.example/{i}", page(i)) for i in range(30)] + [(99, None, None)]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    want = sorted(H.extract(frame).collect(), key=str)
+    monkeypatch.setattr(H, "BROADCAST_BYTES", 0)
+    assert sorted(H.extract(frame).collect(), key=str) == want and len(want) == 31
