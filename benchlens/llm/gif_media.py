@@ -2,7 +2,8 @@
 
 Decoding follows the public GIF89a format: LZW code streams of 2 to 12 bits, global and local
 palettes, interlaced rows, transparency, the four disposal rules and frame delays.  Frames are
-returned as composed RGBA canvases.
+returned as composed RGBA canvases; those of large screens in bands of rows, each composed on its own, so
+that memory is bounded by a band and not by the screen.
 """
 
 from __future__ import annotations
@@ -22,8 +23,10 @@ from benchlens.llm.common import utf8
 
 #: Samples in a row of a stored payload, and rows of a frame at most.
 WIDTH, MOST_ROWS = 64, 512
-#: Pixels of a screen or frame that is decoded; a file that states more gives an error row.
-MOST_PIXELS = 1 << 24
+#: Pixels of a band; a screen of more is decoded band by band.
+BAND_PIXELS = 1 << 24
+#: Samples that one code stands for at most: the table has so many entries, each a sample longer than another.
+MOST_OF_A_CODE = 4096
 #: Bits of each colour that the histogram keeps: 4 * 4 * 4 bins.
 HISTOGRAM_BITS = 2
 #: A stored sample's colour: three bits of red, three of green, two of blue, so colours give samples back.
@@ -39,7 +42,10 @@ class Frame:
     delay_ms: int
     disposal: int
     interlaced: bool
-    canvas: np.ndarray  # height x width x 4 of the whole screen
+    canvas: np.ndarray  # rows x width x 4: the whole screen, or a band of it
+    number: int = 0
+    start_ms: int = 0
+    first_row: int = 0  # of the band
 
     def histogram(self, rows: int | None = None) -> list[int]:
         """Counts of visible pixels (of the first ``rows``) in bins of red, green and blue, in this order."""
@@ -103,13 +109,22 @@ def lzw_decode(stream: bytes, size: int, most: int | None = None) -> bytes:
 
     Decoding stops soon after ``most`` samples (4,096 codes later at most).
     """
+    parts, done = [], 0
+    for part in lzw_parts(stream, size):
+        parts.append(part)
+        done += len(part)
+        if most is not None and done >= most:  # what follows the last pixel is not needed
+            break
+    return b"".join(parts)
+
+
+def lzw_parts(stream: bytes, size: int) -> Iterator[bytes]:
+    """The samples of a code stream in order, those of 4,096 codes at a time at most."""
     if not 2 <= size <= 8:
         raise ValueError(f"LZW code size {size}")
     clear, end = 1 << size, (1 << size) + 1
     raw = np.frombuffer(stream + b"\0\0\0\0", np.uint8).astype(np.int64)
     total, at = len(stream) * 8, 0
-    out: list[bytes] = []
-    room, done = most or 0, 0
     single = _SINGLE[:clear] + [b"", b""]
     ask = 4096
     while at + size < total:
@@ -132,7 +147,7 @@ def lzw_decode(stream: bytes, size: int, most: int | None = None) -> bytes:
             if run[0] >= clear:
                 raise ValueError("LZW code out of range")
             last = table[run[0]]
-            out.append(last)
+            out = [last]
             for code in run[1 : 1 + 4096 - free]:  # each adds an entry, until the table is full
                 if code < free:
                     entry = table[code]
@@ -144,17 +159,12 @@ def lzw_decode(stream: bytes, size: int, most: int | None = None) -> bytes:
                 out.append(entry)
                 free += 1
                 last = entry
-            for k in range(1 + 4096 - clear - 2, n + 4096, 4096):
-                if most is not None:
-                    room -= sum(map(len, out[done:]))
-                    done = len(out)
-                    if room <= 0:  # what follows the last pixel is not needed
-                        return b"".join(out)
-                out.extend(map(table.__getitem__, run[k : k + 4096]))
+            yield b"".join(out)
+            for k in range(1 + 4096 - clear - 2, n, 4096):
+                yield b"".join(map(table.__getitem__, run[k : k + 4096]))
         if not len(stops) or codes[n] == end:
             break
         at, ask = int(first[n + 1]), 4096
-    return b"".join(out)
 
 
 def _blocks(data: bytes, at: int) -> tuple[bytes, int]:
@@ -179,63 +189,121 @@ def _palette(data: bytes, at: int, packed: int) -> tuple[np.ndarray, int]:
     return rgba, at + 3 * n
 
 
-def decode(data: bytes, most: int = MOST_PIXELS) -> Iterator[Frame]:
-    """Composed frames of a GIF file, in order; damaged data, or a screen of over ``most`` pixels, raises ValueError."""
+@dataclass
+class _Image:
+    """A frame as the file states it."""
+
+    left: int
+    top: int
+    width: int
+    height: int
+    delay_ms: int
+    disposal: int
+    transparent: int | None
+    interlaced: bool
+    palette: np.ndarray
+    size: int
+    stream: bytes
+
+    def rows(self, first: int, last: int, checked: bool) -> np.ndarray:
+        """Samples of rows ``first`` to ``last``; unless ``checked``, it is an error if any row is missing."""
+        w, h = self.width, self.height
+        out = np.zeros((max(last - first, 0), w), np.uint8)
+        order = np.concatenate([np.arange(s, h, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))]) if self.interlaced else np.arange(h)
+        end = h if self.interlaced or not checked else min(last, h)
+        done, rest = 0, b""
+        if checked and not out.size:
+            return out
+        for part in lzw_parts(self.stream, self.size):
+            if done >= end or not w:
+                break
+            rest = rest + part if rest else part
+            if n := min(len(rest) // w, h - done):
+                numbers = order[done : done + n]
+                inside = (numbers >= first) & (numbers < last)
+                if inside.any():
+                    out[numbers[inside] - first] = np.frombuffer(rest, np.uint8, n * w).reshape(n, w)[inside]
+                done, rest = done + n, rest[n * w :]
+        if w and done < end:
+            raise ValueError("GIF frame is too short")
+        return out
+
+
+def _read(data: bytes) -> tuple[int, int, list[_Image], str | None]:
+    """Screen width and height, the frames as stated, and what is wrong after them."""
     if len(data) < 13 or data[:6] not in (b"GIF87a", b"GIF89a"):
-        raise ValueError("not a GIF")
+        return 0, 0, [], "not a GIF"
     width, height, packed = struct.unpack_from("<HHB", data, 6)
-    if width * height > most:
-        raise ValueError(f"GIF screen of {width} x {height} exceeds {most} pixels")
     at, shared = 13, None
-    if packed & 0x80:
-        shared, at = _palette(data, at, packed)
-    canvas = np.zeros((height, width, 4), np.uint8)
+    images: list[_Image] = []
     delay, disposal, transparent = 0, 0, None
-    while at < len(data) and data[at] != 0x3B:
-        kind = data[at]
-        if kind == 0x21:
-            body, end = _blocks(data, at + 2)
-            if data[at + 1] == 0xF9 and len(body) >= 4:
-                flags, hundredths, clear = struct.unpack_from("<BHB", body)
-                delay, disposal, transparent = hundredths * 10, flags >> 2 & 7, clear if flags & 1 else None
-            at = end
-            continue
-        if kind != 0x2C or at + 10 > len(data):
-            raise ValueError("GIF has an unknown block")
-        left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at + 1)
-        at += 10
-        palette = shared
+    try:
         if packed & 0x80:
-            palette, at = _palette(data, at, packed)
-        if palette is None or at >= len(data):
-            raise ValueError("GIF frame without palette or data")
-        if w * h > most:
-            raise ValueError(f"GIF frame of {w} x {h} exceeds {most} pixels")
-        size = data[at]
-        stream, at = _blocks(data, at + 1)
-        samples = np.frombuffer(lzw_decode(stream, size, w * h), np.uint8)
-        if len(samples) < w * h:
-            raise ValueError("GIF frame is too short")
-        samples = samples[: w * h].reshape(h, w)
-        if packed & 0x40:
-            order = np.concatenate([np.arange(s, h, d) for s, d in ((0, 8), (4, 8), (2, 4), (1, 2))])
-            plain = np.empty_like(samples)
-            plain[order] = samples
-            samples = plain
-        before = canvas.copy() if disposal == 3 else None
-        part = canvas[top : top + h, left : left + w]
-        inside = samples[: part.shape[0], : part.shape[1]]
-        colours = palette[inside]
-        if transparent is None:
-            part[:] = colours
-        else:
-            part[inside != transparent] = colours[inside != transparent]
-        yield Frame(left, top, w, h, delay, disposal, bool(packed & 0x40), canvas.copy())
-        if disposal == 2:
-            part[:] = 0
-        elif disposal == 3:
-            canvas = before
-        delay, disposal, transparent = 0, 0, None
+            shared, at = _palette(data, at, packed)
+        while at < len(data) and data[at] != 0x3B:
+            kind = data[at]
+            if kind == 0x21:
+                body, end = _blocks(data, at + 2)
+                if data[at + 1] == 0xF9 and len(body) >= 4:
+                    flags, hundredths, clear = struct.unpack_from("<BHB", body)
+                    delay, disposal, transparent = hundredths * 10, flags >> 2 & 7, clear if flags & 1 else None
+                at = end
+                continue
+            if kind != 0x2C or at + 10 > len(data):
+                raise ValueError("GIF has an unknown block")
+            left, top, w, h, packed = struct.unpack_from("<HHHHB", data, at + 1)
+            at += 10
+            palette = shared
+            if packed & 0x80:
+                palette, at = _palette(data, at, packed)
+            if palette is None or at >= len(data):
+                raise ValueError("GIF frame without palette or data")
+            size = data[at]
+            stream, at = _blocks(data, at + 1)
+            images.append(_Image(left, top, w, h, delay, disposal, transparent, bool(packed & 0x40), palette, size, stream))
+            delay, disposal, transparent = 0, 0, None
+    except ValueError as e:
+        return width, height, images, str(e)
+    return width, height, images, None if images else "GIF without a frame"
+
+
+def decode(data: bytes, band_pixels: int = BAND_PIXELS) -> Iterator[Frame]:
+    """Composed frames of a GIF file, in order; damaged data raises ValueError after the good frames.
+
+    A screen of over ``band_pixels`` comes as bands of whole rows: all frames of the first band, then those of
+    the next; each band reads the code streams again.  Such a screen is refused if the code streams of its
+    file are too short to fill it once, so that what is returned stays in proportion to the file.
+    """
+    width, height, images, wrong = _read(data)
+    rows = max(1, band_pixels // max(width, 1))
+    if height > rows and width * height > sum((len(i.stream) * 8 // (i.size + 1) + 1) * MOST_OF_A_CODE for i in images):
+        raise ValueError(wrong or f"GIF screen of {width} x {height} is more than its code streams can fill")
+    for first in range(0, max(height, 1), rows):
+        canvas = np.zeros((min(rows, height - first), width, 4), np.uint8)
+        start = 0
+        for n, image in enumerate(images):
+            a, b = max(first, image.top), min(first + len(canvas), image.top + image.height)
+            try:
+                samples = image.rows(a - image.top, b - image.top, first > 0)
+            except ValueError as e:
+                images, wrong = images[:n], str(e)
+                break
+            before = canvas.copy() if image.disposal == 3 else None
+            part = canvas[max(a - first, 0) : max(b - first, 0), image.left : image.left + image.width]
+            inside = samples[: part.shape[0], : part.shape[1]]
+            colours = image.palette[inside]
+            if image.transparent is None:
+                part[:] = colours
+            else:
+                part[inside != image.transparent] = colours[inside != image.transparent]
+            yield Frame(image.left, image.top, image.width, image.height, image.delay_ms, image.disposal, image.interlaced, canvas.copy(), n, start, first)
+            start += image.delay_ms
+            if image.disposal == 2:
+                part[:] = 0
+            elif image.disposal == 3:
+                canvas = before
+    if wrong:
+        raise ValueError(wrong)
 
 
 def encode(samples: bytes, delay_ms: int = 100) -> bytes:
@@ -259,6 +327,7 @@ FRAMES = T.StructType(
         T.StructField("delay_ms", T.IntegerType()),
         T.StructField("width", T.IntegerType()),
         T.StructField("height", T.IntegerType()),
+        T.StructField("first_row", T.IntegerType()),
         T.StructField("rgba", T.BinaryType()),
         T.StructField("histogram", T.ArrayType(T.IntegerType())),
         T.StructField("error", T.StringType()),
@@ -266,24 +335,24 @@ FRAMES = T.StructType(
 )
 
 
-def frames(files: DataFrame, key: str, content: str) -> DataFrame:
+def frames(files: DataFrame, key: str, content: str, band_pixels: int = BAND_PIXELS) -> DataFrame:
     """One row (``key``, then FRAMES) for each frame of each GIF in column ``content``.
 
-    Null, empty or damaged content, or a screen or frame of over MOST_PIXELS, gives one row after its
-    good frames, whose ``frame`` is null and whose ``error`` says why.  Null keys stay; repeated rows are
-    decoded each; an empty table gives no rows; other columns are not read.
+    A frame of a screen of over ``band_pixels`` has one row for each band: ``height`` rows from ``first_row``
+    on, with their own histogram (histograms of a frame's bands add up).  Null, empty or damaged content, a
+    file without a frame, and a screen of more than one band that its code streams are too short to fill give
+    one row after their good frames, whose ``frame`` is null and whose ``error`` says why.  Null keys stay;
+    repeated rows are decoded each; an empty table gives no rows; other columns are not read.
     """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                start = 0
                 try:
-                    for n, f in enumerate(decode(data.as_py() or b"")):
-                        yield one(k, n, start, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.canvas.tobytes(), f.histogram(), None)
-                        start += f.delay_ms
+                    for f in decode(data.as_py() or b"", band_pixels):
+                        yield one(k, f.number, f.start_ms, f.delay_ms, f.canvas.shape[1], f.canvas.shape[0], f.first_row, f.canvas.tobytes(), f.histogram(), None)
                 except ValueError as e:
-                    yield one(k, None, None, None, None, None, None, None, str(e))
+                    yield one(k, *[None] * 8, str(e))
 
     kind = files.schema[key].dataType
     schema = T.StructType([T.StructField("key", kind), *FRAMES.fields])

@@ -155,3 +155,44 @@ def test_huge_screens_and_bombs_give_error_rows(spark):
     assert 10 <= len(G.lzw_decode(long, 8, 10)) < 20_000
     got = G.frames(spark.createDataFrame([(1, bomb), (2, wide), (3, gif(image([1, 1, 1, 1], 0, 0, 2, 2)))], "id int, content binary"), "id", "content").collect()
     assert sorted((r.key, r.error is None) for r in got) == [(1, False), (2, False), (3, True)]
+
+
+def test_bands_are_the_rows_of_the_whole_screen(spark):
+    rng = random.Random(4)
+    files = []
+    for _ in range(40):
+        images = []
+        for _ in range(rng.randrange(1, 5)):
+            left, top, w, h = rng.randrange(6), rng.randrange(12), rng.randrange(1, 8), rng.randrange(1, 14)
+            samples = [rng.randrange(4) for _ in range(w * h)]
+            images.append(image(samples, left, top, w, h, rng.randrange(9), rng.randrange(4), rng.choice([None, 0, 3]), rng.random() < 0.5))
+        files.append(gif(*images, w=7, h=13))
+    # the third frame is damaged: two stay, whatever the bands
+    files.append(gif(image([1] * 91, 0, 0, 7, 13), image([2] * 9, 2, 5, 3, 3), image([1], 0, 0, 7, 13), image([1], 0, 0, 1, 1), w=7, h=13))
+    table = spark.createDataFrame([(i, f) for i, f in enumerate(files)], "id int, content binary")
+    whole = {(r.key, r.frame): r for r in G.frames(table, "id", "content").collect()}
+    for pixels in (1, 7, 30):
+        got = G.frames(table, "id", "content", pixels).collect()
+        assert {(r.key, r.frame) for r in got} == set(whole)
+        for (key, frame), want in whole.items():
+            bands = sorted((r for r in got if (r.key, r.frame) == (key, frame)), key=lambda r: r.first_row or 0)
+            assert {(r.start_ms, r.delay_ms, r.width, r.error) for r in bands} == {(want.start_ms, want.delay_ms, want.width, want.error)}
+            if frame is not None:
+                assert [r.first_row for r in bands] == list(range(0, 13, max(1, pixels // 7)))
+                assert b"".join(r.rgba for r in bands) == want.rgba and want.first_row == 0
+                assert np.sum([r.histogram for r in bands], 0).tolist() == want.histogram
+            else:
+                assert len(bands) == 1
+    assert {f for k, f in whole if k == 40} == {0, 1, None}
+
+
+def test_a_screen_beyond_one_band_is_decoded():
+    w, h = 8192, 2100  # over 2 ** 24 pixels, of one colour in most rows
+    samples = bytearray(w * h)
+    samples[w * 2099 :] = bytes([7]) * w
+    stream = G.lzw_encode(bytes(samples))
+    media = b"GIF89a" + struct.pack("<HHBBB", w, h, 0xF7, 0, 0) + G._COLOURS.tobytes() + b"\x2c" + struct.pack("<HHHHB", 0, 0, w, h, 0) + b"\x08"
+    media += b"".join(bytes([len(stream[k : k + 255])]) + stream[k : k + 255] for k in range(0, len(stream), 255)) + b"\0\x3b"
+    bands = list(G.decode(media))
+    assert [(f.number, f.first_row, f.canvas.shape) for f in bands] == [(0, 0, (2048, w, 4)), (0, 2048, (52, w, 4))]
+    assert (bands[1].canvas[51] == [*G._COLOURS[7], 255]).all() and (bands[1].canvas[:51] == [0, 0, 0, 255]).all()
