@@ -109,6 +109,16 @@ def cells(df: DataFrame, features: str = "features") -> DataFrame:
     return df.withColumn("_cells", F.filter(both, lambda c: c["v"] != 0)).drop(features)
 
 
+#: Tables of fewer rows for each core lie in few files, which would leave most cores idle in every pass.
+ROWS_A_CORE = 100_000
+
+
+def spread(df: DataFrame, n: int, key: str) -> DataFrame:
+    """``df`` of ``n`` rows over all cores by a hash of ``key`` if it is small; larger tables keep their partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if n < ROWS_A_CORE * cores else df
+
+
 # Extremely random trees.
 
 
@@ -118,30 +128,50 @@ def uniform(tree: Column, node: Column, feature: Column, seed: int) -> Column:
     return F.conv(digits, 16, 10).cast("double") / float(1 << 52)
 
 
-def random_splits(open_rows: DataFrame, seed: int, least: int = 1) -> DataFrame:
-    """The best of one random threshold for each feature, for each open (tree, node).
+def _long(open_rows: DataFrame) -> DataFrame:
+    return open_rows.select("tree", "node", "y", F.explode("_cells").alias("c")).select("tree", "node", "y", F.col("c.f").alias("feature"), F.col("c.v").alias("v"))
 
-    ``open_rows`` is (tree, node, y, _cells).  One aggregation gives each feature's range in a node, zeros
-    counted in; the threshold is drawn inside that range; a second one sums both sides.  Returns (tree, node,
-    feature, threshold, gain, n, s, n_left, s_left), nodes without a split left out.
+
+def node_ranges(open_rows: DataFrame) -> DataFrame:
+    """Rows, sum and range of each feature's cells in each node; feature -1 stands for the target of all its rows."""
+    target = F.array(F.struct(F.lit(-1).alias("f"), F.col("y").alias("v")))
+    every = _long(open_rows.withColumn("_cells", F.concat(F.col("_cells").cast("array<struct<f:int,v:double>>"), target)))
+    return every.groupBy("tree", "node", "feature").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n_cells"), F.sum("y").alias("s_cells"))
+
+
+def best_random_splits(open_rows: DataFrame, ranges: DataFrame, seed: int, least: int = 1) -> DataFrame:
+    """The best split of each node, from its ``node_ranges`` as a table.
+
+    The ranges are read with the size of their files, so that Spark sends them to the cells where they are
+    small and only then: no cell of a row is shuffled for a level.
     """
-    by = ["tree", "node"]
-    whole = open_rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum("y").alias("s"), F.min("y").alias("_least"), F.max("y").alias("_most")).where("_least < _most").drop("_least", "_most")
-    long = open_rows.select(*by, "y", F.explode("_cells").alias("c")).select(*by, "y", F.col("c.f").alias("feature"), F.col("c.v").alias("v"))
-    ranges = long.groupBy(*by, "feature").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("n_cells"), F.sum("y").alias("s_cells")).join(whole, by)
+    node, target = W.partitionBy("tree", "node"), F.col("feature") == -1  # a node has a row for each feature
+    whole = {"n": "n_cells", "s": "s_cells", "_least": "low", "_most": "high"}
+    drawn = ranges.select("*", *[F.max(F.when(target, F.col(c))).over(node).alias(k) for k, c in whole.items()]).where((F.col("_least") < F.col("_most")) & ~target)
     some_zero = F.col("n_cells") < F.col("n")
     low, high = (F.when(some_zero, f(c, F.lit(0.0))).otherwise(F.col(c)) for f, c in ((F.least, "low"), (F.greatest, "high")))
-    drawn = ranges.withColumn("low", low).withColumn("high", high).where("low < high")
-    drawn = drawn.withColumn("threshold", F.col("low") + uniform(F.col("tree"), F.col("node"), F.col("feature"), seed) * (F.col("high") - F.col("low")))
-    sides = long.join(drawn.select(*by, "feature", "threshold"), [*by, "feature"]).where("v <= threshold").groupBy(*by, "feature").agg(F.count("*").alias("n_under"), F.sum("y").alias("s_under"))
+    drawn = drawn.withColumn("low", low).withColumn("high", high).where("low < high")
+    drawn = drawn.withColumn("threshold", F.col("low") + uniform(F.col("tree"), F.col("node"), F.col("feature"), seed) * (F.col("high") - F.col("low"))).drop("low", "high", "_least", "_most")
+    by = ["tree", "node", "feature"]
+    sides = _long(open_rows).join(drawn.select(*by, "threshold"), by).where("v <= threshold").groupBy(*by).agg(F.count("*").alias("n_under"), F.sum("y").alias("s_under"))
     zero_left = F.col("threshold") >= 0  # rows without the cell
-    got = drawn.join(sides, [*by, "feature"], "left").fillna(0, ["n_under"]).fillna(0.0, ["s_under"])
+    got = drawn.join(sides, by, "left").fillna(0, ["n_under"]).fillna(0.0, ["s_under"])
     got = got.withColumn("n_left", F.col("n_under") + F.when(zero_left, F.col("n") - F.col("n_cells")).otherwise(0)).withColumn("s_left", F.col("s_under") + F.when(zero_left, F.col("s") - F.col("s_cells")).otherwise(0.0))
     got = got.where((F.col("n_left") >= least) & (F.col("n") - F.col("n_left") >= least))
     right_n, right_s = F.col("n") - F.col("n_left"), F.col("s") - F.col("s_left")
     gain = F.col("s_left") * F.col("s_left") / F.col("n_left") + right_s * right_s / right_n - F.col("s") * F.col("s") / F.col("n")
     best = F.max_by(F.struct("feature", "threshold", "gain", "n", "s", "n_left", "s_left"), F.struct("gain", -F.col("feature")))
-    return got.withColumn("gain", gain).groupBy(*by).agg(best.alias("b")).select(*by, "b.*")
+    return got.withColumn("gain", gain).groupBy("tree", "node").agg(best.alias("b")).select("tree", "node", "b.*")
+
+
+def random_splits(open_rows: DataFrame, seed: int, least: int = 1) -> DataFrame:
+    """The best of one random threshold for each feature, for each open (tree, node).
+
+    ``open_rows`` is (tree, node, y, _cells).  One aggregation gives each feature's range in a node, zeros
+    counted in; the threshold is drawn inside that range; a second one sums both sides.  Returns (tree, node,
+    feature, threshold, gain, n, s, n_left, s_left), nodes without a split left out.
+    """
+    return best_random_splits(open_rows, written(node_ranges(open_rows)), seed, least)
 
 
 def extremely_random_trees(train: DataFrame, seed: int, trees: int, depth: int, least: int = 1) -> Ensemble:
@@ -151,15 +181,17 @@ def extremely_random_trees(train: DataFrame, seed: int, trees: int, depth: int,
     splits all open nodes and writes the rows' next nodes.
     """
     spark = train.sparkSession
-    rows = cells(train.select("features", F.col("y").cast("double").alias("y"))).withColumn("_map", F.map_from_entries("_cells"))
-    n, mean = rows.agg(F.count("*"), F.avg("y")).first()
+    n, mean = train.agg(F.count("*"), F.avg(F.col("y").cast("double"))).first()
+    rows = cells(spread(train.select("row_id", "features", F.col("y").cast("double").alias("y")), n, "row_id").drop("row_id")).withColumn("_map", F.map_from_entries("_cells"))
     grown = [Tree() for _ in range(trees)]
     for t in grown:
         t.add(mean, n)
     rows, path = write_table(rows.withColumn("_nodes", F.array_repeat(F.lit(0), trees)))
     for _ in range(depth):
         open_rows = rows.select("y", "_cells", F.posexplode("_nodes").alias("tree", "node")).where("node >= 0")
-        found = random_splits(open_rows, seed, least).collect()  # one row for each open node of the ensemble
+        ranges, ranges_path = write_table(node_ranges(open_rows))
+        found = best_random_splits(open_rows, ranges, seed, least).collect()  # one row for each open node of the ensemble
+        remove_table(spark, ranges_path)
         if not found:
             break
         moves: list[dict[int, tuple]] = [{} for _ in grown]
@@ -248,10 +280,13 @@ class _Grower:
         at = self.route(splits, children, set(nodes))
         long = self.rows.select(at.alias("node"), "_codes", "g").where("node is not null").select("node", "g", F.explode("_codes").alias("feature", "bin"))
         held = long.groupBy("node", "feature", "bin").agg(F.count("*").alias("n"), F.sum("g").alias("g"))
-        cells_of = held.groupBy("node", "feature").agg(F.sum("n").alias("_n"), F.sum("g").alias("_g"))
-        every = self.zero_bins.crossJoin(F.broadcast(totals))  # open nodes x features: no more rows than the histogram has
-        zero = every.join(cells_of, ["node", "feature"], "left").select("node", "feature", F.col("zero").alias("bin"), (F.col("n") - F.coalesce("_n", F.lit(0))).alias("n"), (F.col("g") - F.coalesce("_g", F.lit(0))).alias("g"))
-        return held.unionByName(zero.where("n > 0")).groupBy("node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+        # All of a node's rows count at zero, less those that have a cell.
+        zero = F.try_element_at(F.lit(self.zero_of).cast("array<int>"), F.col("feature") + 1)
+        both = F.array(F.struct("bin", "n", "g"), F.struct(zero.alias("bin"), (-F.col("n")).alias("n"), (-F.col("g")).alias("g")))
+        counted = held.select("node", "feature", F.inline(both).alias("bin", "n", "g"))
+        every = self.zero_bins.crossJoin(F.broadcast(totals)).select("node", "feature", F.col("zero").alias("bin"), "n", "g")  # open nodes x features
+        # Bins of a feature meet here, where best_splits needs them.
+        return counted.unionByName(every).repartition("node", "feature").groupBy("node", "feature", "bin").agg(F.sum("n").alias("n"), F.sum("g").alias("g")).where("n > 0")
 
     def totals(self, nodes: list[int], size: dict) -> DataFrame:
         return self.rows.sparkSession.createDataFrame([(c, *size[c]) for c in nodes], "node int, n long, g long")
@@ -380,7 +415,7 @@ def boosted_trees(train: DataFrame, seed: int, settings: Boosting = Boosting(),
     coded = coded.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("feature", code(F.col("v"))))).alias("_codes"))
     none = F.expr("cast(map() as map<int, int>)")
     rows = rows.select("row_id", "y", "_held").join(coded, "row_id", "left").withColumn("_codes", F.coalesce("_codes", none)).withColumn("_f", F.lit(mean))
-    rows, path = write_table(rows)
+    rows, path = write_table(spread(rows, n, "row_id"))
     unit = 2.0 ** (60 - math.ceil(math.log2(n + 1)) - math.ceil(math.log2(max(high - low, 1e-300) + 1e-300)) - 1)
     out, losses = Ensemble([], mean, settings.step), []
     for _ in range(settings.iterations):
