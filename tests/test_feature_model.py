@@ -1,7 +1,10 @@
 """Fitted features: equal to the long form, saved, loaded and applied to new rows."""
 
+from collections import Counter
+
 import pytest
 
+from benchlens.functions.text import clean_text
 from benchlens.operators import features, trees
 from benchlens.operators.feature_model import FeatureEstimator, FeatureModel
 from pyspark.sql import functions as F
@@ -54,3 +57,33 @@ def test_long_form_to_vectors_without_python(spark):
     got = features.to_vectors(long, features.feature_dictionary(long), 2)
     assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
     assert {r.row_id: r.features.toArray().tolist() for r in got.collect()} == {"a": [0.5, 2.0], "b": [-1.0, 0.0]}
+
+
+def test_vocabulary_by_plain_counting(spark):
+    """Pairs that words cannot reach are not counted, terms of too many rows give their places on, ties go by alphabet."""
+    texts = ["aa bb cc aa bb", "aa bb cc", "aa dd  dd dd ee", "aa bb", "aa bb", None, "zz aa. ff", "aa gg ff"] + ["aa hh"] * 3
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    total, has = Counter(), Counter()
+    for t in texts:
+        w = (t or "").replace(".", " ").split()
+        own = Counter(w + [f"{a} {b}" for a, b in zip(w, w[1:])])
+        total.update(own)
+        has.update(own.keys())
+    for n, share in ((1, 1.0), (2, 0.6), (3, 0.5), (6, 0.95), (9, 0.3), (500, 0.95), (2, 0.01)):
+        able = sorted((t for t in total if has[t] <= share * len(texts)), key=lambda t: (-total[t], t))[:n]
+        got = features.vocabulary(features.tokenized(rows, "t"), len(texts), n, share).collect()
+        assert {(r.feature_id, r.term, r.df) for r in got} == {(k, t, has[t]) for k, t in enumerate(sorted(able))}, (n, share)
+
+
+def test_no_task_groups_the_terms_of_texts(spark):
+    """Counting was a hash table of all (text, term) of a task: 2.4 GB for 250 MB of text."""
+    rows = spark.createDataFrame([("alpha beta",), ("beta gamma",)], "t string")
+    plan = features.tfidf(rows, "t")._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Window" not in plan
+
+
+def test_white_space_is_unicode_s(spark):
+    white = [chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F]
+    rows = spark.createDataFrame([(f"{w}A{w}{w}b {w}.c{w}D e{w}",) for w in white] + [("a\x1cb​c",)], "t string")
+    got = [r[0] for r in rows.select(clean_text(F.col("t"))).collect()]
+    assert got == ["a b c d e"] * len(white) + ["a\x1cb​c"]
