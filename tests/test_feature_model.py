@@ -87,3 +87,14 @@ def test_white_space_is_unicode_s(spark):
     rows = spark.createDataFrame([(f"{w}A{w}{w}b {w}.c{w}D e{w}",) for w in white] + [("a\x1cb​c",)], "t string")
     got = [r[0] for r in rows.select(clean_text(F.col("t"))).collect()]
     assert got == ["a b c d e"] * len(white) + ["a\x1cb​c"]
+
+
+def test_numeric_vectors_equal_the_long_form_without_a_shuffle(spark, rows):
+    columns = ["x", "constant", "flag"]
+    got, names = features.numeric_vectors(rows.select("row_id", *columns), columns)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Python" not in plan and got.columns == ["row_id", "features"]
+    long = {(r.row_id, r.feature): r.value for r in features.numeric_features(rows, columns).collect()}
+    assert {(r.row_id, n): v for r in got.collect() for n, v in zip(names, r.features.toArray().tolist(), strict=True)} == long
+    known = features.feature_dictionary(features.numeric_features(rows, columns)).orderBy("feature_id").collect()
+    assert names == [r.feature for r in known]
