@@ -69,3 +69,28 @@ def test_a_run_leaves_its_feature_model(spark, tmp_path):
     assert set(model.names) == {r.feature for r in out["features"].select("feature").distinct().collect()}
     unseen = out["supervised"].limit(2).withColumn("flow_text", F.lit("never seen"))
     assert model.transform(unseen).count() == 2
+
+
+def test_empty_tables_of_runs_at_once(spark, tmp_path, monkeypatch):
+    """Another run removes the folder above between the look and the removal."""
+    root, real = f"file://{tmp_path}/r", results._file_system
+
+    class Raced:
+        def __init__(self, fs):
+            self.fs = fs
+
+        def listStatus(self, path):
+            held = self.fs.listStatus(path)
+            self.fs.delete(path, False)
+            return held if held else self.fs.listStatus(path)
+
+        def __getattr__(self, name):
+            return getattr(self.fs, name)
+
+    def raced(spark, path):
+        fs, at = real(spark, path)
+        return Raced(fs), at
+
+    monkeypatch.setattr(results, "_file_system", raced)
+    assert not results.write_result(spark.range(0), root, "summary", "a")
+    assert not (tmp_path / "r" / "summary" / "agg_mode=mean").exists()
