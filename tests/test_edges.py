@@ -189,3 +189,21 @@ def test_group_folds_against_plain_greedy(spark):
         loads[want[g]] += sizes[g]
     frame = spark.createDataFrame(list(sizes.items()), "g long, n long").repartition(7)
     assert {r.g: r.fold for r in folds.group_folds(frame, "g", 5).collect()} == want
+
+
+def test_explained_rows_are_drawn_without_ranking_all(spark):
+    """Few candidates are ranked, and the draw is that of ``sample`` in every fold; vectors are read once."""
+    from benchlens.plans import pipeline
+
+    rows = spark.range(4000).select(F.concat(F.lit("r"), "id").alias("row_id"), (F.col("id") % 3).cast("int").alias("fold"), F.col("id").alias("features"))
+    config = pipeline.Config("c", shap_background=7, shap_eval=5)
+    got = pipeline.drawn(rows, [0, 1, 2], config)
+    assert got.count() == 3 * 12
+    for k in range(3):
+        train, test = folds.split(rows, k)
+        of = lambda role: {r.row_id for r in got.where((F.col("fold") == k) & (F.col("role") == role)).collect()}  # noqa: B023, E731
+        assert of("eval") == {r.row_id for r in folds.sample(test, ["fold"], "row_id", 5, 42 + k).collect()}
+        assert of("background") == {r.row_id for r in folds.sample(train.withColumn("g", F.lit(0)), ["g"], "row_id", 7, 42 + k, "background").collect()}
+    assert folds.first_by_hash(rows, "fold", "row_id", 5, {0: 1334, 1: 1333, 2: 1333}).count() < 600
+    same = rows.withColumn("row_id", F.lit("r0"))  # one hash: a bound may keep none, so all are ranked
+    assert pipeline.drawn(same.limit(3000), [0], config).select("role").distinct().count() == 2

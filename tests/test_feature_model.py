@@ -5,8 +5,10 @@ from collections import Counter
 import pytest
 
 from benchlens.functions.text import clean_text
-from benchlens.operators import features, trees
+from benchlens.operators import feature_model, features, folds, tables, trees
 from benchlens.operators.feature_model import FeatureEstimator, FeatureModel
+from benchlens.plans import inputs, pipeline
+from benchlens.sources import results
 from pyspark.sql import functions as F
 
 ROWS = [(1, "Alpha beta, alpha", 1.0, 3, True), (2, "beta gamma", None, 3, False), (3, None, float("nan"), 3, True), (4, "alpha (beta) gamma delta", 7.5, 3, True), (5, "", 2.0, 3, None)]
@@ -98,3 +100,42 @@ def test_numeric_vectors_equal_the_long_form_without_a_shuffle(spark, rows):
     assert {(r.row_id, n): v for r in got.collect() for n, v in zip(names, r.features.toArray().tolist(), strict=True)} == long
     known = features.feature_dictionary(features.numeric_features(rows, columns)).orderBy("feature_id").collect()
     assert names == [r.feature for r in known]
+
+
+def test_row_vectors_equal_the_long_form_without_grouping_rows(spark, rows, monkeypatch):
+    """Rows of a text share its weights; vectors were gathered from a long table of all cells, grouped by row."""
+    columns = ["x", "constant", "flag"]
+    cleaned = rows.withColumn("t_clean", clean_text(F.col("t"))).drop("t")
+    words = features.tokenized_clean(cleaned, "t_clean")
+    read = lambda df: {r.text_key: (r.n_rows, r.words) for r in df.collect()}
+    assert read(words) == read(features.tokenized(rows, "t"))
+    chosen, stats = features.fitted(words, rows.count(), 6)[0], features.numeric_statistics(rows, columns)
+    model = FeatureModel([t.term for t in chosen], [t.idf for t in chosen], stats)
+    weights = features.text_weights(words, model.vocabulary, model.idf)
+    plans, real = [], features.write_table
+    monkeypatch.setattr(features, "write_table", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or real(df))
+    got = features.row_vectors(features.with_text_key(cleaned, "t_clean"), weights, len(chosen), stats, columns)
+    assert "Aggregate" not in plans[0] and "Python" not in plans[0] and got.columns == ["row_id", "features"]
+    long = features.build_features(rows, "tfidf", columns, text="t", max_features=6)
+    want = features.to_vectors(long, features.feature_dictionary(long), len(model.names))
+    of = lambda df: {r.row_id: r.features.toArray().tolist() for r in df.collect()}
+    assert of(got) == {k: pytest.approx(v, abs=1e-12) for k, v in of(want).items()} and len(of(got)) == rows.count()
+    kept = feature_model.fitted_models(feature_model.fitted_table(spark, {("m", 1): model}))
+    again = feature_model.long_features(rows, kept, "t")
+    assert {(r.split_mode, r.fold, r.row_id, r.feature): r.value for r in again.collect()} == {("m", 1, r.row_id, r.feature): pytest.approx(r.value) for r in long.collect()}
+
+
+def test_long_features_of_a_fold_run_are_read_back(spark, tmp_path):
+    """A run with features of each fold leaves its fitted models, not a row for every cell, protocol and fold."""
+    sf, root = "/root/testdata/sf0.001", f"file://{tmp_path}/results"
+    config = pipeline.Config("f", fit_scope="fold", models=("ridge",), prefixes=("Brand#1.", "small "), cv_folds=2, max_features=20)
+    out = pipeline.run(spark, inputs.evaluations(spark, sf), inputs.tasks(spark, sf), inputs.flows(spark, sf), config, root)
+    supervised, long = results.read_artifacts(spark, root, "f")
+    assert spark.read.parquet(f"{root}/features").count() < supervised.count()
+    fold_of = {r.row_id: r.fold for r in folds.row_folds(supervised, "row_id", 2).collect()}
+    for fold in (0, 1):
+        train = supervised.where(F.col("row_id").isin([k for k, v in fold_of.items() if v != fold]))
+        want = features.build_features(supervised, "tfidf", [c for c in tables.METAFEATURES if c in supervised.columns], fit_on=train, max_features=20)
+        own = long.where(f"split_mode = 'row_kfold' and fold = {fold}")
+        assert {(r.row_id, r.feature): r.value for r in own.collect()} == {(r.row_id, r.feature): pytest.approx(r.value) for r in want.collect()}
+    assert out["predictions"].count() == 2 * supervised.count()
